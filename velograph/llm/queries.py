@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from . import ann, minhash, mixing, packing, substring, topk
+from . import ann, langid, minhash, mixing, packing, quality, substring, topk
 
 
 def word_tokenizer() -> str:
@@ -45,8 +45,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.grade_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_ann, op3_minhash, op4_substring, op5_mixing, op6_packing)}
+    return {f.__name__: f for f in (op1_topk, op2_ann, op3_minhash, op4_substring, op5_mixing, op6_packing, op9_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
