@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from . import ann, langid, minhash, mixing, packing, quality, substring, topk
+from . import ann, chat, langid, minhash, mixing, packing, quality, substring, topk, warc
 
 
 def word_tokenizer() -> str:
@@ -45,6 +45,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(_table(spark, sf_dir, "conversations"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -54,8 +62,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_ann, op3_minhash, op4_substring, op5_mixing, op6_packing, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_topk, op2_ann, op3_minhash, op4_substring, op5_mixing, op6_packing, op7_chat, op8_warc, op9_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.SQL, "op3_minhash": minhash.SQL, "op4_substring": substring.SQL, "op5_mixing": mixing.SQL}
+    return {"op1_topk": topk.SQL, "op3_minhash": minhash.SQL, "op4_substring": substring.SQL, "op5_mixing": mixing.SQL, "op7_chat": chat.SQL, "op8_warc": warc.SQL}
