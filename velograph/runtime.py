@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,20 +14,35 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and make sure that a checkpoint folder is set."""
+    """Let Python workers import this package."""
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    return spark.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and go on from the files.
+    """Compute ``df`` once into a table in the shared checkpoint folder and go on from its files.
 
-    The copy is replicated storage, so a lost executor costs a re-read, not a recomputation.
+    The files are columnar and compressed, so they take less than a checkpoint of rows; and as they are shared, a lost
+    executor costs a re-read, not a recomputation. They stay, as checkpoints do, until ``release`` or the cluster's own
+    cleaning removes them.
     """
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = prepare(df.sparkSession)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._table)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
