@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import materialise, release
 from .text import Sequences, chunks, sliding_min, windows
 
 WINDOW = 35
@@ -143,12 +143,14 @@ def repeated_spans(docs: DataFrame, length: int = WINDOW, k: int = K) -> DataFra
     spans = materialise(base.mapInArrow(_spans(length, k), "row long, doc_id long, anchor long, body long, at int, n int"))
     anchors = spans.groupBy("anchor").agg(F.count("*").alias("places"), F.min("body").alias("lo"), F.max("body").alias("hi")).where("places > 1")
     found = materialise(spans.join(anchors, "anchor").select("row", "doc_id", "at", "n", (F.col("lo") != F.col("hi")).alias("branching")))
+    release(spans)
 
     def by_document(x: DataFrame) -> DataFrame:
         return x.groupBy("row", "doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
     branching = _join(base, by_document(found.where("branching")), "inner")
-    hashed = materialise(branching.mapInArrow(_windows(length), "h1 long, h2 long, row long, doc_id long, at int"))
+    # not materialised: its shuffle of the texts is the one that the final join uses again
+    hashed = branching.mapInArrow(_windows(length), "h1 long, h2 long, row long, doc_id long, at int")
     again = hashed.groupBy("h1", "h2").agg(F.count("*").alias("places")).where("places > 1").select("h1", "h2")
     windows_again = hashed.join(again, ["h1", "h2"]).select("row", "doc_id", "at", F.lit(1).alias("n"))
     return by_document(found.where("NOT branching").select("row", "doc_id", "at", "n").unionByName(windows_again))
