@@ -7,9 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velograph.llm import mixing, packing, substring
+from velograph.llm import minhash, mixing, packing, quality, substring
 from velograph.llm.queries import word_tokenizer
-from velograph.runtime import LOCAL_CHECKPOINTS, prepare
+from velograph.runtime import prepare, shared_folder
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier puts below the top grade (low quality, toxic) go."""
+    return quality.good_documents(docs, prepare(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    return minhash.distinct_documents(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +38,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good),
+    ("minhash_dedup", distinct),
     ("substring_dedup", repeats),
     ("mixing", mixed),
     ("packing", packed),
@@ -37,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; what each returns goes through the shared folder."""
     prepare(spark)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', LOCAL_CHECKPOINTS)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
