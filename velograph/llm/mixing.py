@@ -54,8 +54,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 
 def shuffled(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, start, [other columns]): where each document starts in its source's shuffled words."""
-    keyed = docs.withColumns({"size": _size(F.col("text")), "order_key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))}).withColumn("bucket", F.substring("order_key", 1, 3))
+    """Adds start: where each document (doc_id, source, size) begins in its source's shuffled words."""
+    keyed = docs.withColumns({"order_key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))}).withColumn("bucket", F.substring("order_key", 1, 3))
     within = W.partitionBy("source", "bucket").orderBy("order_key", "size").rowsBetween(W.unboundedPreceding, -1)
     totals = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     base = totals.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -105,8 +105,7 @@ def _pieces(placed: DataFrame, turns: DataFrame, block: int) -> DataFrame:
 
 def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
-    placed, turns = _taken(docs.select("doc_id", "text", "source"), block, weights, cap)
-    slim = placed.drop("text")
+    slim, turns = _taken(docs.select("doc_id", "source", _size(F.col("text")).alias("size")), block, weights, cap)
     row = ["source", "start", "doc_id", "size", "source_size", "target"]
     # size-0 documents may share a start; each keeps a row of its own
     empty = slim.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
@@ -118,7 +117,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...
     """The mixed corpus: a document comes as often as all its blocks are taken; where the taken words end within a
     document, one more row holds the words before that. n_chars follows the text; documents not taken are left out."""
     columns = docs.columns
-    inner = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", "source")
+    inner = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", "source", _size(F.col("text")).alias("size"))
     placed, turns = _taken(inner, block, weights, cap)
     row = ["source", "start", "size"]
     full = _pieces(placed.select(*row, "doc_id").where("size > 0"), turns, block)
