@@ -5,12 +5,16 @@
 2. Each class is posted under its coordinate-value pairs. Values that occur once match nothing and are skipped; a class
    with fewer than ``matches`` shared values has no partner. Of the c values left, a partner must share one among the
    c - matches + 1 rarest (prefix merging), so only these are joined on.
-3. First every class of a posting list meets the list's least member; pairs with enough collisions are confirmed on
-   their full sets, and links join classes into components. Then lists that still hold several components are gone through
-   in blocks, and pairs across components with enough collisions are confirmed too. So a list of thousands of copies
-   costs a row per copy, and pairs are only listed where they can still join something.
+3. Every class of a posting list meets a few heads of that list; pairs with enough collisions are confirmed on their full
+   sets, and links join classes into components.
+4. Lists that still hold several components are gone through in blocks: pairs across components are counted for
+   collisions, those with enough are compared by their sets right there, and a link found joins the two components, so
+   that the rest of their pairs is skipped. A pair in several lists is looked at in the first only. What this reports is
+   confirmed on full sets again.
 
-Two sets of similarity 0.75 share at least ``matches`` = 28 of 64 coordinates except with a chance of about 1e-8.
+So a list of thousands of near copies costs a few rows a copy, and no step writes out the pairs of a group.
+
+Two sets of similarity 0.75 share at least ``matches`` = 17 of 40 coordinates except with a chance of 6e-6.
 
 Results for unusual input: without words or text n_shingles is 0 and the document is its own component; with fewer words
 than a shingle, the whole sequence is the only shingle; a null doc_id gets its group's component but is never kept; rows
@@ -30,7 +34,9 @@ from ..operators.components import connected_components
 from ..runtime import materialise
 from .text import U, Sequences, chunks, mix, windows
 
-SHINGLE, PERCENT, COORDINATES, MATCHES, BLOCK = 5, 75, 64, 28, 512
+SHINGLE, PERCENT, COORDINATES, MATCHES = 5, 75, 40, 17
+#: Heads of a list; members of a list that are compared in one task at a time.
+HEADS, BLOCK = 4, 1024
 
 
 def _sets(c, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,11 +82,15 @@ def _signatures(shingle: int, coordinates: int):
 
 
 def _full_sets(shingle: int):
+    """Each text's sorted set, and its upper halves, which say almost as much in half the room."""
+
     def run(batches):
         for batch in batches:
             for c in chunks(batch.column("text")):
                 hashes, offsets = _sets(c, shingle)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(c.first, c.n), pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["node", "shingles"])
+                brief = (hashes >> U(32)).astype(np.uint32)
+                parts = [pa.array([x[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()) for x in (hashes, brief)]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(c.first, c.n), *parts], ["node", "shingles", "brief"])
 
     return run
 
@@ -99,38 +109,56 @@ def _confirm(percent: int):
     return run
 
 
+class _Side:
+    """Members of a posting list: one block of them."""
+
+    def __init__(self, t: pa.Table):
+        self.node, self.n = t["node"].to_numpy(), t["n"].to_numpy()
+        self.sig, self.prefix = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for c in ("sig", "prefix"))
+        self.sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in t["brief"]]
+
+
 def _across(matches: int, percent: int):
-    """Pairs of a block pair that lie in different components and collide often enough."""
-
-    def run(table: pa.Table) -> pa.Table:
-        def side(name):
-            t = table.filter(pc.equal(table["side"], name))
-            sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(len(t), -1) if len(t) else np.zeros((0, 1), np.int64)
-            return t["node"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy(), sig
-
-        (a, ca, na, sa), (b, cb, nb, sb) = side(0), side(1)
-        if not len(b):
-            b, cb, nb, sb = a, ca, na, sa
-        out_a, out_b = [], []
-        for at in range(0, len(a), 128):
-            part = slice(at, at + 128)
-            open_pairs = (ca[part, None] != cb) & (a[part, None] != b) & (100 * np.minimum(na[part, None], nb) >= percent * np.maximum(na[part, None], nb))
-            i, j = np.nonzero(open_pairs)
-            for s in range(0, len(i), 65_536):
-                x, y = i[s : s + 65_536] + at, j[s : s + 65_536]
-                hit = np.count_nonzero(sa[x] == sb[y], axis=1) >= matches
-                out_a.append(a[x[hit]])
-                out_b.append(b[y[hit]])
-        x, y = (np.concatenate(o) if o else np.empty(0, np.int64) for o in (out_a, out_b))
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+    """Links between components of a list, found within one pair of blocks."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        here = key[1].as_py()
+        tables = [table.filter(pc.equal(table["side"], s)) for s in (0, 1)]
+        one = not len(tables[1])
+        a = _Side(tables[0])
+        b = a if one else _Side(tables[1])
+        labels, label = np.unique(np.concatenate([t["component"].to_numpy() for t in tables]), return_inverse=True)
+        ca, cb = (label, label) if one else (label[: len(a.node)], label[len(a.node) :])
+        found = []
+        for i in range(len(a.node)):
+            open_ = (cb != ca[i]) & (100 * np.minimum(a.n[i], b.n) >= percent * np.maximum(a.n[i], b.n))
+            if one:
+                open_[: i + 1] = False
+            j = np.flatnonzero(open_)
+            same = b.sig[j] == a.sig[i]
+            count = np.count_nonzero(same, axis=1)
+            hit = (count >= matches) & (np.argmax(same & a.prefix[i] & b.prefix[j], axis=1) == here)
+            j = j[hit][np.argsort(-count[hit], kind="stable")]
+            if not len(j):
+                continue
+            mine, sizes = a.sets[i], np.array([len(b.sets[x]) for x in j])
+            theirs = np.concatenate([b.sets[x] for x in j])
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            both = np.add.reduceat(mine[at] == theirs, np.cumsum(sizes) - sizes)
+            for x in j[100 * both >= percent * (len(mine) + sizes - both)]:
+                if (old := cb[x]) != ca[i]:
+                    found.append((a.node[i], b.node[x]))
+                    new = ca[i]
+                    ca[ca == old] = new
+                    cb[cb == old] = new
+        pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those similar enough by their full sets."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialise(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_full_sets(shingle), "node long, shingles binary"))
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
 
@@ -143,20 +171,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = signed.where("n > 0").groupBy("f1", "f2").agg(first, F.min("n").alias("n"), F.first("sig").alias("sig"))
     classes = materialise(classes.select("f1", "f2", F.col("rep.row").alias("node"), F.col("rep.doc_id").alias("doc_id"), "n", "sig"))
 
-    posted = classes.select("node", F.explode("sig").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("places")).where("places > 1")
-    rarest = F.expr("transform(array_sort(collect_list(struct(places, key))), x -> x.key)")
-    kept = posted.join(shared, "key").groupBy("node").agg(rarest.alias("keys")).where(F.size("keys") >= matches)
-    lists = materialise(kept.select("node", F.explode(F.expr(f"slice(keys, 1, size(keys) - {matches} + 1)")).alias("key")))
-    sized = classes.select("node", "n", "sig")
-    texts = base.select(F.col("row").alias("node"), "text")
-
-    links = _links(materialise(_with_heads(lists, sized, percent, matches)), texts, shingle, percent)
-    links = materialise(links)
-    groups = connected_components(links)
-    more = materialise(_between_groups(lists, sized, groups, percent, matches))
-    if not more.isEmpty():
-        groups = connected_components(links.unionByName(_links(more, texts, shingle, percent)))
+    groups = _groups(classes, base, shingle, percent, matches)
 
     ids = classes.select("node", "doc_id")
     smallest = groups.join(ids, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -168,26 +183,51 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _groups(classes: DataFrame, base: DataFrame, shingle: int, percent: int, matches: int) -> DataFrame:
+    """(node, component) of every class that is linked to another."""
+    posted = classes.select("node", F.posexplode("sig").alias("coordinate", "key"))
+    shared = posted.groupBy("key").agg(F.count("*").alias("places")).where("places > 1")
+    rarest = F.expr("transform(array_sort(collect_list(struct(places, coordinate))), x -> x.coordinate)")
+    kept = posted.join(shared, "key").groupBy("node").agg(rarest.alias("order")).where(F.size("order") >= matches)
+    prefix = F.expr(f"transform(sig, (x, i) -> array_contains(slice(order, 1, size(order) - {matches} + 1), i))")
+    sized = materialise(kept.join(classes, "node").select("node", "n", F.col("sig").alias("keys"), F.expr("transform(sig, x -> smallint(shiftright(x, 48)))").alias("sig"), prefix.alias("prefix")))
+    lists = sized.select("node", F.posexplode(F.arrays_zip("keys", "prefix")).alias("coordinate", "z")).where("z.prefix").select("node", "coordinate", F.col("z.keys").alias("key"))
+    texts = base.select(F.col("row").alias("node"), "text").join(sized.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = materialise(texts.mapInArrow(_full_sets(shingle), "node long, shingles binary, brief binary"))
+    sized = sized.drop("keys")
+
+    links = materialise(_links(_with_heads(lists, sized, percent, matches), sets, percent))
+    groups = materialise(connected_components(links))
+    more = materialise(_links(_between_groups(lists, sized, sets, groups, percent, matches), sets, percent))
+    if more.isEmpty():
+        return groups
+    stars = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return connected_components(stars.unionByName(more))
+
+
 def _with_heads(lists: DataFrame, sized: DataFrame, percent: int, matches: int) -> DataFrame:
-    """Pairs of each list's least member with the others, if they collide often enough."""
-    heads = lists.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("places")).where("places > 1")
-    pairs = lists.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    """Pairs of each list's heads (the members with the least hashes under some salts) with its members, if they collide enough."""
+    salted = [F.min(F.struct(F.xxhash64("node", F.lit(h)), "node")).alias(f"h{h}") for h in range(HEADS)]
+    heads = lists.groupBy("key").agg(F.count("*").alias("places"), *salted).where("places > 1")
+    heads = heads.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"h{h}.node") for h in range(HEADS))))).alias("head"))
+    pairs = lists.join(heads, "key").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     p, q = (sized.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"g{x}")) for x in "ab")
     collisions = F.expr("aggregate(zip_with(ga, gb, (x, y) -> IF(x = y, 1, 0)), 0, (s, x) -> s + x)")
     alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     return pairs.join(p, "a").join(q, "b").where(alike).where(collisions >= matches).select("a", "b")
 
 
-def _between_groups(lists: DataFrame, sized: DataFrame, groups: DataFrame, percent: int, matches: int) -> DataFrame:
-    """Pairs that collide often enough in lists which still hold several components, across these."""
-    placed = lists.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("places")).where("lo <> hi")
+def _between_groups(lists: DataFrame, sized: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Links that join the components which a list still holds."""
+    placed = lists.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("places")).where("lo <> hi").drop("lo", "hi")
     blocks = F.ceil(F.col("places") / BLOCK).cast("int")
-    dealt = placed.join(mixed, "key").join(sized, "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    full = sized.join(sets.select("node", "brief"), "node")
+    dealt = placed.join(several, "key").join(full, "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a block is the one side of its pairs with later blocks and the other side of those with earlier ones
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "sig")
-    return dealt.groupBy("key", "i", "j").applyInArrow(_across(matches, percent), "a long, b long").distinct()
+    dealt = dealt.select("key", "coordinate", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "sig", "prefix", "brief")
+    return dealt.groupBy("key", "coordinate", "i", "j").applyInArrow(_across(matches, percent), "a long, b long").distinct()
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
