@@ -1 +1,182 @@
+"""Graph build, and nearest-segment joins."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..functions.exprs import half_up
+from ..operators import graph, polylines, snap
+from ..operators.components import connected_components
+from ..sources import network
+from . import base
+from .base import LENGTH, POINTS, SEG, VERTICES, query
+from .geometry import PIECES, RAW, _project_sql
+
+C = F.col
+JUNCTIONS = "jn AS (SELECT lng, lat, count(*) AS uses FROM vtx GROUP BY lng, lat HAVING count(*) > 1)"
+D1, D2 = base.haversine_e7("a", "m"), base.haversine_e7("m", "b")
+EDGES = (
+    f"{VERTICES}, {JUNCTIONS}, cut AS (SELECT r.*, j.lng IS NOT NULL AS mid, {D1} AS d1, {D2} AS d2 FROM raw r LEFT JOIN jn j ON j.lng = m_lng AND j.lat = m_lat), "
+    "run AS (SELECT id AS path_id, 0 AS run, a_lng AS f_lng, a_lat AS f_lat, CASE WHEN mid THEN m_lng ELSE b_lng END AS t_lng, CASE WHEN mid THEN m_lat ELSE b_lat END AS t_lat, CASE WHEN mid THEN d1 ELSE d1 + d2 END AS len, CASE WHEN mid THEN 2 ELSE 3 END AS points FROM cut "
+    "UNION ALL SELECT id, 1, m_lng, m_lat, b_lng, b_lat, d2, 2 FROM cut WHERE mid), edge AS (SELECT *, row_number() OVER (ORDER BY path_id, run) - 1 AS edge_id FROM run), "
+    "node AS (SELECT row_number() OVER (ORDER BY min(o)) - 1 AS node_id, lng, lat FROM (SELECT edge_id * 2 AS o, f_lng AS lng, f_lat AS lat FROM edge UNION ALL SELECT edge_id * 2 + 1, t_lng, t_lat FROM edge) GROUP BY lng, lat), "
+    "ends AS (SELECT e.*, f.node_id AS from_node, t.node_id AS to_node FROM edge e JOIN node f ON f.lng = f_lng AND f.lat = f_lat JOIN node t ON t.lng = t_lng AND t.lat = t_lat)"
+)
+
+
+def _segments(spark, sf_dir):
+    return network.segments(network.paths(spark, sf_dir))
+
+
+def _unbridged(spark, sf_dir):
+    return graph.build(_segments(spark, sf_dir), tolerance_m=0)
+
+
+@query(f"WITH {RAW}, {VERTICES}, {JUNCTIONS} SELECT lng AS lng_e7, lat AS lat_e7, uses FROM jn")
+def junctions(spark, sf_dir):
+    return graph.junctions(polylines.vertices(_segments(spark, sf_dir)))
+
+
+def nearest_sql(points: str, max_m: float, accept: str = "true") -> str:
+    """CTE ``best``: nearest piece to each of ``points`` (pid, p_lng, p_lat), by cells of a fixed size."""
+    r, size = 1.4 * max_m / 111320 * 1e7, snap.cell_e7(max_m)
+    cells = lambda a, b, n: f"unnest(range(CAST(floor({a} / {size}) AS BIGINT), CAST(floor({b} / {size}) AS BIGINT) + 1)) AS {n}"
+    return (
+        f"px AS (SELECT *, {cells(f'(p_lng - {r})', f'(p_lng + {r})', 'cx')} FROM {points}), pxy AS (SELECT *, {cells(f'(p_lat - {r})', f'(p_lat + {r})', 'cy')} FROM px), "
+        f"gx AS (SELECT *, {cells('least(a_lng, b_lng)', 'greatest(a_lng, b_lng)', 'cx')} FROM piece), gxy AS (SELECT *, {cells('least(a_lat, b_lat)', 'greatest(a_lat, b_lat)', 'cy')} FROM gx), "
+        f"pair AS (SELECT DISTINCT pid, p_lng, p_lat, id, piece, a_lng, a_lat, b_lng, b_lat FROM pxy JOIN gxy USING (cx, cy) WHERE {accept}), "
+        f"tt AS (SELECT *, {_project_sql('p', 'a', 'b')} AS t FROM pair), "
+        f"dd AS (SELECT *, {base.haversine(base.deg('p_lng'), base.deg('p_lat'), '(' + base.deg('a_lng') + ' + (' + base.deg('b_lng') + ' - ' + base.deg('a_lng') + ') * t)', '(' + base.deg('a_lat') + ' + (' + base.deg('b_lat') + ' - ' + base.deg('a_lat') + ') * t)')} AS d FROM tt), "
+        f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(d, 6), id, piece) AS rn FROM dd) WHERE rn = 1 AND d <= {max_m})"
+    )
+
+
+DANGLING = "dang AS (SELECT id * 2 AS pid, id AS self, a_lng AS p_lng, a_lat AS p_lat FROM raw WHERE dir = 1 UNION ALL SELECT id * 2 + 1, id, b_lng, b_lat FROM raw WHERE dir = 1), dp AS (SELECT * FROM dang ANTI JOIN jn ON lng = p_lng AND lat = p_lat)"
+
+
+@query(f"WITH {RAW}, {VERTICES}, {JUNCTIONS}, {PIECES}, {DANGLING}, {nearest_sql('dp', graph.BRIDGE_M, 'self <> id').replace('SELECT DISTINCT pid,', 'SELECT DISTINCT pid, self,')} SELECT self AS id, CAST(pid % 2 AS INTEGER) AS at_end, id AS target, CAST(piece AS INTEGER) AS piece, {base.half_up('t', 6)} AS t FROM best")
+def bridge_candidates(spark, sf_dir):
+    return graph.bridge_candidates(_segments(spark, sf_dir)).select("id", "at_end", "target", "piece", half_up(C("t"), 6).alias("t"))
+
+
+@query()
+def bridge_gaps(spark, sf_dir):
+    c = graph.accept_bridges(graph.bridge_candidates(_segments(spark, sf_dir)))
+    return c.select("id", "at_end", "target", "piece", "is_vertex", C("hit.lng_e7").alias("hit_lng_e7"), C("hit.lat_e7").alias("hit_lat_e7"))
+
+
+@query(f"WITH {RAW}, {VERTICES}, s AS (SELECT id, pos * 10 AS o, lng, lat FROM vtx UNION ALL SELECT id, 5, a_lng + 7, a_lat + 3 FROM raw WHERE k % 20 = 0) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS INTEGER) AS pos, lng AS lng_e7, lat AS lat_e7 FROM s")
+def splice_vertices(spark, sf_dir):
+    p = network.paths(spark, sf_dir)
+    first = C("coordinates")[0]
+    new = p.where("k % 20 = 0").select(C("id").alias("target"), F.lit(0).alias("piece"), F.lit(0.5).alias("t"), F.struct((first["lng_e7"] + 7).alias("lng_e7"), (first["lat_e7"] + 3).alias("lat_e7")).alias("hit"), F.lit(False).alias("is_vertex"))
+    return polylines.vertices(graph.splice(p, new))
+
+
+@query(f"WITH {RAW}, {VERTICES} SELECT id, CAST(pos AS INTEGER) AS pos, lng AS lng_e7, lat AS lat_e7 FROM vtx")
+def dedupe_vertices(spark, sf_dir):
+    p = network.paths(spark, sf_dir)
+    doubled = F.flatten(F.transform("coordinates", lambda c: F.array(c, c)))
+    return polylines.vertices(p.select("id", graph.without_repeats(doubled).alias("coordinates")))
+
+
+@query(f"WITH {RAW}, {EDGES} SELECT edge_id, path_id, CAST(run AS BIGINT) AS run, CAST(points AS INTEGER) AS points, {base.half_up('len', 3)} AS length_m FROM edge")
+def split_edges(spark, sf_dir):
+    return _unbridged(spark, sf_dir).edges.select("edge_id", "path_id", "run", F.size("coordinates").alias("points"), half_up(C("length_m"), 3).alias("length_m"))
+
+
+@query(f"WITH {RAW}, {EDGES} SELECT node_id, lng AS lng_e7, lat AS lat_e7 FROM node")
+def nodes(spark, sf_dir):
+    return _unbridged(spark, sf_dir).nodes
+
+
+@query(f"WITH {RAW}, {EDGES} SELECT from_node AS node, edge_id, to_node AS other, true AS forward FROM ends UNION ALL SELECT to_node, edge_id, from_node, false FROM ends WHERE from_node <> to_node")
+def adjacency(spark, sf_dir):
+    return graph.adjacency(_unbridged(spark, sf_dir).edges)
+
+
+@query(f"WITH {RAW}, {EDGES} SELECT node, count(*) AS degree FROM (SELECT from_node AS node FROM ends UNION ALL SELECT to_node FROM ends WHERE from_node <> to_node) GROUP BY node")
+def node_degree(spark, sf_dir):
+    return graph.adjacency(_unbridged(spark, sf_dir).edges).groupBy("node").agg(F.count("*").alias("degree"))
+
+
+#: Directions that a profile which respects one-way rules may take.
+@query(f"WITH {RAW}, {EDGES}, a AS (SELECT edge_id, from_node AS node, true AS forward FROM ends UNION ALL SELECT edge_id, to_node, false FROM ends WHERE from_node <> to_node) SELECT edge_id, node, forward FROM a JOIN edge USING (edge_id) JOIN (SELECT id, direction FROM raw) ON id = path_id WHERE direction = 'both' OR forward = (direction = 'forward')")
+def traversable_arcs(spark, sf_dir):
+    e = _unbridged(spark, sf_dir).edges
+    arcs = graph.adjacency(e).join(e.select("edge_id", "direction"), "edge_id")
+    return arcs.where((C("direction") == "both") | (C("forward") == (C("direction") == "forward"))).select("edge_id", "node", "forward")
+
+
+@query(f"WITH {RAW}, {EDGES} SELECT edge_id, path_id, from_node, to_node, {base.half_up('len', 3)} AS length_m FROM ends WHERE edge_id % 100 = 7")
+def get_edge(spark, sf_dir):
+    return _unbridged(spark, sf_dir).edges.where("edge_id % 100 = 7").select("edge_id", "path_id", "from_node", "to_node", half_up(C("length_m"), 3).alias("length_m"))
+
+
+LINKED = "link AS (SELECT k AS a, CASE dir WHEN 0 THEN k + 1 ELSE k + 100 END AS b FROM raw WHERE dir < 2 AND (k * 31 + dir * 17) % 10 < 4)"
+
+
+@query(f"WITH RECURSIVE {RAW}, {LINKED}, twoway AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link), reach AS (SELECT a AS node, a AS seen FROM twoway UNION SELECT r.node, b.b FROM reach r JOIN twoway b ON r.seen = b.a) SELECT node, min(seen) AS component FROM reach GROUP BY node")
+def components(spark, sf_dir):
+    p = network.paths(spark, sf_dir).where("dir < 2 AND (k * 31 + dir * 17) % 10 < 4")
+    return connected_components(p.select(C("k").alias("a"), F.when(C("dir") == 0, C("k") + 1).otherwise(C("k") + 100).alias("b")))
+
+
+@query(f"WITH {SEG} SELECT *, dense_rank() OVER (ORDER BY name, hazards) - 1 AS ix FROM (SELECT name, array_to_string(hazards, ',') AS hazards, count(*) AS n FROM net WHERE name IS NOT NULL GROUP BY ALL)")
+def intern_names(spark, sf_dir):
+    sets = _segments(spark, sf_dir).where("name IS NOT NULL").groupBy("name", F.array_join("hazards", ",").alias("hazards")).agg(F.count("*").alias("n"))
+    return sets.withColumn("ix", (F.dense_rank().over(W.orderBy("name", "hazards")) - 1).cast("long"))
+
+
+@query()
+def build_graph(spark, sf_dir):
+    return graph.build(_segments(spark, sf_dir)).edges.select("edge_id", "path_id", "kind", "from_node", "to_node", "length_m")
+
+
+@query()
+def bridged_graph_stats(spark, sf_dir):
+    return graph.stats(graph.build(_segments(spark, sf_dir)))
+
+
+@query(
+    f"WITH {RAW}, {EDGES}, "
+    "s AS (SELECT (SELECT count(*) FROM raw) AS segments, (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM edge) AS edges) SELECT *, 0 AS connectors FROM s"
+)
+def graph_stats(spark, sf_dir):
+    return graph.stats(_unbridged(spark, sf_dir)).select("segments", "nodes", "edges", C("connectors").cast("int").alias("connectors"))
+
+
+CLICKS = "clicks AS (SELECT id AS pid, lng_e7 AS p_lng, lat_e7 AS p_lat FROM pts)"
+
+
+@query(f"WITH {RAW}, {VERTICES}, {PIECES}, {POINTS}, {CLICKS}, {nearest_sql('clicks', 100)} SELECT pid AS point_id, id, CAST(piece AS INTEGER) AS piece, {base.half_up('t', 4)} AS t, {base.half_up('d', 2)} AS distance_m FROM best")
+def nearest_segment(spark, sf_dir):
+    p = network.points(spark, sf_dir).select(C("id").alias("point_id"), "lng_e7", "lat_e7")
+    n = snap.nearest(p, polylines.pieces(network.paths(spark, sf_dir)), 100.0)
+    return n.select("point_id", "id", "piece", half_up(C("t"), 4).alias("t"), half_up(C("distance_m"), 2).alias("distance_m"))
+
+
+KIND_PIECES = PIECES.replace("SELECT a.id,", "SELECT a.id, net.category,").replace("AND b.pos = a.pos + 1", "AND b.pos = a.pos + 1 JOIN net ON net.id = a.id")
+WANTED = f"category = list_extract([{base.strings(base.V.CATEGORIES)}], CAST(pid % 16 AS INTEGER) + 1)"
+
+
+@query(f"WITH {SEG}, {VERTICES}, {KIND_PIECES}, {POINTS}, {CLICKS}, {nearest_sql('clicks', 100, WANTED)} SELECT pid AS point_id, id, CAST(piece AS INTEGER) AS piece, {base.half_up('d', 2)} AS distance_m FROM best")
+def nearest_in_component(spark, sf_dir):
+    """Nearest segment of the class that each point asks for."""
+    wanted = F.element_at(F.array(*map(F.lit, base.V.CATEGORIES)), (C("id") % 16 + 1).cast("int"))
+    p = network.points(spark, sf_dir).select(C("id").alias("point_id"), "lng_e7", "lat_e7", wanted.alias("wanted"))
+    n = snap.nearest(p, polylines.pieces(network.paths(spark, sf_dir), "category"), 100.0, C("wanted") == C("category"))
+    return n.select("point_id", "id", "piece", half_up(C("distance_m"), 2).alias("distance_m"))
+
+
+@query(
+    f"WITH {RAW}, {VERTICES}, {PIECES}, {POINTS}, {CLICKS}, {nearest_sql('clicks', 100)}, c AS (SELECT r.id AS rid, {D1} AS d1, {LENGTH} AS len FROM raw r), "
+    f"w AS (SELECT pid, id, len, least(len, CASE piece WHEN 0 THEN d1 * t ELSE d1 + (len - d1) * t END) AS al, d FROM best JOIN c ON rid = id) SELECT pid AS point_id, id AS edge_id, {base.half_up('CASE WHEN al < 0.5 THEN 0 WHEN len - al < 0.5 THEN len ELSE al END', 2)} AS along_m, {base.half_up('d', 2)} AS distance_m FROM w"
+)
+def snap_points(spark, sf_dir):
+    p = network.points(spark, sf_dir).select(C("id").alias("point_id"), "lng_e7", "lat_e7")
+    edges = network.paths(spark, sf_dir).select(C("id").alias("edge_id"), "coordinates", F.element_at(geo.lengths(C("coordinates")), -1).alias("length_m"))
+    s = snap.snap(p, edges, 100.0)
+    return s.select("point_id", "edge_id", half_up(C("along_m"), 2).alias("along_m"), half_up(C("distance_m"), 2).alias("distance_m"))
