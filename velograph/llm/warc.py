@@ -3,7 +3,7 @@
 Writing: of pages with equal payloads of at least ``least`` bytes, the one with the smallest page_id becomes a response
 record and the others revisit records that refer to it; all smaller payloads are responses. Spark's text writer makes the
 files, with a record's closing CR LF CR LF as line separator, so its commit protocol covers lost executors. Every file is
-about ``file_bytes`` long.
+about ``file_bytes`` long before gzip, so a task reads one whole within bounds.
 
 Reading: a payload may hold anything, the record magic included. So a task emits every place in a file where a record could
 begin, with the offset at which its successor would begin by its own Content-Length; pointer jumping from the file's start
@@ -17,6 +17,7 @@ page_id and payload are records of one kind; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -35,15 +36,19 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHAIN = "file string, at long, next long, size long, page_id long, kind string, digest string, bytes long, refers_to long, payload binary, sound boolean"
 
 
-def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, record): each page's WARC record without its closing separator."""
+def records(pages: DataFrame, files: int, least: int = LEAST) -> DataFrame:
+    """(page_id, record): each page's WARC record without its closing separator, dealt to as many partitions as files."""
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha2(F.col("html").cast("binary"), 256)})
-    # copies of one payload are counted first and then join by digest and salt, so that no digest meets in one task
-    first = base.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    base = base.withColumn("place", F.xxhash64("page_id", "digest"))
+    # copies are found on digests alone: counted before they are shuffled, and joined by digest and salt, so that no digest
+    # meets in one task. Only then are the revisits matched with their pages, whose texts move once, to their files.
+    slim = base.where(F.col("bytes") >= least).select("page_id", "digest", "place")
+    first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("copies")
-    both = base.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(spread, ["digest", "salt"], "left")
-    refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
+    copies = slim.withColumn("salt", F.pmod("place", F.lit(SALTS)).cast("int")).join(spread, ["digest", "salt"])
+    revisits = copies.where(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).select("place", "digest", F.col("first").alias("refers")).distinct()
+    both = base.repartition(files, "place", "digest").join(revisits.repartition(files, "place", "digest"), ["place", "digest"], "left")
 
     def uid(page_id) -> F.Column:
         h = F.md5(F.concat(F.lit("page "), F.coalesce(page_id.cast("string"), F.lit(""))))
@@ -69,14 +74,13 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
         F.lit("\r\n" + HTTP),
         F.when(revisit, F.lit("")).otherwise(F.col("html")),
     )
-    return both.withColumn("refers", refers).select("page_id", head.alias("record"))
+    return both.select("page_id", head.alias("record"))
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> None:
     size = pages.agg(F.coalesce(F.sum(F.octet_length("html") + 600), F.lit(0)).alias("n")).first()["n"]
-    files = int(size // file_bytes) + 1
-    out = records(pages, least).repartition(files, F.xxhash64("page_id", "record"))
-    out.select(F.col("record").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    out = records(pages, int(size // file_bytes) + 1, least)
+    out.select(F.col("record").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 _START = re.compile(rb"WARC/1\.[01]\r\n")
@@ -100,6 +104,8 @@ def _candidates(batches):
     for batch in batches:
         for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             data = content.as_buffer().to_pybytes()
+            if data[:2] == b"\x1f\x8b":
+                data = gzip.decompress(data)
             rows = []
             for m in _START.finditer(data):
                 if (head := _header(data, m.start())) is None:
