@@ -1 +1,223 @@
+"""Costs, preferences, and what routes are made of."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..functions import vocab as V
+from ..functions.exprs import half_up
+from ..operators import cost, graph, planning
+from ..sources import network
+from . import base
+from .base import LENGTH, REQUESTS, ROUTES, SEG, case, query, strings
+
+C = F.col
+PROFILES = (V.PREFER_PATHS, V.SHORTEST)
+COMBINATIONS = [(p, s, a, b) for p in PROFILES for s in V.SURFACE_PENALTIES for a in (False, True) for b in (False, True)]
+
+
+def _priced(tables: dict) -> str:
+    h = f"list_reduce(list_prepend(1::DOUBLE, list_transform(hazards, lambda h: {case('h', tables['hazard'], '1::DOUBLE')})), lambda a, b: a * b)" if tables["hazard"] else "1::DOUBLE"
+    return f"({LENGTH}) * {case('category', tables['kind'])} * {h} * {case('surface_class', tables['surface'])}"
+
+
+def _segments(spark, sf_dir):
+    return network.segments(network.paths(spark, sf_dir)).withColumn("length_m", F.element_at(geo.lengths(C("coordinates")), -1))
+
+
+@query(f"WITH {SEG} SELECT id, {base.half_up(_priced(cost.effective(V.PREFER_PATHS)), 3)} AS prefer_paths, {base.half_up(_priced(cost.effective(V.SHORTEST)), 3)} AS shortest, {base.half_up(_priced(cost.effective(V.PREFER_PATHS, 'smooth_only', True, True)), 3)} AS smooth_quiet FROM net")
+def edge_cost(spark, sf_dir):
+    s = _segments(spark, sf_dir)
+    of = lambda *a: half_up(cost.edge_cost(C("length_m"), C("category"), C("hazards"), C("surface_class"), cost.effective(*a)), 3)
+    return s.select("id", of(V.PREFER_PATHS).alias("prefer_paths"), of(V.SHORTEST).alias("shortest"), of(V.PREFER_PATHS, "smooth_only", True, True).alias("smooth_quiet"))
+
+
+def _table_sql(rows: list[tuple], names: str) -> str:
+    show = lambda v: f"{float(v)!r}::DOUBLE" if isinstance(v, float) else str(v).lower() if isinstance(v, bool) else f"'{v}'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") t({names})"
+
+
+PROFILE_ROWS = [(p, w, k, float(v)) for p in PROFILES for w, t in (("kind", V.KIND_COSTS), ("hazard", V.HAZARD_COSTS), ("surface", V.SURFACE_COSTS)) for k, v in t[p].items()]
+
+
+@query(_table_sql(PROFILE_ROWS, "profile, what, name, multiplier"))
+def profiles_table(spark, sf_dir):
+    t = [(p, what, k, v) for p in PROFILES for what, table in cost.effective(p).items() for k, v in table.items()]
+    return spark.createDataFrame(t, "profile string, what string, name string, multiplier double")
+
+
+def _penalised_sql() -> str:
+    pen = [(s, k, float(f)) for s, t in V.SURFACE_PENALTIES.items() for k, f in t.items()]
+    return (
+        f"WITH m AS ({_table_sql(PROFILE_ROWS, 'profile, what, name, multiplier')}), p AS ({_table_sql(pen, 'surface, name, factor')}), "
+        "c AS (SELECT * FROM (VALUES ('any'), ('avoid_loose'), ('smooth_only')) s(surface), (VALUES (false), (true)) a(avoid_steps), (VALUES (false), (true)) b(avoid_busy)) "
+        "SELECT m.profile, c.surface, c.avoid_steps, c.avoid_busy, m.what, m.name, multiplier * CASE WHEN what = 'kind' THEN CASE WHEN avoid_steps AND m.name = 'steps' THEN 20::DOUBLE ELSE 1::DOUBLE END * "
+        "CASE WHEN avoid_busy AND m.name = 'busy_road' THEN 3::DOUBLE WHEN avoid_busy AND m.name = 'road' THEN 1.5::DOUBLE ELSE 1::DOUBLE END WHEN what = 'surface' THEN coalesce(factor, 1::DOUBLE) ELSE 1::DOUBLE END AS multiplier "
+        "FROM m CROSS JOIN c LEFT JOIN p ON what = 'surface' AND p.surface = c.surface AND p.name = m.name"
+    )
+
+
+@query(_penalised_sql())
+def effective_multipliers(spark, sf_dir):
+    t = [(p, s, a, b, what, k, v) for p, s, a, b in COMBINATIONS for what, table in cost.effective(p, s, a, b).items() for k, v in table.items()]
+    return spark.createDataFrame(t, "profile string, surface string, avoid_steps boolean, avoid_busy boolean, what string, name string, multiplier double")
+
+
+@query(
+    f"WITH m AS ({_penalised_sql()}) SELECT profile, surface, avoid_steps, avoid_busy, {base.half_up('min(multiplier) FILTER (what = ' + chr(39) + 'kind' + chr(39) + ') * min(multiplier) FILTER (what = ' + chr(39) + 'surface' + chr(39) + ')', 6)} AS least FROM m GROUP BY ALL"
+)
+def min_cost_per_meter(spark, sf_dir):
+    t = [(*c, cost.least_per_metre(cost.effective(*c))) for c in COMBINATIONS]
+    d = spark.createDataFrame(t, "profile string, surface string, avoid_steps boolean, avoid_busy boolean, least double")
+    return d.withColumn("least", half_up(C("least"), 6))
+
+
+@query(f"WITH {REQUESTS} SELECT request_id, 'surface=' || pref_surface || CASE WHEN avoid_steps THEN ',steps' ELSE '' END || CASE WHEN avoid_busy THEN ',busy_roads' ELSE '' END AS preferences FROM req")
+def preferences_key(spark, sf_dir):
+    return network.requests(spark, sf_dir).select("request_id", cost.preferences_key(C("pref_surface"), C("avoid_steps"), C("avoid_busy")).alias("preferences"))
+
+
+def travelled(spark, sf_dir):
+    """Lattice routes with attributes; lengths to the millimetre."""
+    s = _segments(spark, sf_dir).select("id", C("category").alias("kind"), "name", "surface_class", "surface_inferred", "smoothness", "hazards", half_up(C("length_m"), 3).alias("length_m"))
+    return network.lattice_routes(spark, sf_dir).join(s, "id")
+
+
+SUM = base.half_up("sum(length_m)", 3)
+
+
+def _sum(x=None):
+    return half_up(F.sum(C("length_m") if x is None else x), 3)
+
+
+@query(f"WITH {ROUTES} SELECT request_id, kind, {SUM} AS metres FROM redge GROUP BY ALL")
+def distance_by_kind(spark, sf_dir):
+    return travelled(spark, sf_dir).groupBy("request_id", "kind").agg(_sum().alias("metres"))
+
+
+@query(f"WITH {ROUTES} SELECT request_id, surface_class, {SUM} AS metres FROM redge GROUP BY ALL")
+def distance_by_surface(spark, sf_dir):
+    return travelled(spark, sf_dir).groupBy("request_id", "surface_class").agg(_sum().alias("metres"))
+
+
+@query(f"WITH {ROUTES} SELECT request_id, {base.half_up('sum(CASE WHEN surface_inferred THEN length_m ELSE 0 END)', 3)} AS metres FROM redge GROUP BY ALL")
+def inferred_surface_m(spark, sf_dir):
+    return travelled(spark, sf_dir).groupBy("request_id").agg(_sum(F.when(C("surface_inferred"), C("length_m")).otherwise(0.0)).alias("metres"))
+
+
+AVOIDED = {s: [k for k, f in t.items() if f >= 3 and k != "unknown"] for s, t in V.SURFACE_PENALTIES.items()}
+AVOIDED_SQL = "CASE pref_surface " + " ".join(f"WHEN '{s}' THEN surface_class IN ({strings(a)})" for s, a in AVOIDED.items() if a) + " ELSE false END"
+
+
+@query(f"WITH {ROUTES} SELECT request_id, {base.half_up('sum(CASE WHEN ' + AVOIDED_SQL + ' THEN length_m ELSE 0 END)', 3)} AS metres FROM redge JOIN req USING (request_id) GROUP BY ALL")
+def avoided_surface_m(spark, sf_dir):
+    r = travelled(spark, sf_dir).join(network.requests(spark, sf_dir).select("request_id", "pref_surface"), "request_id")
+    bad = F.lit(False)
+    for s in V.SURFACE_PENALTIES:
+        if names := cost.avoided(s):
+            bad = bad | ((C("pref_surface") == s) & C("surface_class").isin(*names))
+    return r.groupBy("request_id").agg(_sum(F.when(bad, C("length_m")).otherwise(0.0)).alias("metres"))
+
+
+def islands_sql(keys: list[str]) -> str:
+    same = " AND ".join(f"{k} IS NOT DISTINCT FROM lag({k}) OVER w" for k in keys)
+    return f"isl AS (SELECT *, CAST(sum(new) OVER (PARTITION BY request_id ORDER BY seq) AS BIGINT) AS island FROM (SELECT *, CASE WHEN {same} AND lag(seq) OVER w IS NOT NULL THEN 0 ELSE 1 END AS new FROM redge WINDOW w AS (PARTITION BY request_id ORDER BY seq)))"
+
+
+@query(f"WITH {ROUTES}, {islands_sql(['kind', 'name'])} SELECT request_id, island, any_value(kind) AS kind, max(name) AS name, {SUM} AS length_m FROM isl GROUP BY request_id, island")
+def route_legs(spark, sf_dir):
+    return planning.legs(travelled(spark, sf_dir)).withColumn("length_m", half_up(C("length_m"), 3))
+
+
+STRETCHES = f"{ROUTES}, {islands_sql(planning.STRETCH)}, stretch AS (SELECT request_id, island, any_value(kind) AS kind, any_value(surface_class) AS surface_class, any_value(surface_inferred) AS surface_inferred, max(smoothness) AS smoothness, any_value(hazards) AS hazards, sum(length_m) AS length_m FROM isl GROUP BY request_id, island)"
+
+
+@query(f"WITH {STRETCHES} SELECT request_id, island, kind, surface_class, surface_inferred, smoothness, array_to_string(hazards, ',') AS hazards, {base.half_up('length_m', 3)} AS length_m FROM stretch")
+def route_stretches(spark, sf_dir):
+    return planning.stretches(travelled(spark, sf_dir)).withColumns({"length_m": half_up(C("length_m"), 3), "hazards": F.array_join("hazards", ",")})
+
+
+@query(f"WITH {ROUTES}, k AS (SELECT request_id, kind, sum(length_m) AS m FROM redge GROUP BY ALL) SELECT request_id, kind, {base.half_up('m', 3)} AS metres, {base.half_up('100 * m / sum(m) OVER (PARTITION BY request_id)', 4)} AS percent, CAST(row_number() OVER (PARTITION BY request_id ORDER BY {base.half_up('m', 3)} DESC, kind) AS INTEGER) AS place FROM k")
+def breakdown_share(spark, sf_dir):
+    k = travelled(spark, sf_dir).groupBy("request_id", "kind").agg(F.sum("length_m").alias("m"))
+    per = W.partitionBy("request_id")
+    return k.select("request_id", "kind", half_up(C("m"), 3).alias("metres"), half_up(100 * C("m") / F.sum("m").over(per), 4).alias("percent"), F.row_number().over(per.orderBy(half_up(C("m"), 3).desc(), "kind")).alias("place"))
+
+
+@query(f"WITH {ROUTES}, k AS (SELECT request_id, kind, sum(length_m) AS m FROM redge GROUP BY ALL), t AS (SELECT request_id, arg_max(kind, round(m, 3) * 100 - list_position([{strings(V.KINDS)}], kind) * 0.0001) AS kind, max(m) / sum(m) AS share FROM k GROUP BY request_id) SELECT request_id, kind, CASE WHEN share >= 0.99 THEN 'All' ELSE 'Mostly' END AS label FROM t")
+def dominant_kind(spark, sf_dir):
+    k = travelled(spark, sf_dir).groupBy("request_id", "kind").agg(F.sum("length_m").alias("m"))
+    place = F.array_position(F.array(*map(F.lit, V.KINDS)), C("kind"))
+    t = k.groupBy("request_id").agg(F.max_by("kind", F.struct(F.round("m", 3), -place)).alias("kind"), (F.max("m") / F.sum("m")).alias("share"))
+    return t.select("request_id", "kind", F.when(C("share") >= 0.99, "All").otherwise("Mostly").alias("label"))
+
+
+@query(f"WITH {ROUTES}, t AS (SELECT request_id, sum(length_m) AS m, sum(CASE WHEN {AVOIDED_SQL} THEN length_m ELSE 0 END) AS bad, sum(CASE WHEN surface_inferred THEN length_m ELSE 0 END) AS inf, any_value(pref_surface) AS p FROM redge JOIN req USING (request_id) GROUP BY request_id) SELECT request_id, bad >= 10 AS avoided_surface, inf / m >= 0.05 AS inferred_surface, request_id % 60 > 25 AS far_snap, p = 'any' AND request_id % 2 = 0 AS suggest_smooth FROM t")
+def route_alerts(spark, sf_dir):
+    r = travelled(spark, sf_dir).join(network.requests(spark, sf_dir).select("request_id", "pref_surface"), "request_id")
+    bad = F.lit(False)
+    for s in V.SURFACE_PENALTIES:
+        if names := cost.avoided(s):
+            bad = bad | ((C("pref_surface") == s) & C("surface_class").isin(*names))
+    t = r.groupBy("request_id").agg(F.sum("length_m").alias("m"), F.sum(F.when(bad, C("length_m")).otherwise(0.0)).alias("bad"), F.sum(F.when(C("surface_inferred"), C("length_m")).otherwise(0.0)).alias("inf"), F.first("pref_surface").alias("p"))
+    snap_m, walking = C("request_id") % 60, C("request_id") % 2 == 0
+    return t.select("request_id", (C("bad") >= 10).alias("avoided_surface"), (C("inf") / C("m") >= 0.05).alias("inferred_surface"), (snap_m > 25).alias("far_snap"), ((C("p") == "any") & walking).alias("suggest_smooth"))
+
+
+@query(f"WITH {ROUTES} SELECT request_id, printf('%.2f km', floor(sum(length_m) / 10 + 0.5) / 100) AS text FROM redge GROUP BY request_id")
+def format_distance(spark, sf_dir):
+    t = travelled(spark, sf_dir).groupBy("request_id").agg(F.floor(F.sum("length_m") / 10 + 0.5).alias("h"))
+    return t.select("request_id", F.concat((F.floor(C("h") / 100)).cast("string"), F.lit("."), F.lpad((C("h") % 100).cast("string"), 2, "0"), F.lit(" km")).alias("text"))
+
+
+def _ends(spark, sf_dir, limit: int | None = None):
+    """Requests as points a little off the lattice."""
+    r = network.requests(spark, sf_dir)
+    at = lambda v, o: (F.lit(o) + C(v) * 10_000).cast("long")
+    r = r.select("request_id", (at("x0", 1449000000) + 120).alias("s_lng"), (at("y0", -385000000) + 80).alias("s_lat"), (at("x0", 1449000000) + C("dx") * 10_000 - 90).alias("e_lng"), (at("y0", -385000000) + C("dy") * 10_000 + 60).alias("e_lat"))
+    return r.where(C("request_id") <= limit) if limit else r
+
+
+def _plans(spark, sf_dir, **options):
+    g = graph.build(network.segments(network.paths(spark, sf_dir)))
+    return g, planning.plan(g, _ends(spark, sf_dir), **options)
+
+
+@query()
+def plan_routes(spark, sf_dir):
+    _, p = _plans(spark, sf_dir)
+    return p.select("request_id", "status", half_up(C("cost"), 3).alias("cost"), F.size("edges").alias("edges"))
+
+
+@query()
+def plan_status(spark, sf_dir):
+    return _plans(spark, sf_dir, max_m=3.0)[1].groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query()
+def snap_preferring(spark, sf_dir):
+    _, p = _plans(spark, sf_dir, surface="smooth_only")
+    return p.select("request_id", "status", half_up(C("start.distance_m"), 2).alias("start_m"), half_up(C("end.distance_m"), 2).alias("end_m"))
+
+
+@query()
+def connected_snap(spark, sf_dir):
+    """Snaps on a network of many components; requests that have to move to meet."""
+    few = network.segments(network.paths(spark, sf_dir).where("dir < 2 AND (k * 31 + dir * 17) % 10 < 5"))
+    g = graph.build(few, tolerance_m=0)
+    p = planning.plan(g, _ends(spark, sf_dir))
+    return p.select("request_id", "status", C("start.edge_id").alias("start_edge"), C("end.edge_id").alias("end_edge"))
+
+
+@query()
+def route_query(spark, sf_dir):
+    """Whole answers: distance, cost, legs and stretches as JSON."""
+    g, p = _plans(spark, sf_dir)
+    route = planning.route_edges(p, g)
+    s = planning.stretches(route)
+    per = s.groupBy("request_id").agg(half_up(F.sum("length_m"), 1).alias("distance_m"), F.to_json(F.array_sort(F.collect_list(F.struct("island", "kind", "surface_class", half_up(C("length_m"), 1).alias("length_m"))))).alias("stretches"))
+    return p.select("request_id", "status", half_up(C("cost"), 1).alias("cost")).join(per, "request_id", "left")
+
 

@@ -1 +1,186 @@
+"""Tiles, coverage, places, request checks and client-side values."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..functions import vocab as V
+from ..functions.exprs import half_up
+from ..operators import graph, polylines, serving, snap
+from ..sources import network
+from . import base
+from .base import PLACES, POINTS, SEG, query, strings
+from .domain import TILE_CLASS
+from .geometry import PIECES, RAW, VERTICES
+from .graph import CLICKS, EDGES, nearest_sql
+
+C = F.col
+ZOOM, OVERVIEW = 14, 10
+
+
+def _merc(p: str) -> tuple[str, str]:
+    return f"6378137::DOUBLE * radians({base.deg(p + '_lng')})", f"6378137::DOUBLE * ln(tan(0.7853981633974483::DOUBLE + radians({base.deg(p + '_lat')}) / 2))"
+
+
+def _tiles_sql(zoom: int, where: str) -> str:
+    side, half = f"({geo.WORLD_M!r}::DOUBLE / {2**zoom})", f"{geo.WORLD_M / 2!r}::DOUBLE"
+    xs, ys = (", ".join(_merc(p)[i] for p in "amb") for i in (0, 1))
+    cell = lambda e: f"CAST(floor({e} / {side}) AS BIGINT)"
+    return (
+        f"bx AS (SELECT *, least({xs}) AS min_x, greatest({xs}) AS max_x, least({ys}) AS min_y, greatest({ys}) AS max_y FROM seg WHERE {where}), "
+        f"tx AS (SELECT *, unnest(range({cell(f'(min_x + {half})')}, {cell(f'(max_x + {half})')} + 1)) AS tx FROM bx), txy AS (SELECT *, unnest(range({cell(f'({half} - max_y)')}, {cell(f'({half} - min_y)')} + 1)) AS ty FROM tx)"
+    )
+
+
+@query(
+    f"WITH {SEG}, {_tiles_sql(ZOOM, 'true')} SELECT {ZOOM} AS z, tx, ty, id, osm_id, source, name, category, raw_surface AS surface, array_to_string(hazards, ',') AS hazards, {TILE_CLASS} AS surface_class, "
+    f"raw_surface IS NULL AND {base.sealed('category', 'sidewalk')} AS surface_inferred FROM txy"
+)
+def detail_tile(spark, sf_dir):
+    return serving.detail_features(network.paths(spark, sf_dir), ZOOM).drop("xy")
+
+
+@query(f"WITH {SEG}, {_tiles_sql(OVERVIEW, chr(115) + 'ource = ' + chr(39) + 'vic_dtp_bin' + chr(39))} SELECT {OVERVIEW} AS z, tx, ty, category, {TILE_CLASS} AS surface_class, count(*) AS paths FROM txy GROUP BY ALL")
+def overview_tile(spark, sf_dir):
+    return serving.overview_features(network.paths(spark, sf_dir), OVERVIEW)
+
+
+@query(f"WITH {SEG}, {_tiles_sql(12, 'true')} SELECT tx, ty, count(*) AS paths FROM txy GROUP BY tx, ty")
+def tile_bbox_join(spark, sf_dir):
+    return serving.in_tiles(serving.tile_boxes(network.paths(spark, sf_dir)), 12).groupBy("tx", "ty").agg(F.count("*").alias("paths"))
+
+
+@query()
+def tile_geom(spark, sf_dir):
+    return serving.tile_geometry(serving.detail_features(network.paths(spark, sf_dir), ZOOM))
+
+
+#: Points in loose groups, so that clusters are many.
+SPREAD = "sp AS (SELECT id, lng_e7 + (id % 23) * 2000000 AS p_lng, lat_e7 + (id % 7) * 3000000 AS p_lat FROM pts WHERE id % 5 = 0)"
+
+
+def _spread(spark, sf_dir):
+    return network.points(spark, sf_dir).where("id % 5 = 0").select("id", (C("lng_e7") + (C("id") % 23) * 2_000_000).alias("lng_e7"), (C("lat_e7") + (C("id") % 7) * 3_000_000).alias("lat_e7"))
+
+
+_LINK = base.haversine("a.p_lng / 1e7", "a.p_lat / 1e7", "b.p_lng / 1e7", "b.p_lat / 1e7")
+
+
+@query(
+    f"WITH RECURSIVE {POINTS}, {SPREAD}, c AS (SELECT *, p_lng // 1000000 AS cx, CAST(floor(p_lat / 1000000) AS BIGINT) AS cy FROM sp), n AS (SELECT *, cx + unnest([-1, 0, 1]) AS nx FROM c), nn AS (SELECT *, cy + unnest([-1, 0, 1]) AS ny FROM n), "
+    f"l AS (SELECT a.id AS a, b.id AS b FROM nn a JOIN c b ON a.nx = b.cx AND a.ny = b.cy WHERE a.id <> b.id AND {_LINK} <= 3000), "
+    "r AS (SELECT id AS node, id AS seen FROM sp UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a) SELECT node AS id, min(seen) AS cluster FROM r GROUP BY node"
+)
+def cluster_dbscan(spark, sf_dir):
+    return serving.clusters(_spread(spark, sf_dir), 3000.0)
+
+
+@query()
+def coverage_areas(spark, sf_dir):
+    return serving.coverage(_spread(spark, sf_dir), 3000.0)
+
+
+@query()
+def within_coverage(spark, sf_dir):
+    hull = serving.coverage(_spread(spark, sf_dir).where("id % 3 = 0"), 3000.0)
+    return serving.within_coverage(network.points(spark, sf_dir), hull)
+
+
+ADDRESS = "CASE WHEN nullif(street, '') IS NOT NULL THEN concat_ws(' ', nullif(housenumber, ''), street) END"
+PLACE = (
+    f"pl AS (SELECT place_id, CASE WHEN named THEN name END AS own, {ADDRESS} AS address, coalesce(locality, district, city) AS suburb, postcode, osm_key, osm_value, lng_e7, lat_e7 FROM place WHERE state = 'Victoria'), "
+    "pn AS (SELECT *, coalesce(own, address, suburb) AS label FROM pl), pd AS (SELECT *, concat_ws(', ', CASE WHEN own IS NOT NULL THEN address END, CASE WHEN suburb <> label THEN suburb END) AS parts FROM pn), "
+    "pf AS (SELECT place_id, label AS name, nullif(concat_ws(' ', nullif(parts, ''), postcode), '') AS detail, coalesce(osm_key, '?') || '=' || coalesce(osm_value, '?') AS category, lng_e7, lat_e7 FROM pd WHERE label IS NOT NULL)"
+)
+
+
+@query(f"WITH {PLACES}, {PLACE} SELECT * FROM pf")
+def place_from_feature(spark, sf_dir):
+    return serving.place_of(network.places(spark, sf_dir))
+
+
+SHOWN = f"category NOT IN ({strings(V.EXCLUDED_PLACES)}) AND category NOT LIKE 'public_transport=%'"
+
+
+def _shown(places):
+    return places.where(~C("category").isin(*V.EXCLUDED_PLACES) & ~C("category").startswith("public_transport="))
+
+
+@query(
+    f"WITH {PLACES}, {PLACE}, q AS (SELECT n_nationkey AS query_id, lower(substr(n_name, 1, 3)) AS term FROM nation), f AS (SELECT query_id, pf.* FROM q JOIN pf ON contains(lower(coalesce(detail, '')), term) WHERE {SHOWN}), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY query_id, name, detail ORDER BY place_id) AS n FROM f), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place_id) AS INTEGER) AS rank FROM o WHERE n = 1) SELECT query_id, rank, place_id, name, detail FROM r WHERE rank <= 6"
+)
+def geocode_search(spark, sf_dir):
+    """Terms against the places' details; a query set small enough to check is broadcast, a larger one is planned by Spark."""
+    q = spark.read.parquet(f"{sf_dir}/nation.parquet").select(C("n_nationkey").alias("query_id"), F.lower(F.substring("n_name", 1, 3)).alias("term"))
+    places = _shown(serving.place_of(network.places(spark, sf_dir)))
+    hits = places.join(q, F.contains(F.lower(F.coalesce("detail", F.lit(""))), C("term")))
+    return serving.first_by_label(hits, "query_id", [C("place_id")], 6).select("query_id", "rank", "place_id", "name", "detail")
+
+
+@query(f"WITH {PLACES}, {PLACE}, o AS (SELECT *, row_number() OVER (PARTITION BY place_id % 10, name, detail ORDER BY place_id) AS n FROM pf) SELECT place_id % 10 AS query_id, CAST(row_number() OVER (PARTITION BY place_id % 10 ORDER BY place_id) AS INTEGER) AS rank, place_id FROM o WHERE n = 1 QUALIFY rank <= 6")
+def dedupe_places(spark, sf_dir):
+    p = serving.place_of(network.places(spark, sf_dir)).withColumn("query_id", C("place_id") % 10)
+    return serving.first_by_label(p, "query_id", [C("place_id")], 6).select("query_id", "rank", "place_id")
+
+
+NAMED = PIECES.replace("SELECT a.id,", "SELECT a.id, raw.name,").replace("AND b.pos = a.pos + 1", "AND b.pos = a.pos + 1 JOIN raw ON raw.id = a.id WHERE raw.name IS NOT NULL").replace("FROM vtx a JOIN", "FROM vtx a JOIN")
+
+
+@query(f"WITH {RAW}, {VERTICES}, {NAMED}, {POINTS}, {CLICKS}, {nearest_sql('clicks', 100).replace('p_lat, id, piece,', 'p_lat, id, name, piece,')} SELECT pid AS point_id, name, {base.half_up('d', 2)} AS distance_m FROM best")
+def geocode_reverse(spark, sf_dir):
+    p = network.points(spark, sf_dir).select(C("id").alias("point_id"), "lng_e7", "lat_e7")
+    paths = network.paths(spark, sf_dir).where("name IS NOT NULL")
+    n = snap.nearest(p, polylines.pieces(paths), 100.0)
+    return n.join(paths.select("id", "name"), "id").select("point_id", "name", half_up(C("distance_m"), 2).alias("distance_m"))
+
+
+@query("SELECT item_id, CASE WHEN length(trim(substr(text, 1, CAST(item_id % 140 AS INTEGER)))) BETWEEN 2 AND 120 THEN 'OK' ELSE 'VALIDATION_ERROR' END AS status FROM benchmark")
+def geocode_status(spark, sf_dir):
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    q = F.length(F.trim(F.substring(C("text"), F.lit(1), (C("item_id") % 140).cast("int"))))
+    return b.select("item_id", F.when(q.between(2, 120), "OK").otherwise("VALIDATION_ERROR").alias("status"))
+
+
+@query(
+    f"WITH {POINTS}, p AS (SELECT id, CASE WHEN id % 11 = 0 THEN NULL WHEN id % 5 = 0 THEN {base.deg('lat_e7')} ELSE {base.deg('lng_e7')} END AS lng, CASE WHEN id % 5 = 0 THEN {base.deg('lng_e7')} WHEN id % 7 = 0 THEN {base.deg('lat_e7')} + 10 ELSE {base.deg('lat_e7')} END AS lat FROM pts) "
+    "SELECT id, CASE WHEN lng IS NULL OR lat IS NULL THEN 'INVALID_REQUEST' WHEN lng BETWEEN 140.9::DOUBLE AND 150.1::DOUBLE AND lat BETWEEN -39.3::DOUBLE AND -33.9::DOUBLE THEN 'OK' WHEN lat BETWEEN 140.9::DOUBLE AND 150.1::DOUBLE AND lng BETWEEN -39.3::DOUBLE AND -33.9::DOUBLE THEN 'SWAPPED' ELSE 'OUTSIDE_REGION' END AS status FROM p"
+)
+def validate_request(spark, sf_dir):
+    lng, lat = geo.degrees(C("lng_e7")), geo.degrees(C("lat_e7"))
+    p = network.points(spark, sf_dir).select("id", F.when(C("id") % 11 == 0, None).when(C("id") % 5 == 0, lat).otherwise(lng).alias("lng"), F.when(C("id") % 5 == 0, lng).when(C("id") % 7 == 0, lat + 10).otherwise(lat).alias("lat"))
+    return p.select("id", serving.request_status(C("lng"), C("lat")).alias("status"))
+
+
+@query("SELECT code, status FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in serving.HTTP_STATUS.items()) + ") t(code, status)")
+def error_status(spark, sf_dir):
+    return spark.createDataFrame(list(serving.HTTP_STATUS.items()), "code string, status int")
+
+
+@query(f"WITH {RAW}, {EDGES} SELECT (SELECT max(o_orderkey) FROM orders) AS import_id, (SELECT count(*) FROM raw) AS segments, (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM edge) AS edges, 'ready' AS status")
+def network_info(spark, sf_dir):
+    g = graph.build(network.segments(network.paths(spark, sf_dir)), tolerance_m=0)
+    latest = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.max("o_orderkey").alias("import_id"))
+    s = latest.join(graph.stats(g).select("segments", "nodes", "edges"))
+    return s.withColumn("status", F.when(C("segments") > 0, "ready").otherwise("empty"))
+
+
+@query(f"WITH {PLACES}, {PLACE} SELECT place_id, regexp_replace(coalesce(detail, ''), '\\s*\\d{{4}}$', '') AS detail, 'Near ' || name || CASE WHEN detail IS NOT NULL THEN ', ' || detail ELSE '' END AS near FROM pf")
+def place_labels(spark, sf_dir):
+    p = serving.place_of(network.places(spark, sf_dir))
+    near = F.concat(F.lit("Near "), "name", F.when(C("detail").isNotNull(), F.concat(F.lit(", "), "detail")).otherwise(""))
+    return p.select("place_id", F.regexp_replace(F.coalesce("detail", F.lit("")), r"\s*\d{4}$", "").alias("detail"), near.alias("near"))
+
+
+STORED = "CASE event_id % 6 WHEN 0 THEN '{\"surface\":\"avoid_loose\",\"avoidSteps\":true}' WHEN 1 THEN '{\"surface\":\"velvet\",\"avoidBusyRoads\":true}' WHEN 2 THEN 'not json' WHEN 3 THEN '{\"surface\":\"smooth_only\"}' WHEN 4 THEN '{}' END"
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'avoid_loose' WHEN 3 THEN 'smooth_only' ELSE 'any' END AS surface, event_id % 6 = 0 AS avoid_steps, event_id % 6 = 1 AS avoid_busy FROM events")
+def sanitise_preferences(spark, sf_dir):
+    p = F.from_json("stored", "surface string, avoidSteps boolean, avoidBusyRoads boolean")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(STORED).alias("stored")).select("event_id", p.alias("p"))
+    known = F.when(C("p.surface").isin(*V.SURFACE_PENALTIES), C("p.surface")).otherwise("any")
+    return e.select("event_id", known.alias("surface"), F.coalesce("p.avoidSteps", F.lit(False)).alias("avoid_steps"), F.coalesce("p.avoidBusyRoads", F.lit(False)).alias("avoid_busy"))
+
 
