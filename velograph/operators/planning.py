@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..runtime import materialise
 from . import cost, polylines
 from .graph import Graph
 from .snap import MAX_SNAP_M, snap, snap_preferring
@@ -61,11 +62,14 @@ class Arcs:
 def _best_pair(g: Graph, points: DataFrame, snaps: DataFrame, max_m: float) -> DataFrame:
     """Start and end snaps in one component: as they are, or the pair of least total distance among three choices."""
     part = g.edges.select("edge_id", "from_node").join(g.components, F.col("from_node") == F.col("node_id")).select("edge_id", "component")
-    s = snaps.join(part, "edge_id")
+    s = materialise(snaps.join(part, "edge_id"))
     sides = [s.where(F.col("point_id").endswith(t)).select(F.expr("left(point_id, length(point_id) - 2)").alias("request_id"), F.struct("edge_id", "along_m", "lng", "lat", "distance_m", "length_m").alias(n), F.col("component").alias(f"c_{n}")) for t, n in ((":s", "start"), (":e", "end"))]
     both = sides[0].join(sides[1], "request_id")
     fine = both.where("c_start = c_end").select("request_id", "start", "end")
     apart = both.where("c_start <> c_end")
+    if apart.isEmpty():
+        return fine
+    apart = materialise(apart)
     main = g.components.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "component").limit(1).select(F.col("component").alias("main"))
     edges = g.edges.join(part, "edge_id")
     apart = apart.crossJoin(F.broadcast(main))  # one row
@@ -74,6 +78,7 @@ def _best_pair(g: Graph, points: DataFrame, snaps: DataFrame, max_m: float) -> D
     for name, component, suffix in tries:
         w = apart.select(F.concat("request_id", F.lit(suffix)).alias("orig"), F.concat("request_id", F.lit(f":{name}")).alias("point_id"), component.alias("wanted"))
         wanted = w if wanted is None else wanted.unionByName(w)
+    edges = materialise(edges)
     again = points.select(F.col("point_id").alias("orig"), "lng_e7", "lat_e7").join(wanted, "orig").drop("orig")
     hits = snap(again, edges, max_m, F.col("component") == F.col("wanted"), keep=("component",))
     hit = F.struct("edge_id", "along_m", "lng", "lat", "distance_m", "length_m")
@@ -103,8 +108,9 @@ def plan(g: Graph, requests: DataFrame, profile: str = V.PREFER_PATHS, surface:
     rid = F.col("request_id").cast("string")
     points = requests.select(rid.alias("r"), F.explode(F.array(*(F.struct(F.lit(t).alias("side"), F.col(f"{p}_lng").alias("lng_e7"), F.col(f"{p}_lat").alias("lat_e7")) for t, p in ((":s", "s"), (":e", "e"))))).alias("p"))
     points = points.select(F.concat("r", "p.side").alias("point_id"), "p.lng_e7", "p.lat_e7", bad.alias("avoid"))
-    snaps = snap_preferring(points, g.edges, max_m)
-    pairs = _best_pair(g, points, snaps, max_m)
+    # stored step by step: the steps refer to each other many times, and a plan of their copies would be vast
+    snaps = materialise(snap_preferring(points, g.edges, max_m))
+    pairs = materialise(_best_pair(g, points, snaps, max_m))
 
     priced = g.edges.select("edge_id", "from_node", "to_node", "length_m", cost.edge_cost(F.col("length_m"), F.col("kind"), F.col("hazards"), F.col("surface_class"), tables).alias("cost"))
     if priced.count() > BROADCAST_EDGES:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..runtime import materialise
 from . import polylines
 
 #: Metres within which a snap moves to the end of its edge; extra reach for a surface that isn't avoided.
@@ -60,10 +61,12 @@ def snap(points: DataFrame, edges: DataFrame, max_m: float = MAX_SNAP_M, accept:
 def snap_preferring(points: DataFrame, edges: DataFrame, max_m: float = MAX_SNAP_M) -> DataFrame:
     """Like ``snap``, but a point whose nearest edge has one of its ``avoid`` surfaces goes to another edge, if one lies
     at most max(75 m, the way out of that edge) farther."""
-    first = snap(points, edges, max_m)
+    first = materialise(snap(points, edges, max_m))
     surface = edges.select("edge_id", "surface_class")
     bad = first.join(surface, "edge_id").join(points.select("point_id", "avoid"), "point_id").where(F.expr("array_contains(avoid, surface_class)"))
     exit_m = F.least("along_m", F.col("length_m") - F.col("along_m"))
+    if bad.isEmpty():
+        return first
     again = bad.select("point_id", F.least(F.lit(max_m), F.col("distance_m") + F.greatest(F.lit(EXTRA_M), exit_m)).alias("own_reach"))
     second = snap(points.join(again, "point_id"), edges, max_m, ~F.expr("array_contains(avoid, surface_class)"), F.col("own_reach"), ("surface_class",))
     return first.join(second, "point_id", "left_anti").unionByName(second)
