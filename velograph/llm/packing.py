@@ -11,8 +11,9 @@ on its own; an empty table gives an empty result; a null doc_id is kept as null;
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,81 +21,208 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise
+from .text import Chunk, Powers, chunks, mix
 
 CAPACITY, SEGMENTS, LOSS, END_ID = 2048, 256, 2048, 1
-#: Ids that meet in one task; entries that a worker's word cache holds.
-GROUP_IDS, CACHE = 4_000_000, 500_000
+#: Ids that meet in one task; bytes of text that are tokenised together; a rank that no merge has.
+GROUP_IDS, TOKEN_CHUNK, NEVER = 4_000_000, 4 << 20, np.int32(2**31 - 1)
+#: Two independent hashes of byte runs.
+HASHES = [(Powers(0xD6E8FEB86659FD93), mix(np.arange(256, dtype=np.uint64), 21)), (Powers(0xE7037ED1A0B428DB), mix(np.arange(256, dtype=np.uint64), 22))]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long"
 
 
-class WordTokenizer:
-    """Ids of a text by a tokenizer that never merges across white space, with a bounded cache of words.
+class BatchTokenizer:
+    """Ids of many texts at once, for a byte-pair tokenizer that lower-cases, drops white space and marks word ends.
 
-    Words of plain letters, digits and signs are cut as the tokenizer's own pattern does, and all unseen parts are
-    encoded in one call: the end-of-word marks tell where each part's ids end. Any other word is encoded by itself.
+    A chunk's words are cut into parts (letters, single digits, signs) as the tokenizer's pattern does, distinct parts are
+    merged together as rows of a matrix, and every text's ids are gathered from theirs. Words with other characters than
+    ASCII and Latin-1 letters, or that the pattern treats specially, are encoded one by one by the tokenizer itself.
     """
 
-    plain = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
-    parts = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+").findall
-    gaps = re.compile(r"[ \t\n\r]+")
+    LONGEST = 32
+    BORDERS = (2, 4, 6, 8, 11, 16, LONGEST)
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        vocabulary = self.own.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, i in vocabulary.items():
-            self.ends[i] = token.endswith("</w>")
-        self.limit, self.words, self.pieces = cache, {}, {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, new: set[str]) -> None:
-        known, words = self.pieces, self.words
-        simple = [(w, self.parts(w.lower())) for w in new if self.plain(w) and "<|" not in w]
-        unseen = list({p for _, q in simple for p in q} - known.keys())
-        if unseen:
-            ids = self._encode(" ".join(unseen))
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(stops) == len(unseen):
-                raw = ids.tobytes()
-                known.update((p, raw[a:b]) for p, a, b in zip(unseen, [0, *stops[:-1]], stops, strict=True))
-            else:
-                known.update((p, self._encode(p).tobytes()) for p in unseen)
-        for w, q in simple:
-            words[w] = known[q[0]] if len(q) == 1 else b"".join([known[p] for p in q])
-        for w in new - words.keys():
-            words[w] = self._encode(w).tobytes()
-
-    def raw(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit values."""
-        split = [[w for w in self.gaps.split(t) if w] if t else [] for t in texts]
-        if len(self.words) > self.limit or len(self.pieces) > self.limit:
-            self.words, self.pieces = {}, {}
-        self._learn(set().union(*split) - self.words.keys())
-        get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-
-def _pieces(path: str, capacity: int, end_id: int, rows: int = 128):
+        model = json.loads(self.own.to_str())["model"]
+        vocabulary, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        letters = _byte_letters()
+        self.base = np.array([vocabulary.get(c, -1) for c in letters], np.int32)
+        self.last = np.array([vocabulary.get(c + "</w>", -1) for c in letters], np.int32)
+        self.width = max(vocabulary.values()) + 1
+        self.merged = np.array([vocabulary[a + b] for a, b in merges], np.int32)
+        keys = np.array([vocabulary[a] * self.width + vocabulary[b] for a, b in merges], np.int64)
+        self.slots, self.ranks = np.full(1 << 19, -1, np.int64), np.full(1 << 19, NEVER, np.int32)
+        self.probes = 1
+        for rank, (key, slot) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
+            n = 1
+            while self.slots[slot] >= 0:
+                slot, n = (slot + 1) & (len(self.slots) - 1), n + 1
+            self.slots[slot], self.ranks[slot] = key, rank
+            self.probes = max(self.probes, n)
+        self.kind = np.zeros(256, np.int8)  # 1 letters, 2 digits, 3 signs, 0 white space, 4 anything else
+        self.kind[:] = 4
+        self.kind[[9, 10, 11, 12, 13, 32]] = 0
+        self.kind[33:127] = 3
+        self.kind[48:58] = 2
+        self.kind[97:123] = self.kind[65:91] = 1
+        self.kind[ord("'")] = 4
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * self.width + b
+        slot = self._slot(key)
+        out = np.where(self.slots[slot] == key, self.ranks[slot], NEVER)
+        for _ in range(self.probes - 1):
+            slot = (slot + 1) & (len(self.slots) - 1)
+            hit = self.slots[slot] == key
+            out[hit] = self.ranks[slot[hit]]
+        return out
+
+    def _merge(self, symbols: np.ndarray) -> np.ndarray:
+        """Rows of symbols (-1 after their end), merged by least rank and then from the left."""
+        out = np.full(symbols.shape, -1, np.int32)
+        rows = np.arange(len(symbols))
+        m = symbols
+        r = np.where(m[:, 1:] >= 0, self._rank(m[:, :-1], np.maximum(m[:, 1:], 0)), NEVER).astype(np.int32)
+        at_m, at_r = np.arange(m.shape[1]), np.arange(r.shape[1])
+        while len(rows):
+            j = r.argmin(1)
+            n = np.arange(len(rows))
+            least = r[n, j]
+            done = least == NEVER
+            if done.any():
+                out[rows[done]] = m[done]
+                live = ~done
+                rows, m, r, j, least = rows[live], m[live], r[live], j[live], least[live]
+                n = np.arange(len(rows))
+                if not len(rows):
+                    break
+            new = self.merged[least]
+            m = np.take_along_axis(m, np.minimum(at_m + (at_m > j[:, None]), m.shape[1] - 1), 1)
+            m[n, j], m[:, -1] = new, -1
+            r = np.take_along_axis(r, np.minimum(at_r + (at_r > j[:, None]), r.shape[1] - 1), 1)
+            r[:, -1] = NEVER
+            after = m[n, np.minimum(j + 1, m.shape[1] - 1)]
+            right = np.where(after >= 0, self._rank(new, np.maximum(after, 0)), NEVER)
+            inside = j < r.shape[1]
+            r[n[inside], j[inside]] = right[inside]
+            left = j > 0
+            r[n[left], j[left] - 1] = self._rank(m[n[left], j[left] - 1], new[left])
+        return out
+
+    def _parts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of each) of parts of the bytes; those ``alone`` go to the tokenizer as they are."""
+        size = end - start
+        alone = alone | (size > self.LONGEST)
+        ids, counts = [], np.zeros(len(start), np.int64)
+        places = []
+        low = 0
+        for high in self.BORDERS:
+            some = np.flatnonzero(~alone & (size > low) & (size <= high))
+            low = high
+            if not len(some):
+                continue
+            column = np.arange(high)
+            inside = column < size[some, None]
+            raw = data[np.minimum(start[some, None] + column, len(data) - 1)]
+            symbols = np.where(inside, np.where(column == size[some, None] - 1, self.last[raw], self.base[raw]), -1)
+            merged = self._merge(symbols.astype(np.int32))
+            kept = merged >= 0
+            counts[some] = kept.sum(1)
+            ids.append(merged[kept])
+            places.append(some)
+        for i in np.flatnonzero(alone):
+            got = np.array(self.own.encode(data[start[i] : end[i]].tobytes().decode(), add_special_tokens=False).ids, np.int32)
+            counts[i] = len(got)
+            ids.append(got)
+            places.append(np.array([i]))
+        if not ids:
+            return np.empty(0, np.int32), counts
+        order, flat = np.concatenate(places), np.concatenate(ids)
+        begin = np.empty(len(start), np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        return flat[_spread(begin, counts)], counts
+
+    def encode(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a chunk's documents one after the other, and where each document's begin."""
+        raw = c.data
+        if not len(c.start):
+            return np.empty(0, np.int32), np.zeros(c.n + 1, np.int64)
+        kind = self.kind[raw]
+        low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        second = raw[lead + 1]
+        latin = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
+        lead, second = lead[latin], second[latin]
+        kind[lead] = kind[lead + 1] = 1
+        low[lead + 1] = np.where(second < 0x9F, second + 0x20, second)
+        kind[np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))] = 4  # "<|" may begin a special token
+        odd = np.concatenate([[0], np.cumsum(kind == 4)])
+        alone = odd[c.end] > odd[c.start]
+        word = np.repeat(np.arange(len(c.start)), c.end - c.start)
+        at = _spread(c.start, c.end - c.start)
+        k = np.where(alone[word], 5, kind[at])
+        first = np.ones(len(at), bool)
+        first[1:] = (word[1:] != word[:-1]) | (k[1:] != k[:-1]) | (k[1:] == 2)
+        begin = at[first]
+        end = np.append(at[np.flatnonzero(first)[1:] - 1], at[-1]) + 1
+        single = k[first] == 5
+        data = np.where(np.repeat(single, np.diff(np.append(np.flatnonzero(first), len(at)))), raw[at], low[at])
+        text = low.copy()
+        text[at] = data
+        h = [mix(p.span(p.prefix(code[text]), begin, end) + (end - begin).astype(np.uint64), 9) for p, code in HASHES]
+        _, one, which = np.unique(h[0] ^ single, return_index=True, return_inverse=True)
+        if (h[1] != h[1][one][which]).any() or (single != single[one][which]).any():
+            _, one, which = np.unique(np.stack([*h, single.astype(np.uint64)], 1), axis=0, return_index=True, return_inverse=True)
+        ids, counts = self._parts(text, begin[one], end[one], single[one])
+        offset = np.cumsum(counts) - counts
+        each = counts[which]
+        total = np.concatenate([[0], np.cumsum(each)])
+        return ids[_spread(offset[which], each)], total[np.searchsorted(begin, c.docs)]
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each count, one after the other."""
+    return np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)
+
+
+@lru_cache(maxsize=4)
+def shared_tokenizer(path: str) -> BatchTokenizer:
+    """One per worker process."""
+    return BatchTokenizer(path)
+
+
+def _pieces(path: str, capacity: int, end_id: int):
     kinds = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss")])
 
     def run(batches):
-        tokenizer = WordTokenizer(path)
+        tokenizer = shared_tokenizer(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, len(batch), rows):
-                part = batch.slice(at, rows)
+            for c in chunks(batch.column("text"), TOKEN_CHUNK):
+                ids, offsets = tokenizer.encode(c)
+                raw, at = ids.astype("<u4").tobytes(), (offsets * 4).tolist()
                 out = []
-                for doc_id, raw in zip(part.column("doc_id").to_pylist(), tokenizer.raw(part.column("text").to_pylist()), strict=True):
-                    raw += end
-                    n = len(raw) // 4
+                for doc_id, a, b in zip(batch.column("doc_id").slice(c.first, c.n).to_pylist(), at[:-1], at[1:], strict=True):
+                    mine = raw[a:b] + end
+                    n = len(mine) // 4
                     for s in range(0, n, capacity):
-                        piece = raw[4 * s : 4 * (s + capacity)]
+                        piece = mine[4 * s : 4 * (s + capacity)]
                         out.append((doc_id, s, len(piece) // 4, zlib.crc32(piece), n, len(piece) // 4))
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], kinds)
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], kinds)
 
     return run
 
