@@ -232,9 +232,9 @@ def _between_groups(lists: DataFrame, sized: DataFrame, sets: DataFrame, groups:
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """One document of each group: that with the smallest doc_id, once."""
-    kept = near_duplicates(docs, **options).where("kept OR doc_id IS NULL").select("doc_id").distinct().withColumnRenamed("doc_id", "doc_id_")
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("doc_id_")), "left_semi")
-    return stay.withColumn("text_", F.xxhash64("text")).dropDuplicates(["doc_id", "text_"]).select(*docs.columns)
+    kept = near_duplicates(docs, **options).where("kept OR doc_id IS NULL").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept_doc_id")
+    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_doc_id")), "left_semi")
+    return stay.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
 
 
 SQL = r"""

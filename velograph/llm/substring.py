@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import materialise, release
 from .text import Sequences, chunks, sliding_min, windows
@@ -168,16 +169,16 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW, k: int = K) -> DataFra
 
 
 def clean_documents(docs: DataFrame, length: int = WINDOW, k: int = K) -> DataFrame:
-    """The documents with repeated passages cut out. Untouched texts stay as they are; n_chars follows the text."""
+    """The documents with repeated passages cut out; those of nothing else go. Untouched texts stay as they are; n_chars follows the text."""
     columns = docs.columns
-    base = _located(docs, columns)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    cut = _join(base, repeated_spans(docs, length, k), "left").mapInArrow(_cut(length, True), f"{kinds}, n_words long, n_removed long, kept string")
+    # the other columns travel as one, so that their names can't meet those used here
+    rest = F.struct(*(F.col(c) for c in columns if c != "text")).alias("rest")
+    base = _located(docs, ["doc_id", "text", rest])
+    kinds = T.StructType([*base.drop("row").schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    cut = _join(base, repeated_spans(docs, length, k), "left").mapInArrow(_cut(length, True), kinds).where("n_words = 0 OR n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = cut.where("n_words = 0 OR n_removed < n_words").withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    size = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("rest.n_chars")) if "n_chars" in columns else None
+    return cut.select(*(text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col("rest")[c].alias(c) for c in columns))
 
 
 SQL = r"""
