@@ -25,7 +25,7 @@ from .text import Chunk, Powers, chunks, mix
 
 CAPACITY, SEGMENTS, LOSS, END_ID = 2048, 256, 2048, 1
 #: Ids that meet in one task; bytes of text that are tokenised together; a rank that no merge has.
-GROUP_IDS, TOKEN_CHUNK, NEVER = 4_000_000, 4 << 20, np.int32(2**31 - 1)
+GROUP_IDS, TOKEN_CHUNK, NEVER = 4_000_000, 1 << 19, np.int32(2**31 - 1)
 #: Two independent hashes of byte runs.
 HASHES = [(Powers(0xD6E8FEB86659FD93), mix(np.arange(256, dtype=np.uint64), 21)), (Powers(0xE7037ED1A0B428DB), mix(np.arange(256, dtype=np.uint64), 22))]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long"
