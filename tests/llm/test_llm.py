@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from velograph.llm import ann, chat, langid, minhash, mixing, packing, quality, substring, topk, warc
 from velograph.llm.queries import word_tokenizer
+from velograph.llm.vectors import keep_top
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, sig string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,6 +63,29 @@ def test_topk(spark):
     assert {(r["query_id"], r["vec_id"]) for r in topk.search(huge, F.lit(True), k=1).collect()} == {(1, 2), (2, 1), (3, 1)}
 
 
+def test_topk_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(12)
+    v = rng.integers(-9, 10, (60, 6)).astype(float)
+    other = rng.integers(-9, 10, (60, 6)).astype(float)
+    rows = [(i, v[i].tolist()) for i in range(60) for _ in range(12)] + [(i, other[i].tolist()) for i in range(1, 60, 2)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in topk.search(d, F.col("vec_id") % 10 == 0, k=10, scale=1, tile=400).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    near = {}
+    for r in ann.search(d, F.col("vec_id") % 10 == 0, k=10, confidence=0.999999, leaf=200).collect():
+        near.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], int(r["score"])))
+    for i in range(0, 60, 10):
+        score = {j: max(int(v[i] @ v[j]), int(v[i] @ other[j]) if j % 2 else -(10**9)) for j in range(60) if j != i}
+        want = [(n + 1, j, s) for n, (j, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:10])]
+        assert sorted(got[i]) == want and sorted(near[i]) == want
+
+
+def test_top_list_holds_an_id_once():
+    q, ids, score = keep_top(np.zeros(5, int), np.array([1, 1, 2, 2, 3]), np.array([9, 8, 7, -(2**63), 6]), 3)
+    assert (ids.tolist(), score.tolist()) == ([1, 2, 3], [9, 7, 6])
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((20, 32)) * 2

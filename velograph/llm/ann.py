@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best, keep_top, matrix, usable, waves
+from .vectors import best, keep_top, matrix, once, usable, waves
 
 K, DIMS, CONFIDENCE, LEAF, SHARD, SEED = 20, 8, 0.95, 256, 65_536, 20_171
 OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("list", pa.int64())])
@@ -92,6 +92,7 @@ def search_shard(ids, x, query_ids, q, top: float, k: int, dims: int, confidence
     g = directions(x.shape[1] + 1, dims)
     tree = Tree(x @ g[:-1] + lift[:, None] * g[-1], leaf)
     ids, x = ids[tree.order], x[tree.order]
+    repeated = len(np.unique(ids)) < len(ids)
     quantile = chi_square_quantile(confidence, dims)
     out = []
     for b in range(0, len(q), block):
@@ -115,8 +116,9 @@ def search_shard(ids, x, query_ids, q, top: float, k: int, dims: int, confidence
                 at = tree.leaf(leaves[s])
                 rough = part[who[s:e]] @ x[at].T
                 bar = kth[who[s:e]]
-                if at.stop - at.start > k + 1:
-                    bar = np.maximum(bar, np.partition(rough, -k - 1, axis=1)[:, -k - 1])
+                each = once(ids[at], rough)[1] if repeated else rough
+                if each.shape[1] > k + 1:
+                    bar = np.maximum(bar, np.partition(each, -k - 1, axis=1)[:, -k - 1])
                 qi, xi = np.nonzero(rough >= (bar - slack)[:, None])
                 qi, xi = who[s:e][qi], xi + at.start
                 other = own[qi] != ids[xi]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best, keep_top, matrix, usable, waves
+from .vectors import best, keep_top, matrix, once, usable, waves
 
 K, SCALE, TILE = 10, 1024, 2048
 OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("list", pa.int64())])
@@ -46,14 +46,13 @@ def _search(wave, k: int, scale: int, tile: int):
                 rows = part.column("vec_id").to_numpy()
                 x = np.floor(scale * matrix(part.column("embedding")))
                 for b in range(0, len(ids), tile):
-                    score = _products(q[b : b + tile], x, bound)
-                    cut = np.partition(score, -k, axis=1)[:, -k] if len(rows) > k + 1 else floor[b : b + tile]
+                    each, score = once(rows, _products(q[b : b + tile], x, bound))
                     # the query's own row may be among the k best, so one score more is let through
-                    cut = np.partition(score, -k - 1, axis=1)[:, -k - 1] if len(rows) > k + 1 else cut
+                    cut = np.partition(score, -k - 1, axis=1)[:, -k - 1] if len(each) > k + 1 else floor[b : b + tile]
                     qi, xi = np.nonzero(score >= np.maximum(cut, floor[b : b + tile])[:, None])
-                    other = ids[qi + b] != rows[xi]
+                    other = ids[qi + b] != each[xi]
                     qi, xi = qi[other], xi[other]
-                    new = keep_top(qi + b, rows[xi], score[qi, xi], k)
+                    new = keep_top(qi + b, each[xi], score[qi, xi], k)
                     held = tuple(np.concatenate(c) for c in zip(held, new, strict=True))
                 held = keep_top(*held, k)
                 n = np.bincount(held[0], minlength=len(ids))

@@ -58,13 +58,24 @@ def best(found: DataFrame, k: int, score: str) -> DataFrame:
     return steps.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)
 
 
+def once(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of a (queries, rows) score matrix with those of a repeated id merged into one, by the best score."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1]))
+    if len(first) >= len(ids):
+        return ids, score
+    return ids[order][first], np.maximum.reduceat(score[:, order], first, axis=1)
+
+
 def keep_top(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (query, id, score) triples the k best of each query, higher scores and then smaller ids first, ids once."""
-    order = np.lexsort((ids, -score, q))
+    """Of (query, id, score) triples the k best of each query, higher scores and then smaller ids first, ids once by their best score."""
+    down = ~score if score.dtype.kind == "i" else -score  # the least long has no negative
+    order = np.lexsort((down, ids, q))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (q[order][1:] != q[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    order = order[fresh]
+    order = order[np.lexsort((ids[order], down[order], q[order]))]
     q, ids, score = q[order], ids[order], score[order]
-    fresh = np.ones(len(q), bool)
-    fresh[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])
-    q, ids, score = q[fresh], ids[fresh], score[fresh]
     head = np.ones(len(q), bool)
     head[1:] = q[1:] != q[:-1]
     place = np.arange(len(q)) - np.maximum.accumulate(np.where(head, np.arange(len(q)), 0))
