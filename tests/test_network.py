@@ -6,9 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import Row
 
+from velograph import catalog
 from velograph.functions import geo
 from velograph.operators import cost, graph, hulls, planning, polylines, scoring
+from velograph.queries import routes
 from velograph.sources import ingest
+from velograph.sources import network as sources
+
+FOLDER, QUERIES = "/root/testdata/sf0.001", catalog.queries()
 
 PER_DEGREE = math.pi / 180 * geo.RADIUS_M
 
@@ -177,3 +182,40 @@ def test_geojson_skips_and_counts(spark, tmp_path):
     assert f.where("valid").select("properties").collect()[0]["properties"]["Extra"] == "kept"
     parts = polylines.explode_parts(ingest.to_records(f.where("valid"))).collect()
     assert len(parts) == 2
+
+
+def brute_clusters(ids, lng, lat, within_m=3000.0):
+    x, y = np.radians(lng / 1e7), np.radians(lat / 1e7)
+    h = np.sin((y[:, None] - y) / 2) ** 2 + np.cos(y[:, None]) * np.cos(y) * np.sin((x[:, None] - x) / 2) ** 2
+    near = 2 * geo.RADIUS_M * np.arcsin(np.sqrt(h)) <= within_m
+    label = np.asarray(ids)
+    while True:
+        least = np.where(near, label, np.iinfo(np.int64).max).min(1)
+        if (least == label).all():
+            return label
+        label = least
+
+
+def test_coverage_takes_all_points(spark):
+    p = sources.points(spark, FOLDER).toPandas()
+    lng, lat = (p["lng_e7"] + p["id"] % 23 * 2_000_000).to_numpy(), (p["lat_e7"] + p["id"] % 7 * 3_000_000).to_numpy()
+    label = brute_clusters(p["id"].to_numpy(), lng, lat)
+    want = {(c, lng[label == c].min(), lng[label == c].max(), lat[label == c].min(), lat[label == c].max()) for c in np.unique(label)}
+    hull = QUERIES["coverage_areas"](spark, FOLDER).toPandas().groupby("cluster").agg({"lng_e7": ["min", "max"], "lat_e7": ["min", "max"]})
+    assert {(i, *r) for i, *r in hull.itertuples()} == want
+    assert dict(map(tuple, QUERIES["cluster_dbscan_all"](spark, FOLDER).collect())) == dict(zip(p["id"], label, strict=True))
+
+
+def test_blocks_keep_all_segments(spark):
+    s = stats(graph.build(routes._blocks(spark, FOLDER), tolerance_m=0))
+    assert s["segments"] == sources.paths(spark, FOLDER).count() and s["components"] > 10
+    links = sources.paths(spark, FOLDER).where("dir < 2").selectExpr("explode(array(k, IF(dir = 0, k + 1, k + 100))) AS n")
+    assert QUERIES["components_all"](spark, FOLDER).count() == links.distinct().count()
+
+
+def test_edges_and_ways_by_whole_tables(spark):
+    n = graph.build(sources.segments(sources.paths(spark, FOLDER)), tolerance_m=0).edges.count()
+    wanted = spark.read.parquet(f"{FOLDER}/customer.parquet").where(f"c_custkey < {n}").count()
+    assert QUERIES["get_edge_all"](spark, FOLDER).count() == wanted
+    some, whole = ({r["way_id"] for r in QUERIES[q](spark, FOLDER).collect()} for q in ("anti_join_coverage", "anti_join_coverage_all"))
+    assert some <= whole

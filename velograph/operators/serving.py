@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, tags
 from ..functions import vocab as V
+from ..runtime import materialise
 from . import hulls, polylines
 from .components import connected_components
 
@@ -72,7 +73,7 @@ def clusters(points: DataFrame, within_m: float = CLUSTER_M) -> DataFrame:
     """(id, cluster): points linked when within the distance; with one point enough for a cluster, that is components.
 
     Cells are a third of the distance wide, so all points of a cell are linked and a cell is one node. Only cells two to
-    five apart have their points compared.
+    five apart that adjoining cells don't link already have their points compared.
     """
     deg = within_m / geo.METRES_PER_DEGREE * geo.FIXED
     size = int(deg / 3)
@@ -88,6 +89,10 @@ def clusters(points: DataFrame, within_m: float = CLUSTER_M) -> DataFrame:
     # points of adjoining cells are at most 0.95 of the distance apart, so these cells are linked unseen
     close = (F.abs(C("nx") - C("cx")) <= 1) & (F.abs(C("ny") - C("cy")) <= 1)
     sure, open_cells = near_cells.where(close), near_cells.where(~close)
+    near_labels = materialise(connected_components(sure.select(C("head").alias("a"), C("other").alias("b"))))
+    for end in ("head", "other"):
+        open_cells = open_cells.join(near_labels.select(C("node").alias(end), C("component").alias(f"{end}_part")), end, "left")
+    open_cells = open_cells.where(F.coalesce("head_part", "head") != F.coalesce("other_part", "other")).drop("head_part", "other_part")
     links = open_cells.join(a, ["cx", "cy"]).join(b, ["nx", "ny"]).groupBy("head", "other").agg(F.min(d).alias("d")).where(C("d") <= within_m).select(C("head").alias("a"), C("other").alias("b"))
     links = links.unionByName(sure.select(C("head").alias("a"), C("other").alias("b")))
     labels = connected_components(links)

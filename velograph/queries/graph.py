@@ -115,13 +115,29 @@ def get_edge(spark, sf_dir):
     return _unbridged(spark, sf_dir).edges.where("edge_id % 100 = 7").select("edge_id", "path_id", "from_node", "to_node", half_up(C("length_m"), 3).alias("length_m"))
 
 
+@query()
+def get_edge_all(spark, sf_dir):
+    """Edges by a table of wanted ids, the customers' keys."""
+    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select(C("c_custkey").alias("edge_id"))
+    return _unbridged(spark, sf_dir).edges.join(wanted, "edge_id").select("edge_id", "path_id", "from_node", "to_node", half_up(C("length_m"), 3).alias("length_m"))
+
+
 LINKED = "link AS (SELECT k AS a, CASE dir WHEN 0 THEN k + 1 ELSE k + 100 END AS b FROM raw WHERE dir < 2 AND (k * 31 + dir * 17) % 10 < 4)"
 
 
 @query(f"WITH RECURSIVE {RAW}, {LINKED}, twoway AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link), reach AS (SELECT a AS node, a AS seen FROM twoway UNION SELECT r.node, b.b FROM reach r JOIN twoway b ON r.seen = b.a) SELECT node, min(seen) AS component FROM reach GROUP BY node")
 def components(spark, sf_dir):
-    p = network.paths(spark, sf_dir).where("dir < 2 AND (k * 31 + dir * 17) % 10 < 4")
-    return connected_components(p.select(C("k").alias("a"), F.when(C("dir") == 0, C("k") + 1).otherwise(C("k") + 100).alias("b")))
+    return connected_components(_links(network.paths(spark, sf_dir).where("dir < 2 AND (k * 31 + dir * 17) % 10 < 4")))
+
+
+def _links(paths):
+    return paths.select(C("k").alias("a"), F.when(C("dir") == 0, C("k") + 1).otherwise(C("k") + 100).alias("b"))
+
+
+@query()
+def components_all(spark, sf_dir):
+    """Components over all east and north segments; a stub leads to no other node."""
+    return connected_components(_links(network.paths(spark, sf_dir).where("dir < 2")))
 
 
 @query(f"WITH {SEG} SELECT *, dense_rank() OVER (ORDER BY name, hazards) - 1 AS ix FROM (SELECT name, array_to_string(hazards, ',') AS hazards, count(*) AS n FROM net WHERE name IS NOT NULL GROUP BY ALL)")

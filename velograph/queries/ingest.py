@@ -149,6 +149,15 @@ def anti_join_coverage(spark, sf_dir):
     return ingest.uncovered(w, cover, 0.56)
 
 
+@query()
+def anti_join_coverage_all(spark, sf_dir):
+    """Ways of all east and north segments that official paths cover by less than 0.56; the SQL of ``anti_join_coverage`` stops at x = 90."""
+    p = network.paths(spark, sf_dir)
+    cover = hulls.dissolved(polylines.pieces(p.where("dir = 1"), "osm_id"), "osm_id").withColumnRenamed("metres", "covered_m")
+    w = p.where("dir < 2").groupBy(C("osm_id").alias("way_id")).agg(half_up(F.sum(F.element_at(geo.lengths(C("coordinates")), -1)), 3).alias("length_m"))
+    return ingest.uncovered(w, cover, 0.56)
+
+
 @query(f"WITH {RAW}, {WAYS} SELECT id, source, CASE WHEN way_id IS NOT NULL AND source = 'vic_dtp_bin' THEN w.surface ELSE raw.surface END AS surface, CASE WHEN way_id IS NOT NULL AND source = 'vic_dtp_bin' THEN w.smoothness ELSE raw.smoothness END AS smoothness FROM raw LEFT JOIN way w ON way_id = osm_id")
 def enrich_update(spark, sf_dir):
     return ingest.enriched(network.paths(spark, sf_dir), network.ways(spark, sf_dir)).select("id", "source", "surface", "smoothness")
