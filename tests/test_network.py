@@ -91,6 +91,19 @@ def test_detour_is_worth_it_for_a_path_only(spark):
     assert length(plan(spark, g, (0, 0), (1000, 0))) > 1150
 
 
+def test_each_request_has_its_own_preferences(spark):
+    way = lambda y, **over: ([(0, 0), (500, y), (1000, 0)], over)
+    g = graph.build(network(spark, way(0, category="busy_road"), way(150, surface_class="gravel"), way(1200)), tolerance_m=0)
+    a, b = e7(0, 0), e7(1000, 0)
+    asks = [(i, a.lng_e7, a.lat_e7, b.lng_e7, b.lat_e7, s, False, busy) for i, (s, busy) in enumerate([("any", False), ("avoid_loose", False), ("smooth_only", True), ("any", True), (None, None)])]
+    ask = spark.createDataFrame(asks, "request_id long, s_lng long, s_lat long, e_lng long, e_lat long, pref_surface string, avoid_steps boolean, avoid_busy boolean")
+    got = {int(r["request_id"]): r["cost"] for r in planning.plan(g, ask).collect()}
+    for i, *_, s, steps, busy in asks:
+        assert got[i] == pytest.approx(plan(spark, g, (0, 0), (1000, 0), surface=s or "any", avoid_steps=steps, avoid_busy=bool(busy))["cost"])
+    assert len({round(c, 3) for c in got.values()}) > 1
+    assert {"pref_surface", "avoid_steps", "avoid_busy"} <= set(routes._ends(spark, FOLDER).columns)
+
+
 def test_far_points_and_unconnected_ends(spark):
     g = graph.build(network(spark, [(0, 0), (1000, 0)], [(-20, 60), (20, 60)]), tolerance_m=0)
     assert plan(spark, g, (0, 5000), (1000, 0))["status"] == "START_NOT_NEAR_NETWORK"

@@ -20,17 +20,17 @@ BROADCAST_EDGES = 20_000_000
 
 
 class Arcs:
-    """Compressed adjacency of one cost table, for searches."""
+    """Compressed adjacency, for searches under any edge costs."""
 
     def __init__(self, edges: pd.DataFrame, nodes: int):
-        self.frm, self.to, self.cost = edges["from_node"].to_numpy(), edges["to_node"].to_numpy(), edges["cost"].to_numpy()
+        self.frm, self.to = edges["from_node"].to_numpy(), edges["to_node"].to_numpy()
         loop = self.frm == self.to
         ends = np.concatenate([self.frm, self.to[~loop]])
         ids = np.concatenate([np.arange(len(edges)), np.flatnonzero(~loop)])
         order = np.argsort(ends, kind="stable")
         self.ids, self.offset = ids[order], np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=nodes))])
 
-    def cheapest(self, starts: list[tuple[int, float]], goals: dict[int, float]) -> tuple[float, list[int]] | None:
+    def cheapest(self, price: np.ndarray, starts: list[tuple[int, float]], goals: dict[int, float]) -> tuple[float, list[int]] | None:
         """Least cost from any start (with its cost so far) to any goal (with its cost to come), and the edges taken."""
         best, via, done, heap = {}, {}, set(), []
         for node, c in starts:
@@ -47,7 +47,7 @@ class Arcs:
                 top, end = c + goals[node], node
             for e in self.ids[self.offset[node] : self.offset[node + 1]]:
                 other = self.to[e] if self.frm[e] == node else self.frm[e]
-                if (reach := c + self.cost[e]) < best.get(other, np.inf):
+                if (reach := c + price[e]) < best.get(other, np.inf):
                     best[other], via[other] = reach, (node, e)
                     heapq.heappush(heap, (reach, other))
         if end is None:
@@ -99,20 +99,30 @@ def _best_pair(g: Graph, points: DataFrame, snaps: DataFrame, max_m: float) -> D
 def plan(g: Graph, requests: DataFrame, profile: str = V.PREFER_PATHS, surface: str = "any", avoid_steps: bool = False, avoid_busy: bool = False, max_m: float = MAX_SNAP_M) -> DataFrame:
     """(request_id, status, cost, start, end, edges): one row per request (request_id, s_lng, s_lat, e_lng, e_lat).
 
+    A request's own pref_surface, avoid_steps and avoid_busy, where it has them, stand before the arguments.
+
     Edges are (edge_id, from_m, to_m) in travel order; the first and last are parts. Status is OK, START_NOT_NEAR_NETWORK,
     END_NOT_NEAR_NETWORK or NO_ROUTE.
     """
     spark = requests.sparkSession
-    tables = cost.effective(profile, surface, avoid_steps, avoid_busy)
-    bad = F.array(*map(F.lit, cost.avoided(surface))).cast("array<string>")
     rid = F.col("request_id").cast("string")
-    points = requests.select(rid.alias("r"), F.explode(F.array(*(F.struct(F.lit(t).alias("side"), F.col(f"{p}_lng").alias("lng_e7"), F.col(f"{p}_lat").alias("lat_e7")) for t, p in ((":s", "s"), (":e", "e"))))).alias("p"))
-    points = points.select(F.concat("r", "p.side").alias("point_id"), "p.lng_e7", "p.lat_e7", bad.alias("avoid"))
+    own = {"pref_surface": surface, "avoid_steps": avoid_steps, "avoid_busy": avoid_busy}
+    requests = requests.withColumns({c: F.coalesce(c, F.lit(v)) if c in requests.columns else F.lit(v) for c, v in own.items()})
+    combinations = sorted(tuple(r) for r in requests.select(*own).distinct().collect())
+    tables = [cost.effective(profile, *c) for c in combinations]
+    pref = F.lit(0)
+    for i, c in enumerate(combinations):
+        pref = F.when(cost.preferences_key(*map(F.col, own)) == cost.preferences_key(*map(F.lit, c)), i).otherwise(pref)
+    bad = F.array().cast("array<string>")
+    for s in {c[0] for c in combinations}:
+        bad = F.when(F.col("pref_surface") == s, F.array(*map(F.lit, cost.avoided(s))).cast("array<string>")).otherwise(bad)
+    points = requests.select(rid.alias("r"), bad.alias("avoid"), F.explode(F.array(*(F.struct(F.lit(t).alias("side"), F.col(f"{p}_lng").alias("lng_e7"), F.col(f"{p}_lat").alias("lat_e7")) for t, p in ((":s", "s"), (":e", "e"))))).alias("p"))
+    points = points.select(F.concat("r", "p.side").alias("point_id"), "p.lng_e7", "p.lat_e7", "avoid")
     # stored step by step: the steps refer to each other many times, and a plan of their copies would be vast
     snaps = materialise(snap_preferring(points, g.edges, max_m))
     pairs = materialise(_best_pair(g, points, snaps, max_m))
 
-    priced = g.edges.select("edge_id", "from_node", "to_node", "length_m", cost.edge_cost(F.col("length_m"), F.col("kind"), F.col("hazards"), F.col("surface_class"), tables).alias("cost"))
+    priced = g.edges.select("edge_id", "from_node", "to_node", "length_m", *(cost.edge_cost(F.col("length_m"), F.col("kind"), F.col("hazards"), F.col("surface_class"), t).alias(f"cost_{i}") for i, t in enumerate(tables)))
     if priced.count() > BROADCAST_EDGES:
         raise ValueError("the graph is too large for one search; plan by region")
     table = priced.orderBy("edge_id").toPandas()
@@ -121,17 +131,18 @@ def plan(g: Graph, requests: DataFrame, profile: str = V.PREFER_PATHS, surface:
     def search(batches):
         edges, n = shared.value
         arcs = Arcs(edges, n)
-        frm, to, length, price = (edges[c].to_numpy() for c in ("from_node", "to_node", "length_m", "cost"))
+        frm, to, length = (edges[c].to_numpy() for c in ("from_node", "to_node", "length_m"))
+        prices = [edges[f"cost_{i}"].to_numpy() for i in range(len(tables))]
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                s, e = int(r.s_edge), int(r.e_edge)
+                s, e, price = int(r.s_edge), int(r.e_edge), prices[r.pref]
                 per = [price[x] / length[x] if length[x] > 0 else 0.0 for x in (s, e)]
                 starts = [(int(frm[s]), r.s_along * per[0]), (int(to[s]), (length[s] - r.s_along) * per[0])]
                 goals = {}
                 for node, c in ((int(frm[e]), r.e_along * per[1]), (int(to[e]), (length[e] - r.e_along) * per[1])):
                     goals[node] = min(c, goals.get(node, np.inf))
-                found = arcs.cheapest(starts, goals)
+                found = arcs.cheapest(price, starts, goals)
                 direct = abs(r.e_along - r.s_along) * per[0] if s == e else np.inf
                 if found is None and direct == np.inf:
                     continue
@@ -162,7 +173,7 @@ def plan(g: Graph, requests: DataFrame, profile: str = V.PREFER_PATHS, surface:
                 rows.append((r.request_id, float(total), [x for x in legs[1] if x[1] != x[2]]))
             yield pd.DataFrame(rows, columns=["request_id", "cost", "edges"])
 
-    ask = pairs.select("request_id", F.col("start.edge_id").alias("s_edge"), F.col("start.along_m").alias("s_along"), F.col("end.edge_id").alias("e_edge"), F.col("end.along_m").alias("e_along"))
+    ask = pairs.join(requests.select(rid.alias("request_id"), pref.cast("int").alias("pref")), "request_id").select("request_id", "pref", F.col("start.edge_id").alias("s_edge"), F.col("start.along_m").alias("s_along"), F.col("end.edge_id").alias("e_edge"), F.col("end.along_m").alias("e_along"))
     found = ask.repartition("request_id").mapInPandas(search, "request_id string, cost double, edges array<struct<edge_id:long,from_m:double,to_m:double>>")
     near = snaps.select("point_id").groupBy(F.expr("left(point_id, length(point_id) - 2)").alias("request_id")).agg(*(F.max(F.when(F.col("point_id").endswith(t), True)).alias(n) for t, n in ((":s", "has_start"), (":e", "has_end"))))
     status = F.when(F.col("has_start").isNull(), "START_NOT_NEAR_NETWORK").when(F.col("has_end").isNull(), "END_NOT_NEAR_NETWORK").when(F.col("cost").isNull(), "NO_ROUTE").otherwise("OK")

@@ -176,7 +176,7 @@ def _ends(spark, sf_dir, limit: int | None = None):
     """Requests as points a little off the lattice."""
     r = network.requests(spark, sf_dir)
     at = lambda v, o: (F.lit(o) + C(v) * 10_000).cast("long")
-    r = r.select("request_id", (at("x0", 1449000000) + 120).alias("s_lng"), (at("y0", -385000000) + 80).alias("s_lat"), (at("x0", 1449000000) + C("dx") * 10_000 - 90).alias("e_lng"), (at("y0", -385000000) + C("dy") * 10_000 + 60).alias("e_lat"))
+    r = r.select("request_id", "pref_surface", "avoid_steps", "avoid_busy", (at("x0", 1449000000) + 120).alias("s_lng"), (at("y0", -385000000) + 80).alias("s_lat"), (at("x0", 1449000000) + C("dx") * 10_000 - 90).alias("e_lng"), (at("y0", -385000000) + C("dy") * 10_000 + 60).alias("e_lat"))
     return r.where(C("request_id") <= limit) if limit else r
 
 
@@ -198,7 +198,8 @@ def plan_status(spark, sf_dir):
 
 @query()
 def snap_preferring(spark, sf_dir):
-    _, p = _plans(spark, sf_dir, surface="smooth_only")
+    g = graph.build(network.segments(network.paths(spark, sf_dir)))
+    p = planning.plan(g, _ends(spark, sf_dir).drop("pref_surface", "avoid_steps", "avoid_busy"), surface="smooth_only")
     return p.select("request_id", "status", half_up(C("start.distance_m"), 2).alias("start_m"), half_up(C("end.distance_m"), 2).alias("end_m"))
 
 
