@@ -9,6 +9,7 @@ from pyspark.sql import Row
 from velograph import catalog
 from velograph.functions import geo
 from velograph.operators import cost, graph, hulls, planning, polylines, scoring
+from velograph.queries import ingest as imports
 from velograph.queries import routes
 from velograph.sources import ingest
 from velograph.sources import network as sources
@@ -232,3 +233,8 @@ def test_edges_and_ways_by_whole_tables(spark):
     assert QUERIES["get_edge_all"](spark, FOLDER).count() == wanted
     some, whole = ({r["way_id"] for r in QUERIES[q](spark, FOLDER).collect()} for q in ("anti_join_coverage", "anti_join_coverage_all"))
     assert some <= whole
+
+
+def test_json_batches_stay_small(spark):
+    e = spark.range(1_100_000).selectExpr("id AS event_id", "'{}' AS props")
+    assert imports._batches(e).selectExpr("max(length(json) - length(replace(json, 'props', 'prop')))").first()[0] <= 2000

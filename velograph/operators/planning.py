@@ -15,7 +15,7 @@ from . import cost, polylines
 from .graph import Graph
 from .snap import MAX_SNAP_M, snap, snap_preferring
 
-#: A graph of at most this many edges goes to the workers as arrays; a larger one is searched region by region.
+#: A graph of at most this many edges goes to the workers as arrays; a larger one raises.
 BROADCAST_EDGES = 20_000_000
 
 

@@ -16,12 +16,15 @@ from .geometry import PIECES, RAW, VERTICES
 C = F.col
 
 
+def _batches(e):
+    return e.groupBy(F.expr("event_id div 2000").alias("b")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.concat(F.lit('{"id":'), C("event_id").cast("string"), F.lit(',"props":'), "props", F.lit("}"))), ","), F.lit("]")).alias("json"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_recordset(spark, sf_dir):
-    """Batches of JSON arrays, parsed and expanded."""
+    """Batches of JSON arrays of at most 2000 ids, parsed and expanded."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    batch = e.groupBy((C("event_id") % 500).alias("b")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.concat(F.lit('{"id":'), C("event_id").cast("string"), F.lit(',"props":'), "props", F.lit("}"))), ","), F.lit("]")).alias("json"))
-    return batch.select(F.inline(F.from_json("json", "array<struct<id:long,props:struct<k:long>>>"))).select(C("id").alias("event_id"), C("props.k").alias("k"))
+    return _batches(e).select(F.inline(F.from_json("json", "array<struct<id:long,props:struct<k:long>>>"))).select(C("id").alias("event_id"), C("props.k").alias("k"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
