@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a combinable minimum per node and a join back, so neither a node with very many neighbours nor a very
-large component meets in one task; the number of steps grows with the logarithm of the longest path.
+Every step is a combinable minimum per node and a join back, in which the rows of a node with very many neighbours are dealt
+to several tasks; so neither a hub nor a very large component meets in one task. The number of steps grows with the
+logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import materialise, release
+from .skew import salted_join
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,13 +24,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("places"))
+        large = salted_join(both, least, ["u"], ["v"], 2 * state[0]).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node keeps its link to the least neighbour as well
         large = large.unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = materialise(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("places"))
+        moved = salted_join(large, low, ["u"], ["v"], 2 * state[0]).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        old, e = e, materialise(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        release(old)
         if (now := _state(e)) == state:
             break
         state = now
