@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import materialise, release
 from .text import Chunk
 
 #: Rows whose histograms are held at once.
@@ -37,13 +39,23 @@ def histograms(c: Chunk, buckets: int, n: int = 3) -> Iterator[tuple[int, int, n
         yield a, b, np.sqrt(counts / np.maximum(grams, 1)[:, None]).astype(np.float32)
 
 
-def sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
-    """At most ``most`` rows (keys being distinct): those with the least hashes of ``key`` (all, if fewer), whatever their partitions."""
-    hashed = rows.withColumn("hash", F.xxhash64(key))
-    cut = hashed.select("hash").orderBy("hash").limit(most).agg(F.max("hash").alias("cut")).first()["cut"]
-    return hashed.where(F.col("hash") <= (cut if cut is not None else 0))
-
-
-def ordered(table: pa.Table, most: int) -> pa.Table:
-    """The sample in an order that doesn't depend on partitions."""
-    return table.sort_by([(n, "ascending") for n in table.schema.names if not pa.types.is_nested(table.schema.field(n).type)]).slice(0, most)
+def sample(rows: DataFrame, most: int, most_bytes: int) -> DataFrame:
+    """A stored sample of ``rows`` (hash, text, others): one row a hash (its least), those with the least hashes, at most
+    ``most`` and only until their texts reach ``most_bytes`` (the text that does so is the last). The same whatever the partitions."""
+    cut = rows.select("hash").distinct().orderBy("hash").limit(most).agg(F.max("hash").alias("cut")).first()["cut"]
+    others = [c for c in rows.columns if c != "hash"]
+    once = rows.where(F.col("hash") <= F.lit(cut)).groupBy("hash").agg(F.min(F.struct(*others)).alias("r"))
+    some = materialise(once.select("hash", "r.*"))
+    # the running sum is over ``most`` pairs of numbers at most
+    before = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(W.orderBy("hash").rowsBetween(W.unboundedPreceding, -1))
+    last = some.select("hash", before.alias("before")).where(F.coalesce("before", F.lit(0)) < most_bytes).agg(F.max("hash").alias("last")).first()["last"]
+    out = some.where(F.col("hash") <= F.lit(last))
+    out._table = some._table
+    return out
+
+
+def fitted(some: DataFrame, fit: Callable[[pa.Table], pa.Table], schema: str) -> Row | None:
+    """What ``fit`` makes of a sample in one task (a row), or None without rows; the sample is released."""
+    model = some.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: fit(t.sort_by("hash").combine_chunks()), schema).first()
+    release(some)
+    return model

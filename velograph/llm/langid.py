@@ -6,11 +6,13 @@ bit times margin). The score is the share of exp(-loss) among the languages; a t
 than ``ambiguity`` in loss is flagged. Codewords: all distinct splits of the languages while there are five at most,
 otherwise random ones drawn to be far apart.
 
-The classifiers are fitted on at most ``most`` documents, those with the least hash of doc_id among the learnable ones
-(text and language given, and crc32 of doc_id mod 4 not 2). All documents are predicted, from their whole texts.
+The classifiers are fitted on a bounded sample, in one task: at most ``most`` documents, those with the least hash of doc_id
+among the learnable ones (text and language given, and crc32 of doc_id mod 4 not 2), and only until their texts reach
+``most_bytes``. All documents are predicted, from their whole texts.
 
 Results for unusual input: a null text or one without letters is ``und`` with score 0 and ambiguous; a null doc_id is never
-learned from and not held out; with one learnable language all texts with letters get it, with none all are ``und``; an empty
+learned from and not held out; of several rows with one doc_id the least text is learned from; equal texts get equal
+results; with one learnable language all texts with letters get it, with none all are ``und``; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -18,14 +20,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import histograms, ordered, sample
+from .features import fitted, histograms, sample
 from .text import chunks
 
-MOST, BUCKETS, ROUNDS, AMBIGUITY = 4000, 4096, 150, 0.5
+MOST, MOST_BYTES, BUCKETS, ROUNDS, AMBIGUITY = 4000, 64 << 20, 4096, 150, 0.5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -75,12 +76,20 @@ def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return loss.argmin(1), (1 / share.sum(1)), gap
 
 
-def _featured(buckets: int):
-    def run(batches):
-        for batch in batches:
-            for c in chunks(batch.column("text")):
-                for a, b, x in histograms(c, buckets):
-                    yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(c.first + a, b - a) for n in ("hash", "lang")), pa.array([r.tobytes() for r in x], pa.binary())], ["hash", "lang", "x"])
+def _train(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        named = table["lang"].to_pylist()
+        languages = sorted(set(named))
+        code = codewords(len(languages))
+        w, b = np.zeros((2, 0), np.float32), np.zeros(0, np.float32)
+        if len(languages) > 1:
+            x = np.empty((len(table), buckets), np.float32)
+            for c in chunks(table["text"]):
+                for lo, hi, part in histograms(c, buckets):
+                    x[c.first + lo : c.first + hi] = part
+            place = {n: i for i, n in enumerate(languages)}
+            w, b = fit(x, code[[place[n] for n in named]].astype(np.float32))
+        return pa.table({"languages": [languages], "w": [w.tobytes()], "b": [b.astype(np.float32).tobytes()]})
 
     return run
 
@@ -100,23 +109,19 @@ def _predict(model, ambiguity: float):
     return run
 
 
-def train(docs: DataFrame, most: int = MOST, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, most: int = MOST, most_bytes: int = MOST_BYTES, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Languages, codewords, weights and offsets."""
     rows = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id")))
-    some = sample(rows, F.col("doc_id"), most).select("hash", "lang", "text")
-    table = ordered(some.mapInArrow(_featured(buckets), "hash long, lang string, x binary").toArrow(), most)
-    languages = sorted(pc.unique(table["lang"]).to_pylist())
-    code = codewords(len(languages))
-    if len(languages) < 2:
-        return languages, code, np.zeros((2, 0), np.float32), np.zeros(0, np.float32)
-    x = np.stack([np.frombuffer(r.as_buffer(), np.float32) for r in table["x"]])
-    place = {n: i for i, n in enumerate(languages)}
-    w, b = fit(x, code[[place[n] for n in table["lang"].to_pylist()]].astype(np.float32))
-    return languages, code, w, b
-
-
-def identify(docs: DataFrame, most: int = MOST, buckets: int = BUCKETS, ambiguity: float = AMBIGUITY) -> DataFrame:
+    some = sample(rows.select(F.xxhash64("doc_id").alias("hash"), "text", "lang"), most, most_bytes)
+    model = fitted(some, _train(buckets), "languages array<string>, w binary, b binary")
+    languages = list(model["languages"]) if model else []
+    b = np.frombuffer(model["b"], np.float32) if model else np.zeros(0, np.float32)
+    w = np.frombuffer(model["w"], np.float32).reshape(-1, len(b)) if len(b) else np.zeros((2, 0), np.float32)
+    return languages, codewords(len(languages)), w, b
+
+
+def identify(docs: DataFrame, most: int = MOST, most_bytes: int = MOST_BYTES, buckets: int = BUCKETS, ambiguity: float = AMBIGUITY) -> DataFrame:
     """doc_id, held_out, lang_pred, score and ambiguous for every document."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, most, buckets))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, most, most_bytes, buckets))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     return rows.mapInArrow(_predict(model, ambiguity), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")

@@ -14,6 +14,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 CHUNK_BYTES = 1 << 20
 U = np.uint64
@@ -21,6 +22,9 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: What stands between runs of letters: every ASCII byte that isn't one.
+NOT_LETTER = np.arange(256) < 128
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = False
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -58,8 +62,9 @@ class Powers:
         return (prefix[end] - prefix[start]) * self.down[start]
 
 
-_BYTES, _WORDS, _WORDS2 = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F), Powers(0xE7037ED1A0B428DB)
-_BYTE_CODE = mix(np.arange(256, dtype=U), 7)
+_BYTES, _WORDS = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
+_BYTES2, _WORDS2 = Powers(0x9FB21C651E98DF25), Powers(0xE7037ED1A0B428DB)
+_BYTE_CODE, _BYTE_CODE2 = mix(np.arange(256, dtype=U), 7), mix(np.arange(256, dtype=U), 8)
 
 
 @dataclass
@@ -69,6 +74,7 @@ class Chunk:
     first: int
     data: np.ndarray
     docs: np.ndarray = field(repr=False)  # byte offsets, one more than there are documents
+    between: np.ndarray = field(default_factory=lambda: _IS_SPACE, repr=False)  # which bytes stand between words
 
     @property
     def n(self) -> int:
@@ -76,7 +82,7 @@ class Chunk:
 
     @cached_property
     def _bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        word = ~_IS_SPACE[self.data]
+        word = ~self.between[self.data]
         opens, closes = word.copy(), word.copy()
         opens[1:] &= ~word[:-1]
         closes[:-1] &= ~word[1:]
@@ -105,6 +111,11 @@ class Chunk:
         prefix = _BYTES.prefix(_BYTE_CODE[data])
         return mix(_BYTES.span(prefix, self.start, self.end) + (self.end - self.start).astype(U))
 
+    def other_hashes(self) -> np.ndarray:
+        """Hashes of the words that are independent of ``word_hashes``."""
+        prefix = _BYTES2.prefix(_BYTE_CODE2[self.data])
+        return mix(_BYTES2.span(prefix, self.start, self.end) + (self.end - self.start).astype(U), 4)
+
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Cut a string column into chunks; nulls count as empty."""
@@ -120,22 +131,43 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         i = j
 
 
+def packed(column: pa.Array) -> pa.Array:
+    """The texts one by one as zstd frames, for shuffles and tables; nulls stay."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([None if t is None else pack(t) for t in column.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def unpacked(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first, texts): what ``packed`` packed, for neighbouring rows of about ``limit`` bytes (or one row, if that is longer)."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    first, texts, size = 0, [], 0
+    for i, x in enumerate(column):
+        data = None if not x.is_valid else unpack(x.as_buffer())
+        if texts and size + len(data or b"") > limit:
+            yield first, pa.array(texts, pa.binary()).cast(pa.string())
+            first, texts, size = i, [], 0
+        texts.append(data)
+        size += len(data or b"")
+    if texts:
+        yield first, pa.array(texts, pa.binary()).cast(pa.string())
+
+
 class Sequences:
     """Hashes of runs of words of one chunk."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+    def __init__(self, words: np.ndarray, others: np.ndarray | None = None):
+        self.words, self.others = words, others
         self.p1 = _WORDS.prefix(words)
 
     @cached_property
     def p2(self) -> np.ndarray:
-        return _WORDS2.prefix(mix(self.words, 3))
+        return _WORDS2.prefix(self.others)
 
     def first(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(_WORDS.span(self.p1, start, end) + (end - start).astype(U), 1)
 
     def second(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Independent of the first hash: together they identify a run by 128 bits."""
+        """Made from the words' other hashes, so independent of the first: together they identify a run by 128 bits."""
         self.p2  # grows the powers
         return mix(_WORDS2.span(self.p2, start, end) + (end - start).astype(U), 2)
 
