@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best, keep_top, matrix, once, usable, waves
+from .vectors import best, by_waves, keep_top, matrix, once, usable
 
 K, SCALE, TILE = 10, 1024, 2048
 OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("list", pa.int64())])
@@ -68,10 +68,7 @@ def _search(wave, k: int, scale: int, tile: int):
 def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, tile: int = TILE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for every row where ``is_query`` holds."""
     rows = usable(vectors)
-    found = None
-    for wave in waves(rows.where(is_query)):
-        part = rows.mapInArrow(_search(rows.sparkSession.sparkContext.broadcast(wave), k, scale, tile), "query_id long, vec_id long, score long, list long")
-        found = part if found is None else found.unionByName(part)
+    found = by_waves(rows, rows.where(is_query), lambda wave: _search(wave, k, scale, tile), "query_id long, vec_id long, score long, list long")
     if found is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return best(found, k, "score")

@@ -1,8 +1,12 @@
-"""What both vector searches share: clean rows, query waves of bounded size, and merging of top lists."""
+"""What both vector searches share: clean rows, query waves of bounded size, and merging of top lists.
+
+Waves run one after the other: a wave's queries come to the driver, go out as one broadcast, meet all rows, and the tasks'
+lists are stored before the next wave is fetched. So neither the driver nor an executor holds more than one wave.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import materialise
+
 #: Queries of one wave come to the driver and go out as one broadcast; more queries make more waves.
 WAVE_BYTES = 32 << 20
 #: Lists that one merge step brings together for a query.
@@ -46,16 +52,30 @@ def waves(queries: DataFrame, limit: int = WAVE_BYTES) -> Iterator[tuple[np.ndar
             yield table["vec_id"].to_numpy()[order], matrix(table["embedding"].combine_chunks())[order]
 
 
+def by_waves(rows: DataFrame, queries: DataFrame, search: Callable, schema: str) -> DataFrame | None:
+    """The lists that the tasks of all waves find; ``search`` makes a task's function of a broadcast wave. None without queries."""
+    found = None
+    for wave in waves(queries):
+        shared = rows.sparkSession.sparkContext.broadcast(wave)
+        part = materialise(rows.mapInArrow(search(shared), schema))
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def best(found: DataFrame, k: int, score: str) -> DataFrame:
-    """Merge the tasks' lists (query_id, vec_id, score, list) in steps of at most FAN_IN lists; a repeated vec_id counts once."""
+    """Merge the tasks' lists (query_id, vec_id, score, list) as a tree of FAN_IN lists a step; a repeated vec_id counts once."""
     order = [F.col(score).desc(), F.col("vec_id")]
 
     def top(x: DataFrame, by: list[str | Column]) -> DataFrame:
-        return x.withColumn("rank", F.row_number().over(W.partitionBy("query_id", *by).orderBy(*order))).where(F.col("rank") <= k).drop("rank")
-
-    once = found.groupBy("query_id", "vec_id").agg(F.max(score).alias(score), F.min("list").alias("list"))
-    steps = top(once, [F.pmod("list", F.lit(FAN_IN))])
-    return steps.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)
+        return x.withColumn("rank", F.row_number().over(W.partitionBy("query_id", *by).orderBy(*order))).where(F.col("rank") <= k)
+
+    lists = (found.agg(F.max("list").alias("n")).first()["n"] or 0) + 1
+    left = found.groupBy("query_id", "vec_id").agg(F.max(score).alias(score), F.min("list").alias("list"))
+    while lists > FAN_IN:
+        left = top(left.withColumn("list", F.floor(F.col("list") / FAN_IN)), ["list"]).drop("rank")
+        lists = -(-lists // FAN_IN)
+    return top(left, []).select("query_id", "rank", "vec_id", score)
 
 
 def once(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
