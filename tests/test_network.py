@@ -1,5 +1,6 @@
 """Graph, planning, scoring and geometry on small networks laid out in metres."""
 
+import json
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import Row
 
 from velograph import catalog
 from velograph.functions import geo
-from velograph.operators import cost, graph, hulls, planning, polylines, scoring
+from velograph.operators import cost, graph, hulls, planning, polylines, scoring, search
 from velograph.queries import ingest as imports
 from velograph.queries import routes
 from velograph.sources import ingest
@@ -135,6 +136,52 @@ def test_search_equals_brute_force(spark):
         assert got[i] == pytest.approx(best[a, b], abs=1e-6)
 
 
+def test_small_tiles_find_the_same_routes(spark, monkeypatch):
+    """From tiles of some 60 m on: a route is only final when no way around can be cheaper."""
+    rng, n = np.random.default_rng(5), 6
+    kinds = ["shared_use_path", "busy_road", "steps", "quiet_street"]
+    lines = [([(i * 100, j * 100), (i * 100 + d * 100, j * 100 + (1 - d) * 100)], {"category": kinds[int(rng.integers(4))]}) for i in range(n) for j in range(n) for d in (0, 1)]
+    g = graph.build(network(spark, *lines), tolerance_m=0)
+    asks = []
+    for i in range(25):
+        (a, b), (c, d) = rng.uniform(0, 600, (2, 2))
+        p, q = e7(a, b), e7(c, d)
+        asks.append((i, p.lng_e7, p.lat_e7, q.lng_e7, q.lat_e7))
+    ask = spark.createDataFrame(asks, "request_id long, s_lng long, s_lat long, e_lng long, e_lat long")
+    whole = {r["request_id"]: r["cost"] for r in planning.plan(g, ask).collect()}
+    monkeypatch.setattr(search, "TILE_E7", 6000)
+    monkeypatch.setattr(search, "REQUESTS", 3)
+    tiled = {r["request_id"]: r["cost"] for r in planning.plan(g, ask).collect()}
+    assert len(whole) == 25 and all(tiled[i] == pytest.approx(c) for i, c in whole.items())
+
+
+def test_one_way_edges_and_ends_on_one_edge(spark):
+    g = graph.build(network(spark, ([(0, 0), (1000, 0)], {"direction": "forward"}), ([(0, 0), (500, 400), (1000, 0)], {"category": "busy_road"})), tolerance_m=0)
+    there, back = plan(spark, g, (100, 0), (900, 0), one_way=True), plan(spark, g, (900, 0), (100, 0), one_way=True)
+    assert len(there["edges"]) == 1 and abs(there["edges"][0]["to_m"] - there["edges"][0]["from_m"]) == pytest.approx(800, abs=1)
+    assert len(back["edges"]) == 3 and [e["to_m"] > e["from_m"] for e in back["edges"]] == [True, False, True]
+    assert len(plan(spark, g, (900, 0), (100, 0))["edges"]) == 1
+
+
+def test_answer_is_a_feature(spark):
+    g = graph.build(network(spark, ([(0, 0), (100, 0), (300, 0)], {"name": "A"}), ([(300, 0), (300, 200)], {"surface_class": "gravel", "name": None})), tolerance_m=0)
+    a, b = e7(50, 3), e7(300, 150)
+    ask = spark.createDataFrame([(1, a.lng_e7, a.lat_e7, b.lng_e7, b.lat_e7, "avoid_loose", True, False), (2, a.lng_e7, a.lat_e7 + 10_000_000, b.lng_e7, b.lat_e7, "any", False, False)], "request_id long, s_lng long, s_lat long, e_lng long, e_lat long, pref_surface string, avoid_steps boolean, avoid_busy boolean")
+    got = {r["request_id"]: r for r in planning.answers(planning.plan(g, ask), g, ask).collect()}
+    assert got["2"]["status"] == "START_NOT_NEAR_NETWORK" and got["2"]["feature"] is None
+    f = json.loads(got["1"]["feature"])
+    points = f["geometry"]["coordinates"]
+    want = [e7(50, 0), e7(100, 0), e7(300, 0), e7(300, 150)]
+    assert f["type"] == "Feature" and len(points) == 4
+    assert np.allclose(points, [[p.lng_e7 / 1e7, p.lat_e7 / 1e7] for p in want], atol=2e-7)
+    q = f["properties"]
+    assert q["distanceM"] == pytest.approx(400, abs=0.5) and q["avoidedSurfaceM"] == pytest.approx(150, abs=0.5)
+    assert [(x["kind"], x.get("name")) for x in q["legs"]] == [("shared_use_path", "A"), ("shared_use_path", None)]
+    assert q["distanceBySurface"] == pytest.approx({"smooth": 250, "gravel": 150}, abs=0.5)
+    assert q["preferences"] == {"surface": "avoid_loose", "avoidSteps": True, "avoidBusyRoads": False} and set(q["scores"]) == {"skate", "run"}
+    assert q["snap"]["start"]["distanceM"] == pytest.approx(3, abs=0.1)
+
+
 STRETCH = "request_id long, island long, kind string, surface_class string, surface_inferred boolean, smoothness string, hazards array<string>, length_m double"
 
 
@@ -159,9 +206,13 @@ def test_preferences_multiply():
         cost.validate({"a": 0.0})
 
 
-def test_slice_and_hull():
-    lng, lat = polylines.slice_line([0, 1, 2], [0, 0, 0], [0, 10, 20], 15, 5)
-    assert lng.tolist() == [1.5, 1, 0.5]
+def test_slice_and_hull(spark):
+    line = [Row(lng_e7=i * 10_000_000, lat_e7=0) for i in range(3)]
+    d = spark.createDataFrame([(1, line, [0.0, 10.0, 20.0], 15.0, 5.0), (2, line, [0.0, 10.0, 20.0], 10.0, 30.0)], "id long, coordinates array<struct<lng_e7:long,lat_e7:long>>, cum array<double>, from_m double, to_m double")
+    got = {}
+    for r in polylines.sliced(d).orderBy("id", "pos").collect():
+        got.setdefault(r["id"], []).append(r["lng"])
+    assert got == {1: [1.5, 1, 0.5], 2: [1, 2, 2]}  # beyond the end the last point again
     hull = hulls.monotone_chain(np.array([[0, 0], [2, 0], [2, 2], [0, 2], [1, 1], [1, 0]]))
     assert len(hull) == 4
 

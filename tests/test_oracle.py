@@ -37,5 +37,5 @@ def test_equals_sql(spark, duck, name):
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).schema is not None
+def test_gives_rows(spark, name):
+    assert QUERIES[name](spark, FOLDER).count() > 0

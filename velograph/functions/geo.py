@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RADIUS_M, MERCATOR_R, FIXED, WORLD_M = 6_371_008.8, 6_378_137.0, 10_000_000, 40_075_016.686
 #: WGS 84 flattening; metres of a degree as the grid takes it.
 FLATTENING, METRES_PER_DEGREE = 1 / 298.257223563, 111_320.0
+#: Metres of a degree of latitude on the sphere.
+SPHERE_DEGREE_M = RADIUS_M * math.pi / 180
 POINT = "struct<lng_e7:long,lat_e7:long>"
 
 

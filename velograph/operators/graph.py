@@ -119,14 +119,20 @@ def connectors(accepted: DataFrame) -> DataFrame:
 
 
 def with_nodes(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges with end nodes, and nodes numbered by first appearance along the edges."""
-    edges = numbered(runs, "edge_id", F.col("path_id").asc_nulls_last(), F.col("run")).withColumn("length_m", F.element_at(geo.lengths(F.col("coordinates")), -1))
-    ends = edges.select("edge_id", F.posexplode(F.array(F.col("coordinates")[0], F.element_at("coordinates", -1))).alias("which", "p"))
-    first = ends.groupBy("p").agg(F.min(F.struct("edge_id", "which")).alias("first"))
-    nodes = numbered(first, "node_id", F.col("first.edge_id"), F.col("first.which")).select("node_id", "p")
+    """Edges with end nodes, and nodes numbered by first appearance along the edges.
+
+    Numbers are made on keys and end points alone; lines and attributes move once, to meet them.
+    """
+    runs = materialise(runs)
+    ends = runs.select("path_id", "run", F.col("coordinates")[0].alias("from"), F.element_at("coordinates", -1).alias("to"))
+    keys = materialise(numbered(ends, "edge_id", F.col("path_id").asc_nulls_last(), F.col("run")))
+    each = keys.select("edge_id", F.posexplode(F.array("from", "to")).alias("which", "p"))
+    first = each.groupBy("p").agg(F.min(F.struct("edge_id", "which")).alias("first"))
+    nodes = materialise(numbered(first, "node_id", F.col("first.edge_id"), F.col("first.which")).select("node_id", "p"))
     a, b = (nodes.select(F.col("node_id").alias(f"{n}_node"), F.col("p").alias(n)) for n in ("from", "to"))
-    named = edges.withColumns({"from": F.col("coordinates")[0], "to": F.element_at("coordinates", -1)}).join(a, "from").join(b, "to").drop("from", "to")
-    return named, nodes.select("node_id", "p.lng_e7", "p.lat_e7")
+    named = keys.join(a, "from").join(b, "to").select(F.col("path_id").alias("path_"), F.col("run").alias("run_"), "edge_id", "from_node", "to_node")
+    edges = runs.join(named, F.col("path_id").eqNullSafe(F.col("path_")) & (F.col("run") == F.col("run_"))).drop("path_", "run_")
+    return edges.withColumn("length_m", F.element_at(geo.lengths(F.col("coordinates")), -1)), nodes.select("node_id", "p.lng_e7", "p.lat_e7")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -152,8 +158,7 @@ def build(segments: DataFrame, tolerance_m: float = BRIDGE_M) -> Graph:
         points, lines, runs = points.unionByName(new).distinct(), splice(lines, accepted), connectors(accepted)
     split = split_edges(lines, points)
     edges, nodes = with_nodes(split if runs is None else split.unionByName(runs))
-    edges, nodes = materialise(edges), materialise(nodes)
-    return Graph(edges, nodes, lines.count())
+    return Graph(materialise(edges), nodes, lines.count())
 
 
 def stats(g: Graph) -> DataFrame:

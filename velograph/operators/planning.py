@@ -2,61 +2,18 @@
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions import vocab as V
-from ..runtime import materialise
-from . import cost, polylines
-from .graph import Graph
+from ..functions.exprs import half_up
+from ..runtime import materialise, release
+from . import cost, polylines, scoring, search
+from .graph import Graph, adjacency
 from .snap import MAX_SNAP_M, snap, snap_preferring
 
-#: A graph of at most this many edges goes to the workers as arrays; a larger one raises.
-BROADCAST_EDGES = 20_000_000
-
-
-class Arcs:
-    """Compressed adjacency, for searches under any edge costs."""
-
-    def __init__(self, edges: pd.DataFrame, nodes: int):
-        self.frm, self.to = edges["from_node"].to_numpy(), edges["to_node"].to_numpy()
-        loop = self.frm == self.to
-        ends = np.concatenate([self.frm, self.to[~loop]])
-        ids = np.concatenate([np.arange(len(edges)), np.flatnonzero(~loop)])
-        order = np.argsort(ends, kind="stable")
-        self.ids, self.offset = ids[order], np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=nodes))])
-
-    def cheapest(self, price: np.ndarray, starts: list[tuple[int, float]], goals: dict[int, float]) -> tuple[float, list[int]] | None:
-        """Least cost from any start (with its cost so far) to any goal (with its cost to come), and the edges taken."""
-        best, via, done, heap = {}, {}, set(), []
-        for node, c in starts:
-            if c < best.get(node, np.inf):
-                best[node] = c
-                heapq.heappush(heap, (c, node))
-        top, end = np.inf, None
-        while heap and heap[0][0] < top:
-            c, node = heapq.heappop(heap)
-            if node in done:
-                continue
-            done.add(node)
-            if node in goals and c + goals[node] < top:
-                top, end = c + goals[node], node
-            for e in self.ids[self.offset[node] : self.offset[node + 1]]:
-                other = self.to[e] if self.frm[e] == node else self.frm[e]
-                if (reach := c + price[e]) < best.get(other, np.inf):
-                    best[other], via[other] = reach, (node, e)
-                    heapq.heappush(heap, (reach, other))
-        if end is None:
-            return None
-        path, node = [], end
-        while node in via:
-            node, e = via[node]
-            path.append(int(e))
-        return top, path[::-1]
+OWN = ("pref_surface", "avoid_steps", "avoid_busy")
 
 
 def _best_pair(g: Graph, points: DataFrame, snaps: DataFrame, max_m: float) -> DataFrame:
@@ -96,25 +53,26 @@ def _best_pair(g: Graph, points: DataFrame, snaps: DataFrame, max_m: float) -> D
     return fine.unionByName(scored.where("c IS NOT NULL").select("request_id", "c.start", "c.end"))
 
 
-def plan(g: Graph, requests: DataFrame, profile: str = V.PREFER_PATHS, surface: str = "any", avoid_steps: bool = False, avoid_busy: bool = False, max_m: float = MAX_SNAP_M) -> DataFrame:
+def plan(g: Graph, requests: DataFrame, profile: str = V.PREFER_PATHS, surface: str = "any", avoid_steps: bool = False, avoid_busy: bool = False, max_m: float = MAX_SNAP_M, one_way: bool = False) -> DataFrame:
     """(request_id, status, cost, start, end, edges): one row per request (request_id, s_lng, s_lat, e_lng, e_lat).
 
-    A request's own pref_surface, avoid_steps and avoid_busy, where it has them, stand before the arguments.
+    A request's own profile, pref_surface, avoid_steps and avoid_busy, where it has them, stand before the arguments. With
+    ``one_way`` edges are travelled in their direction only.
 
     Edges are (edge_id, from_m, to_m) in travel order; the first and last are parts. Status is OK, START_NOT_NEAR_NETWORK,
     END_NOT_NEAR_NETWORK or NO_ROUTE.
     """
-    spark = requests.sparkSession
     rid = F.col("request_id").cast("string")
-    own = {"pref_surface": surface, "avoid_steps": avoid_steps, "avoid_busy": avoid_busy}
+    own = dict(zip(("profile", *OWN), (profile, surface, avoid_steps, avoid_busy), strict=True))
     requests = requests.withColumns({c: F.coalesce(c, F.lit(v)) if c in requests.columns else F.lit(v) for c, v in own.items()})
+    # at most as many as there are combinations of profiles and preferences
     combinations = sorted(tuple(r) for r in requests.select(*own).distinct().collect())
-    tables = [cost.effective(profile, *c) for c in combinations]
+    tables = [cost.effective(*c) for c in combinations]
     pref = F.lit(0)
     for i, c in enumerate(combinations):
-        pref = F.when(cost.preferences_key(*map(F.col, own)) == cost.preferences_key(*map(F.lit, c)), i).otherwise(pref)
+        pref = F.when((F.col("profile") == c[0]) & (cost.preferences_key(*map(F.col, OWN)) == cost.preferences_key(*map(F.lit, c[1:]))), i).otherwise(pref)
     bad = F.array().cast("array<string>")
-    for s in {c[0] for c in combinations}:
+    for s in {c[1] for c in combinations}:
         bad = F.when(F.col("pref_surface") == s, F.array(*map(F.lit, cost.avoided(s))).cast("array<string>")).otherwise(bad)
     points = requests.select(rid.alias("r"), bad.alias("avoid"), F.explode(F.array(*(F.struct(F.lit(t).alias("side"), F.col(f"{p}_lng").alias("lng_e7"), F.col(f"{p}_lat").alias("lat_e7")) for t, p in ((":s", "s"), (":e", "e"))))).alias("p"))
     points = points.select(F.concat("r", "p.side").alias("point_id"), "p.lng_e7", "p.lat_e7", "avoid")
@@ -122,59 +80,9 @@ def plan(g: Graph, requests: DataFrame, profile: str = V.PREFER_PATHS, surface:
     snaps = materialise(snap_preferring(points, g.edges, max_m))
     pairs = materialise(_best_pair(g, points, snaps, max_m))
 
-    priced = g.edges.select("edge_id", "from_node", "to_node", "length_m", *(cost.edge_cost(F.col("length_m"), F.col("kind"), F.col("hazards"), F.col("surface_class"), t).alias(f"cost_{i}") for i, t in enumerate(tables)))
-    if priced.count() > BROADCAST_EDGES:
-        raise ValueError("the graph is too large for one search; plan by region")
-    table = priced.orderBy("edge_id").toPandas()
-    shared = spark.sparkContext.broadcast((table, g.nodes.count()))
-
-    def search(batches):
-        edges, n = shared.value
-        arcs = Arcs(edges, n)
-        frm, to, length = (edges[c].to_numpy() for c in ("from_node", "to_node", "length_m"))
-        prices = [edges[f"cost_{i}"].to_numpy() for i in range(len(tables))]
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                s, e, price = int(r.s_edge), int(r.e_edge), prices[r.pref]
-                per = [price[x] / length[x] if length[x] > 0 else 0.0 for x in (s, e)]
-                starts = [(int(frm[s]), r.s_along * per[0]), (int(to[s]), (length[s] - r.s_along) * per[0])]
-                goals = {}
-                for node, c in ((int(frm[e]), r.e_along * per[1]), (int(to[e]), (length[e] - r.e_along) * per[1])):
-                    goals[node] = min(c, goals.get(node, np.inf))
-                found = arcs.cheapest(price, starts, goals)
-                direct = abs(r.e_along - r.s_along) * per[0] if s == e else np.inf
-                if found is None and direct == np.inf:
-                    continue
-                if found is None or direct <= found[0]:
-                    rows.append((r.request_id, float(direct), [(s, float(r.s_along), float(r.e_along))]))
-                    continue
-                total, path = found
-                # the node where the first part ends: the start of the path, or of the last part if there is none between
-                ends = [(int(frm[s]), 0.0), (int(to[s]), float(length[s]))]
-                legs = None
-                for node, at in ends:
-                    here, mid, ok = node, [], True
-                    for x in path:
-                        if here == frm[x]:
-                            mid.append((x, 0.0, float(length[x])))
-                            here = int(to[x])
-                        elif here == to[x]:
-                            mid.append((x, float(length[x]), 0.0))
-                            here = int(frm[x])
-                        else:
-                            ok = False
-                            break
-                    for goal, back in ((int(frm[e]), 0.0), (int(to[e]), float(length[e]))) if ok else ():
-                        if here == goal:
-                            c = abs(at - r.s_along) * per[0] + sum(price[x] for x in path) + abs(back - r.e_along) * per[1]
-                            if legs is None or c < legs[0]:
-                                legs = (c, [(s, float(r.s_along), at), *mid, (e, back, float(r.e_along))])
-                rows.append((r.request_id, float(total), [x for x in legs[1] if x[1] != x[2]]))
-            yield pd.DataFrame(rows, columns=["request_id", "cost", "edges"])
-
-    ask = pairs.join(requests.select(rid.alias("request_id"), pref.cast("int").alias("pref")), "request_id").select("request_id", "pref", F.col("start.edge_id").alias("s_edge"), F.col("start.along_m").alias("s_along"), F.col("end.edge_id").alias("e_edge"), F.col("end.along_m").alias("e_along"))
-    found = ask.repartition("request_id").mapInPandas(search, "request_id string, cost double, edges array<struct<edge_id:long,from_m:double,to_m:double>>")
+    sides = [F.col(f"{n}.{c}").alias(f"{n[0]}_{a}") for n in ("start", "end") for c, a in (("edge_id", "edge"), ("along_m", "along"), ("lng", "lng"), ("lat", "lat"))]
+    ask = pairs.join(requests.select(rid.alias("request_id"), pref.cast("int").alias("pref")), "request_id").select("request_id", "pref", *sides)
+    found = search.cheapest(g.edges, ask, tables, [cost.least_per_metre(t) for t in tables], one_way)
     near = snaps.select("point_id").groupBy(F.expr("left(point_id, length(point_id) - 2)").alias("request_id")).agg(*(F.max(F.when(F.col("point_id").endswith(t), True)).alias(n) for t, n in ((":s", "has_start"), (":e", "has_end"))))
     status = F.when(F.col("has_start").isNull(), "START_NOT_NEAR_NETWORK").when(F.col("has_end").isNull(), "END_NOT_NEAR_NETWORK").when(F.col("cost").isNull(), "NO_ROUTE").otherwise("OK")
     everything = requests.select(rid.alias("request_id")).join(near, "request_id", "left").join(pairs, "request_id", "left").join(found, "request_id", "left")
@@ -199,3 +107,62 @@ STRETCH = ["kind", "surface_class", "surface_inferred", "smoothness", "hazards"]
 def stretches(route: DataFrame) -> DataFrame:
     """Runs that agree in all that matters for scoring."""
     return polylines.islands(route, "request_id", "seq", STRETCH).groupBy("request_id", "island").agg(*(F.first(c).alias(c) for c in STRETCH), F.sum("length_m").alias("length_m"))
+
+
+def route_lines(plans: DataFrame, g: Graph) -> DataFrame:
+    """(request_id, coordinates): each route's points in degrees, where parts meet once."""
+    steps = plans.where("status = 'OK'").select("request_id", F.posexplode("edges").alias("seq", "e")).select("request_id", "seq", "e.*")
+    lines = g.edges.select("edge_id", "coordinates", geo.lengths(F.col("coordinates")).alias("cum"))
+    parts = steps.join(lines, "edge_id").select("request_id", F.struct("seq", polylines.between(F.col("coordinates"), F.col("cum"), F.col("from_m"), F.col("to_m")).alias("line")).alias("part"))
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p, i: F.when(i == 0, p["line"]).otherwise(F.slice(p["line"], F.lit(2), F.greatest(F.size(p["line"]) - 1, F.lit(0))))))
+    return parts.groupBy("request_id").agg(joined.alias("coordinates"))
+
+
+def answers(plans: DataFrame, g: Graph, requests: DataFrame, profile: str = V.PREFER_PATHS) -> DataFrame:
+    """(request_id, status, feature): each route as a GeoJSON Feature with its legs, sums, scores and snaps; metres and cost to
+    one digit. A request without a route has its status only."""
+    route = materialise(route_edges(plans, g))
+    one = lambda c: half_up(c, 1)
+    own = requests.select(F.col("request_id").cast("string").alias("request_id"), *(F.coalesce(c, F.lit(v)).alias(c) if c in requests.columns else F.lit(v).alias(c) for c, v in (("profile", profile), ("pref_surface", "any"), ("avoid_steps", False), ("avoid_busy", False))))
+    bad = F.lit(False)
+    for s in V.SURFACE_PENALTIES:
+        bad = bad | ((F.col("pref_surface") == s) & F.col("surface_class").isin(*cost.avoided(s)))
+    total = route.join(own.select("request_id", "pref_surface"), "request_id").groupBy("request_id").agg(
+        one(F.sum("length_m")).alias("distanceM"),
+        one(F.sum(F.when(F.col("surface_inferred"), F.col("length_m")).otherwise(0.0))).alias("inferredSurfaceM"),
+        one(F.sum(F.when(bad, F.col("length_m")).otherwise(0.0))).alias("avoidedSurfaceM"),
+    )
+
+    def sums(by: str, name: str) -> DataFrame:
+        each = route.groupBy("request_id", by).agg(one(F.sum("length_m")).alias("m"))
+        return each.groupBy("request_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(by, "m")))).alias(name))
+
+    leg = legs(route).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("island", "kind", "name", one(F.col("length_m")).alias("lengthM")))).alias("legs"))
+    leg = leg.select("request_id", F.transform("legs", lambda x: F.struct(x["kind"].alias("kind"), x["name"].alias("name"), x["lengthM"].alias("lengthM"))).alias("legs"))
+    score = scoring.scores(materialise(stretches(route))).groupBy("request_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("activity", F.struct("score", "rating", "confidence"))))).alias("scores"))
+    full = plans.join(own, "request_id")
+    for part in (route_lines(plans, g), total, leg, sums("kind", "distanceByKind"), sums("surface_class", "distanceBySurface"), score):
+        full = full.join(part, "request_id", "left")
+    snapped = lambda n: F.struct(F.array(f"{n}.lng", f"{n}.lat").alias("point"), one(F.col(f"{n}.distance_m")).alias("distanceM")).alias(n)
+    properties = F.struct(
+        "profile", F.struct(F.col("pref_surface").alias("surface"), F.col("avoid_steps").alias("avoidSteps"), F.col("avoid_busy").alias("avoidBusyRoads")).alias("preferences"), "avoidedSurfaceM", "scores",
+        F.coalesce("distanceM", F.lit(0.0)).alias("distanceM"), one(F.col("cost")).alias("cost"), "legs", "distanceByKind", "distanceBySurface", "inferredSurfaceM", F.struct(snapped("start"), snapped("end")).alias("snap"),
+    )
+    line = F.struct(F.lit("LineString").alias("type"), F.transform("coordinates", lambda p: F.array(p["lng"], p["lat"])).alias("coordinates"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), properties.alias("properties")))
+    return full.select("request_id", "status", F.when(F.col("status") == "OK", feature).alias("feature"))
+
+
+def reach(edges: DataFrame, sources: DataFrame, price: DataFrame) -> DataFrame:
+    """(node, cost): least cost from any of ``sources`` (node) to every node that can be reached, by rounds of joins: the arcs of
+    the nodes that got cheaper in the last round, and the least of what they offer each node. ``price``: edge_id, price."""
+    arcs = materialise(adjacency(edges).join(price, "edge_id").select("node", "other", "price"))
+    known = materialise(sources.select("node", F.lit(0.0).alias("cost")).distinct())
+    fresh = known
+    while not fresh.isEmpty():
+        offers = fresh.join(arcs, "node").groupBy(F.col("other").alias("node")).agg(F.min(F.col("cost") + F.col("price")).alias("offer"))
+        better = materialise(offers.join(known, "node", "left").where("cost IS NULL OR offer < cost").select("node", F.col("offer").alias("cost")))
+        old, known = known, materialise(known.join(better.select("node"), "node", "left_anti").unionByName(better))
+        release(old)
+        fresh = better
+    return known

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,29 +50,18 @@ def point_at(coords: Column, cum: Column, metres: Column) -> Column:
     return bind(bind(bind(at, piece), share), place)
 
 
-def slice_line(lng, lat, cum, from_m: float, to_m: float) -> tuple[np.ndarray, np.ndarray]:
-    """The polyline between two distances: ends interpolated, vertices strictly between kept; backwards if from > to."""
-    lng, lat, cum = (np.asarray(x, float) for x in (lng, lat, cum))
-    lo, hi = min(from_m, to_m), max(from_m, to_m)
-    inner = (cum > lo) & (cum < hi)
-    # interp takes the last of equal distances, as a zero-length piece has one place only
-    out = [np.concatenate([[np.interp(lo, cum, x)], x[inner], [np.interp(hi, cum, x)]]) for x in (lng, lat)]
-    return tuple(x[::-1] for x in out) if from_m > to_m else tuple(out)
+def between(coords: Column, cum: Column, from_m: Column, to_m: Column) -> Column:
+    """The polyline between two distances in degrees: ends interpolated, vertices strictly between kept; backwards if from > to."""
+    lo, hi = F.least(from_m, to_m), F.greatest(from_m, to_m)
+    inner = F.filter(F.arrays_zip(coords.alias("p"), cum.alias("c")), lambda v: (v["c"] > lo) & (v["c"] < hi))
+    whole = F.concat(F.array(point_at(coords, cum, lo)), F.transform(inner, lambda v: F.struct(geo.degrees(v["p"]["lng_e7"]).alias("lng"), geo.degrees(v["p"]["lat_e7"]).alias("lat"))), F.array(point_at(coords, cum, hi)))
+    return F.when(from_m > to_m, F.reverse(whole)).otherwise(whole)
 
 
 def sliced(df: DataFrame) -> DataFrame:
     """(id, pos, lng, lat) of each line (id, coordinates, cum) between from_m and to_m."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                x, y = slice_line([p["lng_e7"] / geo.FIXED for p in r.coordinates], [p["lat_e7"] / geo.FIXED for p in r.coordinates], r.cum, r.from_m, r.to_m)
-                out.append(pd.DataFrame({"id": r.id, "pos": np.arange(len(x), dtype=np.int32), "lng": x, "lat": y}))
-            if out:
-                yield pd.concat(out)
-
-    return df.select("id", "coordinates", "cum", "from_m", "to_m").mapInPandas(run, "id long, pos int, lng double, lat double")
+    line = between(F.col("coordinates"), F.col("cum"), F.col("from_m"), F.col("to_m"))
+    return df.select("id", F.posexplode(line).alias("pos", "p")).select("id", "pos", "p.lng", "p.lat")
 
 
 def cells(a: Column, b: Column, size_e7: int) -> list[Column]:

@@ -87,8 +87,12 @@ def quantise(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", geo.to_e7(C("value") - 50).alias("e7"))
 
 
+def _pieces_sql(p: str, q: str, n: int) -> str:
+    return f"SELECT id, {n} AS piece, least({p}_lng, {q}_lng) AS x0, greatest({p}_lng, {q}_lng) AS x1, least({p}_lat, {q}_lat) AS y0, greatest({p}_lat, {q}_lat) AS y1 FROM raw"
+
+
 @query(
-    f"WITH {RAW}, {VERTICES}, p AS (SELECT a.id, a.pos AS piece, least(a.lng, b.lng) AS x0, greatest(a.lng, b.lng) AS x1, least(a.lat, b.lat) AS y0, greatest(a.lat, b.lat) AS y1 FROM vtx a JOIN vtx b ON a.id = b.id AND b.pos = a.pos + 1), "
+    f"WITH {RAW}, p AS ({_pieces_sql('a', 'm', 0)} UNION ALL {_pieces_sql('m', 'b', 1)}), "
     f"x AS (SELECT *, unnest(range(CAST(floor(x0 / {CELL}) AS BIGINT), CAST(floor(x1 / {CELL}) AS BIGINT) + 1)) AS cx FROM p) SELECT id, CAST(piece AS INTEGER) AS piece, cx, unnest(range(CAST(floor(y0 / {CELL}) AS BIGINT), CAST(floor(y1 / {CELL}) AS BIGINT) + 1)) AS cy FROM x"
 )
 def grid_cells(spark, sf_dir):
@@ -145,7 +149,16 @@ def simplify(spark, sf_dir):
     return hulls.simplified(network.paths(spark, sf_dir).select("id", "coordinates"), tolerance_m=5.0)
 
 
-@query()
+#: Gift wrapping: the next corner has no point to the right of the way to it, and none farther on it.
+_TURN = "(q.lng_e7 - h.lng_e7) * (z.lat_e7 - h.lat_e7) - (q.lat_e7 - h.lat_e7) * (z.lng_e7 - h.lng_e7)"
+_FARTHER = "abs(z.lng_e7 - h.lng_e7) + abs(z.lat_e7 - h.lat_e7) > abs(q.lng_e7 - h.lng_e7) + abs(q.lat_e7 - h.lat_e7)"
+
+
+@query(
+    f"WITH RECURSIVE {POINTS}, g AS (SELECT DISTINCT id % 16 AS grp, lng_e7, lat_e7 FROM pts), first AS (SELECT grp, lng_e7, lat_e7 FROM g QUALIFY row_number() OVER (PARTITION BY grp ORDER BY lng_e7, lat_e7) = 1), "
+    "h AS (SELECT grp, 0 AS pos, lng_e7, lat_e7 FROM first UNION ALL SELECT n.grp, n.pos, n.lng_e7, n.lat_e7 FROM (SELECT h.grp, h.pos + 1 AS pos, q.lng_e7, q.lat_e7 FROM h JOIN g q ON q.grp = h.grp AND (q.lng_e7 <> h.lng_e7 OR q.lat_e7 <> h.lat_e7) "
+    f"JOIN g z ON z.grp = h.grp GROUP BY h.grp, h.pos, q.lng_e7, q.lat_e7 HAVING NOT bool_or({_TURN} < 0 OR {_TURN} = 0 AND {_FARTHER})) n ANTI JOIN first f ON f.grp = n.grp AND f.lng_e7 = n.lng_e7 AND f.lat_e7 = n.lat_e7) SELECT grp, pos, lng_e7, lat_e7 FROM h"
+)
 def convex_hull(spark, sf_dir):
     return hulls.group_hulls(network.points(spark, sf_dir).select((C("id") % 16).alias("grp"), "lng_e7", "lat_e7"), "grp")
 

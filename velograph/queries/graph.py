@@ -61,7 +61,12 @@ def bridge_candidates(spark, sf_dir):
     return graph.bridge_candidates(_segments(spark, sf_dir)).select("id", "at_end", "target", "piece", half_up(C("t"), 6).alias("t"))
 
 
-@query()
+#: On the lattice no gap touches another one, so every candidate is accepted.
+_HIT = lambda c: f"CASE WHEN t <= 1e-9 THEN a_{c} WHEN t >= 1 - 1e-9 THEN b_{c} ELSE CAST(floor(({base.deg(f'a_{c}')} + ({base.deg(f'b_{c}')} - {base.deg(f'a_{c}')}) * t) * 10000000::DOUBLE + 0.5::DOUBLE) AS BIGINT) END"
+BRIDGES = f"{VERTICES}, {JUNCTIONS}, {PIECES}, {DANGLING}, {nearest_sql('dp', graph.BRIDGE_M, 'self <> id').replace('SELECT DISTINCT pid,', 'SELECT DISTINCT pid, self,')}, bridge AS (SELECT self AS id, CAST(pid % 2 AS INTEGER) AS at_end, id AS target, CAST(piece AS INTEGER) AS piece, t <= 1e-9 OR t >= 1 - 1e-9 AS is_vertex, t, p_lng, p_lat, {_HIT('lng')} AS hit_lng_e7, {_HIT('lat')} AS hit_lat_e7 FROM best)"
+
+
+@query(f"WITH {RAW}, {BRIDGES} SELECT id, at_end, target, piece, is_vertex, hit_lng_e7, hit_lat_e7 FROM bridge")
 def bridge_gaps(spark, sf_dir):
     c = graph.accept_bridges(graph.bridge_candidates(_segments(spark, sf_dir)))
     return c.select("id", "at_end", "target", "piece", "is_vertex", C("hit.lng_e7").alias("hit_lng_e7"), C("hit.lat_e7").alias("hit_lat_e7"))
@@ -146,9 +151,22 @@ def intern_names(spark, sf_dir):
     return sets.withColumn("ix", (F.dense_rank().over(W.orderBy("name", "hazards")) - 1).cast("long"))
 
 
-@query()
+#: Lines with the places where bridges meet them, cut there and at junctions; bridges come last, by the end they start from.
+_BRIDGED = (
+    f"{BRIDGES}, vx AS (SELECT id, CAST(pos AS DOUBLE) AS o, lng, lat FROM vtx UNION ALL SELECT target, piece + t, hit_lng_e7, hit_lat_e7 FROM bridge WHERE NOT is_vertex), "
+    "cutp AS (SELECT lng, lat, true AS hit FROM jn UNION SELECT p_lng, p_lat, true FROM bridge UNION SELECT hit_lng_e7, hit_lat_e7, true FROM bridge), "
+    "mark AS (SELECT vx.*, row_number() OVER w AS n, CASE WHEN hit AND row_number() OVER w > 1 AND lead(id) OVER w IS NOT NULL THEN 1 ELSE 0 END AS mid FROM vx LEFT JOIN cutp USING (lng, lat) WINDOW w AS (PARTITION BY id ORDER BY o)), "
+    "pc AS (SELECT id, n, lng AS p_lng, lat AS p_lat, lead(lng) OVER w AS q_lng, lead(lat) OVER w AS q_lat, sum(mid) OVER w AS run FROM mark WINDOW w AS (PARTITION BY id ORDER BY n)), "
+    f"run AS (SELECT id AS path_id, CAST(run AS BIGINT) AS run, arg_min(p_lng, n) AS f_lng, arg_min(p_lat, n) AS f_lat, arg_max(q_lng, n) AS t_lng, arg_max(q_lat, n) AS t_lat, sum({base.haversine_e7('p', 'q')}) AS len FROM pc WHERE q_lng IS NOT NULL GROUP BY ALL), "
+    f"con AS (SELECT id * 2 + at_end AS run, p_lng, p_lat, hit_lng_e7, hit_lat_e7, {base.haversine(base.deg('p_lng'), base.deg('p_lat'), base.deg('hit_lng_e7'), base.deg('hit_lat_e7'))} AS len FROM bridge), "
+    "both_ AS (SELECT path_id, run, f_lng, f_lat, t_lng, t_lat, len, category AS kind FROM run JOIN (SELECT id, category FROM net) n ON n.id = path_id UNION ALL SELECT NULL, run, p_lng, p_lat, hit_lng_e7, hit_lat_e7, len, 'connector' FROM con), "
+    "edge AS (SELECT *, row_number() OVER (ORDER BY path_id NULLS LAST, run) - 1 AS edge_id FROM both_)" + EDGES.split("FROM run)")[1]
+)
+
+
+@query(f"WITH {SEG}, {_BRIDGED} SELECT edge_id, path_id, kind, from_node, to_node, {base.half_up('len', 3)} AS length_m FROM ends")
 def build_graph(spark, sf_dir):
-    return graph.build(_segments(spark, sf_dir)).edges.select("edge_id", "path_id", "kind", "from_node", "to_node", "length_m")
+    return graph.build(_segments(spark, sf_dir)).edges.select("edge_id", "path_id", "kind", "from_node", "to_node", half_up(C("length_m"), 3).alias("length_m"))
 
 
 @query()

@@ -11,7 +11,9 @@ from ..functions.exprs import half_up
 from ..operators import cost, graph, planning
 from ..sources import network
 from . import base
-from .base import LENGTH, REQUESTS, ROUTES, SEG, case, query, strings
+from .base import LENGTH, REQUESTS, ROUTES, SEG, VERTICES, case, query, strings
+from .geometry import PIECES, RAW
+from .graph import EDGES, nearest_sql
 
 C = F.col
 PROFILES = (V.PREFER_PATHS, V.SHORTEST)
@@ -191,9 +193,45 @@ def plan_routes(spark, sf_dir):
     return p.select("request_id", "status", half_up(C("cost"), 3).alias("cost"), F.size("edges").alias("edges"))
 
 
-@query()
+_ENDS = "ends_ AS (SELECT request_id * 2 AS pid, 1449000000 + x0 * 10000 + 120 AS p_lng, -385000000 + y0 * 10000 + 80 AS p_lat FROM req UNION ALL SELECT request_id * 2 + 1, 1449000000 + (x0 + dx) * 10000 - 90, -385000000 + (y0 + dy) * 10000 + 60 FROM req)"
+
+
+@query(
+    f"WITH {REQUESTS}, {RAW}, {VERTICES}, {PIECES}, {_ENDS}, {nearest_sql('ends_', 0.9)}, s AS (SELECT request_id, bool_or(pid = request_id * 2) AS a, bool_or(pid = request_id * 2 + 1) AS b FROM req LEFT JOIN best ON pid // 2 = request_id GROUP BY request_id) "
+    "SELECT CASE WHEN NOT coalesce(a, false) THEN 'START_NOT_NEAR_NETWORK' WHEN NOT b THEN 'END_NOT_NEAR_NETWORK' ELSE 'OK' END AS status, count(*) AS n FROM s GROUP BY 1"
+)
 def plan_status(spark, sf_dir):
-    return _plans(spark, sf_dir, max_m=3.0)[1].groupBy("status").agg(F.count("*").alias("n"))
+    """Statuses on a network without bridges, with ends at most 0.9 m from it; the lattice hangs together."""
+    g = graph.build(network.segments(network.paths(spark, sf_dir)), tolerance_m=0)
+    return planning.plan(g, _ends(spark, sf_dir), max_m=0.9).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {REQUESTS}, {RAW} SELECT CAST(request_id AS VARCHAR) AS request_id, 'OK' AS status, {base.half_up(base.haversine_e7('a', 'm') + ' / 2', 3)} AS cost FROM req JOIN raw ON id = src * 3 WHERE dir = 0"
+)
+def same_edge_route(spark, sf_dir):
+    """From the middle of an east segment's first piece to its second vertex: along the edge, by the shortest profile."""
+    first = network.paths(spark, sf_dir).where("dir = 0").select("id", C("coordinates")[0].alias("a"), C("coordinates")[1].alias("m"))
+    r = network.requests(spark, sf_dir).select("request_id", (C("src") * 3).alias("id")).join(first, "id")
+    ask = r.select("request_id", *((F.floor((C(f"a.{c}_e7") + C(f"m.{c}_e7")) / 2)).cast("long").alias(f"s_{c}") for c in ("lng", "lat")), *(C(f"m.{c}_e7").alias(f"e_{c}") for c in ("lng", "lat")))
+    g = graph.build(network.segments(network.paths(spark, sf_dir)), tolerance_m=0)
+    return planning.plan(g, ask, V.SHORTEST).select("request_id", "status", half_up(C("cost"), 3).alias("cost"))
+
+
+_PRICE = _priced(cost.effective(V.PREFER_PATHS)).replace(f"({LENGTH})", "len")
+
+
+@query(
+    f"WITH RECURSIVE {SEG}, {EDGES}, cost_ AS (SELECT e.*, {_PRICE} AS price FROM ends e JOIN (SELECT id, category, hazards, surface_class FROM net) n ON n.id = e.path_id), "
+    "arc AS (SELECT from_node AS node, to_node AS other, price FROM cost_ UNION ALL SELECT to_node, from_node, price FROM cost_ WHERE from_node <> to_node), src AS (SELECT DISTINCT from_node AS node FROM ends WHERE path_id % 30 = 0 AND run = 0), "
+    "r(node, cost) USING KEY (node) AS (SELECT node, 0::DOUBLE FROM src UNION SELECT n.node, n.cost FROM (SELECT other AS node, min(r.cost + price) AS cost FROM r JOIN arc ON arc.node = r.node GROUP BY other) n LEFT JOIN recurring.r s ON s.node = n.node WHERE s.cost IS NULL OR n.cost < s.cost) "
+    f"SELECT node, {base.half_up('cost', 3)} AS cost FROM r"
+)
+def shortest_path_cost(spark, sf_dir):
+    """Least cost from every tenth crossing to every node."""
+    e = graph.build(network.segments(network.paths(spark, sf_dir)), tolerance_m=0).edges
+    price = e.select("edge_id", cost.edge_cost(C("length_m"), C("kind"), C("hazards"), C("surface_class"), cost.effective(V.PREFER_PATHS)).alias("price"))
+    return planning.reach(e, e.where("path_id % 30 = 0 AND run = 0").select(C("from_node").alias("node")), price).select("node", half_up(C("cost"), 3).alias("cost"))
 
 
 @query()
@@ -219,12 +257,15 @@ def connected_snap(spark, sf_dir):
 
 
 @query()
-def route_query(spark, sf_dir):
-    """Whole answers: distance, cost, legs and stretches as JSON."""
+def route_geojson(spark, sf_dir):
+    """Each route's line as a GeoJSON geometry."""
     g, p = _plans(spark, sf_dir)
-    route = planning.route_edges(p, g)
-    s = planning.stretches(route)
-    per = s.groupBy("request_id").agg(half_up(F.sum("length_m"), 1).alias("distance_m"), F.to_json(F.array_sort(F.collect_list(F.struct("island", "kind", "surface_class", half_up(C("length_m"), 1).alias("length_m"))))).alias("stretches"))
-    return p.select("request_id", "status", half_up(C("cost"), 1).alias("cost")).join(per, "request_id", "left")
+    line = F.struct(F.lit("LineString").alias("type"), F.transform("coordinates", lambda c: F.array(c["lng"], c["lat"])).alias("coordinates"))
+    return planning.route_lines(p, g).select("request_id", F.size("coordinates").alias("points"), F.to_json(line).alias("geometry"))
 
 
+@query()
+def route_query(spark, sf_dir):
+    """Whole answers as GeoJSON Features, by each request's own preferences."""
+    g, p = _plans(spark, sf_dir)
+    return planning.answers(p, g, _ends(spark, sf_dir))
