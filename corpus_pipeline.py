@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from velograph.llm import minhash, mixing, packing, quality, substring
 from velograph.llm.queries import word_tokenizer
-from velograph.runtime import prepare, shared_folder
+from velograph.runtime import prepare, remove, scratch, shared_folder
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,15 +47,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; what each returns goes through the shared folder."""
+    """Apply all stages to ``documents``; what each returns goes through the shared folder, and what isn't needed any more goes."""
     prepare(spark)
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
 
 
-#: The classifier and the tokenizer have no SQL; tests hold every stage against brute force.
+#: The classifier and the tokenizer have no SQL; tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
