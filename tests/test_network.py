@@ -4,12 +4,13 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 
 from velograph import catalog
 from velograph.functions import geo
-from velograph.operators import cost, graph, hulls, planning, polylines, scoring, search
+from velograph.operators import cost, graph, hulls, planning, polylines, scoring, search, tiles
 from velograph.queries import ingest as imports
 from velograph.queries import routes
 from velograph.sources import ingest
@@ -222,6 +223,78 @@ def test_clip_leaves_and_enters_again():
     assert [p.tolist() for p in parts] == [[[0, 5], [5, 5], [5, 10]], [[10, 5], [5, 5]]]
 
 
+def fields(data):
+    """(number, value) of a protobuf message."""
+    def varint(i):
+        n, shift = 0, 0
+        while True:
+            n |= (data[i] & 127) << shift
+            shift, i = shift + 7, i + 1
+            if data[i - 1] < 128:
+                return n, i
+
+    i, out = 0, []
+    while i < len(data):
+        key, i = varint(i)
+        n, i = varint(i)
+        if key & 7 == 2:
+            n, i = data[i : i + n], i + n
+        out.append((key >> 3, n))
+    return out
+
+
+def varints(data):
+    out, n, shift = [], 0, 0
+    for b in data:
+        n |= (b & 127) << shift
+        shift += 7
+        if b < 128:
+            out.append(n)
+            n, shift = 0, 0
+    return out
+
+
+def test_vector_tile_can_be_read_back():
+    pdf = pd.DataFrame({"id": [7, 9], "name": ["é", None], "ok": [True, False], "parts": [[[0, 0, 10, -5], [4096, 3, 4096, 9, 1, 1]], [[2, 2, 3, 3]]]})
+    ((number, layer),) = fields(tiles.encode(pdf, ["id", "name", "ok"], "id"))
+    assert number == 3
+    got = fields(layer)
+    keys, values = [v.decode() for n, v in got if n == 3], [fields(v)[0] for n, v in got if n == 4]
+    assert (15, 2) in got and (1, b"paths") in got and (5, 4096) in got and keys == ["id", "name", "ok"]
+    lines, tags = [], []
+    for f in (fields(v) for n, v in got if n == 2):
+        f = dict(f)
+        assert f[3] == 2
+        t = varints(f[2])
+        tags.append({keys[k]: values[v] for k, v in zip(t[::2], t[1::2], strict=True)})
+        x = y = 0
+        parts, ops, i = [], varints(f[4]), 0
+        while i < len(ops):
+            op, count, i = ops[i] & 7, ops[i] >> 3, i + 1
+            if op == 1:
+                parts.append([])
+            for _ in range(count):
+                dx, dy = ((n >> 1) ^ -(n & 1) for n in ops[i : i + 2])
+                x, y, i = x + dx, y + dy, i + 2
+                parts[-1] += [x, y]
+        lines.append((f[1], parts))
+    assert lines == [(7, [[0, 0, 10, -5], [4096, 3, 4096, 9, 1, 1]]), (9, [[2, 2, 3, 3]])]
+    assert tags == [{"id": (6, 14), "name": (1, "é".encode()), "ok": (7, 1)}, {"id": (6, 18), "ok": (7, 0)}]
+
+
+def test_overview_is_simplified_and_merged(spark):
+    side = geo.WORLD_M / 2**10
+    pixel, left, top = side / 512, 900 * side - geo.WORLD_M / 2, geo.WORLD_M / 2 - 600 * side
+    line = lambda *p: [Row(x=left + x * pixel, y=top - y * pixel) for x, y in p]
+    rows = [(10, 900, 600, "trail", line((0, 0), (10, 0.4), (20, 0))), (10, 900, 600, "trail", line((0, 100), (10, 105), (20, 100))), (10, 900, 600, "road", line((-50, 10), (-40, 10))), (10, 900, 600, "road", line((3, 3), (3.01, 3.01)))]
+    d = spark.createDataFrame(rows, "z int, tx long, ty long, category string, xy array<struct<x:double,y:double>>")
+    got = tiles.merged(tiles.in_units(d, simplify=True), "category").collect()
+    assert [(r["category"], r["parts"]) for r in got] == [("trail", [[0, 0, 160, 0], [0, 800, 80, 840, 160, 800]])]
+    made = tiles.tiles(tiles.merged(tiles.in_units(d, simplify=True), "category"))
+    wanted = spark.createDataFrame([(10, 900, 600), (10, 0, 0)], "z int, tx long, ty long")
+    assert {r["tx"]: (r["status"], r["mvt"] is None) for r in tiles.asked(made, wanted).collect()} == {900: (200, False), 0: (204, True)}
+
+
 def test_wkb_and_metadata(spark, tmp_path):
     df = spark.createDataFrame([(bytearray(ingest.encode_wkb([(1.5, 2.5), (3, 4)], little)),) for little in (True, False)], "wkb binary")
     assert {tuple((p["lng"], p["lat"]) for p in r["coordinates"]) for r in ingest.wkb_lines(df).collect()} == {((1.5, 2.5), (3.0, 4.0))}

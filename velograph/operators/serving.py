@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, tags
 from ..functions import vocab as V
 from ..runtime import materialise
-from . import hulls, polylines
+from . import hulls, polylines, tiles
 from .components import connected_components
 
 EXTENT, BUFFER, DETAIL_ZOOM, OSM_ZOOM, LEAST_ZOOM = 4096, 64, 12, 14, 8
@@ -42,11 +42,26 @@ def detail_features(paths: DataFrame, zoom: int) -> DataFrame:
     return t.select("z", "tx", "ty", "id", "osm_id", "source", "name", "category", "surface", F.array_join(tags.hazards(C("hazards")), ",").alias("hazards"), cls.alias("surface_class"), inferred.alias("surface_inferred"), "xy")
 
 
-def overview_features(paths: DataFrame, zoom: int) -> DataFrame:
-    """Official paths merged by tile, category and class: (z, tx, ty, category, surface_class, paths, lines)."""
+def overview_paths(paths: DataFrame, zoom: int) -> DataFrame:
+    """Official paths by tile: (z, tx, ty, category, surface_class, source, xy)."""
     cls, _ = tags.tile_surface(C("category"), C("surface"), C("sidewalk"))
-    t = in_tiles(tile_boxes(paths.where(C("source") == V.OFFICIAL)), zoom).withColumn("surface_class", cls)
-    return t.groupBy("z", "tx", "ty", "category", "surface_class").agg(F.count("*").alias("paths"))
+    t = in_tiles(tile_boxes(paths.where(C("source") == V.OFFICIAL)), zoom)
+    return t.select("z", "tx", "ty", "category", cls.alias("surface_class"), "source", "xy")
+
+
+def overview_features(paths: DataFrame, zoom: int) -> DataFrame:
+    """Official paths counted by tile, category and class: (z, tx, ty, category, surface_class, paths)."""
+    return overview_paths(paths, zoom).groupBy("z", "tx", "ty", "category", "surface_class").agg(F.count("*").alias("paths"))
+
+
+def overview_tiles(paths: DataFrame, zoom: int) -> DataFrame:
+    """Low zooms: official paths simplified to a pixel and merged by category and class, as vector tiles."""
+    return tiles.tiles(tiles.merged(tiles.in_units(overview_paths(paths, zoom), simplify=True), "category", "surface_class", "source"))
+
+
+def detail_tiles(paths: DataFrame, zoom: int) -> DataFrame:
+    """High zooms: every path with its attributes, as vector tiles."""
+    return tiles.tiles(tiles.in_units(detail_features(paths, zoom)), "id")
 
 
 def tile_geometry(features: DataFrame) -> DataFrame:

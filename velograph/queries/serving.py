@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions import vocab as V
 from ..functions.exprs import half_up
-from ..operators import graph, polylines, serving, snap
+from ..operators import graph, polylines, serving, snap, tiles
 from ..sources import network
 from . import base
 from .base import PLACES, POINTS, SEG, query, strings
@@ -56,6 +56,22 @@ def tile_geom(spark, sf_dir):
     return serving.tile_geometry(serving.detail_features(network.paths(spark, sf_dir), ZOOM))
 
 
+@query()
+def overview_lines(spark, sf_dir):
+    """Merged and simplified lines of each tile, category and class."""
+    u = tiles.merged(tiles.in_units(serving.overview_paths(network.paths(spark, sf_dir), OVERVIEW), simplify=True), "category", "surface_class")
+    return u.select("z", "tx", "ty", "category", "surface_class", F.size("parts").alias("lines"), F.to_json("parts").alias("parts"))
+
+
+@query()
+def tile_bytes(spark, sf_dir):
+    """Vector tiles of one overview and one detail level: status, features and bytes of every tile asked for."""
+    p = network.paths(spark, sf_dir)
+    made = serving.overview_tiles(p, OVERVIEW).unionByName(serving.detail_tiles(p, ZOOM))
+    wanted = made.select("z", "tx", "ty").unionByName(made.select("z", (C("tx") + 100_000).alias("tx"), "ty").limit(1))
+    return tiles.asked(made, wanted)
+
+
 #: Points in loose groups, so that clusters are many.
 SPREAD = "sp AS (SELECT id, lng_e7 + (id % 23) * 2000000 AS p_lng, lat_e7 + (id % 7) * 3000000 AS p_lat FROM pts WHERE id % 5 = 0)"
 
