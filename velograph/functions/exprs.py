@@ -18,7 +18,3 @@ def lookup(key: Column, table: Mapping[str, object]) -> Column:
     if not table:
         return F.lit(None)
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
-
-
-def nullif_empty(x: Column) -> Column:
-    return F.when(x != "", x)

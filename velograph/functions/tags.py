@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .exprs import lookup, nullif_empty
+from .exprs import lookup
 
 
 def clean(x: Column) -> Column:
@@ -38,23 +38,26 @@ def accessible(access: Column, foot: Column, bicycle: Column) -> Column:
 
 
 def width(raw: Column) -> Column:
-    number = F.regexp_extract(raw, r"(?i)^\s*(\d+(?:\.\d+)?)\s*(m|metres?|meters?)?\s*$", 1)
-    value = nullif_empty(number).try_cast("double")
+    """Metres, of a number alone or one with its unit; null for any other text and beyond what a path can have."""
+    text = F.lower(F.btrim(raw, F.lit(" \t\n\r\x0b\x0c")))
+    number = F.regexp_substr(text, F.lit("^[0-9]+([.][0-9]+)?"))
+    unit = F.ltrim(F.substr(text, F.length(number) + 1))
+    value = F.when(unit.isin(*V.WIDTH_UNITS), number.try_cast("double"))
     return F.when((value > 0) & (value < 100), value)
 
 
 def bicycle_direction(oneway: Column, oneway_bicycle: Column) -> Column:
     rule = F.coalesce(oneway_bicycle, oneway)
-    return F.when(oneway_bicycle == "no", "both").when(rule.isin("yes", "1", "true"), "forward").when(rule.isin("-1", "reverse"), "reverse").otherwise("both")
+    return F.when(oneway_bicycle == "no", "both").when(rule.isin(*V.ONE_WAY["forward"]), "forward").when(rule.isin(*V.ONE_WAY["reverse"]), "reverse").otherwise("both")
 
 
 def way_category(highway: Column, bicycle: Column, footway: Column, surface: Column) -> Column:
     designated = _is(bicycle, ("designated",))
     return (
         F.when(highway == "cycleway", "shared_use_path")
-        .when(highway.isin("footway", "pedestrian"), F.when(designated & ~_is(footway, ("sidewalk",)), "shared_use_path").otherwise("footpath"))
-        .when(highway == "path", F.when(designated, "shared_use_path").when(_is(surface, ("asphalt", "concrete", "paved")), "footpath").otherwise("trail"))
-        .when(highway.isin("track", "bridleway"), "track")
+        .when(highway.isin(*V.FOOT_WAYS), F.when(designated & ~_is(footway, ("sidewalk",)), "shared_use_path").otherwise("footpath"))
+        .when(highway == "path", F.when(designated, "shared_use_path").when(_is(surface, V.SEALED_PATHS), "footpath").otherwise("trail"))
+        .when(highway.isin(*V.TRACKS), "track")
         .when(highway == "steps", "steps")
         .when(highway.isin(*V.QUIET_STREETS), "quiet_street")
         .when(highway.isin(*V.ROADS), "road")

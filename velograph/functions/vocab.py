@@ -41,6 +41,8 @@ REGION = {"min_lng": 140.9, "max_lng": 150.1, "min_lat": -39.3, "max_lat": -33.9
 ALLOWED = ("yes", "designated", "permissive", "official")
 DENIED = ("no", "private", "use_sidepath")
 EXCLUDED_SERVICE = ("driveway", "parking_aisle", "drive-through", "emergency_access")
+FOOT_WAYS, TRACKS, SEALED_PATHS = ("footway", "pedestrian"), ("track", "bridleway"), ("asphalt", "concrete", "paved")
+ONE_WAY, WIDTH_UNITS = {"forward": ("yes", "1", "true"), "reverse": ("-1", "reverse")}, ("", "m", "meter", "meters", "metre", "metres")
 QUIET_STREETS = ("living_street", "residential", "service", "unclassified", "road")
 ROADS = ("tertiary", "tertiary_link")
 BUSY_ROADS = ("secondary", "secondary_link", "primary", "primary_link", "trunk", "trunk_link")
