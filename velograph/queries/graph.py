@@ -115,31 +115,45 @@ def traversable_arcs(spark, sf_dir):
     return arcs.where((C("direction") == "both") | (C("forward") == (C("direction") == "forward"))).select("edge_id", "node", "forward")
 
 
-@query(f"WITH {RAW}, {EDGES} SELECT edge_id, path_id, from_node, to_node, {base.half_up('len', 3)} AS length_m FROM ends WHERE edge_id % 100 = 7")
-def get_edge(spark, sf_dir):
-    return _unbridged(spark, sf_dir).edges.where("edge_id % 100 = 7").select("edge_id", "path_id", "from_node", "to_node", half_up(C("length_m"), 3).alias("length_m"))
+GET_EDGE = f"WITH {RAW}, {EDGES} SELECT edge_id, path_id, from_node, to_node, {base.half_up('len', 3)} AS length_m FROM ends JOIN customer ON c_custkey = edge_id"
 
 
-@query()
-def get_edge_all(spark, sf_dir):
+@query(GET_EDGE)
+def get_edge(spark, sf_dir):
     """Edges by a table of wanted ids, the customers' keys."""
     wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select(C("c_custkey").alias("edge_id"))
     return _unbridged(spark, sf_dir).edges.join(wanted, "edge_id").select("edge_id", "path_id", "from_node", "to_node", half_up(C("length_m"), 3).alias("length_m"))
 
 
-LINKED = "link AS (SELECT k AS a, CASE dir WHEN 0 THEN k + 1 ELSE k + 100 END AS b FROM raw WHERE dir < 2 AND (k * 31 + dir * 17) % 10 < 4)"
+@query(GET_EDGE)
+def get_edge_all(spark, sf_dir):
+    """The former whole-table variant, now the same as ``get_edge``."""
+    return get_edge(spark, sf_dir)
 
 
-@query(f"WITH RECURSIVE {RAW}, {LINKED}, twoway AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link), reach AS (SELECT a AS node, a AS seen FROM twoway UNION SELECT r.node, b.b FROM reach r JOIN twoway b ON r.seen = b.a) SELECT node, min(seen) AS component FROM reach GROUP BY node")
-def components(spark, sf_dir):
-    return connected_components(_links(network.paths(spark, sf_dir).where("dir < 2 AND (k * 31 + dir * 17) % 10 < 4")))
+def components_sql(links: str) -> str:
+    """Least node that each node of ``links`` (a, b) is linked with, over any number of links: labels spread until none falls."""
+    return (
+        f"two AS (SELECT a, b FROM {links} UNION ALL SELECT b, a FROM {links}), spread(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM two UNION SELECT n.node, n.label FROM "
+        "(SELECT two.b AS node, min(spread.label) AS label FROM spread JOIN two ON two.a = spread.node GROUP BY two.b) n JOIN recurring.spread k ON k.node = n.node WHERE n.label < k.label)"
+    )
 
 
 def _links(paths):
     return paths.select(C("k").alias("a"), F.when(C("dir") == 0, C("k") + 1).otherwise(C("k") + 100).alias("b"))
 
 
-@query()
+LINKED = "link AS (SELECT k AS a, CASE dir WHEN 0 THEN k + 1 ELSE k + 100 END AS b FROM raw WHERE dir < 2 {})"
+
+
+@query(f"WITH RECURSIVE {RAW}, {LINKED.format('AND lower(surface) IN (' + base.strings(base.V.SEALED_PATHS) + ')')}, {components_sql('link')} SELECT node, label AS component FROM spread")
+def components(spark, sf_dir):
+    """Components of the sealed part of the lattice: what can be reached without leaving tagged asphalt, concrete or paving."""
+    sealed = F.lower("surface").isin(*base.V.SEALED_PATHS)
+    return connected_components(_links(network.paths(spark, sf_dir).where(C("dir") < 2).where(sealed)))
+
+
+@query(f"WITH RECURSIVE {RAW}, {LINKED.format('')}, {components_sql('link')} SELECT node, label AS component FROM spread")
 def components_all(spark, sf_dir):
     """Components over all east and north segments; a stub leads to no other node."""
     return connected_components(_links(network.paths(spark, sf_dir).where("dir < 2")))

@@ -139,26 +139,26 @@ def semi_join_bbox(spark, sf_dir):
     return boxes.join(areas, ["cx", "cy"]).where(meets).select("id").distinct()
 
 
-@query(
+UNCOVERED = (
     f"WITH {SEG}, {VERTICES}, {PIECES}, p AS (SELECT DISTINCT osm_id, CASE WHEN a_lng < b_lng OR a_lng = b_lng AND a_lat <= b_lat THEN row(a_lng, a_lat, b_lng, b_lat) ELSE row(b_lng, b_lat, a_lng, a_lat) END AS k FROM piece JOIN (SELECT id, osm_id FROM raw WHERE dir = 1) USING (id)), "
     f"q AS (SELECT osm_id, k[1] AS a_lng, k[2] AS a_lat, k[3] AS b_lng, k[4] AS b_lat FROM p), cov AS (SELECT osm_id, sum({base.haversine_e7('a', 'b')}) AS covered_m FROM q GROUP BY osm_id), "
-    f"w AS (SELECT osm_id AS way_id, {base.half_up('sum(' + LENGTH + ')', 3)} AS length_m FROM raw WHERE dir < 2 AND x < 90 GROUP BY osm_id) SELECT way_id, length_m FROM w WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.osm_id = way_id AND covered_m >= 0.56::DOUBLE * length_m)"
+    f"w AS (SELECT osm_id AS way_id, {base.half_up('sum(' + LENGTH + ')', 3)} AS length_m FROM raw WHERE dir < 2 GROUP BY osm_id) SELECT way_id, length_m FROM w WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.osm_id = way_id AND covered_m >= 0.56::DOUBLE * length_m)"
 )
+
+
+@query(UNCOVERED)
 def anti_join_coverage(spark, sf_dir):
+    """Ways of the east and north segments that official paths cover by less than 0.56 of their length."""
     p = network.paths(spark, sf_dir)
     cover = hulls.dissolved(polylines.pieces(p.where("dir = 1"), "osm_id"), "osm_id").withColumnRenamed("metres", "covered_m")
-    length = F.element_at(geo.lengths(C("coordinates")), -1)
-    w = p.where("dir < 2 AND x < 90").groupBy(C("osm_id").alias("way_id")).agg(half_up(F.sum(length), 3).alias("length_m"))
+    w = p.where("dir < 2").groupBy(C("osm_id").alias("way_id")).agg(half_up(F.sum(F.element_at(geo.lengths(C("coordinates")), -1)), 3).alias("length_m"))
     return ingest.uncovered(w, cover, 0.56)
 
 
-@query()
+@query(UNCOVERED)
 def anti_join_coverage_all(spark, sf_dir):
-    """Ways of all east and north segments that official paths cover by less than 0.56; the SQL of ``anti_join_coverage`` stops at x = 90."""
-    p = network.paths(spark, sf_dir)
-    cover = hulls.dissolved(polylines.pieces(p.where("dir = 1"), "osm_id"), "osm_id").withColumnRenamed("metres", "covered_m")
-    w = p.where("dir < 2").groupBy(C("osm_id").alias("way_id")).agg(half_up(F.sum(F.element_at(geo.lengths(C("coordinates")), -1)), 3).alias("length_m"))
-    return ingest.uncovered(w, cover, 0.56)
+    """The former whole-table variant, now the same as ``anti_join_coverage``."""
+    return anti_join_coverage(spark, sf_dir)
 
 
 @query(f"WITH {RAW}, {WAYS} SELECT id, source, CASE WHEN way_id IS NOT NULL AND source = 'vic_dtp_bin' THEN w.surface ELSE raw.surface END AS surface, CASE WHEN way_id IS NOT NULL AND source = 'vic_dtp_bin' THEN w.smoothness ELSE raw.smoothness END AS smoothness FROM raw LEFT JOIN way w ON way_id = osm_id")

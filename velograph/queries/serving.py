@@ -13,7 +13,7 @@ from . import base
 from .base import PLACES, POINTS, SEG, query, strings
 from .domain import TILE_CLASS
 from .geometry import PIECES, RAW, VERTICES
-from .graph import CLICKS, EDGES, nearest_sql
+from .graph import CLICKS, EDGES, components_sql, nearest_sql
 
 C = F.col
 ZOOM, OVERVIEW = 14, 10
@@ -73,7 +73,7 @@ def tile_bytes(spark, sf_dir):
 
 
 #: Points in loose groups, so that clusters are many.
-SPREAD = "sp AS (SELECT id, lng_e7 + (id % 23) * 2000000 AS p_lng, lat_e7 + (id % 7) * 3000000 AS p_lat FROM pts WHERE id % 5 = 0)"
+SPREAD = "sp AS (SELECT id, lng_e7 + (id % 23) * 2000000 AS p_lng, lat_e7 + (id % 7) * 3000000 AS p_lat FROM pts)"
 
 
 def _spread(spark, sf_dir):
@@ -83,19 +83,21 @@ def _spread(spark, sf_dir):
 _LINK = base.haversine("a.p_lng / 1e7", "a.p_lat / 1e7", "b.p_lng / 1e7", "b.p_lat / 1e7")
 
 
-@query(
+CLUSTERS = (
     f"WITH RECURSIVE {POINTS}, {SPREAD}, c AS (SELECT *, p_lng // 1000000 AS cx, CAST(floor(p_lat / 1000000) AS BIGINT) AS cy FROM sp), n AS (SELECT *, cx + unnest([-1, 0, 1]) AS nx FROM c), nn AS (SELECT *, cy + unnest([-1, 0, 1]) AS ny FROM n), "
-    f"l AS (SELECT a.id AS a, b.id AS b FROM nn a JOIN c b ON a.nx = b.cx AND a.ny = b.cy WHERE a.id <> b.id AND {_LINK} <= 3000), "
-    "r AS (SELECT id AS node, id AS seen FROM sp UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a) SELECT node AS id, min(seen) AS cluster FROM r GROUP BY node"
+    f"l AS (SELECT a.id AS a, b.id AS b FROM nn a JOIN c b ON a.nx = b.cx AND a.ny = b.cy WHERE a.id < b.id AND {_LINK} <= 3000), {components_sql('l')} SELECT id, coalesce(label, id) AS cluster FROM sp LEFT JOIN spread ON node = id"
 )
+
+
+@query(CLUSTERS)
 def cluster_dbscan(spark, sf_dir):
-    return serving.clusters(_spread(spark, sf_dir).where("id % 5 = 0"), 3000.0)
+    return serving.clusters(_spread(spark, sf_dir), 3000.0)
 
 
-@query()
+@query(CLUSTERS)
 def cluster_dbscan_all(spark, sf_dir):
-    """Clusters of all points; the SQL of ``cluster_dbscan`` takes one in five."""
-    return serving.clusters(_spread(spark, sf_dir), 3000.0)
+    """The former whole-table variant, now the same as ``cluster_dbscan``."""
+    return cluster_dbscan(spark, sf_dir)
 
 
 @query()
