@@ -5,8 +5,9 @@ the chosen, every other one is rejected against it. Turns are compared place by
 differ, or where one conversation has ended, ends the prompt, which is rendered once. The turns after it are the paired
 completions. A completion's mask lists the character spans that bear loss: the texts of assistant turns with their end mark.
 
-Pairs are made by least conv_id per opening turn and compared turn by turn, so a very common opening costs a row per
-conversation; only a single conversation's turns ever come together.
+Every conversation's turns come together once, as a row. An opening's chosen conversation is joined to all that share it, a
+very common one by several tasks (``salted_join``), and each pair is compared within its row. So the pairs of a common opening
+are as many as its conversations, and only a single conversation's turns ever come together.
 
 Results for unusual input: turns without conv_id or turn number are left out; a null role or text is the empty string; of
 turns with one number the order is by role and text, and exact repeats count once; when the chosen is a beginning of the
@@ -17,17 +18,20 @@ with null rejected_id, no prompt, and all its turns as the chosen completion; an
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.skew import salted_join
+from ..runtime import materialise
+
 OPEN, MIDDLE, CLOSE, LEARNED = "<|", "|>\n", "<|end|>\n", "assistant"
 
 
-def _turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text) with places 0, 1, ... in order of turns."""
-    clean = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
-    return clean.select("conv_id", place.alias("place"), "role", "text")
+def talks(conversations: DataFrame) -> DataFrame:
+    """(conv_id, opening, turns): each conversation's turns (role, text) in order, and the hash of the first."""
+    clean = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    turns = F.transform(F.array_sort(F.array_distinct(F.collect_list("t"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    told = clean.groupBy("conv_id").agg(turns.alias("turns"))
+    return told.select("conv_id", F.sha2(F.concat(F.col("turns")[0]["role"], F.lit("\x00"), F.col("turns")[0]["text"]), 256).alias("opening"), "turns")
 
 
 def _rendered(role: str | Column, text: str | Column) -> Column:
@@ -35,11 +39,15 @@ def _rendered(role: str | Column, text: str | Column) -> Column:
 
 
 def pairs(conversations: DataFrame) -> DataFrame:
-    """(chosen_id, rejected_id); rejected_id is null for a conversation without a partner."""
-    opening = _turns(conversations).where("place = 0").select("conv_id", F.sha2(F.concat("role", F.lit("\x00"), "text"), 256).alias("opening"))
-    first = opening.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"), F.count("*").alias("n"))
-    partner = F.when(F.col("n") > 1, F.col("conv_id")).alias("rejected_id")
-    return opening.join(first, "opening").where("conv_id <> chosen_id OR n = 1").select("chosen_id", partner)
+    """(chosen_id, rejected_id, chosen, rejected): both sides' turns; rejected_id is null for a conversation without a partner."""
+    told = materialise(talks(conversations))
+    slim = told.select("conv_id", "opening")
+    first = slim.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"), F.count("*").alias("places"))
+    alone = first.where("places = 1").select("chosen_id")
+    first = first.where("places > 1").join(told.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen")), "chosen_id")
+    both = salted_join(told, first, ["opening"], ["conv_id"], slim.count()).where("conv_id <> chosen_id")
+    none = told.join(alone, told["conv_id"] == alone["chosen_id"]).select("chosen_id", F.lit(None).cast(told.schema["conv_id"].dataType).alias("rejected_id"), F.col("turns").alias("chosen"), F.array().cast("array<struct<role:string,text:string>>").alias("rejected"))
+    return both.select("chosen_id", F.col("conv_id").alias("rejected_id"), "chosen", F.col("turns").alias("rejected")).unionByName(none)
 
 
 def preferences(conversations: DataFrame) -> DataFrame:
@@ -47,26 +55,16 @@ def preferences(conversations: DataFrame) -> DataFrame:
 
     Masks are arrays of (start, end) in characters of the completion.
     """
-    turns = _turns(conversations)
-    both = pairs(conversations)
-    sides = []
-    for side in ("chosen", "rejected"):
-        t = turns.withColumnRenamed("conv_id", f"{side}_id")
-        sides.append(both.join(t, f"{side}_id").select("chosen_id", "rejected_id", "place", F.struct("role", "text").alias(side)))
-    places = sides[0].join(sides[1], ["chosen_id", "rejected_id", "place"], "full_outer")
-    differs = ~F.col("chosen").eqNullSafe(F.col("rejected"))
-    per = places.groupBy("chosen_id", "rejected_id").agg(
-        F.min(F.when(differs, F.col("place"))).alias("fork"),
-        F.max("place").alias("last"),
-        *(F.array_sort(F.collect_list(F.when(F.col(s).isNotNull(), F.struct("place", F.col(f"{s}.role").alias("role"), F.col(f"{s}.text").alias("text"))))).alias(s) for s in ("chosen", "rejected")),
-    )
-    per = per.withColumn("prompt_turns", F.coalesce("fork", F.col("last") + 1).cast("long"))
+    longest = F.greatest(F.size("chosen"), F.size("rejected"))
+    same = F.zip_with("chosen", "rejected", lambda a, b: a.eqNullSafe(b))  # the shorter one ends in nulls
+    fork = F.array_position(same, False)
+    per = pairs(conversations).withColumn("prompt_turns", F.when(fork > 0, fork - 1).otherwise(longest).cast("long"))
 
     def text(turns: Column) -> Column:
         return F.array_join(F.transform(turns, lambda t: _rendered(t["role"], t["text"])), "")
 
     def completion(side: str) -> Column:
-        return F.filter(side, lambda t: t["place"] >= F.col("prompt_turns"))
+        return F.filter(side, lambda t, place: place >= F.col("prompt_turns"))
 
     def mask(side: str) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
@@ -79,7 +77,7 @@ def preferences(conversations: DataFrame) -> DataFrame:
 
         return F.aggregate(completion(side), start, step)["spans"]
 
-    prompt = F.filter("chosen", lambda t: t["place"] < F.col("prompt_turns"))
+    prompt = F.filter("chosen", lambda t, place: place < F.col("prompt_turns"))
     return per.select("chosen_id", "rejected_id", "prompt_turns", text(prompt).alias("prompt"), text(completion("chosen")).alias("chosen"), text(completion("rejected")).alias("rejected"), mask("chosen").alias("chosen_mask"), mask("rejected").alias("rejected_mask"))
 
 
