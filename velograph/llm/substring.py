@@ -205,7 +205,7 @@ def repeated_spans(docs: DataFrame, length: int = WINDOW, k: int = K, compact: b
         # (body, places, whole): whole is null for the paths that a chain's head stands for
         heads = materialise(paths.where("places > 1").select("body", "places").join(wholes, "body", "left"))
         release(links)
-        whole = salted_join(found.select("body", "row", "doc_id", "at"), heads, ["body"], ["row", "at"], _sum(heads)).where("whole IS NOT NULL")
+        whole = salted_join(found.select("body", "row", "doc_id", "at"), heads, ["body"], ["row", "at"], _sum(heads), only=F.col("whole").isNotNull())
         whole = whole.select("row", "doc_id", F.col("body").alias("path"), "at", F.col("whole").alias("n"), F.lit(False).alias("doubtful"))
         # the graph branches within spans whose anchor stands among different words
         branching = paths.groupBy("anchor").agg(F.count("*").alias("ways")).where("ways > 1").select("anchor")
