@@ -5,8 +5,15 @@ documents) are placed under three limits at once (ids, segments, loss-bearing id
 sequence takes, of all pieces that still fit, the one whose demand vector has the largest inner product with the room left.
 Pieces meet in groups of bounded total length, dealt by hash, so that one task never holds more than a group.
 
+In plain documents every id bears loss, so that limit says no more than the first (``pack_documents``). In conversations only
+what the assistant says does (``pack_conversations``): there all three limits bind, each on its own.
+
+Ids are those of the ``tokenizers`` library. A tokenizer with the parts that ``KNOWN`` names is run on many texts at once;
+any other one text by text.
+
 Results for unusual input: a null or empty text is the end id alone; texts of any length are cut; equal rows are packed each
-on its own; an empty table gives an empty result; a null doc_id is kept as null; other columns are ignored.
+on its own; an empty table gives an empty result; a null doc_id is kept as null; other columns are ignored. Turns are put in
+order, and unusual ones treated, as in ``chat``.
 """
 
 from __future__ import annotations
@@ -17,17 +24,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise
+from . import chat
 from .text import Chunk, Powers, chunks, mix
 
-CAPACITY, SEGMENTS, LOSS, END_ID = 2048, 256, 2048, 1
+CAPACITY, SEGMENTS, LOSS, TALK_LOSS, END_ID = 2048, 256, 2048, 1024, 1
 #: Ids that meet in one task; bytes of text that are tokenised together; a rank that no merge has.
 GROUP_IDS, TOKEN_CHUNK, NEVER = 4_000_000, 1 << 19, np.int32(2**31 - 1)
 #: Two independent hashes of byte runs.
 HASHES = [(Powers(0xD6E8FEB86659FD93), mix(np.arange(256, dtype=np.uint64), 21)), (Powers(0xE7037ED1A0B428DB), mix(np.arange(256, dtype=np.uint64), 22))]
+#: The parts of a tokenizer that ``BatchTokenizer`` follows.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long"
 
 
@@ -46,7 +64,11 @@ class BatchTokenizer:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        model = json.loads(self.own.to_str())["model"]
+        parts = json.loads(self.own.to_str())
+        model = parts["model"]
+        self.known = all({k: v for k, v in parts[n].items() if k not in ("vocab", "merges")} == KNOWN[n] if parts[n] else False for n in KNOWN) and all(t["content"].startswith("<|") for t in parts["added_tokens"])
+        if not self.known:
+            return
         vocabulary, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         letters = _byte_letters()
         self.base = np.array([vocabulary.get(c, -1) for c in letters], np.int32)
@@ -152,6 +174,9 @@ class BatchTokenizer:
     def encode(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk's documents one after the other, and where each document's begin."""
         raw = c.data
+        if not self.known:
+            each = [np.array(self.own.encode(raw[a:b].tobytes().decode(), add_special_tokens=False).ids, np.int32) for a, b in zip(c.docs[:-1], c.docs[1:], strict=True)]
+            return np.concatenate([np.empty(0, np.int32), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each])])
         if not len(c.start):
             return np.empty(0, np.int32), np.zeros(c.n + 1, np.int64)
         kind = self.kind[raw]
@@ -227,6 +252,34 @@ def _pieces(path: str, capacity: int, end_id: int):
     return run
 
 
+def _talk_pieces(path: str, capacity: int, loss: int, end_id: int):
+    kinds = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss")])
+
+    def run(batches):
+        tokenizer = shared_tokenizer(path)
+        for batch in batches:
+            lists = batch.column("turns")
+            flat = lists.flatten()
+            learned = pc.equal(flat.field("role"), chat.LEARNED).to_numpy(zero_copy_only=False)
+            ids = []
+            for c in chunks(flat.field("text"), TOKEN_CHUNK):
+                got, at = tokenizer.encode(c)
+                ids += [got[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+            out = []
+            for doc_id, a, b in zip(batch.column("conv_id").to_pylist(), first[:-1], first[1:], strict=True):
+                mine = np.concatenate([*ids[a:b], [end_id]]).astype("<u4")
+                borne = np.concatenate([[0], np.cumsum(np.append(np.repeat(learned[a:b], [len(x) for x in ids[a:b]]), False))])
+                s = 0
+                while s < len(mine):
+                    e = min(s + capacity, int(np.searchsorted(borne, borne[s] + loss, "right")) - 1)
+                    out.append((doc_id, s, e - s, zlib.crc32(mine[s:e].tobytes()), len(mine), int(borne[e] - borne[s])))
+                    s = e
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], kinds)
+
+    return run
+
+
 def place(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and order within it for each demand vector, by the dot-product heuristic.
 
@@ -262,7 +315,7 @@ def _pack(capacity: int, segments: int, loss: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("length", "ascending"), ("ids_crc32", "ascending")])
         length, lossy = table["length"].to_numpy(), table["loss"].to_numpy()
-        whole = length == capacity
+        whole = (length == capacity) & (lossy <= loss)
         rest = np.flatnonzero(~whole)
         bins, orders = np.empty(len(length), np.int64), np.zeros(len(length), np.int64)
         bins[whole] = np.arange(whole.sum())
@@ -287,13 +340,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int = LOSS) -> DataFrame:
     """Place pieces (length, loss) under the limits; adds sequence_id and offset. No piece may exceed a limit alone."""
-    if segments < 1 or loss < capacity:
-        raise ValueError("a whole piece must fit in a sequence")
+    if min(capacity, segments, loss) < 1:
+        raise ValueError("a piece must fit in a sequence")
     total = cut.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
     groups = max(1, -(-total // GROUP_IDS))
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # equal pieces go to several groups: ``cut`` is a table, so a row's number is the same whenever its task runs
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(_pack(capacity, segments, loss), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     return pack(materialise(pieces(docs, tokenizer, capacity)), capacity)
+
+
+def pack_conversations(conversations: DataFrame, tokenizer: str, capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int = TALK_LOSS, end_id: int = END_ID) -> DataFrame:
+    """The turns' texts of each conversation, one after the other and ended by ``end_id``, packed so that no sequence holds more
+    than ``capacity`` ids, ``segments`` pieces or ``loss`` ids of the assistant. Columns as in ``pack_documents``, doc_id being conv_id."""
+    cut = chat.talks(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), "turns").mapInArrow(_talk_pieces(tokenizer, capacity, loss, end_id), PIECES)
+    return pack(materialise(cut), capacity, segments, loss)
