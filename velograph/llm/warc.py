@@ -2,16 +2,17 @@
 
 Writing: of pages with equal payloads of at least ``least`` bytes, the one with the smallest page_id becomes a response
 record and the others revisit records that refer to it; all smaller payloads are responses. Spark's text writer makes the
-files, with a record's closing CR LF CR LF as line separator, so its commit protocol covers lost executors. Every file is
-about ``file_bytes`` long before gzip, so a task reads one whole within bounds.
+files, with a record's closing CR LF CR LF as line separator, so its commit protocol covers lost executors. A task writes some
+``task_bytes`` and rolls its file every ``file_bytes`` (by the mean size of a record), before gzip.
 
-Reading: a payload may hold anything, the record magic included. So a task emits every place in a file where a record could
+Reading: a payload may hold anything, the record magic included. So a task lists every place in a file where a record could
 begin, with the offset at which its successor would begin by its own Content-Length; pointer jumping from the file's start
-(each step doubles the distance covered) then keeps the reachable places only. What a payload imitates isn't on that chain.
-A chain that doesn't end exactly at the file's end is reported as an error.
+(each step doubles the distance covered) then keeps the reachable places only, and these alone are parsed. What a payload
+imitates isn't on that chain, and costs two numbers. A chain that doesn't end exactly at the file's end is an error. As gzip
+can't be read from the middle, a file is one task's, and must fit its memory.
 
 Results for unusual input: a null html is the empty payload; a null url is an empty target; CR and LF in a url are percent-
-encoded; a null page_id is kept as null and is nobody's response unless all equal payloads lack an id; rows with equal
+encoded; a payload longer than a file makes a file of its own; a null page_id is kept as null and is nobody's response unless all equal payloads lack an id; rows with equal
 page_id and payload are records of one kind; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -27,28 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import prepare, shared_folder
+from ..operators.skew import salted_join
+from ..runtime import materialise, prepare, shared_folder
 
-LEAST, FILE_BYTES, SALTS = 100, 4 << 20, 16
+LEAST, FILE_BYTES, TASK_BYTES, HEADER = 100, 16 << 20, 64 << 20, 600
 MAGIC = "WARC/1.1\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_CHAIN = "file string, at long, next long, size long, page_id long, kind string, digest string, bytes long, refers_to long, payload binary, sound boolean"
+_RECORD = "page_id long, kind string, digest string, bytes long, refers_to long, sound boolean"
 
 
-def records(pages: DataFrame, files: int, least: int = LEAST) -> DataFrame:
-    """(page_id, record): each page's WARC record without its closing separator, dealt to as many partitions as files."""
+def records(pages: DataFrame, tasks: int, least: int = LEAST) -> DataFrame:
+    """(page_id, record): each page's WARC record without its closing separator, dealt to as many partitions as tasks."""
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha2(F.col("html").cast("binary"), 256)})
     base = base.withColumn("place", F.xxhash64("page_id", "digest"))
-    # copies are found on digests alone: counted before they are shuffled, and joined by digest and salt, so that no digest
-    # meets in one task. Only then are the revisits matched with their pages, whose texts move once, to their files.
-    slim = base.where(F.col("bytes") >= least).select("page_id", "digest", "place")
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("copies")
-    copies = slim.withColumn("salt", F.pmod("place", F.lit(SALTS)).cast("int")).join(spread, ["digest", "salt"])
+    # copies are found on digests alone: counted before they are shuffled, and joined so that no digest meets in one task.
+    # Only then are the revisits matched with their pages, whose texts move once, to their files.
+    slim = materialise(base.where(F.col("bytes") >= least).select("page_id", "digest", "place"))
+    first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("places")).where("places > 1")
+    copies = salted_join(slim, first, ["digest"], ["place"], slim.count())
     revisits = copies.where(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).select("place", "digest", F.col("first").alias("refers")).distinct()
-    both = base.repartition(files, "place", "digest").join(revisits.repartition(files, "place", "digest"), ["place", "digest"], "left")
+    both = base.repartition(tasks, "place", "digest").join(revisits.repartition(tasks, "place", "digest"), ["place", "digest"], "left")
 
     def uid(page_id) -> F.Column:
         h = F.md5(F.concat(F.lit("page "), F.coalesce(page_id.cast("string"), F.lit(""))))
@@ -77,10 +78,11 @@ def records(pages: DataFrame, files: int, least: int = LEAST) -> DataFrame:
     return both.select("page_id", head.alias("record"))
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> None:
-    size = pages.agg(F.coalesce(F.sum(F.octet_length("html") + 600), F.lit(0)).alias("n")).first()["n"]
-    out = records(pages, int(size // file_bytes) + 1, least)
-    out.select(F.col("record").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+def write(pages: DataFrame, path: str, least: int = LEAST, file_bytes: int = FILE_BYTES, task_bytes: int = TASK_BYTES) -> None:
+    total = pages.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + HEADER), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    mean = max(1, total["bytes"] // max(1, total["n"]))
+    out = records(pages, int(total["bytes"] // task_bytes) + 1, least).select(F.col("record").alias("value"))
+    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, file_bytes // mean)).text(path)
 
 
 _START = re.compile(rb"WARC/1\.[01]\r\n")
@@ -99,33 +101,6 @@ def _number(value: bytes | None) -> int | None:
     return int(value) if value else None
 
 
-def _candidates(batches):
-    """Each place of each file where a record could begin, with its successor's offset and what its header says."""
-    for batch in batches:
-        for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            data = content.as_buffer().to_pybytes()
-            if data[:2] == b"\x1f\x8b":
-                data = gzip.decompress(data)
-            rows = []
-            for m in _START.finditer(data):
-                if (head := _header(data, m.start())) is None:
-                    continue
-                fields, body = head
-                stop = body + int(fields[b"Content-Length"])
-                if data[stop : stop + 4] != b"\r\n\r\n":
-                    continue
-                block = data[body:stop]
-                payload = block[block.find(b"\r\n\r\n") + 4 :] if block.startswith(b"HTTP/") else block
-                kind = fields.get(b"WARC-Type", b"").decode()
-                digest = fields.get(b"WARC-Payload-Digest", b"").removeprefix(b"sha256:").decode()
-                sound = kind != "response" or (hashlib.sha256(payload).hexdigest() == digest and len(payload) == _number(fields.get(b"X-Payload-Length")))
-                rows.append((file, m.start(), stop + 4, len(data), _number(fields.get(b"X-Page")), kind, digest, _number(fields.get(b"X-Payload-Length")), _number(fields.get(b"X-Refers-To-Page")), payload, sound))
-            if rows or data:
-                rows = rows or [(file, -1, -1, len(data), *[None] * 6, False)]
-                kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "at", "next", "size", "page_id", "kind", "digest", "bytes", "refers_to", "payload", "sound"])
-
-
 def reachable(at: np.ndarray, successor: np.ndarray, size: int) -> np.ndarray:
     """Which candidate offsets lie on the chain from offset 0, by pointer jumping; it must end at ``size``."""
     order = np.argsort(at)
@@ -144,26 +119,60 @@ def reachable(at: np.ndarray, successor: np.ndarray, size: int) -> np.ndarray:
         jump = jump[jump]
         if on.sum() == seen and (jump[:n] == n).all():
             break
-    if not len(start) or successor[on[:n]].max() != size:
+    if not len(start) or not n or successor[on[:n]].max() != size:
         raise ValueError("a chain of records doesn't reach the end of its file")
     return on[:n]
 
 
-def _verify(table: pa.Table) -> pa.Table:
-    on = reachable(table["at"].to_numpy(), table["next"].to_numpy(), table["size"][0].as_py())
-    return table.filter(pa.array(on))
+def _candidates(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Each place where a record could begin, and where its successor would begin."""
+    at, after = [], []
+    for m in _START.finditer(data):
+        if head := _header(data, m.start()):
+            stop = head[1] + int(head[0][b"Content-Length"])
+            if data[stop : stop + 4] == b"\r\n\r\n":
+                at.append(m.start())
+                after.append(stop + 4)
+    return np.array(at, np.int64), np.array(after, np.int64)
+
+
+def _parsed(data: bytes, at: int) -> tuple:
+    fields, body = _header(data, at)
+    block = data[body : body + int(fields[b"Content-Length"])]
+    payload = block[block.find(b"\r\n\r\n") + 4 :] if block.startswith(b"HTTP/") else block
+    kind = fields.get(b"WARC-Type", b"").decode()
+    digest = fields.get(b"WARC-Payload-Digest", b"").removeprefix(b"sha256:").decode()
+    size = _number(fields.get(b"X-Payload-Length"))
+    sound = kind != "response" or (hashlib.sha256(payload).hexdigest() == digest and len(payload) == size)
+    return _number(fields.get(b"X-Page")), kind, digest, size, _number(fields.get(b"X-Refers-To-Page")), sound, payload
+
+
+def _records(payloads: bool):
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()] + [pa.binary()] * payloads
+    names = ["page_id", "kind", "digest", "bytes", "refers_to", "sound"] + ["payload"] * payloads
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                data = content.as_buffer().to_pybytes()
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
+                if not data:
+                    continue
+                at, after = _candidates(data)
+                chain = np.sort(at[reachable(at, after, len(data))])
+                for some in np.array_split(chain, len(chain) // 256 + 1):
+                    rows = [_parsed(data, i) for i in some.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True))[: len(kinds)], kinds, strict=True)], names)
+
+    return run
 
 
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """page_id, kind, digest, bytes, refers_to, sound (and payload) of every record on the chains of the archives."""
     prepare(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content").where(F.length("content") > 0)
-    found = files.mapInArrow(_candidates, _CHAIN)
-    names = ["file", "at", "next", "size", "page_id", "kind", "digest", "bytes", "refers_to", "sound"] + ["payload"] * payloads
-    kinds = dict(x.split(" ") for x in _CHAIN.split(", "))
-    # a file's candidates are bounded by its bytes
-    chain = found.select(*names).groupBy("file").applyInArrow(_verify, ", ".join(f"{n} {kinds[n]}" for n in names))
-    return chain.drop("file", "at", "next", "size")
+    files = spark.read.format("binaryFile").load(path).select("content").where(F.length("content") > 0)
+    return files.mapInArrow(_records(payloads), _RECORD + ", payload binary" * payloads)
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
