@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from velograph.llm import ann, chat, langid, minhash, mixing, packing, quality, substring, topk, warc
+from velograph.llm import ann, chat, langid, minhash, mixing, packing, quality, substring, topk, vectors, warc
 from velograph.llm.queries import word_tokenizer
 from velograph.llm.vectors import keep_top
 
@@ -81,6 +81,62 @@ def test_topk_counts_repeated_rows_once(spark):
         assert sorted(got[i]) == want and sorted(near[i]) == want
 
 
+def brute_nearest(rows, is_query, k, score):
+    """Of (id, vector) rows the k best other ids of each query; a repeated id counts with its best score."""
+    out = {}
+    for q in sorted({i for i, _ in rows if is_query(i)}):
+        own = min(v for i, v in rows if i == q)
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -math.inf), score(own, v))
+        out[q] = sorted(((-s, i) for i, s in best.items()))[:k]
+    return {q: [(n + 1, i, -s) for n, (s, i) in enumerate(x)] for q, x in out.items()}
+
+
+def test_searches_in_waves_lists_and_shards(spark, monkeypatch):
+    """Several waves, more lists than a merge step takes, several shards and leaves; ties, repeats, nulls, clashing columns."""
+    monkeypatch.setattr(vectors, "WAVE_BYTES", 300)
+    monkeypatch.setattr(vectors, "FAN_IN", 2)
+    rng = np.random.default_rng(17)
+    rows = [(i, rng.integers(-4, 5, 5).astype(float).tolist()) for i in range(150)]
+    rows += [(i, rows[i][1]) for i in range(0, 60, 3)] + [(i, rng.integers(-4, 5, 5).astype(float).tolist()) for i in range(0, 60, 4)] + [(500 + i, rows[7][1]) for i in range(20)]
+    rows = [r for r in rows if any(r[1])]
+    bad = [(900, None), (905, [1.0, None, 0.0, 0.0, 0.0]), (910, [float("nan")] * 5), (915, [float("inf")] * 5), (None, [1.0] * 5)]
+    d = spark.createDataFrame([(*r, 1.0, 1, 1) for r in rows + bad], "vec_id long, embedding array<double>, score double, rank int, list int").repartition(9)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = brute_nearest(rows, lambda i: i % 10 == 0, 7, dot)
+    for found in (topk.search(d, F.col("vec_id") % 10 == 0, k=7, scale=1, tile=16), ann.search(d, F.col("vec_id") % 10 == 0, k=7, confidence=0.9999999, leaf=4, shard=16)):
+        got = {}
+        for r in found.collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert {q: sorted(x) for q, x in got.items()} == want
+
+
+def test_vectors_of_unequal_length_raise(spark):
+    d = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<double>").coalesce(1)
+    for search in (topk.search, ann.search):
+        with pytest.raises(Exception, match="differ in length"):
+            search(d, F.lit(True)).collect()
+
+
+def test_ann_with_its_own_parameters(spark):
+    """Vectors without structure: the recall stated, from a part of the rows."""
+    rng = np.random.default_rng(18)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    ids, q = np.arange(len(x)), x[:100]
+    held = ann.Held(np.full(100, -np.inf), ann.K)
+    for first in (True, False):
+        held = ann.Held(held.kth, ann.K)
+        ann.search_shard(ids, x, ids[:100], q, held, 1.0, ann.DIMS, ann.CONFIDENCE, ann.LEAF, first)
+    score = q @ x.T
+    score[np.arange(100), np.arange(100)] = -np.inf
+    true = np.argsort(-score, axis=1)[:, : ann.K]
+    hits = sum(len(set(true[i]) & set(held.triples[1][held.triples[0] == i])) for i in range(100))
+    assert hits / (100 * ann.K) >= 0.9 and held.verified <= 0.45 * 100 * len(x)
+
+
 def test_top_list_holds_an_id_once():
     q, ids, score = keep_top(np.zeros(5, int), np.array([1, 1, 2, 2, 3]), np.array([9, 8, 7, -(2**63), 6]), 3)
     assert (ids.tolist(), score.tolist()) == ([1, 2, 3], [9, 7, 6])
@@ -508,6 +564,34 @@ def test_quality(spark):
     assert quality.grade_documents(empty(spark), lab).count() == 0
 
 
+def test_classifiers_bear_unusual_rows(spark):
+    """Very long and repeated texts, ties, clashing columns; equal texts get equal results whatever the partitions."""
+    rng = np.random.default_rng(20)
+    long = prose(rng, 60_000)
+    rows = [(i, prose(rng, 40) + (" vile" if i % 3 else ""), "aa" if i % 2 else "bb", "s") for i in range(120)]
+    rows += [(200, long, "aa", "s"), (201, long, "bb", "s")] + [(202, "same text", "aa", "s")] * 30 + [(203, "same text", "bb", "t")]
+    d = documents(spark, rows).withColumns({"tail": F.lit("mine"), "expected_grade": F.lit(7), "hash": F.lit(1), "letters": F.lit("x"), "score": F.lit("y")})
+    labels = spark.createDataFrame([(i, 1, int(i % 3 > 0), "x") for i in range(120)] + [(202, 0, 0, "x"), (202, 1, 0, "x"), (7, 0, 0, "x")], "doc_id long, quality int, toxic int, tail string")
+    kept = quality.good_documents(d, labels)
+    assert kept.columns == d.columns and {(r["tail"], r["expected_grade"]) for r in kept.collect()} == {("mine", 7)}
+    for run, columns in ((lambda x: quality.grade_documents(x, labels), ("expected_grade", "kept")), (langid.identify, ("lang_pred", "score"))):
+        one, two = run(d).collect(), run(d.repartition(7)).collect()
+        assert len(one) == len(rows) and sorted(map(str, one)) == sorted(map(str, two))
+        by = {}
+        for r in one:
+            by.setdefault(r["doc_id"], set()).add(tuple(r[c] for c in columns))
+        assert by[200] == by[201] and by[202] == by[203] and len(by[202]) == 1
+
+
+def test_samples_are_bounded(spark):
+    from velograph.llm.features import sample
+
+    rows = spark.range(300).select(F.xxhash64("id").alias("hash"), F.repeat(F.lit("x"), 100).alias("text"), F.col("id").alias("n"))
+    assert sample(rows, 50, 10**9).count() == 50
+    assert sample(rows.unionByName(rows), 50, 950).count() == 10
+    assert sample(rows.limit(0), 50, 10).count() == 0
+
+
 def test_language(spark):
     rng = np.random.default_rng(8)
     parts = {"aa": ["the", "ing", "and"], "bb": ["que", "eau", "é"], "cc": ["sch", "ung", "ß"], "dd": ["ció", "ñ", "lla"], "ee": ["szy", "rz", "ów"], "ff": ["ij", "een", "oo"]}

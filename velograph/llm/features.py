@@ -39,6 +39,14 @@ def histograms(c: Chunk, buckets: int, n: int = 3) -> Iterator[tuple[int, int, n
         yield a, b, np.sqrt(counts / np.maximum(grams, 1)[:, None]).astype(np.float32)
 
 
+def margins(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, each row summed on its own: a text's result doesn't depend on the rows that it shares a batch with."""
+    out = np.empty((len(x), w.shape[1]), np.float32)
+    for i in range(w.shape[1]):
+        out[:, i] = (x * w[:, i]).sum(1)
+    return out
+
+
 def sample(rows: DataFrame, most: int, most_bytes: int) -> DataFrame:
     """A stored sample of ``rows`` (hash, text, others): one row a hash (its least), those with the least hashes, at most
     ``most`` and only until their texts reach ``most_bytes`` (the text that does so is the last). The same whatever the partitions."""

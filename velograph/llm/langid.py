@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import fitted, histograms, sample
+from .features import fitted, histograms, margins, sample
 from .text import chunks
 
 MOST, MOST_BYTES, BUCKETS, ROUNDS, AMBIGUITY = 4000, 64 << 20, 4096, 150, 0.5
@@ -67,12 +67,12 @@ def fit(x: np.ndarray, bits: np.ndarray, rounds: int = ROUNDS, ridge: float = 1e
     return w * np.float32(scale), b
 
 
-def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode(margin: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the nearest codeword, its score, and how much more the second one loses."""
-    loss = np.logaddexp(0, -margins[:, None, :] * code[None]).sum(2)
+    loss = np.logaddexp(0, -margin[:, None, :] * code[None]).sum(2)
     order = np.sort(loss, axis=1)
     share = np.exp(order[:, :1] - loss)
-    gap = order[:, 1] - order[:, 0] if code.shape[0] > 1 else np.full(len(margins), np.inf)
+    gap = order[:, 1] - order[:, 0] if code.shape[0] > 1 else np.full(len(margin), np.inf)
     return loss.argmin(1), (1 / share.sum(1)), gap
 
 
@@ -102,7 +102,7 @@ def _predict(model, ambiguity: float):
                 for lo, hi, x in histograms(c, w.shape[0] if len(w) else 2):
                     letters = batch.column("letters").slice(c.first + lo, hi - lo)
                     known = letters.to_numpy(zero_copy_only=False).astype(bool) & bool(languages)
-                    best, score, gap = decode(x @ w + b, code) if languages else (np.zeros(hi - lo, int),) * 3
+                    best, score, gap = decode(margins(x, w) + b, code) if languages else (np.zeros(hi - lo, int),) * 3
                     names = pa.array(np.where(known, np.array(languages or ["und"], object)[best], "und"), pa.string())
                     yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(c.first + lo, hi - lo) for n in ("doc_id", "held_out")), names, pa.array(np.where(known, score, 0.0)), pa.array(~known | (gap < ambiguity))], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import fitted, histograms, sample
+from .features import fitted, histograms, margins, sample
 from .text import _LOWER, NOT_LETTER, Chunk, U, chunks, mix
 
 MOST, MOST_BYTES, BUCKETS, WORD_BITS, ROUNDS, TAIL = 8000, 64 << 20, 2048, 18, 300, 0.5
@@ -147,7 +147,7 @@ def _scored(model):
                 doc, bucket, value = _words(c, u != 0)
                 s = np.bincount(doc, value * u[bucket], c.n)
                 for a, b, x in histograms(c, BUCKETS):
-                    s[a:b] += x @ w
+                    s[a:b] += margins(x, w[:, None])[:, 0]
                 above = [1 / (1 + np.exp(np.clip(t - s, -500, 500))) for t in (t0, t1)]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array(above[0] + above[1]), pa.array(above[1])], [*batch.schema.names, "expected_grade", "tail"])
 

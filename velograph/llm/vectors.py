@@ -37,13 +37,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def waves(queries: DataFrame, limit: int = WAVE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of the queries, some ``limit`` bytes at a time. A repeated id counts once, with its least vector."""
+def waves(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries, some WAVE_BYTES at a time. A repeated id counts once, with its least vector."""
     once = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     size = once.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     if not size["n"]:
         return
-    n = max(1, -(-size["n"] * size["d"] * 8 // limit))
+    n = max(1, -(-size["n"] * size["d"] * 8 // WAVE_BYTES))
     for i in range(n):
         wave = once if n == 1 else once.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i)
         table = wave.toArrow().combine_chunks()
