@@ -60,12 +60,18 @@ def accept_bridges(candidates: DataFrame) -> DataFrame:
     """The candidates that hold when taken one after the other by (id, start before end): an end that an earlier accepted
     one touched is no longer dangling, and a pair of points is connected once.
 
-    Only candidates whose end is touched by another one depend on the order. They form small clusters, linked by shared
-    points; each cluster is gone through in order on its own.
+    A candidate whose points no other one touches holds. The others depend on the order; they form small clusters, linked by
+    shared points, and each cluster is gone through in order on its own.
     """
     point = lambda c: F.concat_ws(",", f"{c}.lng_e7", f"{c}.lat_e7")
-    keyed = candidates.withColumns({"p": point("end"), "q": point("hit")})
-    keyed = materialise(keyed)
+    keyed = materialise(candidates.withColumns({"p": point("end"), "q": point("hit")}))
+    touched = keyed.select("id", "at_end", F.explode(F.array("p", "q")).alias("point"))
+    shared = touched.groupBy("point").agg(F.count("*").alias("n")).where("n > 1").select("point")
+    contested = materialise(touched.join(shared, "point").select("id", "at_end").distinct())
+    alone = keyed.join(contested, ["id", "at_end"], "left_anti").select(*candidates.columns)
+    if contested.isEmpty():
+        return alone
+    keyed = keyed.join(contested, ["id", "at_end"], "left_semi")
     groups = connected_components(keyed.select(F.col("p").alias("a"), F.col("q").alias("b")))
     names = candidates.columns
 
@@ -77,7 +83,7 @@ def accept_bridges(candidates: DataFrame) -> DataFrame:
                 keep.append(r.Index)
         return pdf.loc[keep, names]
 
-    return keyed.join(groups.withColumnRenamed("node", "p"), "p").groupBy("component").applyInPandas(resolve, candidates.schema)
+    return alone.unionByName(keyed.join(groups.withColumnRenamed("node", "p"), "p").groupBy("component").applyInPandas(resolve, candidates.schema))
 
 
 def splice(segments: DataFrame, accepted: DataFrame) -> DataFrame:
