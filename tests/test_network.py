@@ -2,15 +2,18 @@
 
 import json
 import math
+import os
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from velograph import catalog
+from velograph import catalog, runtime
 from velograph.functions import geo
-from velograph.operators import cost, graph, hulls, planning, polylines, scoring, search, tiles
+from velograph.operators import components, cost, graph, hulls, planning, polylines, scoring, search, skew, tiles
 from velograph.queries import ingest as imports
 from velograph.queries import routes
 from velograph.sources import ingest
@@ -359,6 +362,39 @@ def test_edges_and_ways_by_whole_tables(spark):
     assert some <= whole
 
 
+def test_hot_keys_are_dealt(spark):
+    """Half of the rows under one key, nulls, keys without partner: the same rows as a plain join, in several tasks."""
+    rows = spark.range(2000).selectExpr("IF(id % 2 = 0, 7, IF(id % 10 = 1, NULL, id % 40)) AS k", "id AS v")
+    counted = rows.groupBy("k").count().selectExpr("k", "count AS places", "k * 10 AS more").where("k IS NOT NULL AND k <> 11")
+    plain = lambda how: sorted(map(str, rows.join(counted, "k", how).select("k", "v", "more").collect()))
+    for how in ("inner", "left"):
+        assert sorted(map(str, skew.salted_join(rows, counted, ["k"], ["v"], 2000, how=how).select("k", "v", "more").collect())) == plain(how)
+    some = skew.salted_join(rows, counted, ["k"], ["v"], 2000, only=F.col("k") > 7).select("k", "v", "more").collect()
+    assert sorted(map(str, some)) == sorted(map(str, rows.join(counted.where("k > 7"), "k").select("k", "v", "more").collect()))
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    edges = [(1000 + i, 5) for i in range(500)] + [(i, i + 1) for i in range(2000, 2060)] + [(9, 9)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {5: 5, **{1000 + i: 5 for i in range(500)}, **{i: 2000 for i in range(2000, 2061)}}
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+    assert runtime.shared_folder(session("local[4]", None)) == runtime.LOCAL_CHECKPOINTS
+    assert runtime.shared_folder(session("spark://host:7077", "hdfs:///c")) == "hdfs:///c"
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            runtime.shared_folder(session(master, None))
+
+
+def test_materialised_tables_go_with_their_scratch(spark):
+    with runtime.scratch():
+        t = runtime.materialise(spark.range(5))
+        assert t.count() == 5
+    assert not os.path.exists(t._table)
+
+
 def test_json_batches_stay_small(spark):
     e = spark.range(1_100_000).selectExpr("id AS event_id", "'{}' AS props")
     assert imports._batches(e).selectExpr("max(length(json) - length(replace(json, 'props', 'prop')))").first()[0] <= 2000
