@@ -13,7 +13,7 @@ from ..runtime import materialise
 from . import hulls, polylines, tiles
 from .components import connected_components
 
-EXTENT, BUFFER, DETAIL_ZOOM, OSM_ZOOM, LEAST_ZOOM = 4096, 64, 12, 14, 8
+DETAIL_ZOOM, OSM_ZOOM, LEAST_ZOOM = 12, 14, 8
 CLUSTER_M, COVER_M = 3000.0, 1000.0
 C = F.col
 
@@ -66,22 +66,10 @@ def detail_tiles(paths: DataFrame, zoom: int) -> DataFrame:
 
 def tile_geometry(features: DataFrame) -> DataFrame:
     """(z, tx, ty, id, part, pos, px, py): lines in tile units, clipped to the tile and its buffer."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                side = geo.WORLD_M / 2**r.z
-                x = (np.array([p["x"] for p in r.xy]) - (r.tx * side - geo.WORLD_M / 2)) / side * EXTENT
-                y = ((geo.WORLD_M / 2 - r.ty * side) - np.array([p["y"] for p in r.xy])) / side * EXTENT
-                for k, part in enumerate(hulls.clip_to_box(x, y, -BUFFER, EXTENT + BUFFER)):
-                    q = np.rint(part).astype(int)
-                    q = q[np.append(True, (q[1:] != q[:-1]).any(1))]
-                    if len(q) > 1:
-                        rows += [(r.z, r.tx, r.ty, r.id, k, i, int(a), int(b)) for i, (a, b) in enumerate(q)]
-            yield pd.DataFrame(rows, columns=["z", "tx", "ty", "id", "part", "pos", "px", "py"])
-
-    return features.select("z", "tx", "ty", "id", "xy").mapInPandas(run, "z int, tx long, ty long, id long, part int, pos int, px int, py int")
+    units = tiles.in_units(features.select("z", "tx", "ty", "id", "xy"))
+    each = units.select("z", "tx", "ty", "id", F.posexplode("parts").alias("part", "line"))
+    points = F.transform(F.sequence(F.lit(1), F.size("line") - 1, F.lit(2)), lambda i: F.struct(*(F.element_at("line", i + k).cast("int").alias(n) for k, n in enumerate(("px", "py")))))
+    return each.select("z", "tx", "ty", "id", "part", F.posexplode(points).alias("pos", "p")).select("z", "tx", "ty", "id", "part", "pos", "p.px", "p.py")
 
 
 def clusters(points: DataFrame, within_m: float = CLUSTER_M) -> DataFrame:
