@@ -14,25 +14,25 @@ from ..runtime import materialise, release
 from .skew import salted_join
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node that points has one target, and no target points: then the targets are the components."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out > 0 AND into > 0").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): each node that has an edge to another, with the smallest node of its component."""
     e = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    state = _state(e)
-    while state[0]:
+    while not _settled(e):
+        total = 2 * e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("places"))
-        large = salted_join(both, least, ["u"], ["v"], 2 * state[0]).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # each step is stored, for the next one reads it several times
+        least = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("places")))
+        large = salted_join(both, least, ["u"], ["v"], total).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node keeps its link to the least neighbour as well
-        large = large.unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("places"))
-        moved = salted_join(large, low, ["u"], ["v"], 2 * state[0]).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        large = materialise(large.unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct())
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("places")))
+        moved = salted_join(large, low, ["u"], ["v"], total).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         old, e = e, materialise(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        release(old)
-        if (now := _state(e)) == state:
-            break
-        state = now
+        release(old, least, large, low)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
