@@ -202,21 +202,22 @@ def repeated_spans(docs: DataFrame, length: int = WINDOW, k: int = K, compact: b
         # chains of paths traversed at least twice: their heads' traversals are read again as a whole
         links = chains(paths.where("places > 1"))
         wholes = links.groupBy(F.col("chain").alias("body")).agg(F.max(F.col("skip") + F.col("n")).cast("int").alias("whole"))
-        # (body, places, whole): whole is null for the paths that a chain's head stands for
-        heads = materialise(paths.where("places > 1").select("body", "places").join(wholes, "body", "left"))
+        # one lookup tells every traversal what its path is: a chain's head (how long the chain is), one of those that a head
+        # stands for, or one whose anchor stands among different words, where the graph branches within the span
+        ways = paths.groupBy("anchor").agg((F.count("*") > 1).alias("branching"), F.sum("places").alias("places"))
+        known = salted_join(paths.withColumnRenamed("places", "traversals"), ways, ["anchor"], ["body"], _sum(paths)).drop("places").withColumnRenamed("traversals", "places")
+        known = materialise(known.join(wholes, "body", "left").select("anchor", "body", "places", "branching", "rep", F.when(F.col("places") > 1, F.col("whole")).alias("whole")))
         release(links)
-        whole = salted_join(found.select("body", "row", "doc_id", "at"), heads, ["body"], ["row", "at"], _sum(heads), only=F.col("whole").isNotNull())
-        whole = whole.select("row", "doc_id", F.col("body").alias("path"), "at", F.col("whole").alias("n"), F.lit(False).alias("doubtful"))
-        # the graph branches within spans whose anchor stands among different words
-        branching = paths.groupBy("anchor").agg(F.count("*").alias("ways")).where("ways > 1").select("anchor")
-        apart = paths.join(branching, "anchor").select("rep.row", "rep.doc_id", F.lit(0).cast("long").alias("path"), "rep.at", "n", (F.col("places") == 1).alias("doubtful"))
-        asked = whole.unionByName(apart)
+        told = salted_join(found.select("anchor", "body", "row", "doc_id", "at", "n"), known, ["anchor", "body"], ["row", "at"], _sum(known))
+        here = F.struct("row", "doc_id", "at").eqNullSafe(F.col("rep"))
+        chain, one = (F.struct(path.alias("path"), "at", n.alias("n"), doubtful.alias("doubtful")) for path, n, doubtful in ((F.col("body"), F.col("whole"), F.lit(False)), (F.lit(0).cast("long"), F.col("n"), F.col("places") == 1)))
+        asked = told.withColumn("a", F.array_compact(F.array(F.when(F.col("whole").isNotNull(), chain), F.when(F.col("branching") & here, one))))
     else:
-        asked = found.select("row", "doc_id", F.lit(0).cast("long").alias("path"), "at", "n", F.lit(True).alias("doubtful"))
-    asked = asked.groupBy("row", "doc_id").agg(F.collect_set(F.struct("path", "at", "n", "doubtful")).alias("spans"))
+        asked = found.withColumn("a", F.array(F.struct(F.lit(0).cast("long").alias("path"), "at", "n", F.lit(True).alias("doubtful"))))
+    asked = asked.where(F.size("a") > 0).groupBy("row", "doc_id").agg(F.flatten(F.collect_set("a")).alias("spans"))
     kinds = "path long, h1 long, h2 long, row long, doc_id long, at int, n int, doubtful boolean"
     read = materialise(_join(base.mapInArrow(_packed, "row long, doc_id long, text binary"), asked, "inner").mapInArrow(_reread(length), kinds))
-    release(found, paths, *([heads] if compact else []))
+    release(found, paths, *([known] if compact else []))
 
     verified = read.where("path <> 0")
     ends = [f(h).alias(f"{n}_{h}") for h in ("h1", "h2") for n, f in (("min", F.min), ("max", F.max))]
