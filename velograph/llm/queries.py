@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from . import ann, chat, langid, minhash, mixing, packing, quality, substring, topk, warc
+from . import ann, chat, langid, minhash, mixing, packing, quality, resample, substring, tokens, topk, warc, whitening
 
 
 def word_tokenizer() -> str:
@@ -61,8 +61,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(_table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_ann, op3_minhash, op4_substring, op5_mixing, op6_packing, op7_chat, op8_warc, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_topk, op2_ann, op3_minhash, op4_substring, op5_mixing, op6_packing, op7_chat, op8_warc, op9_quality, op10_language, op11_whitening, op12_resample, op13_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
