@@ -163,6 +163,27 @@ def test_ann_recall(spark):
     assert ann.chi_square_cdf(ann.chi_square_quantile(0.95, 8), 8) == pytest.approx(0.95)
 
 
+@pytest.mark.parametrize("kind", ["tight clusters", "repeated vectors"])
+def test_ann_where_the_test_ends_every_search(spark, kind):
+    """Structured vectors through several shards with the registered parameters: all queries of a block stop early."""
+    rng = np.random.default_rng(21)
+    centres = rng.standard_normal((100, 32))
+    v = centres[np.arange(4000) % 100] + (rng.standard_normal((4000, 32)) * 1e-3 if kind == "tight clusters" else 0)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in ann.search(d, F.col("vec_id") % 50 == 0, shard=700).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert len(found) == 80
+    hits = 0
+    for i, got in found.items():
+        s = np.add.reduce(v[i] * v, axis=1)
+        s[i] = -np.inf
+        worst = np.sort(s)[-20]
+        hits += sum(score >= worst - 1e-9 for _, _, score in got)
+        assert [r for r, _, _ in sorted(got)] == list(range(1, 21))
+    assert hits >= 0.9 * 20 * 80
+
+
 def brute_components(rows):
     def shingles(t):
         w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(t or "")]
@@ -537,6 +558,26 @@ def test_warc_rolls_files_and_bears_null_ids(spark, tmp_path):
     assert got[80, 150] == [("response", None)]
 
 
+def test_warc_many_imitated_headers(spark):
+    """Magic lines cost linear time, whether or not they share a header's end."""
+    import time
+
+    lines = "WARC/1.1\r\n" * 100_000
+    heads = "WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n" * 20_000
+    rows = [(1, "u", lines), (2, None, heads), (3, "u", "WARC/1.1\r\nContent-Length: " + "9" * 5000 + "\r\n\r\n" + lines), (4, "u", "\r\n" * 1000), (5, "u", "Content-Length: 3\r\n" * 50_000)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in warc.round_trip(d).collect()}
+    assert got == {i: (len(h), hashlib.sha256(h.encode()).hexdigest(), "response") for i, _, h in rows}
+    record = lambda body: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    data = record(lines.encode()) + record(heads.encode()) + record(b"")
+    began = time.process_time()
+    at, after = warc._candidates(data)
+    on = warc.reachable(at, after, len(data))
+    assert time.process_time() - began < 1
+    assert sorted(at[on].tolist()) == [0, len(record(lines.encode())), len(data) - len(record(b""))] and len(at) >= 20_000
+    assert [len(x) for x in warc._candidates(b"")] == [0, 0] and [len(x) for x in warc._candidates(b"WARC/1.1\r\n\r\n")] == [0, 0]
+
+
 def test_broken_chain_is_reported():
     with pytest.raises(ValueError):
         warc.reachable(np.array([0, 10]), np.array([12, 20]), 20)

@@ -122,11 +122,13 @@ def walk(tree: Tree, points: np.ndarray, length: np.ndarray, flat: np.ndarray, l
     while len(active) and step < visit.shape[1]:
         bound = limit()
         active = active[near[active, step] <= bound[active]]
+        if not len(active):
+            break
         todo = visit[active, step : step + stride]
         who, leaves = np.repeat(active, todo.shape[1]), todo.ravel()
         by = np.argsort(leaves, kind="stable")
         who, leaves = who[by], leaves[by]
-        starts = np.flatnonzero(np.append(True, leaves[1:] != leaves[:-1])) if len(leaves) else []
+        starts = np.flatnonzero(np.append(True, leaves[1:] != leaves[:-1]))
         for s, e in zip(starts, np.append(starts[1:], len(leaves)), strict=True):
             at, mine = tree.leaf(leaves[s]), who[s:e]
             apart = flat_length[mine, None] + length[at] - 2 * (flat[mine] @ points[at].T)

@@ -8,7 +8,7 @@ files, with a record's closing CR LF CR LF as line separator, so its commit prot
 Reading: a payload may hold anything, the record magic included. So a task lists every place in a file where a record could
 begin, with the offset at which its successor would begin by its own Content-Length; pointer jumping from the file's start
 (each step doubles the distance covered) then keeps the reachable places only, and these alone are parsed. What a payload
-imitates isn't on that chain, and costs two numbers. A chain that doesn't end exactly at the file's end is an error. As gzip
+imitates isn't on that chain, and costs a few numbers and a binary search. A chain that doesn't end exactly at the file's end is an error. As gzip
 can't be read from the middle, a file is one task's, and must fit its memory.
 
 Results for unusual input: a null html is the empty payload; a null url is an empty target; CR and LF in a url are percent-
@@ -85,16 +85,15 @@ def write(pages: DataFrame, path: str, least: int = LEAST, file_bytes: int = FIL
     out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, file_bytes // mean)).text(path)
 
 
-_START = re.compile(rb"WARC/1\.[01]\r\n")
+_START = re.compile(rb"WARC/1\.[01](?=\r\n)")
+#: A length has 18 digits at most; the first such line of a header counts.
+_LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,18})(?=\r\n)")
 
 
-def _header(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
+def _header(data: bytes, at: int) -> tuple[dict[bytes, bytes], int]:
+    """Fields and end of a record's header; called for records on the chain only."""
     end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        return None
-    lines = data[at:end].split(b"\r\n")[1:]
-    fields = dict(x.split(b": ", 1) for x in lines if b": " in x)
-    return (fields, end + 4) if fields.get(b"Content-Length", b"").isdigit() else None
+    return dict(x.split(b": ", 1) for x in reversed(data[at:end].split(b"\r\n")[1:]) if b": " in x), end + 4
 
 
 def _number(value: bytes | None) -> int | None:
@@ -125,15 +124,27 @@ def reachable(at: np.ndarray, successor: np.ndarray, size: int) -> np.ndarray:
 
 
 def _candidates(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Each place where a record could begin, and where its successor would begin."""
-    at, after = [], []
-    for m in _START.finditer(data):
-        if head := _header(data, m.start()):
-            stop = head[1] + int(head[0][b"Content-Length"])
-            if data[stop : stop + 4] == b"\r\n\r\n":
-                at.append(m.start())
-                after.append(stop + 4)
-    return np.array(at, np.int64), np.array(after, np.int64)
+    """Each place where a record could begin, and where its successor would begin.
+
+    The places of magic, of length lines and of blank lines are each listed in one pass and then matched by binary search, so
+    headers that a payload imitates cost a few numbers each, however many of them share one end.
+    """
+    at = np.array([m.start() for m in _START.finditer(data)], np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    blank = np.flatnonzero(raw[: max(0, len(raw) - 3)] == 13)
+    blank = blank[(raw[blank + 1] == 10) & (raw[blank + 2] == 13) & (raw[blank + 3] == 10)]
+    found = [(m.start(), int(m[1])) for m in _LENGTH.finditer(data)]
+    place, length = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    if not len(blank) or not len(place):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    ends, own = np.searchsorted(blank, at), np.searchsorted(place, at)
+    ok = (ends < len(blank)) & (own < len(place))
+    at, end, own = at[ok], blank[ends[ok]], own[ok]
+    stop = end + 4 + length[own]
+    # its length line must stand before its end, and the blank line that closes a record where the length says
+    close = np.minimum(np.searchsorted(blank, stop), len(blank) - 1)
+    ok = (place[own] < end) & (blank[close] == stop)
+    return at[ok], stop[ok] + 4
 
 
 def _parsed(data: bytes, at: int) -> tuple:
