@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from velograph import catalog, runtime
 from velograph.functions import geo
-from velograph.operators import components, cost, graph, hulls, planning, polylines, scoring, search, skew, tiles
+from velograph.operators import components, cost, graph, hulls, planning, polylines, scoring, search, serving, skew, tiles
 from velograph.queries import ingest as imports
 from velograph.queries import routes
 from velograph.sources import ingest
@@ -344,7 +344,7 @@ def test_coverage_takes_all_points(spark):
     want = {(c, lng[label == c].min(), lng[label == c].max(), lat[label == c].min(), lat[label == c].max()) for c in np.unique(label)}
     hull = QUERIES["coverage_areas"](spark, FOLDER).toPandas().groupby("cluster").agg({"lng_e7": ["min", "max"], "lat_e7": ["min", "max"]})
     assert {(i, *r) for i, *r in hull.itertuples()} == want
-    assert dict(map(tuple, QUERIES["cluster_dbscan_all"](spark, FOLDER).collect())) == dict(zip(p["id"], label, strict=True))
+    assert dict(map(tuple, QUERIES["cluster_dbscan"](spark, FOLDER).collect())) == dict(zip(p["id"], label, strict=True))
 
 
 def test_blocks_keep_all_segments(spark):
@@ -357,9 +357,34 @@ def test_blocks_keep_all_segments(spark):
 def test_edges_and_ways_by_whole_tables(spark):
     n = graph.build(sources.segments(sources.paths(spark, FOLDER)), tolerance_m=0).edges.count()
     wanted = spark.read.parquet(f"{FOLDER}/customer.parquet").where(f"c_custkey < {n}").count()
-    assert QUERIES["get_edge_all"](spark, FOLDER).count() == wanted
-    some, whole = ({r["way_id"] for r in QUERIES[q](spark, FOLDER).collect()} for q in ("anti_join_coverage", "anti_join_coverage_all"))
-    assert some <= whole
+    assert QUERIES["get_edge"](spark, FOLDER).count() == wanted and QUERIES["get_edge_all"](spark, FOLDER).count() == n
+    official = sources.paths(spark, FOLDER).where("dir = 1").count()
+    assert 0 < QUERIES["anti_join_coverage_all"](spark, FOLDER).count() < official
+
+
+@pytest.mark.parametrize("mercator", [False, True])
+@pytest.mark.parametrize("compared", [8, -100_000])
+def test_dense_cells_cluster_without_all_pairs(spark, compared, mercator, monkeypatch):
+    """Cells of thousands of points just within and just beyond the distance; parts are halved down to single points if need be."""
+    monkeypatch.setattr(serving, "COMPARED", compared)
+    rng = np.random.default_rng(14)
+    heap = lambda lng, lat, n=1500: np.stack([lng + rng.integers(0, 900, n), lat + rng.integers(0, 900, n)], 1)
+    metre = 1e7 / PER_DEGREE
+    at = lambda east, north=0.0: (round(1_450_000_000 + east * metre / math.cos(math.radians(37.8))), round(-378_000_000 + north * metre))
+    points = np.concatenate([heap(*at(0)), heap(*at(3005)), heap(*at(9000)), heap(*at(12_030)), heap(*at(0, 9000), 1), heap(*at(2999, 9000), 1), heap(*at(0, 9000), 1)])
+    d = spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(points)], "id long, lng_e7 long, lat_e7 long").repartition(4)
+    got = dict(map(tuple, serving.clusters(d, 3000.0, mercator).collect()))
+    x, y = points[:, 0], points[:, 1]
+    if mercator:
+        mx = np.floor(geo.MERCATOR_R * np.radians(x / 1e7) * 1000 + 0.5)
+        my = np.floor(geo.MERCATOR_R * np.log(np.tan(np.pi / 4 + np.radians(y / 1e7) / 2)) * 1000 + 0.5)
+        near = np.hypot(mx[:, None] - mx, my[:, None] - my) <= 3_000_000
+        label = np.arange(len(points))
+        while ((least := np.where(near, label, len(points)).min(1)) != label).any():
+            label = least
+    else:
+        label = brute_clusters(np.arange(len(points)), x, y)
+    assert got == dict(enumerate(label.tolist())) and len(set(got.values())) >= 3
 
 
 def test_hot_keys_are_dealt(spark):
@@ -398,3 +423,37 @@ def test_materialised_tables_go_with_their_scratch(spark):
 def test_json_batches_stay_small(spark):
     e = spark.range(1_100_000).selectExpr("id AS event_id", "'{}' AS props")
     assert imports._batches(e).selectExpr("max(length(json) - length(replace(json, 'props', 'prop')))").first()[0] <= 2000
+
+
+def greedy(candidates):
+    touched, kept = set(), []
+    for i, at_end, p, q in sorted(candidates):
+        if p not in touched:
+            touched |= {p, q}
+            kept.append((i, at_end))
+    return kept
+
+
+@pytest.mark.parametrize("kind", ["chain", "backward chain", "hub", "random", "repeated ends"])
+def test_bridges_that_touch_hold_in_order(spark, kind, monkeypatch):
+    rng = np.random.default_rng(31)
+    n = 3000 if kind == "chain" else 400
+    spot = lambda x: Row(lng_e7=int(x), lat_e7=-int(x))
+    if kind == "chain":  # each one's hit is the next one's end
+        rows = [(i, 0, i, i + 1) for i in range(n)]
+    elif kind == "backward chain":
+        rows = [(i, 0, i, i - 1) for i in range(n)]
+    elif kind == "hub":
+        rows = [(i, i % 2, i, 200) for i in range(n)]
+    elif kind == "random":
+        order = rng.permutation(n)
+        rows = [(int(order[i]), int(rng.integers(2)), i, int(rng.integers(n * 5 // 4))) for i in range(n)]
+    else:
+        rows = [(i, 0, int(rng.integers(60)), int(rng.integers(60))) for i in range(n)]
+    rounds = []
+    count = graph.release
+    monkeypatch.setattr(graph, "release", lambda *t: (rounds.append(1), count(*t)))
+    d = spark.createDataFrame([(i, a, spot(p), spot(q), 7) for i, a, p, q in rows], "id long, at_end int, end struct<lng_e7:long,lat_e7:long>, hit struct<lng_e7:long,lat_e7:long>, target long")
+    got = sorted((r["id"], r["at_end"]) for r in graph.accept_bridges(d).collect())
+    assert got == greedy([(i, a, (p, -p), (q, -q)) for i, a, p, q in rows])
+    assert len(rounds) <= 15

@@ -5,12 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..runtime import materialise
+from ..runtime import materialise, release
 from . import polylines
 from .components import connected_components
 from .ranking import numbered
@@ -60,30 +59,39 @@ def accept_bridges(candidates: DataFrame) -> DataFrame:
     """The candidates that hold when taken one after the other by (id, start before end): an end that an earlier accepted
     one touched is no longer dangling, and a pair of points is connected once.
 
-    A candidate whose points no other one touches holds. The others depend on the order; they form small clusters, linked by
-    shared points, and each cluster is gone through in order on its own.
+    Of candidates with one end only the first can hold. Any other waits for the earlier ones that touch its end: it holds if
+    none of them does. These links are settled in rounds of joins: what waits for nothing is decided and its links are
+    resolved, and what waits for one other only hands its link on, so chains halve; the number of rounds grows with the
+    logarithm of the longest chain, and no cluster of candidates meets in one task.
     """
-    point = lambda c: F.concat_ws(",", f"{c}.lng_e7", f"{c}.lat_e7")
-    keyed = materialise(candidates.withColumns({"p": point("end"), "q": point("hit")}))
-    touched = keyed.select("id", "at_end", F.explode(F.array("p", "q")).alias("point"))
-    shared = touched.groupBy("point").agg(F.count("*").alias("n")).where("n > 1").select("point")
-    contested = materialise(touched.join(shared, "point").select("id", "at_end").distinct())
-    alone = keyed.join(contested, ["id", "at_end"], "left_anti").select(*candidates.columns)
-    if contested.isEmpty():
-        return alone
-    keyed = keyed.join(contested, ["id", "at_end"], "left_semi")
-    groups = connected_components(keyed.select(F.col("p").alias("a"), F.col("q").alias("b")))
-    names = candidates.columns
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        touched, keep = set(), []
-        for r in pdf.sort_values(["id", "at_end"]).itertuples():
-            if r.p not in touched:
-                touched |= {r.p, r.q}
-                keep.append(r.Index)
-        return pdf.loc[keep, names]
-
-    return alone.unionByName(keyed.join(groups.withColumnRenamed("node", "p"), "p").groupBy("component").applyInPandas(resolve, candidates.schema))
+    at = F.col("id") * 2 + F.col("at_end")
+    keyed = candidates.select(at.alias("c"), F.col("end").alias("p"), F.col("hit").alias("q"))
+    first = materialise(keyed.groupBy("p").agg(F.min_by(F.struct("c", "q"), "c").alias("f")).select("f.c", "p", "f.q"))
+    touching = first.select(F.col("c").alias("x"), F.col("q").alias("p"))  # no other one has its end
+    links = materialise(first.join(touching, "p").where("x < c").select("c", "x", F.lit(False).alias("flip")))
+    # decided: (c, holds)
+    decided = first.select("c").join(links.select("c").distinct(), "c", "left_anti").withColumn("holds", F.lit(True))
+    if links.isEmpty():
+        return candidates.join(decided.select("c"), at == F.col("c"), "left_semi")
+    decided = materialise(decided)
+    fresh = decided
+    while not links.isEmpty():
+        # a link says "holds" if its target does, or with flip if it doesn't; one that does ends the wait with no, none left with yes
+        told = links.join(fresh.select(F.col("c").alias("x"), "holds"), "x", "left").withColumn("says", F.col("holds") != F.col("flip"))
+        state = told.groupBy("c").agg(F.coalesce(F.bool_or("says"), F.lit(False)).alias("no"), F.count_if(F.col("says").isNull()).alias("waits"), F.min_by("x", F.when(F.col("says").isNull(), F.col("x"))).alias("x"), F.min_by("flip", F.when(F.col("says").isNull(), F.col("x"))).alias("flip"))
+        state = materialise(state)
+        fresh = materialise(state.where("no OR waits = 0").select("c", (~F.col("no")).alias("holds")))
+        open_ = state.where("NOT no AND waits > 0").select("c", "waits")
+        left = told.where("says IS NULL").select("c", "x", "flip").join(open_, "c")
+        # c waits for x alone, and x for y alone: then c waits for y
+        alone = state.where("NOT no AND waits = 1").select(F.col("c").alias("x"), F.col("x").alias("y"), F.col("flip").alias("flip_x"))
+        jumped = left.join(alone, "x", "left")
+        jump = (F.col("waits") == 1) & F.col("y").isNotNull()
+        new = jumped.select("c", F.when(jump, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(jump, F.col("flip") == F.col("flip_x")).otherwise(F.col("flip")).alias("flip"))
+        old, links = links, materialise(new)
+        decided = decided.unionByName(fresh)
+        release(old, state)
+    return candidates.join(decided.where("holds").select("c"), at == F.col("c"), "left_semi")
 
 
 def splice(segments: DataFrame, accepted: DataFrame) -> DataFrame:

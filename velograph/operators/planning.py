@@ -13,6 +13,7 @@ from . import cost, polylines, scoring, search
 from .graph import Graph, adjacency
 from .snap import MAX_SNAP_M, snap, snap_preferring
 
+NOTES = "array<struct<tone:string,text:string,metres:double,points:double>>"
 OWN = ("pref_surface", "avoid_steps", "avoid_busy")
 
 
@@ -139,13 +140,24 @@ def answers(plans: DataFrame, g: Graph, requests: DataFrame, profile: str = V.PR
 
     leg = legs(route).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("island", "kind", "name", one(F.col("length_m")).alias("lengthM")))).alias("legs"))
     leg = leg.select("request_id", F.transform("legs", lambda x: F.struct(x["kind"].alias("kind"), x["name"].alias("name"), x["lengthM"].alias("lengthM"))).alias("legs"))
-    score = scoring.scores(materialise(stretches(route))).groupBy("request_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("activity", F.struct("score", "rating", "confidence"))))).alias("scores"))
+    parts = materialise(stretches(route))
+    note = None
+    for activity in scoring.ACTIVITIES:
+        n = scoring.notes(parts, activity).withColumn("activity", F.lit(activity))
+        note = n if note is None else note.unionByName(n)
+    note = note.groupBy("request_id", "activity").agg(F.array_sort(F.collect_list(F.struct("place", "tone", "text", "metres", "points"))).alias("notes"))
+    told = F.transform("notes", lambda n: F.struct(*(n[c].alias(c) for c in ("tone", "text", "metres", "points"))))
+    judged = scoring.scores(parts).join(note, ["request_id", "activity"], "left").select("request_id", "activity", F.struct("score", "rating", "confidence", F.coalesce(told, F.expr(f"cast(array() as {NOTES})")).alias("notes")).alias("s"))
+    score = judged.groupBy("request_id").agg(F.struct(*(F.max(F.when(F.col("activity") == a, F.col("s"))).alias(a) for a in scoring.ACTIVITIES)).alias("scores"))
     full = plans.join(own, "request_id")
     for part in (route_lines(plans, g), total, leg, sums("kind", "distanceByKind"), sums("surface_class", "distanceBySurface"), score):
         full = full.join(part, "request_id", "left")
     snapped = lambda n: F.struct(F.array(f"{n}.lng", f"{n}.lat").alias("point"), one(F.col(f"{n}.distance_m")).alias("distanceM")).alias(n)
+    # a route without length has the least score of each activity
+    none = F.struct(F.lit(0).cast("long").alias("score"), F.lit("poor").alias("rating"), F.lit("low").alias("confidence"), F.expr(f"cast(array() as {NOTES})").alias("notes"))
+    nothing = F.struct(*(none.alias(a) for a in scoring.ACTIVITIES))
     properties = F.struct(
-        "profile", F.struct(F.col("pref_surface").alias("surface"), F.col("avoid_steps").alias("avoidSteps"), F.col("avoid_busy").alias("avoidBusyRoads")).alias("preferences"), "avoidedSurfaceM", "scores",
+        "profile", F.struct(F.col("pref_surface").alias("surface"), F.col("avoid_steps").alias("avoidSteps"), F.col("avoid_busy").alias("avoidBusyRoads")).alias("preferences"), "avoidedSurfaceM", F.coalesce("scores", nothing).alias("scores"),
         F.coalesce("distanceM", F.lit(0.0)).alias("distanceM"), one(F.col("cost")).alias("cost"), "legs", "distanceByKind", "distanceBySurface", "inferredSurfaceM", F.struct(snapped("start"), snapped("end")).alias("snap"),
     )
     line = F.struct(F.lit("LineString").alias("type"), F.transform("coordinates", lambda p: F.array(p["lng"], p["lat"])).alias("coordinates"))

@@ -114,7 +114,7 @@ def walk_text(sections: Column, walk_m: Column, steps: Column) -> Column:
 
 
 def notes(stretches: DataFrame, activity: str) -> DataFrame:
-    """(request_id, tone, text, metres, points): up to four losses, the cap, and what is good."""
+    """(request_id, place, tone, text, metres, points): up to four losses, the cap, and what is good, in this order."""
     total = stretches.groupBy("request_id").agg(F.sum("length_m").alias("total"))
     lost = losses(stretches, activity).join(total, "request_id").select("request_id", "cause", F.concat(metres_text(C("metres")), F.lit(" "), "phrase").alias("text"), "metres", (C("loss") / C("total") * 100).alias("points")).where(half_up(C("points"), 9) >= LEAST_POINTS)
     extra = None
@@ -123,15 +123,15 @@ def notes(stretches: DataFrame, activity: str) -> DataFrame:
         lost = lost.unionByName(walk.where("penalty > 0").select("request_id", F.lit("walk").alias("cause"), walk_text(C("sections"), C("walk_m"), C("steps")).alias("text"), C("walk_m").alias("metres"), C("penalty").alias("points")))
         capped = scores(stretches).where("activity = 'skate' AND cap_loss > 0").join(walk, "request_id")
         text = F.concat(F.lit("Having to walk caps the rating at "), F.when(C("cap") == CAP_LONG, "fair").otherwise("good"))
-        extra = capped.select("request_id", F.lit("negative").alias("tone"), text.alias("text"), C("walk_m").alias("metres"), half_up(C("cap_loss"), 1).alias("points"))
+        extra = capped.select("request_id", F.lit(NOTES + 1).alias("place"), F.lit("negative").alias("tone"), text.alias("text"), C("walk_m").alias("metres"), half_up(C("cap_loss"), 1).alias("points"))
         good = F.when(C("smoothness").isNotNull(), C("smoothness").isin("excellent", "good")).otherwise(C("surface_class") == "smooth")
         praise = "% smooth asphalt or concrete"
     else:
         good, praise = C("kind").isin(*V.OFF_ROAD), "% off-road paths and trails"
     rank = F.row_number().over(W.partitionBy("request_id").orderBy(half_up(C("points"), 9).desc(), "cause"))
-    worst = lost.withColumn("rank", rank).where(C("rank") <= NOTES).select("request_id", F.lit("negative").alias("tone"), "text", "metres", half_up(C("points"), 1).alias("points"))
+    worst = lost.withColumn("rank", rank).where(C("rank") <= NOTES).select("request_id", C("rank").alias("place"), F.lit("negative").alias("tone"), "text", "metres", half_up(C("points"), 1).alias("points"))
     fine = stretches.groupBy("request_id").agg(F.sum(F.when(good, C("length_m")).otherwise(0.0)).alias("metres"), F.sum("length_m").alias("total")).where(C("metres") / C("total") >= LEAST_SHARE)
     share = F.floor(C("metres") / C("total") * 100 + F.lit(0.5)).cast("long").cast("string")
-    positive = fine.select("request_id", F.lit("positive").alias("tone"), F.concat(share, F.lit(praise)).alias("text"), "metres", F.lit(None).cast("double").alias("points"))
+    positive = fine.select("request_id", F.lit(NOTES + 2).alias("place"), F.lit("positive").alias("tone"), F.concat(share, F.lit(praise)).alias("text"), "metres", F.lit(None).cast("double").alias("points"))
     out = worst.unionByName(positive)
     return out.unionByName(extra) if extra is not None else out

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, tags
 from ..functions import vocab as V
+from ..functions.exprs import lookup
 from ..runtime import materialise
-from . import hulls, polylines, tiles
+from . import areas, hulls, tiles
 from .components import connected_components
 
 DETAIL_ZOOM, OSM_ZOOM, LEAST_ZOOM = 12, 14, 8
@@ -72,32 +71,100 @@ def tile_geometry(features: DataFrame) -> DataFrame:
     return each.select("z", "tx", "ty", "id", "part", F.posexplode(points).alias("pos", "p")).select("z", "tx", "ty", "id", "part", "pos", "p.px", "p.py")
 
 
-def clusters(points: DataFrame, within_m: float = CLUSTER_M) -> DataFrame:
+def _sphere(boxes: bool):
+    """Metres between fixed-point places, or the least and most between boxes (x0, x1, y0, y1, with b before the other's)."""
+    unit = geo.SPHERE_DEGREE_M / geo.FIXED
+    if not boxes:
+        return geo.haversine(*(geo.degrees(C(x)) for x in ("x", "y", "bx", "by")))
+    low, high = _gaps()
+    lat = [F.radians(geo.degrees(C(c))) for c in ("y0", "y1", "by0", "by1")]
+    least = F.least(*(F.cos(v) for v in lat))
+    most = F.when((F.least("y0", "by0") <= 0) & (F.greatest("y1", "by1") >= 0), 1.0).otherwise(F.greatest(*(F.cos(v) for v in lat)))
+    # at a few kilometres the plane and the sphere agree to a millionth; the bounds leave ten times that
+    return F.hypot(low[0] * least, low[1]) * unit * (1 - 1e-5), F.hypot(high[0] * most, high[1]) * unit * (1 + 1e-5)
+
+
+def _plane(boxes: bool):
+    if not boxes:
+        return F.hypot((C("x") - C("bx")).cast("double"), (C("y") - C("by")).cast("double"))
+    low, high = _gaps()
+    return F.hypot(*low), F.hypot(*high)
+
+
+def _gaps() -> tuple[list[Column], list[Column]]:
+    """Least and most difference of two boxes along each axis."""
+    ends = [[C(f"{p}{a}{i}").cast("double") for p in ("", "b") for i in (0, 1)] for a in "xy"]
+    return [F.greatest(F.lit(0.0), q0 - p1, p0 - q1) for p0, p1, q0, q1 in ends], [F.greatest(F.abs(p1 - q0), F.abs(q1 - p0)) for p0, p1, q0, q1 in ends]
+
+
+#: Comparisons of points, for each point, below which refining cells isn't worth a round.
+COMPARED = 8
+
+
+def _near(pairs: DataFrame, points: DataFrame, size: int, within: float, distance) -> DataFrame:
+    """(head, other) of those pairs of cells (head, other, cx, cy, nx, ny) of which some points are within the distance.
+
+    Cells are halved again and again, occupied parts only, each with the box of its points: a pair of parts that lies within the distance
+    altogether links its cells, one that lies beyond is dropped, and only the others go on. Points are compared once few
+    comparisons are left; parts of one point each decide themselves.
+    """
+    here = pairs.select(C("cx").alias("px"), C("cy").alias("py")).unionByName(pairs.select(C("nx").alias("px"), C("ny").alias("py"))).distinct()
+    cell = [F.floor(C(c) / size).alias(p) for c, p in (("x", "px"), ("y", "py"))]
+    held = materialise(points.select("x", "y").distinct().select("x", "y", *cell).join(here, ["px", "py"]).select("x", "y"))
+    most = COMPARED * held.count() + 1_000_000
+    open_, step, links = pairs.select("head", "other", *(C(c).alias(n) for c, n in (("cx", "ax"), ("cy", "ay"), ("nx", "ox"), ("ny", "oy")))), size, None
+    while True:
+        at = held.select(F.floor(C("x") / step).alias("i"), F.floor(C("y") / step).alias("j"), "x", "y")
+        part = at.groupBy("i", "j").agg(F.count("*").alias("n"), *(f(c).alias(f"{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))))
+        other = part.select(C("i").alias("ox"), C("j").alias("oy"), *(C(c).alias(f"b{c}") for c in ("n", "x0", "x1", "y0", "y1")))
+        low, high = distance(True)
+        judged = materialise(open_.join(part.withColumnsRenamed({"i": "ax", "j": "ay"}), ["ax", "ay"]).join(other, ["ox", "oy"]).select("head", "other", "ax", "ay", "ox", "oy", (C("n") * C("bn")).alias("pairs"), low.alias("low"), high.alias("high")).where(C("low") <= within))
+        sure = judged.where(C("high") <= within).select("head", "other").distinct()
+        links = sure if links is None else links.unionByName(sure)
+        rest = judged.join(sure, ["head", "other"], "left_anti")
+        left = rest.agg(F.sum("pairs").alias("n")).first()["n"]
+        if not left:
+            return links
+        if left <= most or step == 1:
+            a = at.select(C("i").alias("ax"), C("j").alias("ay"), "x", "y")
+            b = at.select(C("i").alias("ox"), C("j").alias("oy"), C("x").alias("bx"), C("y").alias("by"))
+            met = rest.join(a, ["ax", "ay"]).join(b, ["ox", "oy"]).groupBy("head", "other").agg(F.min(distance(False)).alias("d"))
+            return links.unionByName(met.where(C("d") <= within).select("head", "other"))
+        half = max(1, step // 2)
+        # the finer cells that a cell overlaps
+        for c in ("ax", "ay", "ox", "oy"):
+            rest = rest.withColumn(c, F.explode(F.sequence(F.floor(C(c) * step / half), F.floor(((C(c) + 1) * step - 1) / half))))
+        open_, step = materialise(rest.select("head", "other", "ax", "ay", "ox", "oy").distinct()), half
+
+
+def clusters(points: DataFrame, within_m: float = CLUSTER_M, mercator: bool = False) -> DataFrame:
     """(id, cluster): points linked when within the distance; with one point enough for a cluster, that is components.
+    Distances are metres on the sphere, or with ``mercator`` units of the map plane, taken to a thousandth.
 
     Cells are a third of the distance wide, so all points of a cell are linked and a cell is one node. Only cells two to
-    five apart that adjoining cells don't link already have their points compared.
+    five apart that adjoining cells don't link already have their points compared, by ever smaller parts of both.
     """
-    deg = within_m / geo.METRES_PER_DEGREE * geo.FIXED
-    size = int(deg / 3)
-    p = points.withColumns({"cx": F.floor(C("lng_e7") / size), "cy": F.floor(C("lat_e7") / size)})
+    if mercator:
+        x, y = (F.floor(v * 1000 + 0.5).cast("long") for v in geo.mercator(geo.degrees(C("lng_e7")), geo.degrees(C("lat_e7"))))
+        p, within, size, distance = points.select("id", x.alias("x"), y.alias("y")), within_m * 1000, int(within_m * 1000 / 3), _plane
+    else:
+        p, within, size, distance = points.select("id", C("lng_e7").alias("x"), C("lat_e7").alias("y")), within_m, int(within_m / geo.METRES_PER_DEGREE * geo.FIXED / 3), _sphere
+    p = p.withColumns({"cx": F.floor(C("x") / size), "cy": F.floor(C("y") / size)})
     cell = p.groupBy("cx", "cy").agg(F.min("id").alias("head"))
     reach = 5
     around = cell.select("cx", "cy", "head").withColumn("nx", F.explode(F.sequence(C("cx") - reach, C("cx") + reach))).withColumn("ny", F.explode(F.sequence(C("cy") - reach, C("cy") + reach)))
     other = cell.select(C("cx").alias("nx"), C("cy").alias("ny"), C("head").alias("other"))
-    near_cells = around.join(other, ["nx", "ny"]).where("head < other").select("cx", "cy", "nx", "ny", "head", "other")
-    a = p.select("cx", "cy", C("lng_e7").alias("alng"), C("lat_e7").alias("alat"))
-    b = p.select(C("cx").alias("nx"), C("cy").alias("ny"), C("lng_e7").alias("blng"), C("lat_e7").alias("blat"))
-    d = geo.haversine(*(geo.degrees(C(x)) for x in ("alng", "alat", "blng", "blat")))
+    near_cells = materialise(around.join(other, ["nx", "ny"]).where("head < other").select("cx", "cy", "nx", "ny", "head", "other"))
     # points of adjoining cells are at most 0.95 of the distance apart, so these cells are linked unseen
     close = (F.abs(C("nx") - C("cx")) <= 1) & (F.abs(C("ny") - C("cy")) <= 1)
     sure, open_cells = near_cells.where(close), near_cells.where(~close)
     near_labels = materialise(connected_components(sure.select(C("head").alias("a"), C("other").alias("b"))))
     for end in ("head", "other"):
         open_cells = open_cells.join(near_labels.select(C("node").alias(end), C("component").alias(f"{end}_part")), end, "left")
-    open_cells = open_cells.where(F.coalesce("head_part", "head") != F.coalesce("other_part", "other")).drop("head_part", "other_part")
-    links = open_cells.join(a, ["cx", "cy"]).join(b, ["nx", "ny"]).groupBy("head", "other").agg(F.min(d).alias("d")).where(C("d") <= within_m).select(C("head").alias("a"), C("other").alias("b"))
-    links = links.unionByName(sure.select(C("head").alias("a"), C("other").alias("b")))
+    open_cells = materialise(open_cells.where(F.coalesce("head_part", "head") != F.coalesce("other_part", "other")).drop("head_part", "other_part"))
+    links = _near(open_cells, p, size, within, distance).select(C("head").alias("a"), C("other").alias("b"))
+    # cells that adjoin are known by their parts already
+    links = links.unionByName(near_labels.select(C("node").alias("a"), C("component").alias("b")))
     labels = connected_components(links)
     heads = cell.join(labels.withColumnRenamed("node", "head"), "head", "left").select("cx", "cy", F.coalesce("component", "head").alias("c"))
     named = p.join(heads, ["cx", "cy"])
@@ -110,30 +177,10 @@ def coverage(points: DataFrame, within_m: float = CLUSTER_M) -> DataFrame:
     return hulls.group_hulls(points.join(clusters(points, within_m), "id").select("cluster", "lng_e7", "lat_e7"), "cluster")
 
 
-def within_coverage(points: DataFrame, hull: DataFrame, metres: float = COVER_M) -> DataFrame:
-    """Points in a hull or at most so far from one. Hulls meet points in coarse cells; the test is a kernel per batch."""
-    size = 200_000
-    ring = hull.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lng_e7", "lat_e7"))), lambda v: F.struct(v["lng_e7"].alias("lng_e7"), v["lat_e7"].alias("lat_e7"))).alias("ring"))
-    pad = int(2 * metres / geo.METRES_PER_DEGREE * geo.FIXED)
-    corner = lambda f, s: F.struct(*((f(f"ring.{c}") + s * pad).alias(c) for c in ("lng_e7", "lat_e7")))
-    cells = polylines.gridded(ring.withColumns({"a": corner(F.array_min, -1), "b": corner(F.array_max, 1)}), size).select("cluster", "ring", "cx", "cy")
-    near = points.withColumns({"cx": F.floor(C("lng_e7") / size), "cy": F.floor(C("lat_e7") / size)}).join(cells, ["cx", "cy"])
-
-    def run(batches):
-        for pdf in batches:
-            ok = []
-            for r in pdf.itertuples():
-                k = np.cos(np.radians(r.lat_e7 / geo.FIXED))
-                scale = geo.METRES_PER_DEGREE / geo.FIXED
-                v = np.array([((p["lng_e7"] - r.lng_e7) * k * scale, (p["lat_e7"] - r.lat_e7) * scale) for p in r.ring])
-                w = np.roll(v, -1, axis=0)
-                cross = v[:, 0] * w[:, 1] - v[:, 1] * w[:, 0]
-                e = w - v
-                t = np.clip(-(v * e).sum(1) / np.maximum((e * e).sum(1), 1e-12), 0, 1)
-                ok.append(bool(len(v) > 2 and (cross >= 0).all()) or float(np.hypot(*(v + t[:, None] * e).T).min()) <= metres)
-            yield pdf.loc[ok, ["id"]]
-
-    return near.select("id", "lng_e7", "lat_e7", "ring").mapInPandas(run, "id long").distinct()
+def within_coverage(points: DataFrame, rings: DataFrame, metres: float = COVER_M) -> DataFrame:
+    """(id): points (id, lng_e7, lat_e7) in an area (area, ring) or at most so far from one."""
+    at = F.struct("lng_e7", "lat_e7")
+    return areas.meeting(points.select("id", at.alias("a"), at.alias("b")), rings, metres)
 
 
 def place_of(p: DataFrame) -> DataFrame:
@@ -168,3 +215,7 @@ HTTP_STATUS = {
     "VALIDATION_ERROR": 400, "INVALID_JSON": 400, "ZOOM_TOO_LOW": 400, "NOT_FOUND": 404, "START_NOT_NEAR_NETWORK": 422, "END_NOT_NEAR_NETWORK": 422,
     "NO_ROUTE": 422, "INTERNAL_ERROR": 500, "GEOCODER_UNAVAILABLE": 502, "NETWORK_LOADING": 503, "NETWORK_EMPTY": 503, "NETWORK_UNAVAILABLE": 503,
 }
+
+
+def http_status(code: Column) -> Column:
+    return F.when(code == "OK", 200).otherwise(lookup(code, HTTP_STATUS)).cast("int")

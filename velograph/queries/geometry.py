@@ -154,11 +154,16 @@ _TURN = "(q.lng_e7 - h.lng_e7) * (z.lat_e7 - h.lat_e7) - (q.lat_e7 - h.lat_e7) *
 _FARTHER = "abs(z.lng_e7 - h.lng_e7) + abs(z.lat_e7 - h.lat_e7) > abs(q.lng_e7 - h.lng_e7) + abs(q.lat_e7 - h.lat_e7)"
 
 
-@query(
-    f"WITH RECURSIVE {POINTS}, g AS (SELECT DISTINCT id % 16 AS grp, lng_e7, lat_e7 FROM pts), first AS (SELECT grp, lng_e7, lat_e7 FROM g QUALIFY row_number() OVER (PARTITION BY grp ORDER BY lng_e7, lat_e7) = 1), "
-    "h AS (SELECT grp, 0 AS pos, lng_e7, lat_e7 FROM first UNION ALL SELECT n.grp, n.pos, n.lng_e7, n.lat_e7 FROM (SELECT h.grp, h.pos + 1 AS pos, q.lng_e7, q.lat_e7 FROM h JOIN g q ON q.grp = h.grp AND (q.lng_e7 <> h.lng_e7 OR q.lat_e7 <> h.lat_e7) "
-    f"JOIN g z ON z.grp = h.grp GROUP BY h.grp, h.pos, q.lng_e7, q.lat_e7 HAVING NOT bool_or({_TURN} < 0 OR {_TURN} = 0 AND {_FARTHER})) n ANTI JOIN first f ON f.grp = n.grp AND f.lng_e7 = n.lng_e7 AND f.lat_e7 = n.lat_e7) SELECT grp, pos, lng_e7, lat_e7 FROM h"
-)
+def hull_sql(points: str) -> str:
+    """Recursive CTEs from distinct points (grp, lng_e7, lat_e7) to corners h (grp, pos, lng_e7, lat_e7)."""
+    return (
+        f"first AS (SELECT grp, lng_e7, lat_e7 FROM {points} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY lng_e7, lat_e7) = 1), "
+        f"h AS (SELECT grp, 0 AS pos, lng_e7, lat_e7 FROM first UNION ALL SELECT n.grp, n.pos, n.lng_e7, n.lat_e7 FROM (SELECT h.grp, h.pos + 1 AS pos, q.lng_e7, q.lat_e7 FROM h JOIN {points} q ON q.grp = h.grp AND (q.lng_e7 <> h.lng_e7 OR q.lat_e7 <> h.lat_e7) "
+        f"JOIN {points} z ON z.grp = h.grp GROUP BY h.grp, h.pos, q.lng_e7, q.lat_e7 HAVING NOT bool_or({_TURN} < 0 OR {_TURN} = 0 AND {_FARTHER})) n ANTI JOIN first f ON f.grp = n.grp AND f.lng_e7 = n.lng_e7 AND f.lat_e7 = n.lat_e7)"
+    )
+
+
+@query(f"WITH RECURSIVE {POINTS}, g AS (SELECT DISTINCT id % 16 AS grp, lng_e7, lat_e7 FROM pts), {hull_sql('g')} SELECT grp, pos, lng_e7, lat_e7 FROM h")
 def convex_hull(spark, sf_dir):
     return hulls.group_hulls(network.points(spark, sf_dir).select((C("id") % 16).alias("grp"), "lng_e7", "lat_e7"), "grp")
 

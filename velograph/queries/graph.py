@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.exprs import half_up
 from ..operators import graph, polylines, snap
 from ..operators.components import connected_components
+from ..operators.ranking import numbered
 from ..sources import network
 from . import base
 from .base import LENGTH, POINTS, SEG, VERTICES, query
@@ -61,7 +61,7 @@ def bridge_candidates(spark, sf_dir):
     return graph.bridge_candidates(_segments(spark, sf_dir)).select("id", "at_end", "target", "piece", half_up(C("t"), 6).alias("t"))
 
 
-#: On the lattice no gap touches another one, so every candidate is accepted.
+#: On the lattice no gap touches another one, so every candidate is accepted; ``bridge_contested`` has gaps that do.
 _HIT = lambda c: f"CASE WHEN t <= 1e-9 THEN a_{c} WHEN t >= 1 - 1e-9 THEN b_{c} ELSE CAST(floor(({base.deg(f'a_{c}')} + ({base.deg(f'b_{c}')} - {base.deg(f'a_{c}')}) * t) * 10000000::DOUBLE + 0.5::DOUBLE) AS BIGINT) END"
 BRIDGES = f"{VERTICES}, {JUNCTIONS}, {PIECES}, {DANGLING}, {nearest_sql('dp', graph.BRIDGE_M, 'self <> id').replace('SELECT DISTINCT pid,', 'SELECT DISTINCT pid, self,')}, bridge AS (SELECT self AS id, CAST(pid % 2 AS INTEGER) AS at_end, id AS target, CAST(piece AS INTEGER) AS piece, t <= 1e-9 OR t >= 1 - 1e-9 AS is_vertex, t, p_lng, p_lat, {_HIT('lng')} AS hit_lng_e7, {_HIT('lat')} AS hit_lat_e7 FROM best)"
 
@@ -72,6 +72,23 @@ def bridge_gaps(spark, sf_dir):
     return c.select("id", "at_end", "target", "piece", "is_vertex", C("hit.lng_e7").alias("hit_lng_e7"), C("hit.lat_e7").alias("hit_lat_e7"))
 
 
+_SPOKES = "sp AS (" + base.cte(network.SPOKES) + ")"
+CONTESTED = (
+    f"WITH RECURSIVE {_SPOKES}, piece AS (SELECT id, 0 AS piece, a_lng, a_lat, b_lng, b_lat FROM sp), dp AS (SELECT id * 2 AS pid, id AS self, a_lng AS p_lng, a_lat AS p_lat FROM sp UNION ALL SELECT id * 2 + 1, id, b_lng, b_lat FROM sp), "
+    f"{nearest_sql('dp', graph.BRIDGE_M, 'self <> id').replace('SELECT DISTINCT pid,', 'SELECT DISTINCT pid, self,')}, cand AS (SELECT self AS own, id AS target FROM best WHERE pid % 2 = 0), "
+    "r AS (SELECT k, 0 AS s, []::BIGINT[] AS touched, []::BIGINT[] AS kept FROM sp WHERE s = 0 UNION ALL SELECT r.k, r.s + 1, CASE WHEN target IS NOT NULL AND NOT list_contains(touched, own) THEN list_concat(touched, [own, target]) ELSE touched END, "
+    "CASE WHEN target IS NOT NULL AND NOT list_contains(touched, own) THEN list_concat(kept, [own]) ELSE kept END FROM r LEFT JOIN cand ON own = r.k * 4 + r.s WHERE r.s < 4), f AS (SELECT unnest(kept) AS id FROM r WHERE s = 4) "
+    "SELECT f.id, CAST(0 AS INTEGER) AS at_end, target FROM f JOIN cand ON own = f.id"
+)
+
+
+@query(CONTESTED)
+def bridge_contested(spark, sf_dir):
+    """Gaps whose ends are each other's nearest: what holds depends on the order."""
+    c = graph.accept_bridges(graph.bridge_candidates(network.spokes(spark, sf_dir)))
+    return c.select("id", "at_end", "target")
+
+
 @query(f"WITH {RAW}, {VERTICES}, s AS (SELECT id, pos * 10 AS o, lng, lat FROM vtx UNION ALL SELECT id, 5, a_lng + 7, a_lat + 3 FROM raw WHERE k % 20 = 0) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS INTEGER) AS pos, lng AS lng_e7, lat AS lat_e7 FROM s")
 def splice_vertices(spark, sf_dir):
     p = network.paths(spark, sf_dir)
@@ -125,10 +142,13 @@ def get_edge(spark, sf_dir):
     return _unbridged(spark, sf_dir).edges.join(wanted, "edge_id").select("edge_id", "path_id", "from_node", "to_node", half_up(C("length_m"), 3).alias("length_m"))
 
 
-@query(GET_EDGE)
+@query(f"WITH {RAW}, {EDGES} SELECT edge_id, from_node, f_lng, f_lat, to_node, t_lng, t_lat, CAST(points AS INTEGER) AS points FROM ends")
 def get_edge_all(spark, sf_dir):
-    """The former whole-table variant, now the same as ``get_edge``."""
-    return get_edge(spark, sf_dir)
+    """Every edge's view: its nodes with their places, and how many points lie along it."""
+    g = _unbridged(spark, sf_dir)
+    at = lambda n: g.nodes.select(C("node_id").alias(f"{'from' if n == 'f' else 'to'}_node"), C("lng_e7").alias(f"{n}_lng"), C("lat_e7").alias(f"{n}_lat"))
+    e = g.edges.select("edge_id", "from_node", "to_node", F.size("coordinates").alias("points"))
+    return e.join(at("f"), "from_node").join(at("t"), "to_node").select("edge_id", "from_node", "f_lng", "f_lat", "to_node", "t_lng", "t_lat", "points")
 
 
 def components_sql(links: str) -> str:
@@ -162,7 +182,7 @@ def components_all(spark, sf_dir):
 @query(f"WITH {SEG} SELECT *, dense_rank() OVER (ORDER BY name, hazards) - 1 AS ix FROM (SELECT name, array_to_string(hazards, ',') AS hazards, count(*) AS n FROM net WHERE name IS NOT NULL GROUP BY ALL)")
 def intern_names(spark, sf_dir):
     sets = _segments(spark, sf_dir).where("name IS NOT NULL").groupBy("name", F.array_join("hazards", ",").alias("hazards")).agg(F.count("*").alias("n"))
-    return sets.withColumn("ix", (F.dense_rank().over(W.orderBy("name", "hazards")) - 1).cast("long"))
+    return numbered(sets, "ix", "name", "hazards")
 
 
 #: Lines with the places where bridges meet them, cut there and at junctions; bridges come last, by the end they start from.

@@ -36,44 +36,70 @@ def edge_cost(spark, sf_dir):
     return s.select("id", of(V.PREFER_PATHS).alias("prefer_paths"), of(V.SHORTEST).alias("shortest"), of(V.PREFER_PATHS, "smooth_only", True, True).alias("smooth_quiet"))
 
 
-def _table_sql(rows: list[tuple], names: str) -> str:
-    show = lambda v: f"{float(v)!r}::DOUBLE" if isinstance(v, float) else str(v).lower() if isinstance(v, bool) else f"'{v}'"
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") t({names})"
+#: Fixed values of the checking statements, written out here and not taken from the code that they check.
+HAND = """
+kind_cost AS (SELECT * FROM (VALUES ('shared_use_path', 1.0::DOUBLE), ('separated_path', 1.0), ('protected_lane', 1.2), ('buffered_lane', 1.5), ('painted_lane', 1.8), ('shared_parking_lane', 2.0), ('shared_street', 2.0), ('informal', 2.5),
+  ('footpath', 1.5), ('trail', 1.3), ('track', 1.8), ('steps', 6.0), ('quiet_street', 1.6), ('road', 2.5), ('busy_road', 4.0), ('unknown', 2.0), ('connector', 3.0)) t(name, multiplier)),
+surface_cost AS (SELECT * FROM (VALUES ('smooth', 1.0::DOUBLE), ('paved', 1.05), ('rough_paved', 1.2), ('compacted', 1.3), ('gravel', 1.7), ('unpaved', 2.0), ('unknown', 1.1)) t(name, multiplier)),
+hazard_cost AS (SELECT * FROM (VALUES ('parking', 1.1::DOUBLE), ('traffic_merging', 1.3), ('tram_line', 1.5)) t(name, multiplier)),
+surface_penalty AS (SELECT * FROM (VALUES ('avoid_loose', 'compacted', 3.0::DOUBLE), ('avoid_loose', 'gravel', 10.0), ('avoid_loose', 'unpaved', 10.0), ('avoid_loose', 'unknown', 1.5),
+  ('smooth_only', 'paved', 1.2), ('smooth_only', 'rough_paved', 4.0), ('smooth_only', 'compacted', 10.0), ('smooth_only', 'gravel', 15.0), ('smooth_only', 'unpaved', 15.0), ('smooth_only', 'unknown', 2.0)) t(surface, name, factor)),
+base_cost AS (SELECT 'prefer_paths' AS profile, 'kind' AS what, * FROM kind_cost UNION ALL SELECT 'prefer_paths', 'surface', * FROM surface_cost UNION ALL SELECT 'prefer_paths', 'hazard', * FROM hazard_cost
+  UNION ALL SELECT 'shortest', 'kind', name, 1.0 FROM kind_cost UNION ALL SELECT 'shortest', 'surface', name, 1.0 FROM surface_cost)
+"""
 
 
-PROFILE_ROWS = [(p, w, k, float(v)) for p in PROFILES for w, t in (("kind", V.KIND_COSTS), ("hazard", V.HAZARD_COSTS), ("surface", V.SURFACE_COSTS)) for k, v in t[p].items()]
+def _catalogue(spark):
+    """(profile, what, name, multiplier): fixed and small."""
+    return spark.createDataFrame([(p, what, k, v) for p in PROFILES for what, table in cost.effective(p).items() for k, v in table.items()], "profile string, what string, name string, multiplier double")
 
 
-@query(_table_sql(PROFILE_ROWS, "profile, what, name, multiplier"))
+@query(
+    f"WITH {SEG}, {HAND}, l AS (SELECT category, surface_class, hazards, {LENGTH} AS m FROM net), met AS (SELECT 'kind' AS what, category AS name, m FROM l UNION ALL SELECT 'surface', surface_class, m FROM l UNION ALL SELECT 'hazard', unnest(hazards), m FROM l) "
+    f"SELECT profile, b.what, b.name, multiplier, count(m) AS segments, {base.half_up('coalesce(sum(m), 0)', 2)} AS metres FROM base_cost b LEFT JOIN met ON met.what = b.what AND met.name = b.name GROUP BY ALL"
+)
 def profiles_table(spark, sf_dir):
-    t = [(p, what, k, v) for p in PROFILES for what, table in cost.effective(p).items() for k, v in table.items()]
-    return spark.createDataFrame(t, "profile string, what string, name string, multiplier double")
+    """Each profile's multipliers, with the segments and metres of the network that each applies to."""
+    s = _segments(spark, sf_dir).select(C("length_m").alias("m"), "category", "surface_class", "hazards")
+    each = F.concat(F.array(F.struct(F.lit("kind").alias("what"), C("category").alias("name")), F.struct(F.lit("surface").alias("what"), C("surface_class").alias("name"))), F.transform("hazards", lambda h: F.struct(F.lit("hazard").alias("what"), h.alias("name"))))
+    met = s.select("m", F.explode(each).alias("e")).groupBy("e.what", "e.name").agg(F.count("*").alias("segments"), F.sum("m").alias("metres"))
+    return _catalogue(spark).join(met, ["what", "name"], "left").select("profile", "what", "name", "multiplier", F.coalesce("segments", F.lit(0)).alias("segments"), half_up(F.coalesce("metres", F.lit(0.0)), 2).alias("metres"))
+
+
+EFFECTIVE = (
+    "want AS (SELECT pref_surface, avoid_steps, avoid_busy, count(*) AS requests FROM req GROUP BY ALL), eff AS (SELECT profile, pref_surface, avoid_steps, avoid_busy, requests, what, b.name, multiplier * "
+    "CASE WHEN what = 'kind' AND avoid_steps AND b.name = 'steps' THEN 20 ELSE 1 END * CASE WHEN what = 'kind' AND avoid_busy AND b.name = 'busy_road' THEN 3 WHEN what = 'kind' AND avoid_busy AND b.name = 'road' THEN 1.5::DOUBLE ELSE 1 END * "
+    "CASE WHEN what = 'surface' THEN coalesce(factor, 1) ELSE 1 END AS multiplier FROM base_cost b CROSS JOIN want LEFT JOIN surface_penalty p ON p.surface = pref_surface AND p.name = b.name)"
+)
 
 
-def _penalised_sql() -> str:
-    pen = [(s, k, float(f)) for s, t in V.SURFACE_PENALTIES.items() for k, f in t.items()]
-    return (
-        f"WITH m AS ({_table_sql(PROFILE_ROWS, 'profile, what, name, multiplier')}), p AS ({_table_sql(pen, 'surface, name, factor')}), "
-        "c AS (SELECT * FROM (VALUES ('any'), ('avoid_loose'), ('smooth_only')) s(surface), (VALUES (false), (true)) a(avoid_steps), (VALUES (false), (true)) b(avoid_busy)) "
-        "SELECT m.profile, c.surface, c.avoid_steps, c.avoid_busy, m.what, m.name, multiplier * CASE WHEN what = 'kind' THEN CASE WHEN avoid_steps AND m.name = 'steps' THEN 20::DOUBLE ELSE 1::DOUBLE END * "
-        "CASE WHEN avoid_busy AND m.name = 'busy_road' THEN 3::DOUBLE WHEN avoid_busy AND m.name = 'road' THEN 1.5::DOUBLE ELSE 1::DOUBLE END WHEN what = 'surface' THEN coalesce(factor, 1::DOUBLE) ELSE 1::DOUBLE END AS multiplier "
-        "FROM m CROSS JOIN c LEFT JOIN p ON what = 'surface' AND p.surface = c.surface AND p.name = m.name"
-    )
+def _wanted(spark, sf_dir):
+    """(pref_surface, avoid_steps, avoid_busy, requests): the preferences that requests ask for, at most twelve."""
+    return network.requests(spark, sf_dir).groupBy("pref_surface", "avoid_steps", "avoid_busy").agg(F.count("*").alias("requests"))
 
 
-@query(_penalised_sql())
+@query(f"WITH {REQUESTS}, {HAND}, {EFFECTIVE} SELECT profile, pref_surface, avoid_steps, avoid_busy, requests, what, name, {base.half_up('multiplier', 6)} AS multiplier FROM eff")
 def effective_multipliers(spark, sf_dir):
+    """Multipliers under the preferences that requests ask for."""
     t = [(p, s, a, b, what, k, v) for p, s, a, b in COMBINATIONS for what, table in cost.effective(p, s, a, b).items() for k, v in table.items()]
-    return spark.createDataFrame(t, "profile string, surface string, avoid_steps boolean, avoid_busy boolean, what string, name string, multiplier double")
+    d = spark.createDataFrame(t, "profile string, pref_surface string, avoid_steps boolean, avoid_busy boolean, what string, name string, multiplier double")
+    return _wanted(spark, sf_dir).join(F.broadcast(d), ["pref_surface", "avoid_steps", "avoid_busy"]).select("profile", "pref_surface", "avoid_steps", "avoid_busy", "requests", "what", "name", half_up(C("multiplier"), 6).alias("multiplier"))
 
 
 @query(
-    f"WITH m AS ({_penalised_sql()}) SELECT profile, surface, avoid_steps, avoid_busy, {base.half_up('min(multiplier) FILTER (what = ' + chr(39) + 'kind' + chr(39) + ') * min(multiplier) FILTER (what = ' + chr(39) + 'surface' + chr(39) + ')', 6)} AS least FROM m GROUP BY ALL"
+    f"WITH {REQUESTS}, {SEG}, {HAND}, {EFFECTIVE}, shape AS (SELECT DISTINCT category, surface_class, hazards FROM net), k AS (SELECT * FROM eff WHERE what = 'kind'), s AS (SELECT * FROM eff WHERE what = 'surface'), "
+    "risk AS (SELECT hazards, exp(sum(ln(coalesce(multiplier, 1)))) AS m FROM (SELECT hazards, unnest(CASE WHEN len(hazards) = 0 THEN ['none'] ELSE hazards END) AS h FROM (SELECT DISTINCT hazards FROM shape)) LEFT JOIN hazard_cost ON name = h GROUP BY hazards), "
+    "bound AS (SELECT profile, pref_surface, avoid_steps, avoid_busy, min(k.multiplier) AS km FROM k GROUP BY ALL), sb AS (SELECT profile, pref_surface, avoid_steps, avoid_busy, min(s.multiplier) AS sm FROM s GROUP BY ALL), "
+    "seen AS (SELECT profile, pref_surface, avoid_steps, avoid_busy, min(k.multiplier * s.multiplier * CASE WHEN profile = 'shortest' THEN 1 ELSE risk.m END) AS m FROM k JOIN s USING (profile, pref_surface, avoid_steps, avoid_busy) JOIN shape ON k.name = category AND s.name = surface_class JOIN risk USING (hazards) GROUP BY ALL) "
+    f"SELECT profile, pref_surface, avoid_steps, avoid_busy, {base.half_up('km * sm', 6)} AS bound, {base.half_up('m', 6)} AS least, m >= km * sm - 1e-9 AS holds FROM bound JOIN sb USING (profile, pref_surface, avoid_steps, avoid_busy) JOIN seen USING (profile, pref_surface, avoid_steps, avoid_busy)"
 )
 def min_cost_per_meter(spark, sf_dir):
-    t = [(*c, cost.least_per_metre(cost.effective(*c))) for c in COMBINATIONS]
-    d = spark.createDataFrame(t, "profile string, surface string, avoid_steps boolean, avoid_busy boolean, least double")
-    return d.withColumn("least", half_up(C("least"), 6))
+    """For the preferences that requests ask for, the search's bound on an edge's cost a metre and the least of all segments."""
+    s = _segments(spark, sf_dir).select("category", "hazards", "surface_class").distinct()
+    per = [F.min(cost.edge_cost(F.lit(1.0), C("category"), C("hazards"), C("surface_class"), cost.effective(*c))).alias(f"c{i}") for i, c in enumerate(COMBINATIONS)]
+    rows = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("profile", "pref_surface", "avoid_steps", "avoid_busy"), c, strict=True)), F.lit(cost.least_per_metre(cost.effective(*c))).alias("bound"), C(f"c{i}").alias("least")) for i, c in enumerate(COMBINATIONS)))
+    seen = s.agg(*per).select(F.inline(rows))
+    return seen.join(_wanted(spark, sf_dir), ["pref_surface", "avoid_steps", "avoid_busy"], "left_semi").select("profile", "pref_surface", "avoid_steps", "avoid_busy", half_up(C("bound"), 6).alias("bound"), half_up(C("least"), 6).alias("least"), (C("least") >= C("bound") - 1e-9).alias("holds"))
 
 
 @query(f"WITH {REQUESTS} SELECT request_id, 'surface=' || pref_surface || CASE WHEN avoid_steps THEN ',steps' ELSE '' END || CASE WHEN avoid_busy THEN ',busy_roads' ELSE '' END AS preferences FROM req")
@@ -174,12 +200,11 @@ def format_distance(spark, sf_dir):
     return t.select("request_id", F.concat((F.floor(C("h") / 100)).cast("string"), F.lit("."), F.lpad((C("h") % 100).cast("string"), 2, "0"), F.lit(" km")).alias("text"))
 
 
-def _ends(spark, sf_dir, limit: int | None = None):
+def _ends(spark, sf_dir):
     """Requests as points a little off the lattice."""
     r = network.requests(spark, sf_dir)
     at = lambda v, o: (F.lit(o) + C(v) * 10_000).cast("long")
-    r = r.select("request_id", "pref_surface", "avoid_steps", "avoid_busy", (at("x0", 1449000000) + 120).alias("s_lng"), (at("y0", -385000000) + 80).alias("s_lat"), (at("x0", 1449000000) + C("dx") * 10_000 - 90).alias("e_lng"), (at("y0", -385000000) + C("dy") * 10_000 + 60).alias("e_lat"))
-    return r.where(C("request_id") <= limit) if limit else r
+    return r.select("request_id", "pref_surface", "avoid_steps", "avoid_busy", (at("x0", 1449000000) + 120).alias("s_lng"), (at("y0", -385000000) + 80).alias("s_lat"), (at("x0", 1449000000) + C("dx") * 10_000 - 90).alias("e_lng"), (at("y0", -385000000) + C("dy") * 10_000 + 60).alias("e_lat"))
 
 
 def _plans(spark, sf_dir, **options):

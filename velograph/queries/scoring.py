@@ -18,12 +18,32 @@ def _stretches(spark, sf_dir):
     return planning.stretches(travelled(spark, sf_dir))
 
 
-MODEL_ROWS = [(a, w, k, v) for a in scoring.ACTIVITIES for w, t in (("surface", V.SURFACE_SCORES[a]), ("kind", V.KIND_SCORES[a]), ("hazard", V.HAZARD_SCORES[a])) for k, v in t.items()] + [("skate", "smoothness", k, v) for k, v in V.SMOOTHNESS_SCORES.items()]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{w}', '{k}', {v!r}::DOUBLE)" for a, w, k, v in MODEL_ROWS) + ") t(activity, what, name, factor)")
+#: Fixed values of the checking statement, written out here and not taken from the code that it checks.
+HAND_MODELS = """
+model AS (SELECT 'skate' AS activity, * FROM (VALUES ('surface', 'smooth', 1.0::DOUBLE), ('surface', 'paved', 0.85), ('surface', 'rough_paved', 0.35), ('surface', 'compacted', 0.1), ('surface', 'gravel', 0.0), ('surface', 'unpaved', 0.0), ('surface', 'unknown', 0.5),
+    ('smoothness', 'excellent', 1.0), ('smoothness', 'good', 0.9), ('smoothness', 'intermediate', 0.55), ('smoothness', 'bad', 0.2), ('smoothness', 'very_bad', 0.05), ('smoothness', 'horrible', 0.0), ('smoothness', 'very_horrible', 0.0), ('smoothness', 'impassable', 0.0),
+    ('kind', 'shared_use_path', 1.0), ('kind', 'separated_path', 1.0), ('kind', 'protected_lane', 0.95), ('kind', 'buffered_lane', 0.85), ('kind', 'painted_lane', 0.7), ('kind', 'shared_parking_lane', 0.6), ('kind', 'shared_street', 0.65), ('kind', 'informal', 0.55),
+    ('kind', 'footpath', 0.8), ('kind', 'trail', 0.9), ('kind', 'track', 0.8), ('kind', 'steps', 0.0), ('kind', 'quiet_street', 0.75), ('kind', 'road', 0.5), ('kind', 'busy_road', 0.25), ('kind', 'unknown', 0.6), ('kind', 'connector', 0.7),
+    ('hazard', 'tram_line', 0.4), ('hazard', 'traffic_merging', 0.7), ('hazard', 'parking', 0.85)) t(what, name, factor)
+  UNION ALL SELECT 'run', * FROM (VALUES ('surface', 'smooth', 0.9::DOUBLE), ('surface', 'paved', 0.9), ('surface', 'rough_paved', 0.85), ('surface', 'compacted', 1.0), ('surface', 'gravel', 0.8), ('surface', 'unpaved', 0.85), ('surface', 'unknown', 0.85),
+    ('kind', 'shared_use_path', 1.0), ('kind', 'separated_path', 1.0), ('kind', 'footpath', 0.9), ('kind', 'trail', 1.0), ('kind', 'track', 0.95), ('kind', 'steps', 0.7), ('kind', 'quiet_street', 0.8), ('kind', 'shared_street', 0.7), ('kind', 'protected_lane', 0.7),
+    ('kind', 'buffered_lane', 0.65), ('kind', 'painted_lane', 0.6), ('kind', 'shared_parking_lane', 0.6), ('kind', 'informal', 0.55), ('kind', 'road', 0.6), ('kind', 'busy_road', 0.45), ('kind', 'unknown', 0.7), ('kind', 'connector', 0.8),
+    ('hazard', 'tram_line', 0.95), ('hazard', 'traffic_merging', 0.85), ('hazard', 'parking', 1.0)) t(what, name, factor))
+"""
+
+
+@query(
+    f"WITH {STRETCHES}, {HAND_MODELS}, met AS (SELECT 'surface' AS what, surface_class AS name, length_m FROM stretch UNION ALL SELECT 'smoothness', smoothness, length_m FROM stretch UNION ALL SELECT 'kind', kind, length_m FROM stretch UNION ALL SELECT 'hazard', unnest(hazards), length_m FROM stretch) "
+    f"SELECT activity, m.what, m.name, factor, count(length_m) AS stretches, {base.half_up('coalesce(sum(length_m), 0)', 3)} AS metres FROM model m LEFT JOIN met ON met.what = m.what AND met.name = m.name GROUP BY ALL"
+)
 def score_models(spark, sf_dir):
-    return spark.createDataFrame(MODEL_ROWS, "activity string, what string, name string, factor double")
+    """The factors of both activities, with the stretches and metres of all routes that each applies to."""
+    rows = [(a, w, k, float(v)) for a in scoring.ACTIVITIES for w, t in (("surface", V.SURFACE_SCORES[a]), ("kind", V.KIND_SCORES[a]), ("hazard", V.HAZARD_SCORES[a])) for k, v in t.items()]
+    model = spark.createDataFrame(rows + [("skate", "smoothness", k, v) for k, v in V.SMOOTHNESS_SCORES.items()], "activity string, what string, name string, factor double")
+    one = lambda what, name: F.struct(F.lit(what).alias("what"), name.alias("name"))
+    each = F.concat(F.array(one("surface", C("surface_class")), one("smoothness", C("smoothness")), one("kind", C("kind"))), F.transform("hazards", lambda h: one("hazard", h)))
+    met = _stretches(spark, sf_dir).select("length_m", F.explode(each).alias("e")).groupBy("e.what", "e.name").agg(F.count("*").alias("stretches"), F.sum("length_m").alias("metres"))
+    return model.join(met, ["what", "name"], "left").select("activity", "what", "name", "factor", F.coalesce("stretches", F.lit(0)).alias("stretches"), half_up(F.coalesce("metres", F.lit(0.0)), 3).alias("metres"))
 
 
 def _base(a: str) -> str:
@@ -80,11 +100,6 @@ def confidence(spark, sf_dir):
 RATING = "CASE WHEN score >= 85 THEN 'great' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END"
 
 
-@query(f"SELECT score, {RATING} AS rating FROM (SELECT unnest(range(101)) AS score)")
-def rating(spark, sf_dir):
-    return spark.range(101).select(C("id").alias("score"), scoring.rating(C("id")).alias("rating"))
-
-
 SCORES = (
     f"{MEAN}, {WALK}, {CONFIDENCE}, val AS (SELECT m.request_id, 'skate' AS activity, least(skate - penalty, cap) AS v, greatest(0::DOUBLE, skate - penalty - cap) AS cap_loss FROM mean m JOIN wk USING (request_id) UNION ALL SELECT request_id, 'run', run, 0::DOUBLE FROM mean), "
     f"sc AS (SELECT request_id, activity, CAST(greatest(0, least(100, floor({base.half_up('v', 9)} + 0.5::DOUBLE))) AS BIGINT) AS score, cap_loss FROM val)"
@@ -96,6 +111,12 @@ def route_scores(spark, sf_dir):
     return scoring.scores(_stretches(spark, sf_dir)).withColumn("cap_loss", half_up(C("cap_loss"), 4))
 
 
+@query(f"WITH {STRETCHES}, {SCORES} SELECT activity, score, {RATING} AS rating, count(*) AS routes FROM sc GROUP BY ALL")
+def rating(spark, sf_dir):
+    """How many routes have each score, and its rating."""
+    return scoring.scores(_stretches(spark, sf_dir)).groupBy("activity", "score", "rating").agg(F.count("*").alias("routes"))
+
+
 def _loss_sql(a: str) -> str:
     phrases = V.SURFACE_PHRASES | (V.RUN_SURFACE_PHRASES if a == "run" else {})
     first = f"row('surface:' || surface_class, 'of ' || {case('surface_class', phrases)}, {case('surface_class', V.SURFACE_SCORES[a])})"

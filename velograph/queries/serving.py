@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions import vocab as V
 from ..functions.exprs import half_up
-from ..operators import graph, polylines, serving, snap, tiles
+from ..operators import areas, graph, hulls, polylines, serving, snap, tiles
 from ..sources import network
-from . import base
-from .base import PLACES, POINTS, SEG, query, strings
+from . import base, routes  # noqa: F401  route statuses are answered here
+from .base import PLACES, POINTS, QUERIES, SEG, SQL, query, strings
 from .domain import TILE_CLASS
-from .geometry import PIECES, RAW, VERTICES
+from .geometry import PIECES, RAW, VERTICES, hull_sql
 from .graph import CLICKS, EDGES, components_sql, nearest_sql
 
 C = F.col
@@ -94,21 +94,100 @@ def cluster_dbscan(spark, sf_dir):
     return serving.clusters(_spread(spark, sf_dir), 3000.0)
 
 
-@query(CLUSTERS)
+_MM = [f"CAST(floor({v} * 1000 + 0.5::DOUBLE) AS BIGINT)" for v in _merc("p")]
+
+
+@query(
+    f"WITH RECURSIVE {POINTS}, {SPREAD}, m AS (SELECT id, {_MM[0]} AS x, {_MM[1]} AS y FROM sp), c AS (SELECT *, CAST(floor(x / 4000000) AS BIGINT) AS cx, CAST(floor(y / 4000000) AS BIGINT) AS cy FROM m), n AS (SELECT *, cx + unnest([-1, 0, 1]) AS nx FROM c), nn AS (SELECT *, cy + unnest([-1, 0, 1]) AS ny FROM n), "
+    f"l AS (SELECT a.id AS a, b.id AS b FROM nn a JOIN c b ON a.nx = b.cx AND a.ny = b.cy WHERE a.id < b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 3000000), {components_sql('l')} SELECT id, coalesce(label, id) AS cluster FROM sp LEFT JOIN spread ON node = id"
+)
 def cluster_dbscan_all(spark, sf_dir):
-    """The former whole-table variant, now the same as ``cluster_dbscan``."""
-    return cluster_dbscan(spark, sf_dir)
+    """All points clustered in the map plane's units."""
+    return serving.clusters(_spread(spark, sf_dir), 3000.0, mercator=True)
+
+
+def _hulls(spark, sf_dir):
+    return areas.rings(hulls.group_hulls(network.area_points(spark, sf_dir), "area"), "area")
+
+
+UNIT = repr(areas.UNIT_M) + "::DOUBLE"
+#: Corners, edges and boxes of the small areas.
+AREAS = (
+    "ap AS (" + base.cte(network.AREA_POINTS) + f"), g AS (SELECT DISTINCT area AS grp, lng_e7, lat_e7 FROM ap), {hull_sql('g')}, "
+    "v AS (SELECT grp, pos, lng_e7::DOUBLE AS x, lat_e7::DOUBLE AS y, count(*) OVER (PARTITION BY grp) AS n, first(lat_e7) OVER (PARTITION BY grp ORDER BY pos) AS y0 FROM h), "
+    "e AS (SELECT grp, pos, n, y0, x AS ax, y AS ay, coalesce(lead(x) OVER w, first(x) OVER w) AS bx, coalesce(lead(y) OVER w, first(y) OVER w) AS by_ FROM v WINDOW w AS (PARTITION BY grp ORDER BY pos))"
+)
+
+
+def _segment_m(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
+    """Metres from a point to a segment; longitudes are scaled by k already."""
+    t = f"greatest(0::DOUBLE, least(1::DOUBLE, (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / greatest(pow({bx} - {ax}, 2) + pow({by} - {ay}, 2), 1e-30)))"
+    return f"sqrt(pow({px} - {ax} - {t} * ({bx} - {ax}), 2) + pow({py} - {ay} - {t} * ({by} - {ay}), 2)) * {UNIT}"
+
+
+def _side(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
+    return f"(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
+
+
+def _cross(a: str, b: str, c: str, d: str) -> str:
+    """Whether two segments cross, of 'x, y' pairs."""
+    return f"{_side(*c.split(), *a.split(), *b.split())} * {_side(*d.split(), *a.split(), *b.split())} < 0 AND {_side(*a.split(), *c.split(), *d.split())} * {_side(*b.split(), *c.split(), *d.split())} < 0"
+
+
+_PARTS_SQL = (
+    f"pq AS (SELECT p.grp AS a, q.grp AS b, p.pos, q.n, p.ax, p.ay, p.bx, p.by_, q.ax AS cx, q.ay AS cy, q.bx AS dx, q.by_ AS dy, cos(radians((p.y0::DOUBLE + q.y0) / 2 / 1e7)) AS k FROM e p JOIN e q ON p.grp <> q.grp), "
+    f"pd AS (SELECT least(a, b) AS a, greatest(a, b) AS b, a AS own, pos, n, min({_segment_m('ax * k', 'ay', 'cx * k', 'cy', 'dx * k', 'dy')}) AS d, min({_side('ax', 'ay', 'cx', 'cy', 'dx', 'dy')}) AS s, bool_or({_cross('ax ay', 'bx by_', 'cx cy', 'dx dy')}) AS crossed FROM pq GROUP BY ALL), "
+    "l AS (SELECT a, b FROM pd GROUP BY a, b HAVING min(d) <= 2000 OR bool_or(n > 2 AND s >= 0) OR bool_or(crossed))"
+)
+
+
+@query(f"WITH RECURSIVE {AREAS}, {_PARTS_SQL}, {components_sql('l')} SELECT grp AS area, coalesce(label, grp) AS part FROM (SELECT DISTINCT grp FROM v) z LEFT JOIN spread ON node = grp")
+def area_parts(spark, sf_dir):
+    """Which part of the union of all buffers each area belongs to."""
+    return areas.united(_hulls(spark, sf_dir), serving.COVER_M)
+
+
+@query(f"WITH RECURSIVE {AREAS}, {_PARTS_SQL}, {components_sql('l')} SELECT count(DISTINCT coalesce(label, grp)) AS parts, count(*) AS areas FROM (SELECT DISTINCT grp FROM v) z LEFT JOIN spread ON node = grp")
+def area_count(spark, sf_dir):
+    return areas.united(_hulls(spark, sf_dir), serving.COVER_M).agg(F.countDistinct("part").alias("parts"), F.count("*").alias("areas"))
+
+
+def _meets_sql(pieces: str) -> str:
+    """Ids of pieces (id, a_lng, a_lat, b_lng, b_lat) within 1000 m of an area."""
+    box = "bx AS (SELECT grp, min(x) - 200000 AS x0, max(x) + 200000 AS x1, min(y) - 200000 AS y0, max(y) + 200000 AS y1 FROM v GROUP BY grp)"
+    d = ", ".join(_segment_m(*x.split(",")) for x in ("px * k,py,ax * k,ay,bx * k,by_", "qx * k,qy,ax * k,ay,bx * k,by_", "ax * k,ay,px * k,py,qx * k,qy", "bx * k,by_,px * k,py,qx * k,qy"))
+    return (
+        f"{box}, pc AS (SELECT id, piece, a_lng::DOUBLE AS px, a_lat::DOUBLE AS py, b_lng::DOUBLE AS qx, b_lat::DOUBLE AS qy, cos(radians(a_lat / 1e7)) AS k FROM {pieces}), "
+        "cand AS (SELECT pc.*, e.* FROM pc JOIN bx ON least(px, qx) <= x1 AND greatest(px, qx) >= x0 AND least(py, qy) <= y1 AND greatest(py, qy) >= y0 JOIN e ON e.grp = bx.grp), "
+        f"hit AS (SELECT id, piece, grp, min(least({d})) AS d, min({_side('px', 'py', 'ax', 'ay', 'bx', 'by_')}) AS s, min({_side('qx', 'qy', 'ax', 'ay', 'bx', 'by_')}) AS t, bool_or({_cross('px py', 'qx qy', 'ax ay', 'bx by_')}) AS crossed, max(n) AS n FROM cand GROUP BY id, piece, grp), "
+        "ok AS (SELECT DISTINCT id FROM hit WHERE d <= 1000 OR crossed OR n > 2 AND (s >= 0 OR t >= 0))"
+    )
+
+
+@query(f"WITH RECURSIVE {SEG}, {VERTICES}, {PIECES}, {AREAS}, {_meets_sql('piece')} SELECT id, osm_id, source FROM raw SEMI JOIN ok USING (id)")
+def ways_in_areas(spark, sf_dir):
+    """Lines that meet the buffer of an area."""
+    p = network.paths(spark, sf_dir).select("id", "osm_id", "source", "coordinates")
+    return areas.lines_within(p, _hulls(spark, sf_dir), serving.COVER_M).select("id", "osm_id", "source")
+
+
+@query(f"WITH RECURSIVE {POINTS}, {AREAS}, {_meets_sql('(SELECT id, 0 AS piece, lng_e7 AS a_lng, lat_e7 AS a_lat, lng_e7 AS b_lng, lat_e7 AS b_lat FROM pts)')} SELECT id FROM ok")
+def points_in_areas(spark, sf_dir):
+    return serving.within_coverage(network.points(spark, sf_dir), _hulls(spark, sf_dir))
 
 
 @query()
 def coverage_areas(spark, sf_dir):
-    return serving.coverage(_spread(spark, sf_dir), 3000.0)
+    """Hulls of all clusters, with the part of the union of their buffers that each belongs to."""
+    hull = serving.coverage(_spread(spark, sf_dir), 3000.0)
+    parts = areas.united(areas.rings(hull), serving.COVER_M)
+    return hull.join(parts.withColumnRenamed("area", "cluster"), "cluster").select("cluster", "part", "pos", "lng_e7", "lat_e7")
 
 
 @query()
 def within_coverage(spark, sf_dir):
     hull = serving.coverage(_spread(spark, sf_dir), 3000.0)
-    return serving.within_coverage(network.points(spark, sf_dir), hull)
+    return serving.within_coverage(network.points(spark, sf_dir), areas.rings(hull))
 
 
 ADDRESS = "CASE WHEN nullif(street, '') IS NOT NULL THEN concat_ws(' ', nullif(housenumber, ''), street) END"
@@ -177,9 +256,20 @@ def validate_request(spark, sf_dir):
     return p.select("id", serving.request_status(C("lng"), C("lat")).alias("status"))
 
 
-@query("SELECT code, status FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in serving.HTTP_STATUS.items()) + ") t(code, status)")
+@query(
+    f"WITH v AS ({SQL['validate_request']}), t AS ({SQL['tile_status']}), g AS ({SQL['geocode_status']}), p AS ({SQL['plan_status']}), s AS (SELECT 'request' AS source, CASE WHEN status = 'OK' THEN 'OK' ELSE 'VALIDATION_ERROR' END AS code, 1 AS n FROM v "
+    "UNION ALL SELECT 'tile', CASE WHEN status = 'BAD_REQUEST' THEN 'VALIDATION_ERROR' ELSE status END, 1 FROM t UNION ALL SELECT 'place', status, 1 FROM g UNION ALL SELECT 'route', status, n FROM p) "
+    "SELECT source, code, CAST(CASE code WHEN 'OK' THEN 200 WHEN 'VALIDATION_ERROR' THEN 400 WHEN 'ZOOM_TOO_LOW' THEN 400 WHEN 'START_NOT_NEAR_NETWORK' THEN 422 WHEN 'END_NOT_NEAR_NETWORK' THEN 422 WHEN 'NO_ROUTE' THEN 422 END AS INTEGER) AS status, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY ALL"
+)
 def error_status(spark, sf_dir):
-    return spark.createDataFrame(list(serving.HTTP_STATUS.items()), "code string, status int")
+    """What all requests, tiles, place searches and routes are answered with: code and HTTP status of each."""
+    bad = F.when(C("status") == "OK", "OK").otherwise("VALIDATION_ERROR")
+    asked = [("request", validate_request, bad, F.lit(1)), ("tile", QUERIES["tile_status"], F.when(C("status") == "BAD_REQUEST", "VALIDATION_ERROR").otherwise(C("status")), F.lit(1)), ("place", geocode_status, C("status"), F.lit(1)), ("route", QUERIES["plan_status"], C("status"), C("n"))]
+    every = None
+    for source, f, code, n in asked:
+        each = f(spark, sf_dir).select(F.lit(source).alias("source"), code.alias("code"), n.cast("long").alias("n"))
+        every = each if every is None else every.unionByName(each)
+    return every.groupBy("source", "code").agg(F.sum("n").alias("n")).select("source", "code", serving.http_status(C("code")).alias("status"), "n")
 
 
 @query(f"WITH {RAW}, {EDGES} SELECT (SELECT max(o_orderkey) FROM orders) AS import_id, (SELECT count(*) FROM raw) AS segments, (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM edge) AS edges, 'ready' AS status")

@@ -23,8 +23,10 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def names(uri: str, below: str = "") -> list[str]:
-    """Paths of all files under a folder, relative to it; none where there is no folder."""
+    """Paths of all files under a folder, relative to it; none where that is a file or nothing."""
     store, path = opened(uri)
+    if store.get_file_info(path).type == fs.FileType.File:
+        return []
     found = store.get_file_info(fs.FileSelector(f"{path}/{below}".rstrip("/"), allow_not_found=True, recursive=True))
     return sorted(f.path.removeprefix(path).lstrip("/") for f in found if f.is_file)
 

@@ -49,6 +49,23 @@ SELECT p_partkey AS way_id,
   CASE p_size % 9 WHEN 0 THEN 'excellent' WHEN 1 THEN ' Very_Bad ' WHEN 2 THEN 'smooth' END AS smoothness, CASE WHEN p_size % 13 = 0 THEN 'yes' END AS area, CASE WHEN p_size % 17 = 0 THEN 'yes' END AS indoor, p_name AS name
 FROM part
 """
+#: Nodes of a map extract (the lattice's crossings), and where each way of the extract begins among them.
+NODES = """
+SELECT o_orderkey AS id, 1449000000 + (o_orderkey % 100) * 10000 AS lng_e7, -385000000 + (o_orderkey {div} 100) * 10000 + (o_custkey % 7 - 3) * 100 AS lat_e7, CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus END AS crossing FROM orders
+"""
+STARTS = "SELECT p_partkey AS way_id, (p_partkey * 37) % n AS s FROM part CROSS JOIN (SELECT count(*) AS n FROM orders) o"
+#: Eight points each of many small areas, some of them near each other, some over the lattice.
+AREA_POINTS = """
+SELECT c_custkey {div} 8 AS area, 1445000000 + ((c_custkey {div} 8) * 2654435) % 9000000 + (c_custkey * 7919) % 90000 AS lng_e7,
+  -390000000 + ((c_custkey {div} 8) * 9973391) % 12000000 + (c_custkey * 104729) % 80000 AS lat_e7 FROM customer
+"""
+#: Four short lines around each crossing that end a few metres from it: gaps that touch each other.
+SPOKES = """
+SELECT k * 4 + s AS id, k, s, px + dx * o AS a_lng, py + dy * o AS a_lat, px + dx * 4000 AS b_lng, py + dy * 4000 AS b_lat
+FROM (SELECT o_orderkey AS k, s, 1449000000 + (o_orderkey % 100) * 10000 AS px, -385000000 + (o_orderkey {div} 100) * 10000 AS py, ((o_orderkey * 7 + s * 13 + o_custkey) % 60) * 10 + 50 AS o,
+  CASE s WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS dx, CASE s WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS dy
+  FROM orders CROSS JOIN (SELECT 0 AS s UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) d) z
+"""
 #: Official features as they come: labels to clean, counts in strings.
 FEATURES = """
 SELECT l_orderkey * 10 + l_linenumber AS feature_id, CAST(l_partkey AS VARCHAR(20)) AS osm_id,
@@ -109,6 +126,28 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(spark, sf_dir, WAYS, "part")
 
 
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(spark, sf_dir, NODES, "orders")
+
+
+def referring_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ways with their tags as a map and the nodes they name: one twice, one that may be missing and one that is; some name one place only."""
+    names = {"oneway:bicycle": "oneway_bicycle"} | {n: n for n in ("highway", "surface", "access", "bicycle", "foot", "footway", "service", "oneway", "width", "smoothness", "area", "indoor", "name")}
+    entries = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in names.items())), lambda e: e["v"].isNotNull())
+    starts, s, i = _select(spark, sf_dir, STARTS, "part", "orders"), F.col("s"), F.col("way_id")
+    refs = F.when(i % 10 == 9, F.array(s, s)).otherwise(F.array(s, s + 1, s + 1, s + 100 + i % 3, i + 100_000_000))
+    return ways(spark, sf_dir).join(starts, "way_id").select(i.alias("id"), F.map_from_entries(entries).alias("tags"), refs.alias("refs"))
+
+
+def area_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(spark, sf_dir, AREA_POINTS, "customer")
+
+
+def spokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = [F.struct(F.col(f"{p}_lng").cast("long").alias("lng_e7"), F.col(f"{p}_lat").cast("long").alias("lat_e7")) for p in "ab"]
+    return _select(spark, sf_dir, SPOKES, "orders").select("id", F.array(*ends).alias("coordinates"), F.lit(True).alias("bridge_gaps"))
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(spark, sf_dir, FEATURES, "lineitem")
 
