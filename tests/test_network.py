@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from velograph import catalog, runtime
 from velograph.functions import geo
-from velograph.operators import components, cost, graph, hulls, planning, polylines, scoring, search, serving, skew, tiles
+from velograph.operators import components, cost, frontier, graph, hulls, planning, polylines, scoring, search, serving, skew, tiles
 from velograph.queries import ingest as imports
 from velograph.queries import routes
 from velograph.sources import ingest
@@ -159,6 +159,86 @@ def test_small_tiles_find_the_same_routes(spark, monkeypatch):
     assert len(whole) == 25 and all(tiled[i] == pytest.approx(c) for i, c in whole.items())
 
 
+def floyd(edges, price, n, one_way=False):
+    best = np.full((n, n), np.inf)
+    np.fill_diagonal(best, 0)
+    for r, p in zip(edges.itertuples(), price, strict=True):
+        if not one_way or r.direction != "reverse":
+            best[r.from_node, r.to_node] = min(p, best[r.from_node, r.to_node])
+        if not one_way or r.direction != "forward":
+            best[r.to_node, r.from_node] = min(p, best[r.to_node, r.from_node])
+    for k in range(n):
+        best = np.minimum(best, best[:, k, None] + best[None, k])
+    return best
+
+
+@pytest.fixture(scope="module")
+def town(spark):
+    """A lattice of mixed kinds and directions, some streets missing, one of which leads nowhere."""
+    rng, n = np.random.default_rng(6), 7
+    kinds = ["shared_use_path", "busy_road", "steps", "quiet_street"]
+    lines = [
+        ([(i * 100, j * 100), (i * 100 + d * 100, j * 100 + (1 - d) * 100)], {"category": kinds[int(rng.integers(4))], "direction": ["both", "both", "forward", "reverse"][int(rng.integers(4))], "surface_class": ["smooth", "gravel"][int(rng.integers(2))]})
+        for i in range(n) for j in range(n) for d in (0, 1) if rng.random() < 0.9
+    ]
+    g = graph.build(network(spark, *lines, [(5000, 5000), (5100, 5000)]), tolerance_m=0)
+    return g, g.edges.toPandas(), g.nodes.toPandas().set_index("node_id")
+
+
+@pytest.mark.parametrize("most", [6, 25, 10_000])
+def test_least_costs_tile_by_tile(spark, town, most):
+    g, edges, nodes = town
+    price = [r.length_m * cost.effective("prefer_paths")["kind"][r.kind] for r in edges.itertuples()]
+    best = floyd(edges, price, len(nodes))
+    sources = [0, 40]
+    asked = spark.createDataFrame([(int(s),) for s in sources] * 2, "node long")
+    got = {r["node"]: r["cost"] for r in planning.reach(g.edges, asked, spark.createDataFrame(list(zip(edges["edge_id"].tolist(), price, strict=True)), "edge_id long, price double"), most).collect()}
+    want = {i: c for i, c in enumerate(best[sources].min(0)) if np.isfinite(c)}
+    assert got == pytest.approx(want) and len(want) < len(nodes)
+    slim = g.edges.select("edge_id", "from_node", "to_node", "length_m", F.lit(0).alias("ways"), *search.end_places())
+    sizes = [r["n"] for r in frontier.Tiles(slim, most).rows.selectExpr("size(edge_id) AS n").collect()]
+    assert sum(sizes) == len(edges) and (max(sizes) <= most or most == 6) and max(sizes) <= 2 * most
+
+
+@pytest.mark.parametrize("one_way", [False, True])
+def test_routes_that_cross_many_tiles(spark, town, one_way, monkeypatch):
+    """All requests go through tiles of a few edges: costs as by Floyd-Warshall, parts that hang together and add up to them."""
+    g, edges, nodes = town
+    rng = np.random.default_rng(9)
+    picks = [tuple(int(x) for x in rng.choice(len(nodes) - 2, 2, replace=False)) for _ in range(25)]
+    asks = []
+    for i, (a, b) in enumerate(picks):
+        asks.append((i, *(int(nodes.loc[v, c]) for v in (a, b) for c in ("lng_e7", "lat_e7")), ["any", "avoid_loose"][i % 2]))
+    p, q = e7(130, 2), e7(170, -3)  # on one street, there and back
+    asks += [(100, p.lng_e7, p.lat_e7, q.lng_e7, q.lat_e7, "any"), (101, q.lng_e7, q.lat_e7, p.lng_e7, p.lat_e7, "any")]
+    ask = spark.createDataFrame(asks, "request_id long, s_lng long, s_lat long, e_lng long, e_lat long, pref_surface string")
+    whole = {r["request_id"]: r for r in planning.plan(g, ask, one_way=one_way).collect()}
+    monkeypatch.setattr(search, "MOST", 0)
+    monkeypatch.setattr(frontier, "MOST", 9)
+    monkeypatch.setattr(frontier, "REQUESTS", 4)
+    far = {r["request_id"]: r for r in planning.plan(g, ask, one_way=one_way).collect()}
+    by = edges.set_index("edge_id")
+    best = {s: floyd(edges, [r.length_m * t["kind"][r.kind] * t["surface"][r.surface_class] for r in edges.itertuples()], len(nodes), one_way) for s in ("any", "avoid_loose") for t in [cost.effective("prefer_paths", s)]}
+    for i, *_, s in asks:
+        r = far[str(i)]
+        assert (r["status"], r["cost"] is None) == (whole[str(i)]["status"], whole[str(i)]["cost"] is None)
+        if r["cost"] is None:
+            continue
+        assert r["cost"] == pytest.approx(whole[str(i)]["cost"], abs=1e-6)
+        if i < 100 and np.isfinite(best[s][picks[i]]):
+            assert r["cost"] == pytest.approx(best[s][picks[i]], abs=1e-3)
+        t, total, node = cost.effective("prefer_paths", s), 0.0, None
+        for e in r["edges"]:
+            x = by.loc[e["edge_id"]]
+            total += abs(e["to_m"] - e["from_m"]) * t["kind"][x.kind] * t["surface"][x.surface_class]
+            onward = e["to_m"] > e["from_m"]
+            assert not one_way or x.direction in ("both", "forward" if onward else "reverse")
+            start, end = (x.from_node, x.to_node) if onward else (x.to_node, x.from_node)
+            assert node is None or node == start
+            node = end if e["to_m"] in (0.0, x.length_m) else None
+        assert total == pytest.approx(r["cost"], abs=1e-6)
+
+
 def test_one_way_edges_and_ends_on_one_edge(spark):
     g = graph.build(network(spark, ([(0, 0), (1000, 0)], {"direction": "forward"}), ([(0, 0), (500, 400), (1000, 0)], {"category": "busy_road"})), tolerance_m=0)
     there, back = plan(spark, g, (100, 0), (900, 0), one_way=True), plan(spark, g, (900, 0), (100, 0), one_way=True)
@@ -183,6 +263,11 @@ def test_answer_is_a_feature(spark):
     assert [(x["kind"], x.get("name")) for x in q["legs"]] == [("shared_use_path", "A"), ("shared_use_path", None)]
     assert q["distanceBySurface"] == pytest.approx({"smooth": 250, "gravel": 150}, abs=0.5)
     assert q["preferences"] == {"surface": "avoid_loose", "avoidSteps": True, "avoidBusyRoads": False} and set(q["scores"]) == {"skate", "run"}
+    skate = q["scores"]["skate"]
+    assert set(skate) == {"score", "rating", "confidence", "notes"} and [n["tone"] for n in skate["notes"]] == ["negative"] * (len(skate["notes"]) - 1) + ["positive"]
+    points = [n["points"] for n in skate["notes"] if n["text"].endswith("loose gravel") or "walk" in n["text"] and "caps" not in n["text"]]
+    assert points == sorted(points, reverse=True) and any("of loose gravel" in n["text"] for n in skate["notes"])
+    assert skate["notes"][-1]["text"] == "63% smooth asphalt or concrete"
     assert q["snap"]["start"]["distanceM"] == pytest.approx(3, abs=0.1)
 
 

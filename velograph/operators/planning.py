@@ -9,8 +9,8 @@ from ..functions import geo
 from ..functions import vocab as V
 from ..functions.exprs import half_up
 from ..runtime import materialise, release
-from . import cost, polylines, scoring, search
-from .graph import Graph, adjacency
+from . import cost, frontier, polylines, scoring, search
+from .graph import Graph
 from .snap import MAX_SNAP_M, snap, snap_preferring
 
 NOTES = "array<struct<tone:string,text:string,metres:double,points:double>>"
@@ -165,16 +165,7 @@ def answers(plans: DataFrame, g: Graph, requests: DataFrame, profile: str = V.PR
     return full.select("request_id", "status", F.when(F.col("status") == "OK", feature).alias("feature"))
 
 
-def reach(edges: DataFrame, sources: DataFrame, price: DataFrame) -> DataFrame:
-    """(node, cost): least cost from any of ``sources`` (node) to every node that can be reached, by rounds of joins: the arcs of
-    the nodes that got cheaper in the last round, and the least of what they offer each node. ``price``: edge_id, price."""
-    arcs = materialise(adjacency(edges).join(price, "edge_id").select("node", "other", "price"))
-    known = materialise(sources.select("node", F.lit(0.0).alias("cost")).distinct())
-    fresh = known
-    while not fresh.isEmpty():
-        offers = fresh.join(arcs, "node").groupBy(F.col("other").alias("node")).agg(F.min(F.col("cost") + F.col("price")).alias("offer"))
-        better = materialise(offers.join(known, "node", "left").where("cost IS NULL OR offer < cost").select("node", F.col("offer").alias("cost")))
-        old, known = known, materialise(known.join(better.select("node"), "node", "left_anti").unionByName(better))
-        release(old)
-        fresh = better
-    return known
+def reach(edges: DataFrame, sources: DataFrame, price: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, cost): least cost from any of ``sources`` (node) to every node that can be reached. ``price``: edge_id, price."""
+    slim = edges.select("edge_id", "from_node", "to_node", "length_m", F.lit(0).alias("ways"), *search.end_places()).join(price, "edge_id")
+    return frontier.reach(slim, sources, most or frontier.MOST)

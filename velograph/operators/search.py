@@ -4,121 +4,33 @@ A request is searched for within the tile of its first corner and the eight tile
 arrays. What it finds is the best route of all if no way out of this area and back can cost less: every edge costs at least
 ``least`` a metre, so such a way costs at least that much for the straight distances from the start to the area's border and
 from there to the end. Requests for which that isn't sure, or nothing is found, are searched for again in tiles four times as
-wide, and so on until a tile holds the whole network. A tile of very many requests is dealt to several tasks, each with the
-tile's edges; so what a task holds is bounded by how far its requests go, not by the network or the number of requests.
+wide, and so on. Where nine tiles hold more than MOST edges, their requests go through the network tile by tile instead
+(``frontier``); so no task ever holds more than that. A tile of very many requests is dealt to several tasks.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.exprs import lookup
 from ..runtime import materialise, release
+from . import frontier
+from .arcs import SHORT, Arcs
 
 #: Width of the first tiles (about 5 km); how much wider each round's are; requests that one task searches for.
 TILE_E7, WIDER, REQUESTS = 500_000, 4, 1000
-#: Straight distances on the plane, taken a little short, so that they bound those on the sphere from below.
-SHORT = 0.99
+#: Edges of nine tiles beyond which their requests are searched for tile by tile.
+MOST = 150_000
 FOUND = "request_id string, settled boolean, cost double, edges array<struct<edge_id:long,from_m:double,to_m:double>>"
 
 
-class Arcs:
-    """Compressed adjacency of some edges, as lists for the search's inner loop."""
-
-    def __init__(self, edges: pd.DataFrame, one_way: bool):
-        self.ids = edges["edge_id"].to_numpy()
-        self.place = {e: i for i, e in enumerate(self.ids.tolist())}
-        names, local = np.unique(np.concatenate([edges["from_node"], edges["to_node"]]), return_inverse=True)
-        self.frm, self.to = local[: len(edges)], local[len(edges) :]
-        self.length = edges["length_m"].to_numpy()
-        ways = edges["ways"].to_numpy()  # 0 both, 1 forward, 2 backward
-        self.onward, self.back = (ways != 2, ways != 1) if one_way else (np.ones(len(edges), bool),) * 2
-        self.lng, self.lat = np.empty(len(names)), np.empty(len(names))
-        for side, n in (("f", self.frm), ("t", self.to)):
-            self.lng[n], self.lat[n] = edges[f"{side}_lng"] / geo.FIXED, edges[f"{side}_lat"] / geo.FIXED
-        loop = self.frm == self.to
-        a, b = np.flatnonzero(self.onward), np.flatnonzero(self.back & ~(loop & self.onward))
-        tail, head, edge = np.concatenate([self.frm[a], self.to[b]]), np.concatenate([self.to[a], self.frm[b]]), np.concatenate([a, b])
-        order = np.argsort(tail, kind="stable")
-        self.offset = np.concatenate([[0], np.cumsum(np.bincount(tail, minlength=len(names)))]).tolist()
-        self.head, self.edge = head[order].tolist(), edge[order].tolist()
-
-    def cheapest(self, price: list[float], least: float, starts: dict, goals: dict, end: tuple[float, float]):
-        """(cost, nodes' edges from the first start) of the best way from any start (its cost so far) to any goal (its cost to
-        come), or None. A*: what is to come costs at least ``least`` a metre of the straight distance to ``end``."""
-        ky = geo.SPHERE_DEGREE_M * SHORT * least
-        kx = ky * math.cos(math.radians(min(89.0, max(abs(end[1]), float(np.abs(self.lat).max())))))
-        lng, lat, gx, gy = self.lng, self.lat, *end
-
-        def ahead(node: int) -> float:
-            return math.hypot((lng[node] - gx) * kx, (lat[node] - gy) * ky)
-
-        offset, head, edge = self.offset, self.head, self.edge
-        best, via, done, bound = dict(starts), {}, set(), {}
-        heap = [(c + ahead(n), n) for n, c in starts.items()]
-        heapq.heapify(heap)
-        top, last = math.inf, None
-        while heap and heap[0][0] < top:
-            _, node = heapq.heappop(heap)
-            if node in done:
-                continue
-            done.add(node)
-            c = best[node]
-            if node in goals and c + goals[node] < top:
-                top, last = c + goals[node], node
-            for i in range(offset[node], offset[node + 1]):
-                other, reach = head[i], c + price[i]
-                if reach < best.get(other, math.inf):
-                    best[other], via[other] = reach, (node, edge[i])
-                    if other not in bound:
-                        bound[other] = ahead(other)
-                    heapq.heappush(heap, (reach + bound[other], other))
-        if last is None:
-            return None
-        path, node = [], last
-        while node in via:
-            before, e = via[node]
-            path.append((e, before))
-            node = before
-        return top, node, path[::-1], last
-
-    def route(self, price: np.ndarray, arcs: list[float], least: float, s: int, s_along: float, e: int, e_along: float, end: tuple[float, float]):
-        """(cost, parts) between two places along edges; parts are (edge_id, from_m, to_m) in travel order."""
-        frm, to, length = self.frm, self.to, self.length
-        per = [price[x] / length[x] if length[x] > 0 else 0.0 for x in (s, e)]
-        starts, leave, goals, arrive = {}, {}, {}, {}
-        for node, at, open_ in ((int(frm[s]), 0.0, self.back[s]), (int(to[s]), float(length[s]), self.onward[s])):
-            c = abs(at - s_along) * per[0]
-            if (open_ or at == s_along) and c < starts.get(node, math.inf):
-                starts[node], leave[node] = c, at
-        for node, at, open_ in ((int(frm[e]), 0.0, self.onward[e]), (int(to[e]), float(length[e]), self.back[e])):
-            c = abs(at - e_along) * per[1]
-            if (open_ or at == e_along) and c < goals.get(node, math.inf):
-                goals[node], arrive[node] = c, at
-        found = self.cheapest(arcs, least, starts, goals, end)
-        straight = s == e and (s_along == e_along or (self.onward if e_along > s_along else self.back)[s])
-        direct = abs(e_along - s_along) * per[0] if straight else math.inf
-        if direct < math.inf and (found is None or direct <= found[0]):
-            return direct, [(int(self.ids[s]), s_along, e_along)]
-        if found is None:
-            return None
-        cost, first, path, last = found
-        parts = [(int(self.ids[s]), s_along, leave[first])]
-        for x, before in path:
-            ahead = frm[x] == before and self.onward[x]
-            parts.append((int(self.ids[x]), 0.0, float(length[x])) if ahead else (int(self.ids[x]), float(length[x]), 0.0))
-        parts.append((int(self.ids[e]), arrive[last], e_along))
-        return cost, [p for p in parts if p[1] != p[2]]
-
-
 def _margin(lng: float, lat: float, box: tuple[float, float, float, float]) -> float:
     """Metres from a point to the outside of a box of degrees, or a little less."""
     west, south, east, north = box
@@ -155,7 +67,12 @@ def _searched(tables: list[Mapping], leasts: list[float], size: int, whole: bool
     return run
 
 
-def cheapest(edges: DataFrame, asks: DataFrame, tables: list[Mapping], leasts: list[float], one_way: bool = False, tile_e7: int | None = None) -> DataFrame:
+def end_places() -> list[Column]:
+    """Places of an edge's first and last point."""
+    return [p[c].alias(f"{n}_{c[:3]}") for n, p in (("f", F.col("coordinates")[0]), ("t", F.element_at("coordinates", -1))) for c in ("lng_e7", "lat_e7")]
+
+
+def cheapest(edges: DataFrame, asks: DataFrame, tables: list[Mapping], leasts: list[float], one_way: bool = False, tile_e7: int | None = None, most: int | None = None, tile_edges: int | None = None) -> DataFrame:
     """(request_id, cost, edges) of the cheapest routes; requests without any route are left out.
 
     ``asks``: request_id, pref (which of ``tables``), s_edge, s_along, s_lng, s_lat and the same for e; places in degrees.
@@ -165,17 +82,26 @@ def cheapest(edges: DataFrame, asks: DataFrame, tables: list[Mapping], leasts: l
     risk = F.aggregate("hazards", one, lambda a, h: a * F.coalesce(lookup(h, hazard).cast("double"), one)) if hazard else one
     number = {n: {x: i for i, x in enumerate(sorted(tables[0][n]))} for n in ("kind", "surface")}
     ways = F.when(F.col("direction") == "both", 0).when(F.col("direction") == "forward", 1).otherwise(2)
-    slim = edges.select("edge_id", "from_node", "to_node", "length_m", lookup(F.col("kind"), number["kind"]).cast("int").alias("kind"), lookup(F.col("surface_class"), number["surface"]).cast("int").alias("surface"), risk.alias("risk"), ways.alias("ways"), *(F.col("coordinates")[0][c].alias(f"f_{c[:3]}") for c in ("lng_e7", "lat_e7")), *(F.element_at("coordinates", -1)[c].alias(f"t_{c[:3]}") for c in ("lng_e7", "lat_e7")))
+    slim = edges.select("edge_id", "from_node", "to_node", "length_m", lookup(F.col("kind"), number["kind"]).cast("int").alias("kind"), lookup(F.col("surface_class"), number["surface"]).cast("int").alias("surface"), risk.alias("risk"), ways.alias("ways"), *end_places())
     slim = materialise(slim)
     extent = edges.agg(*(f(g(f"coordinates.{c}")).alias(f"{n}_{c}") for c in ("lng_e7", "lat_e7") for f, g, n in ((F.min, F.array_min, "lo"), (F.max, F.array_max, "hi")))).first()
-    pending = materialise(asks)
-    done, size = None, tile_e7 or TILE_E7
+    factors = [tuple([t[n][x] for x in sorted(t[n])] for n in ("kind", "surface")) for t in tables]
+    most = MOST if most is None else most
+    pending = materialise(asks.withColumn("limit", F.lit(None).cast("double")))
+    done, size, far = None, tile_e7 or TILE_E7, None
+    near = lambda v: F.sequence(F.col(v) - 1, F.col(v) + 1)
     while not pending.isEmpty():
         cell = lambda v, s=size: F.floor(v / s).cast("long")
         # the whole network lies within the tiles around any one of its tiles
         whole = all((extent[f"hi_{c}"] // size) - (extent[f"lo_{c}"] // size) <= 1 for c in ("lng_e7", "lat_e7")) if extent["lo_lng_e7"] is not None else True
         corner = [cell(F.least(F.col(f"s_{c}"), F.col(f"e_{c}")) * geo.FIXED) for c in ("lng", "lat")]
         here = pending.withColumns({"tx": corner[0], "ty": corner[1]})
+        # edges by the tile that they begin in, and so how many a tile and its neighbours hold
+        load = slim.groupBy(cell(F.col("f_lng")).alias("tx"), cell(F.col("f_lat")).alias("ty")).agg(F.count("*").alias("n")).withColumn("tx", F.explode(near("tx"))).withColumn("ty", F.explode(near("ty")))
+        heavy = load.groupBy("tx", "ty").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("tx", "ty")
+        crossing = here.join(heavy, ["tx", "ty"], "left_semi").drop("tx", "ty")
+        far = materialise(crossing if far is None else far.unionByName(crossing))
+        here = materialise(here.join(heavy, ["tx", "ty"], "left_anti"))
         crowd = here.groupBy("tx", "ty").agg(F.ceil(F.count("*") / REQUESTS).cast("int").alias("salts"))
         dealt = here.join(crowd, ["tx", "ty"]).withColumn("salt", F.pmod(F.xxhash64("request_id"), "salts").cast("int")).drop("salts")
         ends = F.array_distinct(F.array(*(F.struct(cell(F.col(f"{s}_lng")).alias("x"), cell(F.col(f"{s}_lat")).alias("y")) for s in "ft")))
@@ -186,7 +112,10 @@ def cheapest(edges: DataFrame, asks: DataFrame, tables: list[Mapping], leasts: l
         found = materialise(dealt.groupBy("tx", "ty", "salt").cogroup(part.groupBy("tx", "ty", "salt")).applyInPandas(run, FOUND))
         some = found.where("settled AND cost IS NOT NULL").select("request_id", "cost", "edges")
         done = some if done is None else done.unionByName(some)
-        old, pending = pending, materialise(pending.join(found.where("NOT settled").select("request_id"), "request_id"))
-        release(old)
+        open_ = found.where("NOT settled").select("request_id", F.col("cost").alias("reached"))
+        old, pending = pending, materialise(here.drop("tx", "ty").join(open_, "request_id").withColumn("limit", F.least("limit", "reached")).drop("reached"))
+        release(old, here)
         size *= WIDER
+    if far is not None and not far.isEmpty():
+        done = done.unionByName(materialise(frontier.cheapest(slim, far, factors, leasts, one_way, tile_edges or frontier.MOST)))
     return done if done is not None else asks.sparkSession.createDataFrame([], FOUND).select("request_id", "cost", "edges")
