@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, tags
@@ -183,8 +184,8 @@ def within_coverage(points: DataFrame, rings: DataFrame, metres: float = COVER_M
     return areas.meeting(points.select("id", at.alias("a"), at.alias("b")), rings, metres)
 
 
-def place_of(p: DataFrame) -> DataFrame:
-    """Places of provider features in the state: name, detail, category."""
+def place_of(p: DataFrame, *keep: str) -> DataFrame:
+    """Places of provider features in the state: name, detail, category, and the columns to keep."""
     blank = lambda c: F.when(C(c) != "", C(c))
     address = F.when(blank("street").isNotNull(), F.concat_ws(" ", blank("housenumber"), "street"))
     suburb = F.coalesce("locality", "district", "city")
@@ -193,14 +194,52 @@ def place_of(p: DataFrame) -> DataFrame:
     parts = F.concat_ws(", ", F.when(own.isNotNull(), address), F.when(suburb != name, suburb))
     detail = F.concat_ws(" ", F.when(parts != "", parts), "postcode")
     return p.where((C("state") == "Victoria") & name.isNotNull()).select(
-        "place_id", name.alias("name"), F.when(detail != "", detail).alias("detail"), F.concat(F.coalesce("osm_key", F.lit("?")), F.lit("="), F.coalesce("osm_value", F.lit("?"))).alias("category"), "lng_e7", "lat_e7"
+        "place_id", name.alias("name"), F.when(detail != "", detail).alias("detail"), F.concat(F.coalesce("osm_key", F.lit("?")), F.lit("="), F.coalesce("osm_value", F.lit("?"))).alias("category"), "lng_e7", "lat_e7", *keep
     )
 
 
+#: Results of a search; letters of a word's beginning by which places are found.
+LIMIT, PREFIX = 6, 3
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def search_places(features: DataFrame, searches: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(query_id, rank, place_id, name, detail): the first places of searches (query_id, text, near_lng_e7, near_lat_e7).
+
+    Every word of a search begins a word of the place's name or address. Of the matches in the region that aren't stops, the
+    nearest to the search's own place (to four digits of a degree; without one, those of the smallest id) are fetched, twice as many as asked for;
+    of these the ones in the state are kept, once each by name and detail.
+
+    Places are posted under the beginnings of their words. A search meets the postings of one word only, the one with the
+    fewest, by an equi-join; its other words are looked for in the places found.
+    """
+    shown = features.where(tags.in_region(geo.degrees(C("lng_e7")), geo.degrees(C("lat_e7"))) & ~excluded_place(C("osm_key"), C("osm_value")))
+    label = F.concat_ws(" ", F.when(C("named"), C("name")), "housenumber", "street", "locality", "district", "city", "postcode")
+    shown = materialise(shown.withColumn("words", F.array_distinct(words(label))))
+    beginnings = lambda w: F.array(*(F.substring(w, 1, i) for i in range(1, PREFIX + 1)))
+    posted = shown.select("place_id", F.explode(F.array_distinct(F.flatten(F.transform("words", beginnings)))).alias("key"))
+    asked = searches.select("query_id", "near_lng_e7", "near_lat_e7", F.array_distinct(words(C("text"))).alias("terms")).where(F.size("terms") > 0)
+    keys = asked.select("query_id", F.explode("terms").alias("term")).withColumn("key", F.substring("term", 1, PREFIX))
+    # a word that no place has leaves its search without any
+    rarest = keys.join(posted.groupBy("key").agg(F.count("*").alias("n")), "key", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "key")).alias("k")).select("query_id", "k.key")
+    met = rarest.join(posted, "key").select("query_id", "place_id").join(asked, "query_id").join(shown, "place_id")
+    hits = met.where(F.forall("terms", lambda t: F.exists("words", lambda w: F.startswith(w, t))))
+    near = [geo.degrees(F.floor((C(f"near_{c}_e7") + 500) / 1000) * 1000) for c in ("lng", "lat")]
+    apart = F.round(geo.haversine(*near, geo.degrees(C("lng_e7")), geo.degrees(C("lat_e7"))), 3)
+    first = hits.withColumn("apart", apart).withColumn("fetched", F.row_number().over(W.partitionBy("query_id").orderBy(C("apart").asc_nulls_last(), "place_id"))).where(C("fetched") <= 2 * limit)
+    return first_by_label(place_of(first, "query_id", "fetched"), "query_id", [C("fetched")], limit).select("query_id", "rank", "place_id", "name", "detail")
+
+
+def excluded_place(key: Column, value: Column) -> Column:
+    """Stops and platforms."""
+    return F.coalesce(F.concat(key, F.lit("="), value).isin(*V.EXCLUDED_PLACES) | (key == "public_transport"), F.lit(False))
+
+
 def first_by_label(found: DataFrame, query: str, order: list[Column], limit: int) -> DataFrame:
     """The first place of each name and detail, and of these the first few of each query."""
-    from pyspark.sql import Window as W
-
     once = found.withColumn("_n", F.row_number().over(W.partitionBy(query, "name", "detail").orderBy(*order))).where("_n = 1")
     return once.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(*order))).where(C("rank") <= limit).drop("_n")
 

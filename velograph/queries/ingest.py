@@ -11,9 +11,10 @@ from ..functions import vocab as V
 from ..functions.exprs import half_up
 from ..operators import hulls, polylines
 from ..runtime import shared_folder
-from ..sources import ingest, network, pbf
+from ..sources import ingest, network, pbf, versions
 from . import base
 from .base import LENGTH, SEG, WAYS, query
+from .domain import ROUTABLE, WAY_CATEGORY, classified
 from .geometry import PIECES, RAW, VERTICES
 
 C = F.col
@@ -127,9 +128,12 @@ def wkb_decode(spark, sf_dir):
 
 @query(f"WITH {RAW} SELECT source, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT source, id FROM raw WHERE source <> 'osm' UNION ALL SELECT 'osm', id + 1000000 FROM raw WHERE source = 'osm' AND id % 2 = 0) GROUP BY source")
 def replace_by_source(spark, sf_dir):
-    p = network.paths(spark, sf_dir).select("source", "id")
+    """The table after the community's paths were replaced by half of them under new ids: two imports, read through the manifest."""
+    path, p = f"{shared_folder(spark)}/paths-{uuid.uuid4().hex}", network.paths(spark, sf_dir).select("source", "id")
+    versions.replace(p, path, "first")
     new = p.where((C("source") == V.COMMUNITY) & (C("id") % 2 == 0)).withColumn("id", C("id") + 1_000_000)
-    return ingest.replaced(p, new).groupBy("source").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    versions.replace(new, path, "second")
+    return versions.read(spark, path).groupBy("source").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @query(f"WITH {RAW}, {WAYS} SELECT 'vic_dtp_bin' AS source, 'official' AS dataset, count(*) AS feature_count FROM raw WHERE source = 'vic_dtp_bin' UNION ALL SELECT 'osm', 'ways', count(*) FROM way")
@@ -138,6 +142,20 @@ def import_provenance(spark, sf_dir):
     return dtp.unionByName(ingest.provenance(network.ways(spark, sf_dir), V.COMMUNITY, "ways"))
 
 
+@query(
+    f"WITH {RAW}, {WAYS} SELECT CAST(1 AS BIGINT) AS import_id, 'osm' AS source, 'paths' AS dataset, count(*) AS feature_count, count(*) AS path_count FROM raw WHERE source = 'osm' UNION ALL "
+    f"SELECT 2, 'vic_dtp_bin', 'paths', count(*), count(*) FROM raw WHERE source = 'vic_dtp_bin' UNION ALL SELECT 3, 'osm', 'ways', (SELECT count(*) FROM way), count(*) FROM way WHERE {ROUTABLE} AND {WAY_CATEGORY} IS NOT NULL"
+)
+def import_counts(spark, sf_dir):
+    """Provenance that changes with the rows: candidates and accepted ways of an import that replaces the community's paths."""
+    path, p = f"{shared_folder(spark)}/paths-{uuid.uuid4().hex}", network.paths(spark, sf_dir).select("source", "id")
+    versions.replace(p, path, "paths")
+    ways = network.ways(spark, sf_dir)
+    accepted = classified(ways).select(F.lit(V.COMMUNITY).alias("source"), C("way_id").alias("id"))
+    versions.replace(accepted, path, "ways", {V.COMMUNITY: ways.count()})
+    return versions.imports(spark, path)
+
+
 @query("SELECT import_id, name, feature_count FROM (SELECT o_orderkey AS import_id, o_orderstatus AS name, o_custkey AS feature_count FROM orders) ORDER BY import_id DESC LIMIT 1")
 def latest_import(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(C("o_orderkey").alias("import_id"), C("o_orderstatus").alias("name"), C("o_custkey").alias("feature_count"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import vocab as V
 from ..functions.exprs import half_up
 from ..operators import areas, graph, hulls, polylines, serving, snap, tiles
-from ..sources import network
+from ..runtime import shared_folder
+from ..sources import named, network
 from . import base, routes  # noqa: F401  route statuses are answered here
 from .base import PLACES, POINTS, QUERIES, SEG, SQL, query, strings
 from .domain import TILE_CLASS
@@ -72,6 +75,16 @@ def tile_bytes(spark, sf_dir):
     return tiles.asked(made, wanted)
 
 
+@query()
+def tile_files(spark, sf_dir):
+    """The tiles of a detail level as files by z, x and y, read back; empty ones are no file."""
+    path = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    made = serving.detail_tiles(network.paths(spark, sf_dir), ZOOM)
+    empty = made.select("z", (C("tx") + 100_000).alias("tx"), "ty", F.lit(None).cast("binary").alias("mvt"))
+    named.write_tiles(made.select("z", "tx", "ty", "mvt").unionByName(empty), path)
+    return named.read_tiles(spark, path).select("z", "tx", "ty", F.length("mvt").alias("bytes"), F.md5("mvt").alias("digest"))
+
+
 #: Points in loose groups, so that clusters are many.
 SPREAD = "sp AS (SELECT id, lng_e7 + (id % 23) * 2000000 AS p_lng, lat_e7 + (id % 7) * 3000000 AS p_lat FROM pts)"
 
@@ -203,23 +216,36 @@ def place_from_feature(spark, sf_dir):
     return serving.place_of(network.places(spark, sf_dir))
 
 
-SHOWN = f"category NOT IN ({strings(V.EXCLUDED_PLACES)}) AND category NOT LIKE 'public_transport=%'"
+_WORDS = lambda x: f"list_distinct(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''))"
+SEARCH = (
+    f"WITH src AS ({base.cte(network.PLACES)}), place AS (SELECT * REPLACE (lng_e7 + CASE WHEN place_id % 13 = 0 THEN 100000000 ELSE 0 END AS lng_e7) FROM src), {PLACE}, ask AS ({base.cte(network.SEARCHES)}), "
+    f"q AS (SELECT query_id, near_lng_e7, near_lat_e7, {_WORDS('text')} AS terms FROM ask), "
+    f"p AS (SELECT *, {_WORDS(chr(99) + 'oncat_ws(' + chr(39) + ' ' + chr(39) + ', CASE WHEN named THEN name END, housenumber, street, locality, district, city, postcode)')} AS words FROM place WHERE lng_e7 BETWEEN 1409000000 AND 1501000000 AND lat_e7 BETWEEN -393000000 AND -339000000 "
+    f"AND coalesce(osm_key || '=' || osm_value NOT IN ({strings(V.EXCLUDED_PLACES)}) AND osm_key <> 'public_transport', true)), "
+    f"m AS (SELECT query_id, place_id, round({base.haversine('floor((near_lng_e7 + 500) / 1000) * 1000 / 1e7', 'floor((near_lat_e7 + 500) / 1000) * 1000 / 1e7', 'lng_e7 / 1e7', 'lat_e7 / 1e7')}, 3) AS apart, near_lng_e7 IS NULL AS nowhere FROM q JOIN p ON len(terms) > 0 AND len(list_filter(terms, lambda t: len(list_filter(words, lambda w: starts_with(w, t))) = 0)) = 0), "
+    "f AS (SELECT query_id, place_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN nowhere THEN 0 ELSE apart END, place_id) AS fetched FROM m QUALIFY fetched <= 12), "
+    "o AS (SELECT query_id, fetched, pf.*, row_number() OVER (PARTITION BY query_id, name, detail ORDER BY fetched) AS n FROM f JOIN pf USING (place_id)) "
+    "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fetched) AS INTEGER) AS rank, place_id, name, detail FROM o WHERE n = 1 QUALIFY rank <= 6"
+)
 
 
-def _shown(places):
-    return places.where(~C("category").isin(*V.EXCLUDED_PLACES) & ~C("category").startswith("public_transport="))
+@query(SEARCH)
+def geocode_search(spark, sf_dir):
+    """Searches with and without a place of their own, against all places; some places lie outside the region."""
+    p = network.places(spark, sf_dir).withColumn("lng_e7", C("lng_e7") + F.when(C("place_id") % 13 == 0, 100_000_000).otherwise(0))
+    return serving.search_places(p, network.searches(spark, sf_dir))
 
 
-@query(
-    f"WITH {PLACES}, {PLACE}, q AS (SELECT n_nationkey AS query_id, lower(substr(n_name, 1, 3)) AS term FROM nation), f AS (SELECT query_id, pf.* FROM q JOIN pf ON contains(lower(coalesce(detail, '')), term) WHERE {SHOWN}), "
-    "o AS (SELECT *, row_number() OVER (PARTITION BY query_id, name, detail ORDER BY place_id) AS n FROM f), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place_id) AS INTEGER) AS rank FROM o WHERE n = 1) SELECT query_id, rank, place_id, name, detail FROM r WHERE rank <= 6"
-)
-def geocode_search(spark, sf_dir):
-    """Terms against the places' details; a query set small enough to check is broadcast, a larger one is planned by Spark."""
-    q = spark.read.parquet(f"{sf_dir}/nation.parquet").select(C("n_nationkey").alias("query_id"), F.lower(F.substring("n_name", 1, 3)).alias("term"))
-    places = _shown(serving.place_of(network.places(spark, sf_dir)))
-    hits = places.join(q, F.contains(F.lower(F.coalesce("detail", F.lit(""))), C("term")))
-    return serving.first_by_label(hits, "query_id", [C("place_id")], 6).select("query_id", "rank", "place_id", "name", "detail")
+@query(f"WITH {PLACES}, {PLACE} SELECT place_id, name, detail, {base.deg('lng_e7')} AS lng, {base.deg('lat_e7')} AS lat FROM pf")
+def place_files(spark, sf_dir):
+    """Each place as a GeoJSON Feature in a file of its own, read back and parsed."""
+    path = f"{shared_folder(spark)}/places-{uuid.uuid4().hex}"
+    p = serving.place_of(network.places(spark, sf_dir))
+    point = F.struct(F.lit("Point").alias("type"), F.array(geo.degrees(C("lng_e7")), geo.degrees(C("lat_e7"))).alias("coordinates"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct("place_id", "name", "detail").alias("properties")))
+    named.write_files(p.select(F.concat(F.lit("places/"), C("place_id").cast("string"), F.lit(".geojson")).alias("name"), F.encode(feature, "UTF-8").alias("content")), path)
+    back = named.read_files(spark, path).select(F.from_json(F.decode("content", "UTF-8"), "geometry struct<coordinates:array<double>>, properties struct<place_id:long,name:string,detail:string>").alias("f"))
+    return back.select("f.properties.*", C("f.geometry.coordinates")[0].alias("lng"), C("f.geometry.coordinates")[1].alias("lat"))
 
 
 @query(f"WITH {PLACES}, {PLACE}, o AS (SELECT *, row_number() OVER (PARTITION BY place_id % 10, name, detail ORDER BY place_id) AS n FROM pf) SELECT place_id % 10 AS query_id, CAST(row_number() OVER (PARTITION BY place_id % 10 ORDER BY place_id) AS INTEGER) AS rank, place_id FROM o WHERE n = 1 QUALIFY rank <= 6")

@@ -86,6 +86,13 @@ SELECT s_suppkey AS place_id, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN N
 FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """
 
+#: Place searches as they are typed, two thirds of them from somewhere; and places, a few of them outside the region.
+SEARCHES = """
+SELECT c_custkey AS query_id, CASE c_custkey % 5 WHEN 0 THEN substr(n_name, 1, 3) WHEN 1 THEN concat('street ', CAST(c_custkey % 9 AS VARCHAR(10))) WHEN 2 THEN concat('dis ', n_name) WHEN 3 THEN concat('  Suburb, ', CAST(c_nationkey AS VARCHAR(10)))
+    ELSE concat(substr(n_name, 1, 2), ' 30') END AS text, CASE WHEN c_custkey % 3 > 0 THEN 1449000000 + (c_custkey * 7919) % 1000000 END AS near_lng_e7, CASE WHEN c_custkey % 3 > 0 THEN -385000000 + (c_custkey * 104729) % 1500000 END AS near_lat_e7
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+"""
+
 
 def _select(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """Run a portable SELECT; its tables are bound for this call only."""
@@ -156,6 +163,10 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(spark, sf_dir, PLACES, "supplier", "nation")
 
 
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(spark, sf_dir, SEARCHES, "customer", "nation")
+
+
 def lattice_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request_id, seq, id): the lattice segments of every request in travel order."""
     r = requests(spark, sf_dir)
