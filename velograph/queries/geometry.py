@@ -144,9 +144,23 @@ def tile_status(spark, sf_dir):
     return _tiles(spark, sf_dir).select("id", F.when(bad, "BAD_REQUEST").when(C("z") < 8, "ZOOM_TOO_LOW").otherwise("OK").alias("status"))
 
 
-@query()
+def _plane(p: str) -> tuple[str, str]:
+    return f"(6378137::DOUBLE * radians({base.deg(p + '_lng')}))", f"(6378137::DOUBLE * ln(tan(0.7853981633974483::DOUBLE + radians({base.deg(p + '_lat')}) / 2)))"
+
+
+def _off_line() -> str:
+    """Map-plane distance of the middle vertex from the line between the ends."""
+    (ax, ay), (mx, my), (bx, by) = map(_plane, "amb")
+    t = f"greatest(0, least(1, (({mx} - {ax}) * ({bx} - {ax}) + ({my} - {ay}) * ({by} - {ay})) / (pow({bx} - {ax}, 2) + pow({by} - {ay}, 2))))"
+    return f"sqrt(pow({mx} - {ax} - {t} * ({bx} - {ax}), 2) + pow({my} - {ay} - {t} * ({by} - {ay}), 2))"
+
+
+@query(
+    f"WITH {RAW}, k AS (SELECT *, {_off_line()} > 5 AS bent FROM raw) SELECT id, 0 AS pos, a_lng AS lng_e7, a_lat AS lat_e7 FROM k UNION ALL SELECT id, 1, m_lng, m_lat FROM k WHERE bent UNION ALL SELECT id, CASE WHEN bent THEN 2 ELSE 1 END, b_lng, b_lat FROM k"
+)
 def simplify(spark, sf_dir):
-    return hulls.simplified(network.paths(spark, sf_dir).select("id", "coordinates"), tolerance_m=5.0)
+    """Vertices left of each line: those at most five metres of the map plane off it go."""
+    return polylines.vertices(hulls.simplified(network.paths(spark, sf_dir).select("id", "coordinates"), tolerance_m=5.0))
 
 
 #: Gift wrapping: the next corner has no point to the right of the way to it, and none farther on it.

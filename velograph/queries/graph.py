@@ -154,7 +154,7 @@ def get_edge_all(spark, sf_dir):
 def components_sql(links: str) -> str:
     """Least node that each node of ``links`` (a, b) is linked with, over any number of links: labels spread until none falls."""
     return (
-        f"two AS (SELECT a, b FROM {links} UNION ALL SELECT b, a FROM {links}), spread(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM two UNION SELECT n.node, n.label FROM "
+        f"two AS MATERIALIZED (SELECT a, b FROM {links} UNION ALL SELECT b, a FROM {links}), spread(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM two UNION SELECT n.node, n.label FROM "
         "(SELECT two.b AS node, min(spread.label) AS label FROM spread JOIN two ON two.a = spread.node GROUP BY two.b) n JOIN recurring.spread k ON k.node = n.node WHERE n.label < k.label)"
     )
 
@@ -203,7 +203,15 @@ def build_graph(spark, sf_dir):
     return graph.build(_segments(spark, sf_dir)).edges.select("edge_id", "path_id", "kind", "from_node", "to_node", half_up(C("length_m"), 3).alias("length_m"))
 
 
-@query()
+#: All six figures of a network given as raw, edge, node and ends: components by labels that spread along the edges.
+_FIGURES = (
+    f"lk AS MATERIALIZED (SELECT from_node AS a, to_node AS b FROM ends WHERE from_node <> to_node), {components_sql('lk')}, "
+    "sz AS (SELECT coalesce(label, node_id) AS c, count(*) AS n FROM node LEFT JOIN spread ON node = node_id GROUP BY 1) "
+    "SELECT (SELECT count(*) FROM raw) AS segments, (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM edge) AS edges, (SELECT count(*) FROM sz) AS components, (SELECT max(n) FROM sz) AS largest_component_nodes, "
+)
+
+
+@query(f"WITH RECURSIVE {SEG}, {_BRIDGED}, {_FIGURES} (SELECT count(*) FROM edge WHERE kind = 'connector') AS connectors")
 def bridged_graph_stats(spark, sf_dir):
     return graph.stats(graph.build(_segments(spark, sf_dir)))
 
@@ -213,6 +221,7 @@ def bridged_graph_stats(spark, sf_dir):
     "s AS (SELECT (SELECT count(*) FROM raw) AS segments, (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM edge) AS edges) SELECT *, 0 AS connectors FROM s"
 )
 def graph_stats(spark, sf_dir):
+    """Four of the figures, without bridges; ``bridged_graph_stats`` has all six."""
     return graph.stats(_unbridged(spark, sf_dir)).select("segments", "nodes", "edges", C("connectors").cast("int").alias("connectors"))
 
 

@@ -54,7 +54,35 @@ def tile_bbox_join(spark, sf_dir):
     return serving.in_tiles(serving.tile_boxes(network.paths(spark, sf_dir)), 12).groupBy("tx", "ty").agg(F.count("*").alias("paths"))
 
 
-@query()
+def _in_units(p: str) -> tuple[str, str]:
+    """A vertex in the tile's units."""
+    side, half, (x, y) = f"({geo.WORLD_M!r}::DOUBLE / {2**ZOOM})", f"{geo.WORLD_M / 2!r}::DOUBLE", _merc(p)
+    return f"(({x} + {half} - tx * {side}) / {side} * 4096)", f"(({half} - ty * {side} - {y}) / {side} * 4096)"
+
+
+def _clip(x: str, y: str, dx: str, dy: str) -> tuple[str, str]:
+    """The shares of a piece at which it enters and leaves the tile with its buffer, from -64 to 4160."""
+    enter = [f"CASE WHEN {d} > 0 THEN (-64 - {v}) / {d} WHEN {d} < 0 THEN (4160 - {v}) / {d} WHEN {v} < -64 OR {v} > 4160 THEN 2 ELSE 0 END" for v, d in ((x, dx), (y, dy))]
+    leave = [f"CASE WHEN {d} > 0 THEN (4160 - {v}) / {d} WHEN {d} < 0 THEN (-64 - {v}) / {d} ELSE 1 END" for v, d in ((x, dx), (y, dy))]
+    return f"greatest(0::DOUBLE, {enter[0]}, {enter[1]})", f"least(1::DOUBLE, {leave[0]}, {leave[1]})"
+
+
+_ROUND = lambda x, y: f"[CAST(round_even({x}, 0) AS BIGINT), CAST(round_even({y}, 0) AS BIGINT)]"
+_AT = lambda p, t, n: _ROUND(f"({p}_x + {t} * dx{n})", f"({p}_y + {t} * dy{n})")
+_LEFT = lambda q, p, n: f"CASE WHEN o{n} = 1 THEN {_ROUND(q + '_x', q + '_y')} ELSE {_AT(p, f'o{n}', n)} END"
+TILE_GEOM = (
+    f"WITH {SEG}, {_tiles_sql(ZOOM, 'true')}, u AS (SELECT tx, ty, id, " + ", ".join(f"{v} AS {p}_{c}" for p in "amb" for c, v in zip("xy", _in_units(p), strict=True)) + " FROM txy), "
+    "d AS (SELECT *, m_x - a_x AS dx1, m_y - a_y AS dy1, b_x - m_x AS dx2, b_y - m_y AS dy2 FROM u), "
+    f"t AS (SELECT *, {_clip('a_x', 'a_y', 'dx1', 'dy1')[0]} AS i1, {_clip('a_x', 'a_y', 'dx1', 'dy1')[1]} AS o1, {_clip('m_x', 'm_y', 'dx2', 'dy2')[0]} AS i2, {_clip('m_x', 'm_y', 'dx2', 'dy2')[1]} AS o2 FROM d), "
+    f"l AS (SELECT tx, ty, id, CASE WHEN i1 <= o1 AND i2 <= o2 AND o1 = 1 AND i2 = 0 THEN [[{_AT('a', 'i1', 1)}, {_ROUND('m_x', 'm_y')}, {_LEFT('b', 'm', 2)}]] "
+    f"ELSE list_concat(CASE WHEN i1 <= o1 THEN [[{_AT('a', 'i1', 1)}, {_LEFT('m', 'a', 1)}]] ELSE [] END, CASE WHEN i2 <= o2 THEN [[{_AT('m', 'i2', 2)}, {_LEFT('b', 'm', 2)}]] ELSE [] END) END AS parts FROM t), "
+    "k AS (SELECT tx, ty, id, list_filter(list_transform(parts, lambda q: list_filter(q, lambda x, i: i = 1 OR x <> q[i - 1])), lambda q: len(q) > 1) AS parts FROM l), "
+    "e AS (SELECT tx, ty, id, generate_subscripts(parts, 1) - 1 AS part, unnest(parts) AS line FROM k), v AS (SELECT tx, ty, id, part, generate_subscripts(line, 1) - 1 AS pos, unnest(line) AS p FROM e) "
+    f"SELECT {ZOOM} AS z, tx, ty, id, CAST(part AS INTEGER) AS part, CAST(pos AS INTEGER) AS pos, CAST(p[1] AS INTEGER) AS px, CAST(p[2] AS INTEGER) AS py FROM v"
+)
+
+
+@query(TILE_GEOM)
 def tile_geom(spark, sf_dir):
     return serving.tile_geometry(serving.detail_features(network.paths(spark, sf_dir), ZOOM))
 
