@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.SQL, "op3_minhash": minhash.SQL, "op4_substring": substring.SQL, "op5_mixing": mixing.SQL, "op7_chat": chat.SQL, "op8_warc": warc.SQL}
+    return {"op1_topk": topk.SQL, "op3_minhash": minhash.SQL, "op4_substring": substring.SQL, "op5_mixing": mixing.SQL, "op7_chat": chat.SQL, "op8_warc": warc.SQL, "op12_resample": resample.SQL}

@@ -104,3 +104,23 @@ def resample(docs: DataFrame, target: DataFrame, percent: float = PERCENT, order
     ranked = numbered(scored.where("eligible"), "rank", *order).withColumn("rank", F.when(F.col("rank") < drawn, F.col("rank") + 1))
     out = [F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank"]
     return ranked.select(*out).unionByName(scored.where("NOT eligible").withColumn("rank", F.lit(None).cast("long")).select(*out))
+
+
+#: The remainders of all bytes are made by the rule; every distinct feature is hashed once, byte by byte.
+SQL = r"""
+WITH RECURSIVE bits(n, k, c) AS (SELECT n, 0, n FROM range(256) t(n) UNION ALL SELECT n, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY n) AS tab FROM bits WHERE k = 8),
+txt AS (SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+w AS MATERIALIZED (SELECT side, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM txt),
+g AS MATERIALIZED (SELECT side, id, array_to_string(w[i : i + k - 1], ' ') AS f, count(*) AS n FROM (SELECT side, id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL),
+h AS MATERIALIZED (SELECT f, xor(4294967295, list_reduce(list_transform(range(0, octet_length(encode(f))), lambda i: (strpos('0123456789ABCDEF', hex(encode(f))[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', hex(encode(f))[2 * i + 2]) - 1),
+  lambda a, b: xor(a // 256, tab[xor(a, b) % 256 + 1]), 4294967295)) % 10000 AS b FROM (SELECT DISTINCT f FROM g), tab),
+c AS (SELECT b, sum(n) FILTER (side = 's') AS s, sum(n) FILTER (side = 't') AS t FROM g JOIN h USING (f) GROUP BY b),
+a AS (SELECT k AS b, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t, (SELECT coalesce(sum(s), 0) FROM c)::DOUBLE AS all_s, (SELECT coalesce(sum(t), 0) FROM c)::DOUBLE AS all_t FROM range(10000) r(k) LEFT JOIN c ON c.b = k),
+gain AS (SELECT b, CAST(floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000)))) AS BIGINT) AS gain FROM a),
+x AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM g JOIN h USING (f) JOIN gain USING (b) WHERE side = 's' GROUP BY id),
+y AS (SELECT w.id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || w.id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score, len(w) >= 20 AS able
+  FROM w LEFT JOIN x ON x.id = w.id WHERE side = 's'),
+z AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= floor(5 * n / 100) THEN place END AS rank FROM z
+"""
