@@ -483,12 +483,26 @@ def test_hot_keys_are_dealt(spark):
     assert sorted(map(str, some)) == sorted(map(str, rows.join(counted.where("k > 7"), "k").select("k", "v", "more").collect()))
 
 
-def test_components_of_a_hub_and_a_chain(spark):
+@pytest.mark.parametrize("near", [False, True])
+def test_components_of_a_hub_and_a_chain(spark, near):
     edges = [(1000 + i, 5) for i in range(500)] + [(i, i + 1) for i in range(2000, 2060)] + [(9, 9)]
-    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), near=near).collect()}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), near=near).count() == 0
     assert got == {5: 5, **{1000 + i: 5 for i in range(500)}, **{i: 2000 for i in range(2000, 2061)}}
 
 
+def test_forests_keep_components():
+    rng = np.random.default_rng(51)
+    for n, m in ((1, 0), (2, 1), (50, 30), (300, 250), (300, 900)):
+        u, v = rng.integers(0, n, (2, m)) * 7
+        label = {int(x): int(x) for x in np.concatenate([u, v])}
+        for _ in range(n):
+            for p, q in zip(u.tolist(), v.tolist(), strict=True):
+                label[p] = label[q] = min(label[p], label[q])
+        nodes, roots = components.forest(u, v)
+        assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == {k: c for k, c in label.items() if k != c}
+
+
 def test_shared_folder_must_be_named_on_a_cluster():
     session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
     assert runtime.shared_folder(session("local[4]", None)) == runtime.LOCAL_CHECKPOINTS

@@ -7,6 +7,8 @@ logarithm of the longest path.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,38 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out > 0 AND into > 0").isEmpty()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): each node that has an edge to another, with the smallest node of its component."""
-    e = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node linked with it) of all nodes of some edges but the least ones: hooks roots to smaller ones and halves paths."""
+    names, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(names))
+    while len(a):
+        p, q = root[a], root[b]
+        apart = p != q
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (further := root[root]).tobytes() != root.tobytes():
+            root = further
+    other = np.flatnonzero(root != np.arange(len(names)))
+    return names[other], names[root[other]]
+
+
+def _contracted(batches):
+    """A partition's edges as stars around the least node of each part that they make; at most as many as it has nodes."""
+    u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        u, v = forest(np.concatenate([u, batch.column("u").to_numpy()]), np.concatenate([v, batch.column("v").to_numpy()]))
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", near: bool = False) -> DataFrame:
+    """(node, component): each node that has an edge to another, with the smallest node of its component.
+
+    With ``near`` (long nodes whose numbers are close where they are linked) edges are first dealt by ranges of both ends and each
+    partition is contracted on its own, so the rounds start from few links between partitions.
+    """
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
+    e = materialise(pairs.repartitionByRange("u", "v").mapInArrow(_contracted, "u long, v long").distinct() if near else pairs.distinct())
     while not _settled(e):
         total = 2 * e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

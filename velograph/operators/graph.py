@@ -158,7 +158,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def label_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node_id, component): the component's smallest node."""
-    linked = connected_components(edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")))
+    linked = connected_components(edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")), near=True)
     return nodes.select("node_id").join(linked.withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
 
 
