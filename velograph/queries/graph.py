@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.exprs import half_up
-from ..operators import graph, polylines, snap
+from ..operators import cost, graph, polylines, snap
 from ..operators.components import connected_components
 from ..operators.ranking import numbered
 from ..sources import network
@@ -257,3 +259,23 @@ def snap_points(spark, sf_dir):
     edges = network.paths(spark, sf_dir).select(C("id").alias("edge_id"), "coordinates", F.element_at(geo.lengths(C("coordinates")), -1).alias("length_m"))
     s = snap.snap(p, edges, 100.0)
     return s.select("point_id", "edge_id", half_up(C("along_m"), 2).alias("along_m"), half_up(C("distance_m"), 2).alias("distance_m"))
+
+
+SURFACE_PIECES = PIECES.replace("SELECT a.id,", "SELECT a.id, net.surface_class,").replace("AND b.pos = a.pos + 1", "AND b.pos = a.pos + 1 JOIN net ON net.id = a.id")
+_AVOID = "CASE pid % 3 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['compacted', 'gravel', 'unpaved'] ELSE ['rough_paved', 'compacted', 'gravel', 'unpaved'] END"
+_AGAIN = re.sub(r"\b(px|pxy|gx|gxy|pair|tt|dd|best)\b", r"\g<1>2", nearest_sql("again", 100, f"NOT list_contains({_AVOID}, surface_class)")).replace("SELECT DISTINCT pid,", "SELECT DISTINCT pid, reach,")
+
+
+@query(
+    f"WITH {SEG}, {VERTICES}, {SURFACE_PIECES}, {POINTS}, {CLICKS}, {nearest_sql('clicks', 100)}, c AS (SELECT r.id AS rid, {D1} AS d1, {LENGTH} AS len, surface_class FROM net r), "
+    "w AS (SELECT pid, p_lng, p_lat, id, len, surface_class, least(len, CASE piece WHEN 0 THEN d1 * t ELSE d1 + (len - d1) * t END) AS al, d FROM best JOIN c ON rid = id), "
+    "v AS (SELECT *, CASE WHEN al < 0.5 OR len - al < 0.5 THEN 0 ELSE least(al, len - al) END AS exit_m FROM w), "
+    f"again AS (SELECT pid, p_lng, p_lat, least(100, d + greatest(75, exit_m)) AS reach FROM v WHERE list_contains({_AVOID}, surface_class)), {_AGAIN} "
+    f"SELECT v.pid AS point_id, coalesce(s.id, v.id) AS edge_id, {base.half_up('coalesce(s.d, v.d)', 2)} AS distance_m FROM v LEFT JOIN (SELECT pid, id, d FROM best2 WHERE d <= reach) s ON s.pid = v.pid"
+)
+def snap_avoiding(spark, sf_dir):
+    """Snaps of points that avoid no surface, loose ones, or all but smooth ones: to another segment, if one lies near enough."""
+    avoid = F.when(C("id") % 3 == 0, F.array().cast("array<string>")).when(C("id") % 3 == 1, F.array(*map(F.lit, cost.avoided("avoid_loose")))).otherwise(F.array(*map(F.lit, cost.avoided("smooth_only"))))
+    p = network.points(spark, sf_dir).select(C("id").alias("point_id"), "lng_e7", "lat_e7", avoid.alias("avoid"))
+    edges = _segments(spark, sf_dir).select(C("id").alias("edge_id"), "coordinates", "surface_class", F.element_at(geo.lengths(C("coordinates")), -1).alias("length_m"))
+    return snap.snap_preferring(p, edges, 100.0).select("point_id", "edge_id", half_up(C("distance_m"), 2).alias("distance_m"))
