@@ -3,7 +3,7 @@
 Writing: of pages with equal payloads of at least ``least`` bytes, the one with the smallest page_id becomes a response
 record and the others revisit records that refer to it; all smaller payloads are responses. Spark's text writer makes the
 files, with a record's closing CR LF CR LF as line separator, so its commit protocol covers lost executors. A task writes some
-``task_bytes`` and rolls its file every ``file_bytes`` (by the mean size of a record), before gzip.
+``task_bytes`` (less, where that makes fewer tasks than shuffle partitions) and rolls its file every ``file_bytes`` (by the mean size of a record), before gzip.
 
 Reading: a payload may hold anything, the record magic included. So a task lists every place in a file where a record could
 begin, with the offset at which its successor would begin by its own Content-Length; pointer jumping from the file's start
@@ -49,7 +49,7 @@ def records(pages: DataFrame, tasks: int, least: int = LEAST) -> DataFrame:
     first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("places")).where("places > 1")
     copies = salted_join(slim, first, ["digest"], ["place"], slim.count())
     revisits = copies.where(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).select("place", "digest", F.col("first").alias("refers")).distinct()
-    both = base.repartition(tasks, "place", "digest").join(revisits.repartition(tasks, "place", "digest"), ["place", "digest"], "left")
+    both = base.repartition(tasks, "place", "digest").join(revisits.repartition(tasks, "place", "digest").hint("shuffle_hash"), ["place", "digest"], "left")
 
     def uid(page_id) -> F.Column:
         h = F.md5(F.concat(F.lit("page "), F.coalesce(page_id.cast("string"), F.lit(""))))
@@ -81,7 +81,9 @@ def records(pages: DataFrame, tasks: int, least: int = LEAST) -> DataFrame:
 def write(pages: DataFrame, path: str, least: int = LEAST, file_bytes: int = FILE_BYTES, task_bytes: int = TASK_BYTES) -> None:
     total = pages.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + HEADER), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     mean = max(1, total["bytes"] // max(1, total["n"]))
-    out = records(pages, int(total["bytes"] // task_bytes) + 1, least).select(F.col("record").alias("value"))
+    # with fewer tasks than shuffle partitions Spark plans the join for these first, and shuffles the texts a second time
+    tasks = max(int(total["bytes"] // task_bytes) + 1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = records(pages, tasks, least).select(F.col("record").alias("value"))
     out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, file_bytes // mean)).text(path)
 
 
