@@ -131,16 +131,15 @@ def _near_pairs(within: float):
 
 
 def united(areas: DataFrame, metres: float) -> DataFrame:
-    """(area, part): areas (area, ring) whose buffers touch are one part of the union, named by its least area.
+    """(area, part): areas (area long, ring) whose buffers touch are one part of the union, named by its least area.
 
     Areas with a vertex in the same small cell are near each other without a test, so many areas in one place make a star, not
     pairs; rings are only compared between areas that such stars don't link already and whose boxes meet.
     """
-    kind = dict(areas.dtypes)["area"]
     small = int(2 * metres / math.sqrt(2) / UNIT_M)  # the cell's diagonal is at most both buffers wide
     vertex = areas.select("area", F.explode("ring").alias("v")).select("area", F.floor(C("v.lng_e7") / small).alias("cx"), F.floor(C("v.lat_e7") / small).alias("cy"))
     stars = vertex.join(vertex.groupBy("cx", "cy").agg(F.min("area").alias("b")), ["cx", "cy"]).where("area <> b").select(C("area").alias("a"), "b").distinct()
-    known = connected_components(stars)
+    known = connected_components(stars, near=True)
     named = areas.join(known.select(C("node").alias("area"), C("component").alias("star")), "area", "left").withColumn("star", F.coalesce("star", "area"))
     cells = polylines.gridded(_boxes(named, metres), CELL)
     box = ["area", "star", "cx", "cy", *(F.floor(C(f"{p}.{c}") / s).alias(f"{n}{p}") for p in "ab" for c, n, s in (("lng_e7", "x", CELL), ("lat_e7", "y", CELL)))]
@@ -150,8 +149,8 @@ def united(areas: DataFrame, metres: float) -> DataFrame:
     pairs = one.join(two, ["cx", "cy"]).where((C("area") < C("other")) & (C("star") != C("other_star")) & corner).select("area", "other")
     rings_of = lambda name, ring: areas.select(C("area").alias(name), C("ring").alias(ring))
     both = pairs.join(rings_of("area", "ring"), "area").join(rings_of("other", "other_ring"), "other").select("area", "other", "ring", "other_ring")
-    links = stars.unionByName(both.mapInArrow(_near_pairs(2 * metres), f"a {kind}, b {kind}"))
-    parts = connected_components(links)
+    links = stars.unionByName(both.mapInArrow(_near_pairs(2 * metres), "a long, b long"))
+    parts = connected_components(links, near=True)
     return areas.select("area").join(parts.select(C("node").alias("area"), C("component").alias("part")), "area", "left").select("area", F.coalesce("part", "area").alias("part"))
 
 

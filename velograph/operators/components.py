@@ -46,14 +46,24 @@ def _contracted(batches):
     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
+#: Edges that one task contracts altogether: two longs each, so some megabytes.
+SMALL = 500_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", near: bool = False) -> DataFrame:
     """(node, component): each node that has an edge to another, with the smallest node of its component.
 
-    With ``near`` (long nodes whose numbers are close where they are linked) edges are first dealt by ranges of both ends and each
-    partition is contracted on its own, so the rounds start from few links between partitions.
+    With ``near`` (long nodes, best numbered so that those linked are close) edges are first dealt by ranges of both ends and each
+    partition is contracted on its own, so the rounds start from few links between partitions; up to SMALL edges are one partition.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
-    e = materialise(pairs.repartitionByRange("u", "v").mapInArrow(_contracted, "u long, v long").distinct() if near else pairs.distinct())
+    if near:
+        held = materialise(pairs)
+        dealt = held.repartition(1) if held.count() <= SMALL else held.repartitionByRange("u", "v")
+        e = materialise(dealt.mapInArrow(_contracted, "u long, v long").distinct())
+        release(held)
+    else:
+        e = materialise(pairs.distinct())
     while not _settled(e):
         total = 2 * e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -159,14 +159,14 @@ def clusters(points: DataFrame, within_m: float = CLUSTER_M, mercator: bool = Fa
     # points of adjoining cells are at most 0.95 of the distance apart, so these cells are linked unseen
     close = (F.abs(C("nx") - C("cx")) <= 1) & (F.abs(C("ny") - C("cy")) <= 1)
     sure, open_cells = near_cells.where(close), near_cells.where(~close)
-    near_labels = materialise(connected_components(sure.select(C("head").alias("a"), C("other").alias("b"))))
+    near_labels = materialise(connected_components(sure.select(C("head").alias("a"), C("other").alias("b")), near=True))
     for end in ("head", "other"):
         open_cells = open_cells.join(near_labels.select(C("node").alias(end), C("component").alias(f"{end}_part")), end, "left")
     open_cells = materialise(open_cells.where(F.coalesce("head_part", "head") != F.coalesce("other_part", "other")).drop("head_part", "other_part"))
     links = _near(open_cells, p, size, within, distance).select(C("head").alias("a"), C("other").alias("b"))
     # cells that adjoin are known by their parts already
     links = links.unionByName(near_labels.select(C("node").alias("a"), C("component").alias("b")))
-    labels = connected_components(links)
+    labels = connected_components(links, near=True)
     heads = cell.join(labels.withColumnRenamed("node", "head"), "head", "left").select("cx", "cy", F.coalesce("component", "head").alias("c"))
     named = p.join(heads, ["cx", "cy"])
     least = named.groupBy("c").agg(F.min("id").alias("cluster"))
