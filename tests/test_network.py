@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import random
 from types import SimpleNamespace
 
 import numpy as np
@@ -557,3 +558,30 @@ def test_bridges_that_touch_hold_in_order(spark, kind, monkeypatch):
     got = sorted((r["id"], r["at_end"]) for r in graph.accept_bridges(d).collect())
     assert got == greedy([(i, a, (p, -p), (q, -q)) for i, a, p, q in rows])
     assert len(rounds) <= 15
+
+
+def test_components_step_over_links_between_ranges_only(spark, monkeypatch):
+    """A long chain in several ranges is contracted within them; what is left fits one task, so no step over all links is taken."""
+    monkeypatch.setattr(components, "SMALL", 200)
+    chain = spark.range(3000).selectExpr("id AS a", "id + IF(id % 1000 = 999, 0, 1) AS b")
+    hub = spark.range(1000).selectExpr("7000L AS a", "5000 + id AS b")
+    settled = components._settled
+    monkeypatch.setattr(components, "_settled", lambda e: pytest.fail("a step over all links"))
+    got = {r["node"]: r["component"] for r in components.connected_components(chain.unionByName(hub), near=True).collect()}
+    assert got == {i: i // 1000 * 1000 for i in range(3000)} | {5000 + i: 5000 for i in range(1000)} | {7000: 5000}
+    # links of no order: steps over all of them, and the same components
+    monkeypatch.setattr(components, "_settled", settled)
+    r = random.Random(5)
+    pairs = [(r.randrange(2000), r.randrange(2000)) for _ in range(1200)]
+    parent = list(range(2000))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = [tuple(x) for x in components.connected_components(spark.createDataFrame(pairs, "a long, b long"), near=True).collect()]
+    assert sorted(got) == sorted({(x, find(x)) for a, b in pairs for x in (a, b) if a != b})
