@@ -585,3 +585,15 @@ def test_components_step_over_links_between_ranges_only(spark, monkeypatch):
         parent[b] = a
     got = [tuple(x) for x in components.connected_components(spark.createDataFrame(pairs, "a long, b long"), near=True).collect()]
     assert sorted(got) == sorted({(x, find(x)) for a, b in pairs for x in (a, b) if a != b})
+
+
+def test_statuses_are_those_of_plans_without_a_search(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    g = graph.build(routes._blocks(spark, folder), tolerance_m=0)
+    asks = routes._ends(spark, folder).where("request_id % 4 = 0")
+    far = asks.limit(3).withColumns({"request_id": F.col("request_id") + 1_000_000, "s_lng": F.col("s_lng") - 300_000_000})
+    asks = asks.unionByName(far)
+    want = sorted(map(repr, planning.plan(g, asks).select("request_id", "status", "start", "end").collect()))
+    monkeypatch.setattr(search, "cheapest", lambda *a, **k: pytest.fail("a search"))
+    assert sorted(map(repr, planning.statuses(g, asks).collect())) == want
+    assert {r["status"] for r in routes.connected_snap(spark, folder).collect()} <= {"OK", "NO_ROUTE", "START_NOT_NEAR_NETWORK"}
