@@ -597,3 +597,17 @@ def test_statuses_are_those_of_plans_without_a_search(spark, monkeypatch):
     monkeypatch.setattr(search, "cheapest", lambda *a, **k: pytest.fail("a search"))
     assert sorted(map(repr, planning.statuses(g, asks).collect())) == want
     assert {r["status"] for r in routes.connected_snap(spark, folder).collect()} <= {"OK", "NO_ROUTE", "START_NOT_NEAR_NETWORK"}
+
+
+def test_nearest_reaches_to_the_radius_in_every_direction(spark):
+    """99.95 m on the sphere from the only piece, north, south, east and west of it, and 100.05 m."""
+    from velograph.operators import snap
+
+    lat = math.radians(-38.0)
+    pieces = spark.createDataFrame([Row(id=1, piece=0, a=Row(lng_e7=1450000000, lat_e7=-380000000), b=Row(lng_e7=1450000000, lat_e7=-380000000))])
+    rows = []
+    for m in (99.95, 100.05):
+        d = m / geo.SPHERE_DEGREE_M * geo.FIXED
+        rows += [(f"{m} {x} {y}", round(1450000000 + x * d / math.cos(lat)), round(-380000000 + y * d)) for x, y in ((0, 1), (0, -1), (1, 0), (-1, 0))]
+    got = {r["point_id"] for r in snap.nearest(spark.createDataFrame(rows, "point_id string, lng_e7 long, lat_e7 long"), pieces, 100.0).collect()}
+    assert got == {p for p, *_ in rows if p.startswith("99.95")}
