@@ -611,3 +611,12 @@ def test_nearest_reaches_to_the_radius_in_every_direction(spark):
         rows += [(f"{m} {x} {y}", round(1450000000 + x * d / math.cos(lat)), round(-380000000 + y * d)) for x, y in ((0, 1), (0, -1), (1, 0), (-1, 0))]
     got = {r["point_id"] for r in snap.nearest(spark.createDataFrame(rows, "point_id string, lng_e7 long, lat_e7 long"), pieces, 100.0).collect()}
     assert got == {p for p, *_ in rows if p.startswith("99.95")}
+
+
+def test_sums_in_travel_order(spark):
+    """A total at a limit is the same however its rows are dealt."""
+    steps = [(0, 1e16, False, "paved"), (1, 1.0, False, "paved"), (2, -1e16, False, "paved"), (3, 4.0, False, "paved")]
+    for order in ([0, 1, 2, 3], [2, 0, 3, 1], [3, 1, 0, 2]):
+        s = spark.createDataFrame([(1, i, m, x, c) for i, m, x, c in (steps[j] for j in order)], "request_id long, seq int, length_m double, surface_inferred boolean, surface_class string")
+        s = s.withColumns({"kind": F.lit("road"), "smoothness": F.lit(None).cast("string"), "hazards": F.array().cast("array<string>")}).repartition(3, "seq")
+        assert planning.stretches(s).first()["length_m"] == 4.0
