@@ -620,3 +620,13 @@ def test_sums_in_travel_order(spark):
         s = spark.createDataFrame([(1, i, m, x, c) for i, m, x, c in (steps[j] for j in order)], "request_id long, seq int, length_m double, surface_inferred boolean, surface_class string")
         s = s.withColumns({"kind": F.lit("road"), "smoothness": F.lit(None).cast("string"), "hazards": F.array().cast("array<string>")}).repartition(3, "seq")
         assert planning.stretches(s).first()["length_m"] == 4.0
+
+
+def test_bare_graph_is_the_graph_without_lines(spark):
+    segments = sources.segments(sources.paths(spark, "/root/testdata/sf0.001"))
+    full, bare = graph.build(segments, keep=("category",)), graph.build(segments, keep=("category",), bare=True)
+    assert "coordinates" not in bare.edges.columns
+    columns = ["edge_id", "path_id", "run", "from_node", "to_node", "length_m", "kind"]
+    want = full.edges.select(*columns, F.size("coordinates").alias("points"))
+    assert sorted(map(repr, bare.edges.select(*columns, "points").collect())) == sorted(map(repr, want.collect()))
+    assert sorted(map(repr, bare.nodes.collect())) == sorted(map(repr, full.nodes.collect()))
