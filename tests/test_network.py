@@ -630,3 +630,15 @@ def test_bare_graph_is_the_graph_without_lines(spark):
     want = full.edges.select(*columns, F.size("coordinates").alias("points"))
     assert sorted(map(repr, bare.edges.select(*columns, "points").collect())) == sorted(map(repr, want.collect()))
     assert sorted(map(repr, bare.nodes.collect())) == sorted(map(repr, full.nodes.collect()))
+
+
+def test_contested_gaps_equal_their_sql_where_meridians_draw_together(spark, tmp_path):
+    """At 50 degrees north lines of two crossings end within reach of each other."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, k % 1000) for k in (*range(5, 25), *range(8_850_000, 8_850_040))]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()["bridge_contested"]).fetchall())
+    got = sorted(map(tuple, QUERIES["bridge_contested"](spark, str(tmp_path)).collect()))
+    assert got == want and any(i > 35_400_000 for i, *_ in want)
