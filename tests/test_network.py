@@ -642,3 +642,13 @@ def test_contested_gaps_equal_their_sql_where_meridians_draw_together(spark, tmp
     want = sorted(con.execute(catalog.oracle_sql()["bridge_contested"]).fetchall())
     got = sorted(map(tuple, QUERIES["bridge_contested"](spark, str(tmp_path)).collect()))
     assert got == want and any(i > 35_400_000 for i, *_ in want)
+
+
+def test_losses_in_travel_order(spark):
+    """Metres and points of a cause at a limit are the same however its stretches are dealt."""
+    steps = [(1, 1.0), (2, 1.0), (3, 1.0), (4, 1e16)]
+    for order in ([0, 1, 2, 3], [2, 0, 3, 1], [3, 1, 0, 2]):
+        s = spark.createDataFrame([(1, *steps[j], False, "gravel", "road") for j in order], "request_id long, island long, length_m double, surface_inferred boolean, surface_class string, kind string")
+        s = s.withColumns({"smoothness": F.lit(None).cast("string"), "hazards": F.array().cast("array<string>")}).repartition(3, "island")
+        got = {r["cause"]: r["metres"] for r in scoring.losses(s, "run").collect()}
+        assert set(got.values()) == {1e16 + 4}

@@ -83,11 +83,11 @@ def losses(stretches: DataFrame, activity: str) -> DataFrame:
     low = F.filter(F.concat(F.array(surface, kind), risks), lambda f: f["value"] < 1)
     d = stretches.withColumn("shortfall", (1 - suitability(activity)) * C("length_m")).withColumn("low", low).where("shortfall > 0 AND size(low) > 0")
     d = d.withColumn("zero", F.exists("low", lambda f: f["value"] <= 0))
-    each = d.select("request_id", "length_m", "shortfall", "zero", "low", F.explode("low").alias("f"))
+    each = d.select("request_id", "island", "length_m", "shortfall", "zero", "low", F.explode("low").alias("f"))
     weight = lambda v: F.when(C("zero"), F.when(v <= 0, 1.0).otherwise(0.0)).otherwise(-F.ln(F.when(v > 0, v).otherwise(1.0)))
     total = F.aggregate("low", F.lit(0.0), lambda a, f: a + weight(f["value"]))
     shared = each.withColumns({"w": weight(C("f.value")), "total": total}).where("w > 0 OR (NOT zero)")
-    return shared.groupBy("request_id", C("f.cause").alias("cause"), C("f.phrase").alias("phrase")).agg(F.sum("length_m").alias("metres"), F.sum(C("shortfall") * C("w") / C("total")).alias("loss"))
+    return shared.groupBy("request_id", C("f.cause").alias("cause"), C("f.phrase").alias("phrase")).agg(sum_in_order("island", C("length_m")).alias("metres"), sum_in_order("island", C("shortfall") * C("w") / C("total")).alias("loss"))
 
 
 def scores(stretches: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.exprs import half_up
 from ..operators import planning, scoring
+from ..runtime import materialise
 from . import base
 from .base import case, query, strings
 from .routes import STRETCHES, travelled
@@ -135,7 +136,7 @@ def _loss_sql(a: str) -> str:
 
 @query(" UNION ALL ".join(f"(WITH {STRETCHES}, {_loss_sql(a)} SELECT request_id, '{a}' AS activity, cause, phrase, {base.half_up('metres', 3)} AS metres, {base.half_up('loss', 4)} AS loss FROM lost)" for a in scoring.ACTIVITIES))
 def attribute_loss(spark, sf_dir):
-    s = _stretches(spark, sf_dir)
+    s = materialise(_stretches(spark, sf_dir))
     out = [scoring.losses(s, a).select("request_id", F.lit(a).alias("activity"), "cause", "phrase", half_up(C("metres"), 3).alias("metres"), half_up(C("loss"), 4).alias("loss")) for a in scoring.ACTIVITIES]
     return out[0].unionByName(out[1])
 
@@ -171,6 +172,6 @@ def _notes_sql(a: str) -> str:
 
 @query(" UNION ALL ".join(map(_notes_sql, scoring.ACTIVITIES)))
 def score_notes(spark, sf_dir):
-    s = _stretches(spark, sf_dir)
+    s = materialise(_stretches(spark, sf_dir))
     out = [scoring.notes(s, a).select("request_id", F.lit(a).alias("activity"), "tone", "text", half_up(C("metres"), 3).alias("metres"), "points") for a in scoring.ACTIVITIES]
     return out[0].unionByName(out[1])
