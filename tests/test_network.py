@@ -652,3 +652,24 @@ def test_losses_in_travel_order(spark):
         s = s.withColumns({"smoothness": F.lit(None).cast("string"), "hazards": F.array().cast("array<string>")}).repartition(3, "island")
         got = {r["cause"]: r["metres"] for r in scoring.losses(s, "run").collect()}
         assert set(got.values()) == {1e16 + 4}
+
+
+def test_nearest_places_over_cells_of_growing_width(spark):
+    """Dense and sparse places, ties, and searches inside, beside and far from the region, against all distances."""
+    rnd = random.Random(4)
+    spots = [(1450000000 + rnd.randrange(40_000), -380000000 + rnd.randrange(40_000)) for _ in range(200)] + [(1410000000 + rnd.randrange(90_000_000), -392000000 + rnd.randrange(50_000_000)) for _ in range(60)]
+    spots += spots[:30]  # equal places: the smaller id
+    hits = [(t, i, *p) for t in (1, 2) for i, p in enumerate(spots) if t == 1 or i < 5]
+    asks = [(1450000000 + rnd.randrange(-9, 50) * 1000, -380000000 + rnd.randrange(-9, 50) * 1000) for _ in range(40)] + [(1410000000 + rnd.randrange(90_000) * 1000, -392000000 + rnd.randrange(50_000) * 1000) for _ in range(40)]
+    asks += [(20000000, 510000000), (-1790000000, -380000000), (1455000000, 890000000)]
+    asked = [(q, q % 2 + 1, *a) for q, a in enumerate(asks * 2)]
+    at = lambda c: [x / 1e7 for x in c]
+
+    def metres(p, q):
+        (x, y), (u, v) = at(p), at(q)
+        h = math.sin(math.radians(v - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(v)) * math.sin(math.radians(u - x) / 2) ** 2
+        return round(2 * geo.RADIUS_M * math.asin(min(1, math.sqrt(h))), 3)
+
+    want = {(q, i, n) for q, t, *a in asked for n, (_, i) in enumerate(sorted((metres(a, p), i) for x, i, *p in hits if x == t)[:12], 1)}
+    got = serving._nearest_places(spark.createDataFrame(asked, "query_id long, text_id long, lng long, lat long"), spark.createDataFrame(hits, "text_id long, place_id long, lng_e7 long, lat_e7 long"), 12)
+    assert {tuple(r) for r in got.collect()} == want

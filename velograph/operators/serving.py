@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, tags
 from ..functions import vocab as V
 from ..functions.exprs import lookup
-from ..runtime import materialise
+from ..runtime import materialise, release
 from . import areas, hulls, tiles
 from .components import connected_components
 
@@ -213,24 +213,67 @@ def search_places(features: DataFrame, searches: DataFrame, limit: int = LIMIT)
     nearest to the search's own place (to four digits of a degree; without one, those of the smallest id) are fetched, twice as many as asked for;
     of these the ones in the state are kept, once each by name and detail.
 
-    Places are posted under the beginnings of their words. A search meets the postings of one word only, the one with the
-    fewest, by an equi-join; its other words are looked for in the places found.
+    Places are posted under the beginnings of their words. A text, however often it is asked for, meets the postings of one
+    word only, the one with the fewest, by an equi-join; its other words are looked for in the places found. Searches then
+    take the nearest of their text's places (``_nearest_places``).
     """
     shown = features.where(tags.in_region(geo.degrees(C("lng_e7")), geo.degrees(C("lat_e7"))) & ~excluded_place(C("osm_key"), C("osm_value")))
     label = F.concat_ws(" ", F.when(C("named"), C("name")), "housenumber", "street", "locality", "district", "city", "postcode")
     shown = materialise(shown.withColumn("words", F.array_distinct(words(label))))
     beginnings = lambda w: F.array(*(F.substring(w, 1, i) for i in range(1, PREFIX + 1)))
     posted = shown.select("place_id", F.explode(F.array_distinct(F.flatten(F.transform("words", beginnings)))).alias("key"))
-    asked = searches.select("query_id", "near_lng_e7", "near_lat_e7", F.array_distinct(words(C("text"))).alias("terms")).where(F.size("terms") > 0)
-    keys = asked.select("query_id", F.explode("terms").alias("term")).withColumn("key", F.substring("term", 1, PREFIX))
-    # a word that no place has leaves its search without any
-    rarest = keys.join(posted.groupBy("key").agg(F.count("*").alias("n")), "key", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "key")).alias("k")).select("query_id", "k.key")
-    met = rarest.join(posted, "key").select("query_id", "place_id").join(asked, "query_id").join(shown, "place_id")
-    hits = met.where(F.forall("terms", lambda t: F.exists("words", lambda w: F.startswith(w, t))))
-    near = [geo.degrees(F.floor((C(f"near_{c}_e7") + 500) / 1000) * 1000) for c in ("lng", "lat")]
-    apart = F.round(geo.haversine(*near, geo.degrees(C("lng_e7")), geo.degrees(C("lat_e7"))), 3)
-    first = hits.withColumn("apart", apart).withColumn("fetched", F.row_number().over(W.partitionBy("query_id").orderBy(C("apart").asc_nulls_last(), "place_id"))).where(C("fetched") <= 2 * limit)
-    return first_by_label(place_of(first, "query_id", "fetched"), "query_id", [C("fetched")], limit).select("query_id", "rank", "place_id", "name", "detail")
+    near = [F.floor((C(f"near_{c}_e7") + 500) / 1000) * 1000 for c in ("lng", "lat")]
+    asked = searches.select("query_id", near[0].alias("lng"), near[1].alias("lat"), F.array_sort(F.array_distinct(words(C("text")))).alias("terms")).where(F.size("terms") > 0)
+    texts = materialise(asked.select("terms").distinct().withColumn("text_id", F.monotonically_increasing_id()))
+    asked = materialise(asked.join(texts, "terms").drop("terms"))
+    keys = texts.select("text_id", F.explode("terms").alias("term")).withColumn("key", F.substring("term", 1, PREFIX))
+    # a word that no place has leaves its text without any
+    rarest = keys.join(posted.groupBy("key").agg(F.count("*").alias("n")), "key", "left").groupBy("text_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "key")).alias("k")).select("text_id", "k.key")
+    met = rarest.join(posted, "key").select("text_id", "place_id").join(texts, "text_id").join(shown.select("place_id", "words", "lng_e7", "lat_e7"), "place_id")
+    hits = materialise(met.where(F.forall("terms", lambda t: F.exists("words", lambda w: F.startswith(w, t)))).select("text_id", "place_id", "lng_e7", "lat_e7"))
+    somewhere = C("lng").isNotNull() & C("lat").isNotNull()
+    least = hits.withColumn("fetched", F.row_number().over(W.partitionBy("text_id").orderBy("place_id"))).where(C("fetched") <= 2 * limit)
+    first = asked.where(~somewhere).join(least, "text_id").select("query_id", "place_id", "fetched")
+    first = first.unionByName(_nearest_places(asked.where(somewhere), hits, 2 * limit))
+    return first_by_label(place_of(first.join(shown, "place_id"), "query_id", "fetched"), "query_id", [C("fetched")], limit).select("query_id", "rank", "place_id", "name", "detail")
+
+
+#: Places of a text that a cell holds to begin with, if they lie evenly; cells' least and most width.
+HELD, LEAST_E7, MOST_E7 = 6, 1_000, 100_000_000
+
+
+def _nearest_places(asked: DataFrame, hits: DataFrame, keep: int) -> DataFrame:
+    """(query_id, place_id, fetched): of the places (text_id, place_id, lng_e7, lat_e7) of each search's text, the nearest few to
+    its own place (query_id, text_id, lng, lat), to the millimetre, ties to the smaller id.
+
+    Places lie in cells, as wide as the text's places are sparse, and a search meets those of nine cells. Nothing outside them
+    is nearer than a cell's width; a search that finds enough within it is done, any other goes on with cells twice as
+    wide. Texts of few places, and searches far from the region, meet all their places.
+    """
+    size = [F.max(c) - F.min(c) + 1 for c in ("lng_e7", "lat_e7")]
+    per = hits.groupBy("text_id").agg(F.count("*").alias("n"), F.sqrt(size[0].cast("double") * size[1] * HELD / F.count("*")).alias("side"))
+    per = per.select("text_id", (C("n") <= 9 * HELD).alias("few"), F.greatest(F.lit(LEAST_E7), F.ceil("side")).cast("long").alias("side"))
+    whole = C("few") | (C("side") >= MOST_E7)
+    cell = lambda v: F.when(whole, 0).otherwise(F.floor(C(v) / C("side"))).cast("long")
+    around = lambda v: F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(cell(v) - 1, cell(v) + 1))
+    apart = F.round(geo.haversine(*(geo.degrees(C(c)) for c in ("lng", "lat", "lng_e7", "lat_e7"))), 3)
+    # to the parallel, and to the meridian, a cell's width away
+    width = geo.degrees(C("side"))
+    out_m = F.least(width * geo.SPHERE_DEGREE_M, F.asin(F.cos(F.radians(geo.degrees(C("lat")))) * F.sin(F.radians(width))) * geo.RADIUS_M) * (1 - 1e-6) - 0.001
+    pending, done = materialise(asked.join(per, "text_id")), None
+    while not pending.isEmpty():
+        sides = pending.select("text_id", "few", "side").distinct()
+        grid = hits.join(sides, "text_id").select("text_id", "place_id", "lng_e7", "lat_e7", cell("lng_e7").alias("cx"), cell("lat_e7").alias("cy"))
+        spread = pending.withColumn("cx", F.explode(around("lng"))).withColumn("cy", F.explode(around("lat"))).withColumn("out_m", out_m)
+        near = spread.join(grid, ["text_id", "cx", "cy"]).select("query_id", "place_id", whole.alias("whole"), apart.alias("apart"), "out_m").where(C("whole") | (C("apart") < C("out_m")))
+        ranked = near.withColumn("fetched", F.row_number().over(W.partitionBy("query_id").orderBy("apart", "place_id"))).where(C("fetched") <= keep)
+        ranked = materialise(ranked.select("query_id", "place_id", "fetched", "whole"))
+        full = ranked.where(C("whole") | (C("fetched") == keep)).select("query_id").distinct()
+        some = ranked.join(full, "query_id", "left_semi").select("query_id", "place_id", "fetched")
+        done = some if done is None else done.unionByName(some)
+        old, pending = pending, materialise(pending.where(~whole).join(full, "query_id", "left_anti").withColumn("side", C("side") * 2))
+        release(old)
+    return done if done is not None else hits.select(F.lit(None).cast("long").alias("query_id"), "place_id", F.lit(0).alias("fetched")).limit(0)
 
 
 def excluded_place(key: Column, value: Column) -> Column:
