@@ -673,3 +673,12 @@ def test_nearest_places_over_cells_of_growing_width(spark):
     want = {(q, i, n) for q, t, *a in asked for n, (_, i) in enumerate(sorted((metres(a, p), i) for x, i, *p in hits if x == t)[:12], 1)}
     got = serving._nearest_places(spark.createDataFrame(asked, "query_id long, text_id long, lng long, lat long"), spark.createDataFrame(hits, "text_id long, place_id long, lng_e7 long, lat_e7 long"), 12)
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_narrow_searches_do_not_multiply_pieces(spark, monkeypatch):
+    """Gaps of 15 m are looked for among pieces of 100 m: each goes into the shuffle at most four times."""
+    met, gridded = [], polylines.gridded
+    monkeypatch.setattr(polylines, "gridded", lambda p, size: met.append((p.count(), gridded(p, size).count())) or gridded(p, size))
+    lines = [[(i * 70, 0), (i * 70 + 70, 70)] for i in range(20)] + [[(300, 310), (307, 305)]]
+    assert graph.bridge_candidates(network(spark, *lines)).count() == 0
+    assert all(n <= 4 * pieces for pieces, n in met) and met
