@@ -109,3 +109,12 @@ def test_lines_equal_brute_force(spark, shapes, size, monkeypatch):
     assert sorted(got) == sorted(want) and {400, 401, 402} <= want and len(want) < 250
     assert {r["id"] for r in areas.lines_within(made, frame(spark, shapes), 1000.0).collect()} == want
     assert areas.lines_within(made, frame(spark, {}), 1000.0).count() == 0
+
+
+def test_a_cell_within_areas_stands_once(spark):
+    """However many areas hold a cell, its lines meet one row; cells at the border keep every area's edges."""
+    x, y = 1_450_000_000, -380_000_000
+    shapes = {i: [(x, y), (x + 900_000, y), (x + 900_000, y + 900_000), (x, y + 900_000)] for i in range(30)}
+    cells = areas._once(areas.prepared(frame(spark, shapes), 1000.0, 100_000)).groupBy("cx", "cy").count().collect()
+    per = {(r["cx"], r["cy"]): r["count"] for r in cells}
+    assert per[14504, -3796] == 1 and set(per.values()) == {1, 30}

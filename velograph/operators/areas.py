@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..runtime import materialise
 from . import polylines
 from .components import connected_components
 
-#: Metres of a unit of fixed-point latitude; cells in such units; combinations that a kernel holds at once.
+#: Metres of a unit of fixed-point latitude; cells in such units; how many times as narrow are those that areas are tested in;
+#: combinations that a kernel holds at once.
 UNIT_M = geo.METRES_PER_DEGREE / geo.FIXED
-CELL, HELD = 200_000, 1 << 20
+CELL, FINER, HELD = 200_000, 16, 1 << 20
 C = F.col
 
 
@@ -218,15 +220,28 @@ def _meeting(metres: float, size: int):
     return run
 
 
+def _once(cells: DataFrame) -> DataFrame:
+    """(cx, cy, solid, edges) of prepared cells: one that lies wholly in an area stands once, for all areas that reach it."""
+    cells = materialise(cells.select("cx", "cy", "solid", "edges"))
+    full = cells.where(C("solid") & (F.size("edges") == 0)).select("cx", "cy").distinct()
+    none = F.array().cast(cells.schema["edges"].dataType)
+    return cells.join(full, ["cx", "cy"], "left_anti").unionByName(full.select("cx", "cy", F.lit(True).alias("solid"), none.alias("edges")))
+
+
 def meeting(pieces: DataFrame, areas: DataFrame, metres: float, size: int = CELL) -> DataFrame:
     """(id): once each, the ids of pieces (id, a, b) that come within the distance of an area (area, ring).
 
     The join's key is a cell; adaptive execution splits a cell that holds very many pieces, and each match is tested where it is made.
+    Areas far from all pieces go first, by cells of ``size``. The join's own cells are FINER times as narrow, so that many lie
+    wholly in an area: what has a part in such a cell is within, and no other area is looked at there.
     """
-    kind = dict(pieces.dtypes)["id"]
-    flat = polylines.gridded(pieces, size).select("id", "cx", "cy", *(C(f"{p}.{c}").alias(f"{p}{c[:3]}") for p in "ab" for c in ("lng_e7", "lat_e7")))
-    met = flat.join(prepared(areas, metres, size).select("cx", "cy", "solid", "edges"), ["cx", "cy"])
-    return met.select("id", "alng", "alat", "blng", "blat", "cx", "cy", "solid", "edges").mapInArrow(_meeting(metres, size), f"id {kind}").distinct()
+    kind, fine = dict(pieces.dtypes)["id"], max(1, size // FINER)
+    used = polylines.gridded(pieces, size).select("cx", "cy").distinct()
+    near = polylines.gridded(_boxes(areas.where(F.size("ring") > 0), metres), size).join(used, ["cx", "cy"], "left_semi").select("area").distinct()
+    cells = _once(prepared(areas.join(near, "area", "left_semi"), metres, fine))
+    flat = polylines.gridded(pieces, fine).select("id", "cx", "cy", *(C(f"{p}.{c}").alias(f"{p}{c[:3]}") for p in "ab" for c in ("lng_e7", "lat_e7")))
+    met = flat.join(cells, ["cx", "cy"])
+    return met.select("id", "alng", "alat", "blng", "blat", "cx", "cy", "solid", "edges").mapInArrow(_meeting(metres, fine), f"id {kind}").distinct()
 
 
 def lines_within(lines: DataFrame, areas: DataFrame, metres: float) -> DataFrame:
