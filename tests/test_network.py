@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from velograph import catalog, runtime
 from velograph.functions import geo
-from velograph.operators import components, cost, frontier, graph, hulls, planning, polylines, scoring, search, serving, skew, tiles
+from velograph.operators import components, cost, frontier, graph, hulls, planning, polylines, scoring, search, serving, skew, snap, tiles
 from velograph.queries import ingest as imports
 from velograph.queries import routes
 from velograph.sources import ingest
@@ -773,3 +773,16 @@ def test_tiles_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(served.named, "write_tiles", lambda d, path: (written.append(steps(d)), write(d, path)))
     served.tile_files(spark, "/root/testdata/sf0.001")
     assert len(written) == 1 and "FlatMapGroupsInPandas" not in written[0]
+
+
+def test_searches_beyond_a_pole_reach_no_farther_than_on_this_side(spark):
+    """Large networks run on past latitude 90, where the cosine is negative."""
+    rows = [Row(lat_e7=lat) for lat in (185_000_000, 1_615_000_000, 2_650_000_000, 3_785_000_000)]
+    side, far, _, _ = (r["x"] for r in spark.createDataFrame(rows).select(snap.lng_reach(1000.0, F.col("lat_e7")).alias("x")).collect())
+    assert far == pytest.approx(side) and far < 1060
+    lines = [(i, [Row(lng_e7=1_449_000_000 + i * 2_000, lat_e7=1_615_000_000), Row(lng_e7=1_449_000_000 + i * 2_000, lat_e7=1_615_010_000)]) for i in range(9)]
+    pieces = polylines.pieces(spark.createDataFrame(lines, "id long, coordinates array<struct<lng_e7:long,lat_e7:long>>"))
+    points = spark.createDataFrame([(f"{i}", 1_449_000_000 + i * 2_000 + 700, 1_615_005_000) for i in range(9)], "point_id string, lng_e7 long, lat_e7 long")
+    got = {r["point_id"]: (r["id"], r["distance_m"]) for r in snap.nearest(points, pieces, 15.0).collect()}
+    assert {p: i for p, (i, _) in got.items()} == {f"{i}": i for i in range(9)}
+    assert all(d == pytest.approx(700 / 1e7 * PER_DEGREE * math.cos(math.radians(18.5)), rel=1e-3) for _, d in got.values())
