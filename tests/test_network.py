@@ -786,3 +786,47 @@ def test_searches_beyond_a_pole_reach_no_farther_than_on_this_side(spark):
     got = {r["point_id"]: (r["id"], r["distance_m"]) for r in snap.nearest(points, pieces, 15.0).collect()}
     assert {p: i for p, (i, _) in got.items()} == {f"{i}": i for i in range(9)}
     assert all(d == pytest.approx(700 / 1e7 * PER_DEGREE * math.cos(math.radians(18.5)), rel=1e-3) for _, d in got.values())
+
+
+def test_snaps_join_pieces_of_their_component_only(spark, monkeypatch):
+    """A point that wants a component doesn't meet the pieces of others; what it finds is the same."""
+    met, both = [], snap._met
+    monkeypatch.setattr(snap, "_met", lambda *a: met.append(both(*a)) or met[-1])
+    lines = network(spark, *([(0, y), (100, y)] for y in range(0, 300, 10))).withColumns({"edge_id": F.col("id"), "component": F.col("id") % 3, "length_m": geo.length(F.col("coordinates"))})
+    at = e7(50, 145)
+    p = spark.createDataFrame([(f"{c}", at.lng_e7, at.lat_e7, c) for c in range(3)], "point_id string, lng_e7 long, lat_e7 long, component long")
+    joined = {r["point_id"]: r["edge_id"] for r in snap.snap(p, lines, 80.0, on=("component",)).collect()}
+    pairs = met[-1].count()
+    filtered = {r["point_id"]: r["edge_id"] for r in snap.snap(p.withColumnRenamed("component", "wanted"), lines, 80.0, F.col("component") == F.col("wanted"), keep=("component",)).collect()}
+    assert joined == filtered and len(joined) == 3 and pairs * 3 == met[-1].count()
+
+
+def test_preferring_snaps_meet_the_pieces_once(spark, monkeypatch):
+    """The nearest edge and the nearest that isn't avoided come from one search; the result is that of two."""
+    asked, both = [], snap._met
+    monkeypatch.setattr(snap, "_met", lambda points, pieces, max_m, *a: asked.append(max_m) or both(points, pieces, max_m, *a))
+    rng = np.random.default_rng(4)
+    kinds = ["smooth", "gravel", "unpaved"]
+    lines = network(spark, *(([(x, y), (x + 60, y + 20)], {"surface_class": kinds[i % 3]}) for i, (x, y) in enumerate(rng.uniform(0, 1500, (60, 2)).tolist())))
+    edges = lines.select(F.col("id").alias("edge_id"), "coordinates", "surface_class", geo.length(F.col("coordinates")).alias("length_m"))
+    at = [e7(x, y) for x, y in rng.uniform(-200, 1700, (120, 2)).tolist()]
+    p = spark.createDataFrame([(i, q.lng_e7, q.lat_e7, [[], ["gravel"], ["gravel", "unpaved"]][i % 3]) for i, q in enumerate(at)], "point_id long, lng_e7 long, lat_e7 long, avoid array<string>")
+    got = {r["point_id"]: r["edge_id"] for r in snap.snap_preferring(p, edges, 300.0).collect()}
+    assert asked == [50.0, 300.0]
+    first = {r["point_id"]: r for r in snap.snap(p, edges, 300.0).collect()}
+    fine = {r["point_id"]: r for r in snap.snap(p.withColumnRenamed("avoid", "no"), edges, 300.0, ~F.expr("array_contains(no, surface_class)"), keep=("surface_class",)).collect()}
+    want = {}
+    for i, r in first.items():
+        bad = kinds[(r["edge_id"] - 1) % 3] in [[], ["gravel"], ["gravel", "unpaved"]][i % 3]
+        reach = min(300.0, r["distance_m"] + max(75.0, min(r["along_m"], r["length_m"] - r["along_m"])))
+        want[i] = fine[i]["edge_id"] if bad and i in fine and fine[i]["distance_m"] <= reach else r["edge_id"]
+    assert got == want and any(got[i] != first[i]["edge_id"] for i in got)
+
+
+def test_segments_are_worked_out_once(spark, monkeypatch):
+    """The build reads what it stored; the attributes' expressions stand in no later plan."""
+    plans, store = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or store(d))
+    lines = network(spark, [(-100, 0), (0, 0), (100, 0)], [(0, -100), (0, 0), (0, 100)]).withColumn("name", F.concat(F.lit("the mark "), F.col("id").cast("string")))
+    assert stats(graph.build(lines))["edges"] == 4
+    assert sum("the mark" in p for p in plans) == 1 and "the mark" in plans[0]
